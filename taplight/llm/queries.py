@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from taplight.llm.matroska import op6_media_columns
+from taplight.llm.piece_codec import op8_piece_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_piece_codec": op8_piece_codec,
         "op6_media_columns": op6_media_columns,
     }
 
