@@ -11,11 +11,13 @@ from taplight.llm.matroska import op6_media_columns
 from taplight.llm.piece_codec import op8_piece_codec
 from taplight.llm.secret_scan import op3_secret_scan
 from taplight.llm.sst import op7_token_shards
+from taplight.llm.substring import op10_substring_dedup
 from taplight.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_substring_dedup": op10_substring_dedup,
         "op3_secret_scan": op3_secret_scan,
         "op9_warc": op9_warc,
         "op7_token_shards": op7_token_shards,
