@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from taplight.llm import warc
 from taplight.llm.matroska import op6_media_columns
+from taplight.llm.near_dedup import op1_near_dedup
 from taplight.llm.piece_codec import op8_piece_codec
 from taplight.llm.secret_scan import op3_secret_scan
 from taplight.llm.sst import op7_token_shards
@@ -17,6 +18,7 @@ from taplight.llm.warc import op9_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op10_substring_dedup": op10_substring_dedup,
         "op3_secret_scan": op3_secret_scan,
         "op9_warc": op9_warc,

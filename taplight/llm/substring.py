@@ -17,45 +17,20 @@ that windows cover; texts of fewer than LENGTH words keep all.  Rows are told ap
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taplight.llm.common import id_and_text, shared_dir, small_batches, table, written
+from taplight.llm.words import mixed, word_hashes, words_of
 
 LENGTH, GRAM = 35, 8
-KEPT_WORDS = 400_000
-_WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Odd multipliers of the two polynomial hashes (any odd numbers do) and the seed of the second.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_hashes: dict[str, int] = {}
-
-
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text)
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes; those of common words are kept by the worker."""
-    if len(_hashes) > KEPT_WORDS:
-        _hashes.clear()
-    known = _hashes
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 class Rolling:
