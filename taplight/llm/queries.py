@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from taplight.llm import warc
+from taplight.llm.decontaminate import op5_decontaminate
 from taplight.llm.matroska import op6_media_columns
 from taplight.llm.near_dedup import op1_near_dedup
 from taplight.llm.piece_codec import op8_piece_codec
@@ -18,6 +19,7 @@ from taplight.llm.warc import op9_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_decontaminate": op5_decontaminate,
         "op1_near_dedup": op1_near_dedup,
         "op10_substring_dedup": op10_substring_dedup,
         "op3_secret_scan": op3_secret_scan,
