@@ -11,6 +11,7 @@ from taplight.llm.decontaminate import op5_decontaminate
 from taplight.llm.matroska import op6_media_columns
 from taplight.llm.near_dedup import op1_near_dedup
 from taplight.llm.piece_codec import op8_piece_codec
+from taplight.llm.quality import op4_quality
 from taplight.llm.secret_scan import op3_secret_scan
 from taplight.llm.sst import op7_token_shards
 from taplight.llm.substring import op10_substring_dedup
@@ -19,6 +20,7 @@ from taplight.llm.warc import op9_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_quality": op4_quality,
         "op5_decontaminate": op5_decontaminate,
         "op1_near_dedup": op1_near_dedup,
         "op10_substring_dedup": op10_substring_dedup,
