@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from taplight.llm import warc
 from taplight.llm.decontaminate import op5_decontaminate
+from taplight.llm.lm_scoring import op2_lm_scoring
 from taplight.llm.matroska import op6_media_columns
 from taplight.llm.near_dedup import op1_near_dedup
 from taplight.llm.piece_codec import op8_piece_codec
@@ -20,6 +21,7 @@ from taplight.llm.warc import op9_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lm_scoring": op2_lm_scoring,
         "op4_quality": op4_quality,
         "op5_decontaminate": op5_decontaminate,
         "op1_near_dedup": op1_near_dedup,
