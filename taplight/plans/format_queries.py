@@ -1 +1,147 @@
-"""To come."""
+"""Readers of logs, records and exported flows, fed with lines and datagrams that Spark derives from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from taplight.functions import codes
+from taplight.plans.catalog import query
+from taplight.sources import features, netflow, views, zeek
+from taplight.sources.views import FLOWS_SQL
+
+_HEADER = zeek.Header(("ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "duration", "orig_bytes", "resp_bytes", "conn_state", "orig_pkts", "resp_pkts"))
+_F = f"f AS ({FLOWS_SQL})"
+
+
+def _lines(spark, sf_dir):
+    k = F.col("k")
+    cells = [F.concat(F.expr("ts_us div 1000000").cast("string"), F.lit(".5")), F.concat(F.lit("C"), "flow_id"), F.when(k % 13 == 0, "not-an-ip").otherwise(F.col("src")), (k + 1024).cast("string"), "dst", F.when(k % 11 == 0, "http").otherwise(F.col("port").cast("string")), "proto", F.lit("(empty)"), F.when(k % 7 == 0, "-").otherwise(F.lit("1.25")), F.coalesce(F.col("orig_bytes").cast("string"), F.lit("-")), F.col("resp_bytes").cast("string"), F.coalesce("state", F.lit("-")), F.col("orig_pkts").cast("string")]
+    whole = F.concat_ws("\t", *cells, F.lit("7"))
+    return views.flows(spark, sf_dir).select(F.col("flow_id").alias("ordinal"), F.when(k % 17 == 0, F.concat_ws("\t", *cells)).otherwise(whole).alias("value"))
+
+
+@query(
+    "log_legacy",
+    f"WITH {_F} SELECT flow_id AS ordinal, CASE WHEN k % 13 = 0 THEN 'not-an-ip' ELSE src END AS src, CASE WHEN k % 11 = 0 THEN 0 ELSE port END AS dst_port, CASE WHEN k % 7 = 0 THEN 0.0 ELSE 1.25 END AS duration, coalesce(orig_bytes, 0) AS orig_bytes, '' AS service, coalesce(state, '') AS conn_state, CAST(7 AS BIGINT) AS resp_pkts FROM f WHERE k % 17 <> 0",
+)
+def log_legacy(spark, sf_dir):
+    return zeek.conn_legacy(_lines(spark, sf_dir), _HEADER).select("ordinal", "src", "dst_port", "duration", "orig_bytes", "service", "conn_state", "resp_pkts")
+
+
+@query(
+    "log_diagnostics",
+    f"WITH {_F} SELECT 'short_row' AS kind, '' AS field, count(*) AS n FROM f WHERE k % 17 = 0 UNION ALL SELECT 'bad_address', 'id.orig_h', count(*) FROM f WHERE k % 13 = 0 UNION ALL SELECT 'bad_integer', 'id.resp_p', count(*) FROM f WHERE k % 11 = 0",
+)
+def log_diagnostics(spark, sf_dir):
+    return zeek.conn_lossless(_lines(spark, sf_dir), _HEADER)[1].groupBy("kind", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "log_cells",
+    f"WITH {_F} SELECT CASE WHEN k % 7 = 0 THEN 'unset' ELSE 'value' END AS duration, 'empty' AS service, CASE WHEN k % 17 = 0 THEN 'missing' ELSE 'value' END AS resp_pkts, count(*) AS n FROM f GROUP BY ALL",
+)
+def log_cells(spark, sf_dir):
+    rows, _ = zeek.conn_lossless(_lines(spark, sf_dir), _HEADER)
+    return rows.groupBy(F.col("duration.state").alias("duration"), F.col("service.state").alias("service"), F.col("resp_pkts.state").alias("resp_pkts")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _records(spark, sf_dir):
+    good = F.to_json(F.struct(F.concat(F.lit("f:"), (F.col("ts_us") / 1e6).cast("decimal(20,3)").cast("string")).alias("flow_id"), F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip"), F.col("port").alias("dst_port"), "proto", F.coalesce("orig_bytes", F.lit(5)).alias("orig_bytes"), "resp_bytes", "orig_pkts", F.lit(3).alias("resp_pkts")))
+    k = F.col("k") % 20
+    return views.flows(spark, sf_dir).select(F.when(k == 1, '{"src_ip": "1.1.1.1"').when(k == 2, "[1, 2]").when(k == 3, F.regexp_replace(good, '"resp_pkts":3', '"resp_pkts":"3"')).when(k == 4, F.regexp_replace(good, '"resp_pkts":3', '"resp_pkts":true')).when(k == 5, F.regexp_replace(good, '"dst_port":\\d+', '"dst_port":70000')).when(k == 6, "").when(k == 7, F.regexp_replace(good, ',"resp_pkts":3', "")).otherwise(good).alias("value"))
+
+
+@query(
+    "record_rejects",
+    f"""WITH {_F} SELECT CASE k % 20 WHEN 1 THEN 'json' WHEN 2 THEN 'object' WHEN 3 THEN 'type_resp_pkts' WHEN 4 THEN 'type_resp_pkts' WHEN 5 THEN 'port' WHEN 7 THEN 'missing_resp_pkts' ELSE '' END AS reasons, count(*) AS n FROM f WHERE k % 20 <> 6 GROUP BY 1""",
+)
+def record_rejects(spark, sf_dir):
+    return features.parse(_records(spark, sf_dir)).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _number(c, size):
+    return F.lpad(F.hex(c.cast("long")), size * 2, "0")
+
+
+def _v5(spark, sf_dir):
+    k = F.col("k")
+    f = views.flows(spark, sf_dir)
+    head = F.concat(F.lit("00050001"), _number(F.col("flow_id") * 10 + 5000, 4), _number(F.expr("ts_us div 1000000"), 4), F.lit("00000000"), _number(F.col("flow_id"), 4), F.lit("01"), _number(k % 4, 1), F.lit("4064"))
+    body = F.concat(F.lit("0a0000"), _number(k % 250, 1), F.lit("c0a801"), _number(k % 7, 1), F.lit("00000000"), F.lit("00010000"), _number(F.col("orig_pkts"), 4), _number(F.col("resp_bytes") + 40, 4), _number(F.col("flow_id") * 10 + 1000, 4), _number(F.col("flow_id") * 10 + 4000, 4), F.lit("1388"), _number(F.col("port"), 2), F.lit("00"), _number(k % 64, 1), F.when(F.col("proto") == "udp", "11").when(F.col("proto") == "icmp", "01").otherwise("06"), F.lit("00"), F.lit("0000000018180000"))
+    return f.select("flow_id", "k", F.unhex(F.concat(head, body)).alias("payload"))
+
+
+@query(
+    "v5_records",
+    f"""WITH {_F} SELECT flow_id, concat('10.0.0.', k % 250) AS src, concat('192.168.1.', k % 7) AS dst, orig_pkts AS packets, resp_bytes + 40 AS ip_bytes, proto, CASE WHEN proto <> 'icmp' THEN CAST(port AS BIGINT) END AS dst_port,
+        CASE WHEN proto = 'icmp' THEN CAST(port // 256 AS BIGINT) END AS icmp_type, CASE WHEN proto = 'tcp' THEN CAST(bit_count((k % 64)::INT) AS INT) END AS n_flags, CAST(100 AS BIGINT) AS sampling_interval FROM f""",
+)
+def v5_records(spark, sf_dir):
+    rows = netflow.v5_canonical(netflow.parse_v5(_v5(spark, sf_dir)))
+    return rows.select("flow_id", "src", "dst", "packets", "ip_bytes", "proto", "dst_port", "icmp_type", F.when(F.col("tcp_flags").isNotNull(), F.size("tcp_flags")).alias("n_flags"), "sampling_interval")
+
+
+@query("v5_times", f"WITH {_F} SELECT flow_id, (ts_us // 1000000) * 1000 - 1000 AS end_ms, (ts_us // 1000000) * 1000 - 4000 AS start_ms FROM f")
+def v5_times(spark, sf_dir):
+    return netflow.v5_times(netflow.parse_v5(_v5(spark, sf_dir))).where("time_reason is null").select("flow_id", "end_ms", "start_ms")
+
+
+@query(
+    "v5_sequence",
+    f"""WITH {_F}, h AS (SELECT flow_id, k % 4 AS engine, CASE WHEN k % 19 = 0 THEN flow_id - 1 ELSE flow_id END AS seq FROM f), l AS (SELECT *, lag(seq) OVER w AS prev FROM h WINDOW w AS (PARTITION BY engine ORDER BY flow_id)),
+    a AS (SELECT *, (seq - prev - 1 + 4294967296) % 4294967296 AS ahead FROM l) SELECT CASE WHEN prev IS NULL THEN 'first' WHEN prev = seq THEN 'duplicate' WHEN ahead = 0 THEN 'in_order' WHEN ahead < 2147483648 THEN 'gap' ELSE 'regression' END AS relation, count(*) AS n,
+        CAST(coalesce(sum(CASE WHEN prev IS NOT NULL AND prev <> seq AND ahead > 0 AND ahead < 2147483648 THEN ahead END), 0) AS BIGINT) AS lost FROM a GROUP BY 1""",
+)
+def v5_sequence(spark, sf_dir):
+    heads = views.flows(spark, sf_dir).select("flow_id", (F.col("k") % 4).alias("engine"), F.when(F.col("k") % 19 == 0, F.col("flow_id") - 1).otherwise(F.col("flow_id")).alias("sequence"), F.lit(1).alias("count"))
+    return netflow.sequence_relation(heads, ["engine"], "flow_id").groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"))
+
+
+@query(
+    "v9_records",
+    f"""WITH {_F}, d AS (SELECT *, k % 5 AS exporter, flow_id AS ordinal FROM f), t AS (SELECT exporter, ordinal, ts_us // 1000000 AS s FROM d WHERE k % 10 < 5),
+    j AS (SELECT d.*, (SELECT max_by(t.s, t.ordinal) FROM t WHERE t.exporter = d.exporter AND t.ordinal < d.ordinal) AS seen FROM d WHERE k % 10 >= 5)
+    SELECT ordinal, CASE WHEN seen IS NULL OR ts_us // 1000000 - seen > 3600 THEN 'no template' END AS reason, CASE WHEN seen IS NOT NULL AND ts_us // 1000000 - seen <= 3600 THEN resp_bytes END AS bytes, CASE WHEN seen IS NOT NULL AND ts_us // 1000000 - seen <= 3600 THEN orig_pkts END AS packets FROM j""",
+)
+def v9_records(spark, sf_dir):
+    """Exporters that send a template now and then, and data in between."""
+    k = F.col("k")
+    head = F.concat(F.lit("00090001"), F.lit("00001000"), _number(F.expr("ts_us div 1000000"), 4), _number(F.col("flow_id"), 4), F.lit("00000007"))
+    template = F.lit("0000001001000002" + "0001000400020002")
+    data = F.concat(F.lit("0100000c"), _number(F.col("resp_bytes"), 4), _number(F.col("orig_pkts"), 2), F.lit("0000"))
+    grams = views.flows(spark, sf_dir).select((k % 5).cast("string").alias("exporter"), F.col("flow_id").alias("ordinal"), F.unhex(F.concat(head, F.when(k % 10 < 5, template).otherwise(data))).alias("payload"))
+    rows = netflow.v9_records(netflow.v9_parts(grams), ttl_s=3600)
+    return rows.select("ordinal", "reason", F.col("values")[1].cast("long").alias("bytes"), F.col("values")[2].cast("long").alias("packets"))
+
+
+@query(
+    "capability_gate",
+    f"""WITH {_F}, d AS (SELECT unnest(['flood', 'scan', 'beacon']) AS detector) SELECT detector, CASE WHEN k % 2 = 1 THEN 'run' WHEN detector <> 'flood' THEN 'exported flow' WHEN orig_bytes IS NULL THEN 'no packet count' ELSE 'run' END AS decision, count(*) AS n FROM f CROSS JOIN d GROUP BY ALL""",
+)
+def capability_gate(spark, sf_dir):
+    """Which rules see a row, and why the others skip it."""
+    rows = views.flows(spark, sf_dir).withColumn("detector", F.explode(F.array(F.lit("flood"), F.lit("scan"), F.lit("beacon"))))
+    exported = F.col("k") % 2 == 0
+    decision = F.when(~exported, "run").when(F.col("detector") != "flood", "exported flow").when(F.col("orig_bytes").isNull(), "no packet count").otherwise("run")
+    return rows.groupBy("detector", decision.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "schema_drift",
+    """WITH e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['k'] WHEN 1 THEN ['k', 'x'] ELSE ['y'] END AS keys FROM events), u AS (SELECT 'unknown' AS side, unnest(list_filter(keys, lambda c: NOT list_contains(['k', 'ignored'], c))) AS field FROM e UNION ALL SELECT 'missing', unnest(list_filter(['k', 'z'], lambda c: NOT list_contains(keys, c))) FROM e)
+    SELECT side, field, count(*) AS n FROM u GROUP BY ALL""",
+)
+def schema_drift(spark, sf_dir):
+    from taplight.operators.enrich import schema_drift as drift
+
+    more = F.expr("CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN replace(props, '}', ', \"x\": 1}') ELSE '{\"y\": 2}' END")
+    keys = F.json_object_keys(more)
+    unknown, missing = drift(keys, ["k"], ["ignored"], ["k", "z"])
+    rows = views.read(spark, sf_dir, "events").select(F.explode(F.array(F.struct(F.lit("unknown").alias("side"), unknown.alias("fields")), F.struct(F.lit("missing").alias("side"), missing.alias("fields")))).alias("s"))
+    return rows.select("s.side", F.explode("s.fields").alias("field")).groupBy("side", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("state_codes", f"WITH {_F} SELECT flow_id, CASE k % 4 WHEN 1 THEN 'S1' WHEN 2 THEN 'SF' WHEN 3 THEN 'REJ' END AS state FROM f")
+def state_codes(spark, sf_dir):
+    """Integer connection states decoded; 0 has no name."""
+    return views.flows(spark, sf_dir).select("flow_id", codes.lookup(codes.CONN_STATES, (F.col("k") % 4).cast("int")).alias("state"))

@@ -1 +1,96 @@
-"""To come."""
+"""Scalar measures of names, and codes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from taplight.functions import codes, ids, text
+from taplight.plans.catalog import query
+from taplight.sources import views
+from taplight.sources.views import DNS_SQL, FLOWS_SQL
+
+_H = f"d AS ({DNS_SQL}), h AS (SELECT DISTINCT query AS name FROM d WHERE query <> '')"
+_ENTROPY = "coalesce((SELECT -sum(c / length({0}) * log2(c / length({0}))) FROM (SELECT count(*) AS c FROM (SELECT unnest(string_split({0}, '')) AS ch) t1 WHERE ch <> '' GROUP BY ch) t2), 0)"
+
+
+def _names(spark, sf_dir):
+    return views.dns(spark, sf_dir).select(F.col("query").alias("name")).where("name <> ''").distinct()
+
+
+@query("entropy", f"SELECT item_id, round({_ENTROPY.format('text')}, 6) AS entropy FROM benchmark")
+def entropy(spark, sf_dir):
+    return views.read(spark, sf_dir, "benchmark").select("item_id", F.round(text.entropy(F.col("text")), 6).alias("entropy"))
+
+
+@query(
+    "subdomain_entropy",
+    f"""WITH {_H}, s AS (SELECT name, CASE WHEN len(string_split(name, '.')) > 2 THEN array_to_string(string_split(name, '.')[1:len(string_split(name, '.')) - 2], '.') ELSE '' END AS sub FROM h)
+    SELECT name, len(string_split(name, '.'))::INT AS labels, round({_ENTROPY.format('sub')}, 6) AS entropy FROM s""",
+)
+def subdomain_entropy(spark, sf_dir):
+    n = F.col("name")
+    return _names(spark, sf_dir).select("name", text.label_count(n).alias("labels"), F.round(text.subdomain_entropy(n), 6).alias("entropy"))
+
+
+@query(
+    "domain_features",
+    f"""WITH {_H}, b AS (SELECT name, CASE WHEN name LIKE '%.%' THEN array_to_string(string_split(name, '.')[1:len(string_split(name, '.')) - 1], '') ELSE name END AS body FROM h)
+    SELECT name, length(body)::INT AS length, length(regexp_replace(body, '[^0-9]', '', 'g'))::INT AS digits, round(length(regexp_replace(body, '[^aeiou]', '', 'g')) / nullif(length(regexp_replace(body, '[^a-z]', '', 'g')), 0), 6) AS vowel_ratio,
+    coalesce(list_max(list_transform(regexp_extract_all(body, '[b-df-hj-np-tv-z]+'), lambda x: length(x))), 0)::INT AS longest_consonants, list_max(list_transform(string_split(name, '.'), lambda x: length(x)))::INT AS longest_label,
+    round(len(list_distinct(string_split(body, ''))) / length(body), 6) AS distinct_ratio, round({_ENTROPY.format('body')}, 6) AS entropy FROM b""",
+)
+def domain_features(spark, sf_dir):
+    f = text.lexical_features(F.col("name"))
+    rounded = {c: F.round(f[c], 6) for c in ("vowel_ratio", "distinct_ratio", "entropy")}
+    return _names(spark, sf_dir).select("name", *((rounded.get(c, f[c])).alias(c) for c in ("length", "digits", "vowel_ratio", "longest_consonants", "longest_label", "distinct_ratio", "entropy")))
+
+
+@query(
+    "label_check",
+    """WITH w AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN ' ' || upper(url) || '. ' WHEN 1 THEN 'a..b' WHEN 2 THEN 'Www.Example.COM..' WHEN 3 THEN '' WHEN 4 THEN 'a b.c' ELSE '.x.y' END AS raw FROM pages), n AS (SELECT page_id, regexp_replace(lower(trim(raw)), '\\.+$', '') AS d FROM w)
+    SELECT page_id, CASE WHEN d <> '' AND NOT regexp_matches(d, '[\\s/]') AND NOT contains(d, '..') AND NOT starts_with(d, '.') THEN d END AS domain FROM n""",
+)
+def label_check(spark, sf_dir):
+    raw = F.expr("CASE page_id % 6 WHEN 0 THEN concat(' ', upper(url), '. ') WHEN 1 THEN 'a..b' WHEN 2 THEN 'Www.Example.COM..' WHEN 3 THEN '' WHEN 4 THEN 'a b.c' ELSE '.x.y' END")
+    return views.read(spark, sf_dir, "pages").select("page_id", text.normal_domain(raw).alias("domain"))
+
+
+@query(
+    "tcp_flags",
+    f"""WITH f AS ({FLOWS_SQL}), b AS (SELECT flow_id, (k * 7) % 256 AS m FROM f)
+    SELECT flow_id, concat_ws(',', CASE WHEN m & 1 <> 0 THEN 'FIN' END, CASE WHEN m & 2 <> 0 THEN 'SYN' END, CASE WHEN m & 4 <> 0 THEN 'RST' END, CASE WHEN m & 8 <> 0 THEN 'PSH' END, CASE WHEN m & 16 <> 0 THEN 'ACK' END, CASE WHEN m & 32 <> 0 THEN 'URG' END, CASE WHEN m & 64 <> 0 THEN 'ECE' END, CASE WHEN m & 128 <> 0 THEN 'CWR' END) AS flags FROM b""",
+)
+def tcp_flags(spark, sf_dir):
+    mask = ((F.col("k") * 7) % 256).cast("int")
+    return views.flows(spark, sf_dir).select("flow_id", F.array_join(codes.tcp_flags(mask), ",").alias("flags"))
+
+
+@query(
+    "code_names",
+    f"""WITH f AS ({FLOWS_SQL}), r AS (SELECT flow_id, CASE k % 5 WHEN 0 THEN '1' WHEN 1 THEN '16' WHEN 2 THEN '-' WHEN 3 THEN 'aaaa' ELSE cast(k AS VARCHAR) END AS raw FROM f)
+    SELECT flow_id, CASE raw WHEN '-' THEN NULL WHEN '1' THEN 'A' WHEN '2' THEN 'NS' WHEN '5' THEN 'CNAME' WHEN '6' THEN 'SOA' WHEN '12' THEN 'PTR' WHEN '15' THEN 'MX' WHEN '16' THEN 'TXT' WHEN '28' THEN 'AAAA' WHEN '33' THEN 'SRV' ELSE upper(raw) END AS qtype FROM r""",
+)
+def code_names(spark, sf_dir):
+    raw = F.expr("CASE k % 5 WHEN 0 THEN '1' WHEN 1 THEN '16' WHEN 2 THEN '-' WHEN 3 THEN 'aaaa' ELSE cast(k AS STRING) END")
+    return views.flows(spark, sf_dir).select("flow_id", codes.name_of_code(raw, codes.QTYPES).alias("qtype"))
+
+
+@query(
+    "record_ids",
+    f"""WITH f AS ({FLOWS_SQL}), s AS (SELECT flow_id, sha1(unhex('{ids.NAMESPACE.hex}') || encode(concat(length(src), ':', src, length(dst), ':', dst, length(cast(port AS VARCHAR)), ':', port))) AS h FROM f)
+    SELECT flow_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', CASE substr(h, 17, 1) WHEN '0' THEN '8' WHEN '4' THEN '8' WHEN '8' THEN '8' WHEN 'c' THEN '8' WHEN '1' THEN '9' WHEN '5' THEN '9' WHEN '9' THEN '9' WHEN 'd' THEN '9' WHEN '2' THEN 'a' WHEN '6' THEN 'a' WHEN 'a' THEN 'a' WHEN 'e' THEN 'a' ELSE 'b' END, substr(h, 18, 3), '-', substr(h, 21, 12)) AS record_id FROM s""",
+)
+def record_ids(spark, sf_dir):
+    return views.flows(spark, sf_dir).select("flow_id", ids.record_id(ids.NAMESPACE, "src", "dst", F.col("port").cast("string")).alias("record_id"))
+
+
+@query("domain_model")
+def domain_model(spark, sf_dir):
+    """Host names told from strings derived from the pages' addresses by a forest over lexical measures."""
+    from taplight.operators import domain_model as model
+
+    hosts = _names(spark, sf_dir).select(F.col("name").alias("domain"), F.lit(0).alias("label"))
+    made = views.read(spark, sf_dir, "pages").select(F.concat(F.substring(F.sha1(F.col("url").cast("binary")), 1, 16), F.lit(".net")).alias("domain"), F.lit(1).alias("label")).distinct()
+    rows = hosts.union(made)
+    train, test = model.split(rows)
+    return model.score(model.fit(train, trees=20), test).select("domain", "label", F.round("score", 4).alias("score"))
