@@ -5,8 +5,10 @@ Poisson process, at a rate of its weight, to the registers of a sketch; a regist
 shingle stops once its next arrival comes after every register's.  Two sketches agree in a register with the
 probability Jaccard similarity of the weighted sets, which for weights that are all equal is the Jaccard similarity.
 
-Bands of registers give buckets.  A bucket's members are linked to its hub, the least identifier, never all to all; what
-is still apart after that is compared across the components that meet in a bucket.  Each link is verified: shingle sets
+Bands of registers give buckets.  A bucket's members are linked to its hub, never all to all; the hub is the member that
+meets most others in all its buckets, so that copies of one text, each edited elsewhere, find that text.  What is still
+apart after that, in buckets where several components meet, is compared exactly in pairs of blocks of bounded size; only
+links leave a block, never pairs.  Each link is verified: shingle sets
 of Jaccard similarity SIMILAR or more (from 32-bit hashes of shingles: a chance collision changes a count by one).
 Classes are the components of the verified links, found in Spark by alternating stars.
 
@@ -32,8 +34,8 @@ from taplight.llm.words import mixed, word_hashes, words_of
 WORDS, SIMILAR = 5, (4, 5)
 ROWS, BANDS = 6, 36
 REGISTERS = ROWS * BANDS
-#: Members of a bucket beyond which pairs across components must share a second bucket to be compared.
-LARGE_BUCKET = 100
+#: Members of a block; what a bucket's hubs leave apart is compared block by block, at most two blocks in a task's hands.
+BLOCK = 256
 
 _ROUND = 0x9E3779B97F4A7C15
 _PLACE = np.uint64(0xD6E8FEB86659FD93)
@@ -144,11 +146,40 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.least(F.size("x"), F.size("y")) * of >= F.greatest(F.size("x"), F.size("y")) * most).where((F.col("i") * of >= (F.col("n") - F.col("i")) * most) & (F.col("i") > 0)).select("a", "b").distinct()
 
 
+def _links_within(group: pa.Table) -> pa.Table:
+    """Similar pairs of a block or two of different components, from exact intersections of all their sets."""
+    node, label = group.column("node").to_numpy(), group.column("label").to_numpy()
+    lists = group.column("shingles").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    values, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    row = np.repeat(np.arange(len(node)), sizes)
+    common = np.flatnonzero(np.bincount(column, minlength=len(values)) > 1)
+    place = np.full(len(values), -1)
+    place[common] = np.arange(len(common))
+    both = np.zeros((len(node), len(node)), np.float32)
+    for first in range(0, len(common), 16384):
+        some = (place[column] >= first) & (place[column] < first + 16384)
+        here = np.zeros((len(node), min(16384, len(common) - first)), np.float32)
+        here[row[some], place[column[some]] - first] = 1
+        both += here @ here.T
+    most, of = SIMILAR
+    similar = (both * of >= (sizes[:, None] + sizes[None, :] - both) * most) & (both > 0) & (label[:, None] < label[None, :])
+    i, j = np.nonzero(similar)
+    return pa.table({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])})
+
+
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """``nodes`` with ``label``, the node itself where it has none."""
     return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose nodes have different labels."""
+    label = labels.select(F.col("node").alias("l_node"), "label")
+    one = pairs.join(label, F.col("a") == F.col("l_node"), "left").select("a", "b", F.coalesce("label", "a").alias("la"))
+    return one.join(label, F.col("b") == F.col("l_node"), "left").where(F.col("la") != F.coalesce("label", "b")).select("a", "b")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id) for every row; the class is the least identifier of the documents linked to each other."""
     spark = docs.sparkSession
@@ -163,29 +194,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     # Buckets of two or more texts, and their hubs.
     keyed = copies.where("size(bands) > 0").select("node", F.explode("bands").alias("key"))
-    hubs = written(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "members", "hub"), f"{folder}/hubs")
-    buckets = written(keyed.join(hubs, "key").select("key", "members", "hub", "node"), f"{folder}/buckets")
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "members"), f"{folder}/shared")
+    met = written(keyed.join(shared, "key"), f"{folder}/met")
+    weight = written(met.groupBy("node").agg(F.sum("members").alias("weight")), f"{folder}/weight")
+    hubs = written(met.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"))).alias("top")).select("key", (-F.col("top.less")).alias("hub")), f"{folder}/hubs")
+    buckets = written(met.join(hubs, "key"), f"{folder}/buckets")
     stars = written(buckets.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("n")), f"{folder}/stars")
     wanted = written(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), f"{folder}/wanted")
     texts = hashed.join(wanted.hint("shuffle_hash"), hashed["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text")
     sets = written(texts.mapInArrow(_shingle_sets, "node long, shingles array<int>"), f"{folder}/sets")
 
-    # First each text with the hub that it meets most often; then what the components found so far leave apart.
+    # First each text with the hub that it meets most often, then with the other hubs that are still apart from it.
     best = stars.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("less"))).alias("top")).select("a", (-F.col("top.less")).alias("b"))
-    linked = written(_verified(best, sets), f"{folder}/linked")
-    labels = components(linked, f"{folder}/first-components")
-    apart = written(_labelled(buckets, labels), f"{folder}/apart")
-    open_keys = written(apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), f"{folder}/open")
-    held = written(apart.join(open_keys, "key", "left_semi"), f"{folder}/held")
-    small = held.where(F.col("members") <= LARGE_BUCKET).select("key", "node", "label")
-    large = held.where(F.col("members") > LARGE_BUCKET).select("node", "label", F.col("key").alias("one"))
-    second = large.join(held.select("node", F.col("key").alias("two")), "node").where("one <> two").select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("key"), "node", "label").distinct()
-    met = written(small.union(second), f"{folder}/met")
-    across = met.alias("p").join(met.alias("q"), "key").where("p.label < q.label").select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-    hub_label = _labelled(held.select(F.col("hub").alias("node")).distinct(), labels).select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    to_hub = held.join(hub_label, "hub").where("label <> hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    rest = across.union(to_hub).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = _verified(written(rest, f"{folder}/rest"), sets)
+    linked = written(_verified(best, sets), f"{folder}/linked-best")
+    labels = components(linked, f"{folder}/components-best")
+    others = _apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
+    linked = written(_verified(written(others, f"{folder}/others"), sets).union(labels.select("node", "label")), f"{folder}/linked-hubs")
+    labels = components(linked, f"{folder}/components-hubs")
+
+    # Then across the components that meet in a bucket, but for pairs with a hub, which are known by now.
+    held = written(_labelled(buckets, labels), f"{folder}/held")
+    open_keys = written(held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), f"{folder}/open")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    ends = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("p"), F.greatest(own, other).alias("q")))
+    dealt = held.join(open_keys, "key", "left_semi").where("node <> hub").select("key", "node", "label", F.explode(ends).alias("pair")).select("key", "pair.*", "node", "label")
+    blocked = written(dealt, f"{folder}/blocked")
+    several = written(blocked.groupBy("key", "p", "q").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "p", "q"), f"{folder}/several")
+    compared = blocked.join(several, ["key", "p", "q"], "left_semi").join(sets, "node").select("key", "p", "q", "node", "label", "shingles")
+    more = compared.groupBy("key", "p", "q").applyInArrow(_links_within, "a long, b long").distinct()
 
     final = components(written(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more).union(same_id), f"{folder}/links"), f"{folder}/components")
     by_node = _labelled(copies.select("doc_id", F.col("doc_id").alias("node")), final)
