@@ -144,19 +144,19 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     folder = shared_dir(spark, "substring")
     found = written(rows.mapInArrow(_anchor_rows, ANCHORS), f"{folder}/anchors")
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), f"{folder}/again")
     seeds = written(found.join(again, "anchor", "left_semi"), f"{folder}/seeds")
     # Extension over all owned words: classes of equal words, with one occurrence to stand for each.
     kind = ["anchor", "high", "low"]
     classes = written(seeds.groupBy(*kind).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "first", "count")).alias("one")), f"{folder}/classes")
     full = seeds.join(classes.where("copies > 1").select(*kind), kind, "left_semi").select("doc_id", "rid", F.col("first").alias("start"), "count")
     # Extension window by window, where an anchor has classes that occur once beside others.
-    mixed_anchors = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("anchor")
+    mixed_anchors = written(classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("anchor"), f"{folder}/mixed")
     stand = classes.join(mixed_anchors, "anchor", "left_semi").select("one.*", "copies")
     owned = stand.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "count", "copies")).alias("owned"))
     texts = rows.join(owned.withColumnsRenamed({"doc_id": "d", "rid": "r"}).hint("shuffle_hash"), rows["doc_id"].eqNullSafe(F.col("d")) & (rows["rid"] == F.col("r")))
     windows = written(texts.select("doc_id", "rid", "text", "owned").mapInArrow(_window_rows, WINDOWS), f"{folder}/windows")
-    shared = windows.groupBy("high", "low").agg(F.sum("copies").alias("n")).where("n > 1").select("high", "low")
+    shared = written(windows.groupBy("high", "low").agg(F.sum("copies").alias("n")).where("n > 1").select("high", "low"), f"{folder}/shared")
     single = windows.where("copies = 1").join(shared, ["high", "low"], "left_semi").select("doc_id", "rid", "start", F.lit(1).alias("count"))
     return written(full.unionByName(single), f"{folder}/repeated")
 
