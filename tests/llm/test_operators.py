@@ -1,0 +1,149 @@
+"""Operators on texts against brute force, and their edge cases."""
+
+import random
+
+import numpy as np
+import pytest
+
+from taplight.llm import decontaminate, lm_scoring, near_dedup, quality, secret_scan, substring
+
+
+def _corpus(n, seed):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    base = [[r.choice(words) for _ in range(r.randint(0, 120))] for _ in range(n // 3)]
+    out = []
+    for i in range(n):
+        w = list(r.choice(base))
+        if i % 3 == 0 and w:
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = r.choice(words)
+        if i % 5 == 0:
+            w += r.choice(base)[:60]
+        out.append(" ".join(w))
+    return out + ["", "", "one", "one", "two words"]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    texts = dict(enumerate(_corpus(250, 1)))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, label string")
+    assert dict(near_dedup.classes(docs).collect()) == near_dedup.brute_force(texts)
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(near_dedup.brute_force(texts).values())
+
+
+def test_near_duplicate_edges(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
+    rows = sorted(((r["doc_id"] or 0, r["class_id"]) for r in near_dedup.classes(docs).collect()))
+    assert rows == [(0, None), (1, 1), (2, 1), (4, 4), (4, 4)]
+    assert near_dedup.classes(docs.limit(0)).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    a = near_dedup.mixed(np.arange(1, 301, dtype=np.uint64))
+    both = np.concatenate((a[:250], a[50:]))
+    doc = np.repeat([0, 1], 250)
+    s = near_dedup.sketches(doc, both, np.ones(500), 2, 4000)
+    assert abs((s[0] == s[1]).mean() - 200 / 300) < 0.03
+
+
+def test_substrings_equal_brute_force(spark):
+    texts = _corpus(150, 2) + [None, "x " * 90]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in substring.cut(docs).collect()}
+    import hashlib
+
+    for i, (n, gone, digest) in enumerate(substring.brute_force(texts)):
+        assert (rows[i]["n_words"], rows[i]["n_removed"], hashlib.sha256(rows[i]["kept"].encode()).hexdigest()) == (n, gone, digest)
+    assert substring.cut(docs.limit(0)).count() == 0
+
+
+def test_secret_spans_and_ledger(spark):
+    text = "é password = 'abcdefghijkl' AKIAABCDEFGHIJKLMN 0123456789abcdef0"
+    assert [s[0] for s in secret_scan.find_secrets(text)] == ["assign", "access", "hex"]
+    assert secret_scan.find_secrets("password=short tokens") == []
+    path = secret_scan.shared_dir(spark, "t")
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None), (3, "clean"), (3, "clean")], "doc_id long, text string")
+    assert secret_scan.update_ledger(docs, path) == 3
+    assert secret_scan.update_ledger(docs, path) == 0
+    more = docs.union(spark.createDataFrame([(9, "token: 0123456789abc")], "doc_id long, text string"))
+    assert secret_scan.update_ledger(more, path) == 1
+    found = secret_scan.digests(secret_scan.findings(more, path)).collect()
+    assert len(found) == 6 and sum(r["n_assign"] for r in found) == 3
+    kept = [r["text"] for r in secret_scan.redact(docs.withColumn("spans", docs.doc_id)).collect()]
+    assert len(kept) == 5 and sum("[SECRET]" in (t or "") for t in kept) == 2 and None in kept
+
+
+def test_alignment_equals_full_matrix():
+    r = random.Random(4)
+    for _ in range(300):
+        p, q = [r.choice("abcd") for _ in range(r.randint(0, 12))], [r.choice("abc") for _ in range(r.randint(1, 10))]
+        h = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        best = 0
+        for i in range(1, len(p) + 1):
+            for j in range(1, len(q) + 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if p[i - 1] == q[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+                best = max(best, h[i][j])
+        assert decontaminate.align(p, q)[0] == best
+
+
+def test_leaks_whole_edited_and_clean(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    items = [[word() for _ in range(40)] for _ in range(6)] + [["solo"]]
+    filler = [[word() for _ in range(100)] for _ in range(30)]
+    edited = list(items[1])
+    for k in (5, 12, 19, 26, 33):
+        edited[k] = "changed"
+    docs = [(i, " ".join(f)) for i, f in enumerate(filler)]
+    docs += [(100, " ".join(filler[0][:20] + items[0] + filler[1][:20])), (101, " ".join(filler[2][:50] + edited)), (102, None), (None, " ".join(items[2]))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*((i, " ".join(w)) for i, w in enumerate(items)), (50, None)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(table, bench).collect()}
+    assert set(found) == {(100, 0), (101, 1), (None, 2)}
+    assert found[100, 0]["score"] == 1 and (found[100, 0]["start"], found[100, 0]["stop"]) == (20, 60)
+    kept = decontaminate.drop_leaked(table, bench)
+    assert kept.count() == 31 and decontaminate.leaks(table.limit(0), bench).count() == 0
+
+
+def test_quality_is_learnt_and_held_out(spark):
+    from pyspark.sql import functions as F
+
+    base = "/root/testdata/sf0.01"
+    rows = quality.op4_quality(spark, base).join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id").where(F.col("held_out")).toPandas()
+    order = rows["score"].rank().to_numpy()
+    good = rows["quality"].to_numpy() == 1
+    auc = (order[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert auc > 0.95
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, None)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert {r[0] for r in docs.select(quality.score_column(model, docs["text"])).collect()} == {0.5}
+
+
+def test_language_model_learns(spark):
+    r = random.Random(6)
+    texts = [" ".join(w for _ in range(60) for w in r.choice((["a", "b", "c"], ["d", "e"]))) for _ in range(80)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, None), (1001, "")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in lm_scoring.score(docs, lm_scoring.fit(docs, rounds=3)).collect()}
+    assert rows[1000]["log_likelihood"] == 0 and rows[1001]["mean_log_likelihood"] is None
+    before = {r["doc_id"]: r for r in lm_scoring.score(docs, lm_scoring.fit(docs, rounds=0)).collect()}
+    mean = lambda found: np.mean([found[i]["mean_log_likelihood"] for i in range(80)])
+    assert mean(rows) > mean(before) + 0.02
+    assert lm_scoring.score(docs.limit(0), lm_scoring.fit(docs.limit(0))).count() == 0
+
+
+def test_network_gradient():
+    v = lm_scoring.Vocabulary(np.arange(lm_scoring.BUCKETS))
+    w = lm_scoring.initial(v)
+    classes, sizes = np.array([3, 5, 7, 9, 3, 5]), np.array([4, 2])
+    x = lm_scoring.contexts(classes, sizes)
+    before = lm_scoring.log_probabilities(w, x, classes).mean()
+    t = lm_scoring.Trainer(w)
+    for _ in range(30):
+        t.learn(x, classes)
+    assert lm_scoring.log_probabilities(t.weights, x, classes).mean() > before + 0.5
+    assert x[0, 0] == lm_scoring.CLASSES and x[3, 0] == 5 + 3 * (lm_scoring.CLASSES + 1)
