@@ -30,14 +30,11 @@ def first_of_repeats(alerts: DataFrame, key: str, ts: str, delay: str = "5 minut
 def cooldown(candidates: DataFrame, keys: list[str], cooldown_us: int, columns: str, rank: str = "rank", ts_us: str = "ts_us", arrival: str = "flow_id") -> DataFrame:
     """The cooldown and escalation fold with keyed state: the last emitted time and rank of each key.
 
-    Rows of a batch are folded in event-time order.  A key's state goes once its cooldown has passed in processing
-    time; the fold would emit its next row then in any case.  ``columns`` is the DDL of ``candidates``.
+    Rows of a batch are folded in event-time order; a key's state is two numbers.  ``columns`` is the DDL of
+    ``candidates``.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last, top = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values([ts_us, arrival])
         kept = []
@@ -46,10 +43,9 @@ def cooldown(candidates: DataFrame, keys: list[str], cooldown_us: int, columns:
                 last, top = int(t), int(r)
                 kept.append(i)
         state.update((last, top))
-        state.setTimeoutDuration(max(1000, cooldown_us // 1000))
         yield rows.iloc[kept]
 
-    return candidates.groupBy(*keys).applyInPandasWithState(fold, columns, "last long, top int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return candidates.groupBy(*keys).applyInPandasWithState(fold, columns, "last long, top int", "append", GroupStateTimeout.NoTimeout)
 
 
 def sessions(alerts: DataFrame, key: str, ts: str, gap: str, delay: str = "10 minutes") -> DataFrame:
