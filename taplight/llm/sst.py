@@ -32,16 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taplight.llm.common import filesystem, id_and_text, shared_dir, small_batches, table, written
+from taplight.llm.common import filesystem, holds_tables, id_and_text, shared_dir, small_batches, table, written
 
 BLOCK_BYTES, SHARD_BYTES, RESTART_EVERY = 64 << 10, 32 << 20, 16
 BITS_PER_KEY, PROBES = 10, 7
 MAGIC = b"TLSST1\r\n"
-FOOTER = struct.Struct("<QQQQQQI8s")  # filter, index: offset and length; documents, ids; crc32 of filter and index
-KEPT_WORDS, KEPT_LENGTH = 400_000, 48
+FOOTER = struct.Struct("<QQQQQQBI8s")  # filter, index: offset and length; documents, ids; bytes of an id; crc32 of filter and index
+KEPT_WORDS, KEPT_LENGTH = 700_000, 48
 #: Text between two of these starts is split alike with or without what stands around it (Unicode's white space).
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_SPACED = re.compile(f" [^{_S}]+")
 
 
 class IdEncoder:
@@ -54,19 +55,50 @@ class IdEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        #: Bytes that each id stands for: a byte-level token has one character for each.
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
+        self.wide = len(self.sizes) > 1 << 16
+
+    def _chunks(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks.  Those of a space and other characters are encoded many at once, for the library parts
+        their sequence before each space; the ids are dealt out again by the bytes that they stand for."""
+        runs: list[str] = []
+        rest: list[str] = []
+        for c in new:
+            (runs if _SPACED.fullmatch(c) else rest).append(c)
+        out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+        groups = [runs[i : i + 500] for i in range(0, len(runs), 500)]
+        for group, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([len(c.encode()) for c in group])
+            at = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+            data, last = ids.tobytes(), 0
+            for c, i in zip(group, (at * 4).tolist(), strict=True):
+                out[c] = data[last:i]
+                last = i
+        return out
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit numbers."""
         kept = self.kept
+        holds_tables("shards", kept.clear)
         if len(kept) > KEPT_WORDS:
             kept.clear()
         split = [_CHUNK.findall(t) for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in kept})
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, found, strict=True)}
-        kept.update((c, b) for c, b in fresh.items() if len(c) <= KEPT_LENGTH)
+        found: set[str] = set()
+        for chunks in split:
+            found.update(chunks)
+        fresh = self._chunks(list(found.difference(kept)))
+        kept.update(fresh)
         end = struct.pack("<I", end_id)
-        return [b"".join([kept[c] if c in kept else fresh[c] for c in chunks]) + end for chunks in split]
+        out = [b"".join(map(kept.__getitem__, chunks)) + end for chunks in split]
+        for c in fresh:
+            if len(c) > KEPT_LENGTH:
+                del kept[c]
+        return out
 
 
 @cache
@@ -155,20 +187,25 @@ def _probes(key: bytes, bits: int) -> Iterator[int]:
 
 
 class ShardWriter:
-    """One shard in memory, of bounded size; entries come in ascending order of key."""
+    """One shard in memory, of bounded size; entries come in ascending order of key.
 
-    def __init__(self) -> None:
+    Ids take two bytes each where the vocabulary allows, else four.
+    """
+
+    def __init__(self, wide: bool = True) -> None:
+        self.wide = wide
         self.blocks: list[bytes] = []
         self.index, self.block, self.first = _Block(), _Block(), b""
         self.keys: list[bytes] = []
         self.size = self.ids = 0
 
-    def add(self, key: bytes, value: bytes) -> None:
+    def add(self, key: bytes, ids: bytes) -> None:
+        """``ids`` as little-endian 32-bit numbers."""
         if not self.block.n:
             self.first = key
-        self.block.add(key, value)
+        self.block.add(key, ids if self.wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
         self.keys.append(key)
-        self.ids += len(value) // 4
+        self.ids += len(ids) // 4
         if self.block.size >= BLOCK_BYTES:
             self._end_block()
 
@@ -189,7 +226,7 @@ class ShardWriter:
                 bloom[p >> 3] |= 1 << (p & 7)
         tail = struct.pack("<Q", bits) + bytes(bloom)
         index = self.index.bytes()
-        foot = FOOTER.pack(self.size, len(tail), self.size + len(tail), len(index), len(self.keys), self.ids, zlib.crc32(index, zlib.crc32(tail)), MAGIC)
+        foot = FOOTER.pack(self.size, len(tail), self.size + len(tail), len(index), len(self.keys), self.ids, 4 if self.wide else 2, zlib.crc32(index, zlib.crc32(tail)), MAGIC)
         return b"".join([*self.blocks, tail, index, foot])
 
 
@@ -199,7 +236,7 @@ class ShardReader:
     def __init__(self, file) -> None:
         self.file = file
         size = file.size()
-        at, n, index_at, index_n, self.documents, self.ids, crc, magic = FOOTER.unpack(file.read_at(FOOTER.size, size - FOOTER.size))
+        at, n, index_at, index_n, self.documents, self.ids, self.width, crc, magic = FOOTER.unpack(file.read_at(FOOTER.size, size - FOOTER.size))
         tail, index = file.read_at(n, at), file.read_at(index_n, index_at)
         if magic != MAGIC or zlib.crc32(index, zlib.crc32(tail)) != crc:
             raise ValueError("not a whole shard")
@@ -211,7 +248,10 @@ class ShardReader:
         for _, at, n in self.index:
             block = self.file.read_at(n, at)
             for key, value in _entries(block, 0, _restarts(block)[1]):
-                yield id_of(key), value
+                yield id_of(key), self._wide(value)
+
+    def _wide(self, value: bytes) -> bytes:
+        return value if self.width == 4 else np.frombuffer(value, "<u2").astype("<u4").tobytes()
 
     def get(self, doc_id: int | None) -> list[bytes]:
         """Ids of the documents of this identifier; none where there is none."""
@@ -226,7 +266,7 @@ class ShardReader:
             start = max(0, bisect_right(restarts, key, key=lambda r: next(_entries(block, r, end))[0]) - 1)
             for k, value in _entries(block, restarts[start], end):
                 if k[:9] == key[:9]:
-                    out.append(value)
+                    out.append(self._wide(value))
                 elif k > key:
                     return out
         return out
@@ -246,11 +286,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        library = encoder(tokenizer)
+        wide = library.wide or end_id >= 1 << 16
         fs, base = filesystem(folder)
         fs.create_dir(base)
         part, made = TaskContext.get().partitionId(), 0
-        shard, first, last, repeat = ShardWriter(), None, None, 0
+        shard, first, last, repeat = ShardWriter(wide), None, None, 0
         before: tuple = ()
 
         def close() -> pa.RecordBatch:
@@ -263,7 +304,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for doc_id, value in zip(ids, encode(batch.column("text").to_pylist(), end_id), strict=True):
+            for doc_id, value in zip(ids, library.encode(batch.column("text").to_pylist(), end_id), strict=True):
                 repeat = repeat + 1 if before == (doc_id,) else 0
                 before = (doc_id,)
                 if not shard.keys:
@@ -272,7 +313,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
                 last = doc_id
                 if shard.size + shard.block.size >= SHARD_BYTES:
                     yield close()
-                    shard, made = ShardWriter(), made + 1
+                    shard, made = ShardWriter(wide), made + 1
         if shard.keys:
             yield close()
 
