@@ -146,4 +146,4 @@ def test_network_gradient():
     for _ in range(30):
         t.learn(x, classes)
     assert lm_scoring.log_probabilities(t.weights, x, classes).mean() > before + 0.5
-    assert x[0, 0] == lm_scoring.CLASSES and x[3, 0] == 5 + 3 * (lm_scoring.CLASSES + 1)
+    assert x[0, 0] == lm_scoring.CLASSES and x[3, 0] == 7 + 3 * (lm_scoring.CLASSES + 1)
