@@ -145,3 +145,47 @@ def schema_drift(spark, sf_dir):
 def state_codes(spark, sf_dir):
     """Integer connection states decoded; 0 has no name."""
     return views.flows(spark, sf_dir).select("flow_id", codes.lookup(codes.CONN_STATES, (F.col("k") % 4).cast("int")).alias("state"))
+
+
+def _observations(spark, sf_dir):
+    k = F.col("k")
+    moment = lambda us: F.concat(F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    counters = F.struct(F.struct(F.col("orig_pkts").alias("packets"), F.when(k % 8 != 0, F.col("resp_bytes")).alias("ip_bytes")).alias("src_to_dst"))
+    data = F.struct(moment(F.col("ts_us")).alias("start_time"), moment(F.when(k % 9 == 0, F.col("ts_us") - 1000).otherwise(F.col("ts_us") + k * 1000)).alias("end_time"), F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip"), F.when(k % 10 == 3, 70000).otherwise(F.col("port")).alias("dst_port"), F.when(F.col("proto") == "tcp", 6).when(F.col("proto") == "udp", 17).otherwise(99).alias("ip_protocol"), counters.alias("counters"))
+    whole = F.to_json(F.struct(F.when(k % 11 == 0, "2.0").otherwise("1.0").alias("schema_version"), F.concat(F.lit("r"), "flow_id").alias("record_id"), F.lit("flow").alias("observation_type"), F.when(k % 13 == 0, "2024-02-30T00:00:00Z").otherwise("2024-02-29T00:00:00.123Z").alias("observed_at"), data.alias("data")))
+    return views.flows(spark, sf_dir).select(whole.alias("value"))
+
+
+@query(
+    "canonical_rejects",
+    f"""WITH {_F}, t AS (SELECT concat_ws(',', CASE WHEN k % 11 = 0 THEN 'version' END, CASE WHEN k % 13 = 0 THEN 'observed_at' END, CASE WHEN k % 9 = 0 THEN 'order' END, CASE WHEN k % 10 = 3 THEN 'port' END) AS reasons FROM f)
+    SELECT reasons, count(*) AS n FROM t GROUP BY 1""",
+)
+def canonical_rejects(spark, sf_dir):
+    from taplight.sources import canonical
+
+    return canonical.parse(_observations(spark, sf_dir)).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "canonical_flows",
+    f"""WITH {_F} SELECT concat('r', flow_id) AS flow_id, k * 1000000 AS duration_ns, port, CASE proto WHEN 'icmp' THEN 'ip_protocol_99' ELSE proto END AS proto, orig_pkts, CASE WHEN k % 8 <> 0 THEN resp_bytes END AS orig_ip_bytes FROM f WHERE k % 11 <> 0 AND k % 13 <> 0 AND k % 9 <> 0 AND k % 10 <> 3""",
+)
+def canonical_flows(spark, sf_dir):
+    from taplight.sources import canonical
+
+    return canonical.to_flows(canonical.parse(_observations(spark, sf_dir)), codes.PROTOCOLS).select("flow_id", "duration_ns", "port", "proto", "orig_pkts", "orig_ip_bytes")
+
+
+@query(
+    "label_times",
+    """WITH o AS (SELECT o_orderkey, o_orderdate, o_orderkey % 3 AS m FROM orders) SELECT o_orderkey, CASE WHEN m < 2 THEN CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) + 3 * 3600 + 7 * 60 + CASE WHEN m = 0 THEN 9 ELSE 0 END END AS at, m = 0 AS had_seconds FROM o""",
+)
+def label_times(spark, sf_dir):
+    from taplight.sources import datasets
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    day = F.date_format("o_orderdate", "d/M/yyyy")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(day, F.lit(" 3:07:09"))).when(F.col("o_orderkey") % 3 == 1, F.concat(day, F.lit(" 03:07"))).otherwise(F.concat(F.lit("on "), day))
+    at, seconds = datasets.label_time(raw)
+    return views.read(spark, sf_dir, "orders").select("o_orderkey", F.unix_seconds(at).alias("at"), seconds.alias("had_seconds"))
