@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,5 +50,19 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs[text_col]).alias("text"))
 
 
+_tables: dict[str, Callable[[], None]] = {}
+
+
+def holds_tables(owner: str, clear: Callable[[], None]) -> None:
+    """Called by what keeps tables in a worker process, before it uses them: the tables of all others are let go.
+
+    Workers live on from stage to stage; without this a pipeline would keep every operator's tables in each of them.
+    """
+    if owner not in _tables or len(_tables) > 1:
+        for other in [o for o in _tables if o != owner]:
+            _tables.pop(other)()
+        _tables[owner] = clear
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,11 +26,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from taplight.llm.common import id_and_text, small_batches, table
+from taplight.llm.common import holds_tables, id_and_text, small_batches, table
 
 SPACE = "▁"
 #: Words kept encoded by a worker, and the longest that is kept; pairs of pieces whose compatibility is kept.
-KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 400_000, 48, 1_000_000
+KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 300_000, 48, 500_000
 #: Between words that are matched in one pass; no piece holds it.
 GAP = chr(0xE000)
 #: Words that are matched in one pass.
@@ -223,9 +223,14 @@ class PieceCodec:
             return self.decode(list(map(int, joined.split(" "))))
         return text[1:] if text[:1] == " " else text
 
+    def clear(self) -> None:
+        self.words.clear()
+        self.pairs.clear()
+
     def digest_words(self, texts: list[str]) -> list[tuple[str, int]]:
         """The decimal ids of each text joined by spaces, the end id last, and how many there are."""
         kept = self.words
+        holds_tables("pieces", self.clear)
         if len(kept) > KEPT_WORDS:
             kept.clear()
         split = [self.split(t) for t in texts]

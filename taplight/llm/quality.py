@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taplight.llm.common import small_batches, table, text_of
+from taplight.llm.common import holds_tables, small_batches, table, text_of
 from taplight.llm.words import mixed, words_of
 
 BUCKETS, WIDTH, NONZERO = 1 << 13, 32, 2
 SAMPLE, HIDDEN, EPOCHS, BATCH, RATE = 20_000, 32, 30, 128, 0.004
 FOLDS, THRESHOLD = 5, 0.3
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+#: Documents whose words a worker holds as arrays at once.
+HELD = 100
 
 _tokens: dict[str, int] = {}
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
@@ -67,6 +69,7 @@ def _code(word: str) -> int:
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letter and shape buckets of the words of several documents end to end, and each document's number of words."""
+    holds_tables("quality", _tokens.clear)
     if len(_tokens) > KEPT_WORDS:
         _tokens.clear()
     known = _tokens
@@ -99,9 +102,10 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     place, sign = index_vectors()
     sums = np.zeros(BUCKETS * WIDTH)
     for batch in batches:
-        for own, near in _around(*tokens(batch.column("text").to_pylist())):
-            for k in range(NONZERO):
-                sums += np.bincount(own * WIDTH + place[near, k], sign[near, k], BUCKETS * WIDTH)
+        for i in range(0, batch.num_rows, 4 * HELD):
+            for own, near in _around(*tokens(batch.column("text").slice(i, 4 * HELD).to_pylist())):
+                for k in range(NONZERO):
+                    sums += np.bincount(own * WIDTH + place[near, k], sign[near, k], BUCKETS * WIDTH)
     rows = sums.reshape(BUCKETS, WIDTH)
     some = np.flatnonzero(rows.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(rows[some, k]) for k in range(WIDTH))], ["bucket", *(f"v{k}" for k in range(WIDTH))])
@@ -121,6 +125,8 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """Mean letter and shape vectors and log length of each document."""
+    if len(texts) > HELD:
+        return np.concatenate([pooled(texts[i : i + HELD], vectors) for i in range(0, len(texts), HELD)])
     letters, shapes, sizes = tokens(texts)
     out = np.zeros((len(texts), 2 * WIDTH + 1))
     some = np.flatnonzero(sizes)

@@ -7,8 +7,10 @@ import re
 import numpy as np
 import xxhash
 
+from taplight.llm.common import holds_tables
+
 #: Words whose hash a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _hashes: dict[str, int] = {}
 
@@ -20,6 +22,7 @@ def words_of(text: str) -> list[str]:
 
 def word_hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes; those of common words are kept by the worker."""
+    holds_tables("words", _hashes.clear)
     if len(_hashes) > KEPT_WORDS:
         _hashes.clear()
     known = _hashes
