@@ -128,12 +128,14 @@ def test_language_model_learns(spark):
     r = random.Random(6)
     texts = [" ".join(w for _ in range(60) for w in r.choice((["a", "b", "c"], ["d", "e"]))) for _ in range(80)]
     docs = spark.createDataFrame([*enumerate(texts), (1000, None), (1001, "")], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in lm_scoring.score(docs, lm_scoring.fit(docs, rounds=3)).collect()}
+    ids = lm_scoring.tokenized(docs)
+    rows = {r["doc_id"]: r for r in lm_scoring.score(ids, lm_scoring.fit(ids, rounds=3)).collect()}
     assert rows[1000]["log_likelihood"] == 0 and rows[1001]["mean_log_likelihood"] is None
-    before = {r["doc_id"]: r for r in lm_scoring.score(docs, lm_scoring.fit(docs, rounds=0)).collect()}
+    before = {r["doc_id"]: r for r in lm_scoring.score(ids, lm_scoring.fit(ids, rounds=0)).collect()}
     mean = lambda found: np.mean([found[i]["mean_log_likelihood"] for i in range(80)])
     assert mean(rows) > mean(before) + 0.02
-    assert lm_scoring.score(docs.limit(0), lm_scoring.fit(docs.limit(0))).count() == 0
+    empty = lm_scoring.tokenized(docs.limit(0))
+    assert lm_scoring.score(empty, lm_scoring.fit(empty)).count() == 0
 
 
 def test_network_gradient():
