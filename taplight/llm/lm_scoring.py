@@ -1,14 +1,16 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from the words on both its sides.
 
 A token is a word, hashed to one of BUCKETS; the corpus counts of all buckets, gathered over all documents, rank them.
-The most frequent are classes of their own, the others share CLASSES in all.  The network reads the classes of the two
-words before and the two after, through a table per place, a tanh layer and a softmax over classes; a word's
-probability is its class's times its share of the class's count.  The sum of the conditional log-probabilities of all
-tokens of a document, each given both sides, is its pseudo-log-likelihood.
+The most frequent are classes of their own, the others share CLASSES in all: stretches of the frequency order that
+hold about equal shares of the tokens.  The network reads the classes of the two words before and the two after,
+through a table per place, a tanh layer and a softmax over classes; within a class a binary tree of logistic units on
+the same hidden layer leads to the word, so that every word's probability depends on both sides.  The sum of the
+conditional log-probabilities of all tokens of a document, each given both sides, is its pseudo-log-likelihood.
 
-Training is data-parallel: in each round every task trains a copy, in numpy, on one of STRIDE positions of its
-documents, all documents included; Spark sums the copies, weighted by their positions, and the mean starts the next
-round.  What is gathered -- counts and weights of every task -- grows with the input; what any worker holds does not.
+Training is data-parallel: in each round every task trains a copy, in numpy, on every position of its documents;
+Spark sums the copies, weighted by their positions (a tree's unit by how often the copy passed it), and the mean starts
+the next round.  What is gathered -- counts and weights of every task -- grows with the input; what any worker holds
+does not.
 
 Defined results: null and empty texts have no tokens, log-likelihood 0 and a null mean; repeated rows have equal scores;
 in an empty table nothing is trained and nothing returned.  Texts are read whole.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,9 @@ from taplight.llm.words import words_of
 BUCKETS = 1 << 16
 CLASSES, OWN = 128, 96
 SIDE, HIDDEN = 2, 32
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 256, 0.003
+ROUNDS, BATCH, RATE, UNIT_RATE = 1, 256, 0.003, 0.03
+#: The deepest tree that a class can have.
+DEPTH = (BUCKETS - OWN - 1).bit_length()
 #: Positions that are scored at once: their logits stay in a core's cache.
 SCORED = 4096
 KEPT_WORDS = 400_000
@@ -56,15 +61,46 @@ def bucket_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """Classes of buckets and the log-share that a bucket has of its class."""
+    """Classes of buckets, and the units from a class's root to each of its buckets.
+
+    A class's buckets stand in frequency order; a unit halves a stretch of them and has the number of the place where
+    it does, which no other unit has.  ``units`` has -1 where a bucket passes no unit of that depth.
+    """
 
     def __init__(self, counts: np.ndarray) -> None:
         order = np.argsort(-counts, kind="stable")
-        self.of = OWN + np.arange(BUCKETS) % (CLASSES - OWN)
-        self.of[order[:OWN]] = np.arange(OWN)
         smooth = counts + 1.0
-        self.log_share = np.log(smooth / np.bincount(self.of, smooth, CLASSES)[self.of]).astype(np.float32)
-        self.log_class = np.log(np.bincount(self.of, smooth, CLASSES) / smooth.sum()).astype(np.float32)
+        mass = np.cumsum(smooth[order[OWN:]])
+        tail = np.minimum((mass - smooth[order[OWN:]] / 2) * ((CLASSES - OWN) / mass[-1]), CLASSES - OWN - 1).astype(np.int64)
+        self.of = np.empty(BUCKETS, np.int64)
+        self.of[order] = np.concatenate((np.arange(OWN), OWN + tail))
+        self.log_class = np.log(np.maximum(np.bincount(self.of, smooth, CLASSES) / smooth.sum(), 1e-12)).astype(np.float32)
+        self.units, self.right = np.full((BUCKETS, DEPTH), -1, np.int32), np.zeros((BUCKETS, DEPTH), bool)
+        self.log_odds = np.zeros(BUCKETS, np.float32)
+        for start, size in zip(*np.unique(np.searchsorted(tail, tail), return_counts=True), strict=True):
+            some = order[OWN + start : OWN + start + size]
+            before = np.concatenate(([0], np.cumsum(smooth[some])))
+            at, levels = np.arange(size), int(size - 1).bit_length()
+            for d in range(levels):
+                low = at >> (levels - d) << (levels - d)
+                middle = low + (1 << (levels - d - 1))
+                halved = np.flatnonzero(middle < size)
+                low, middle = low[halved], middle[halved]
+                high = np.minimum(low + (1 << (levels - d)), size)
+                self.units[some[halved], d] = start + middle
+                self.right[some[halved], d] = at[halved] >= middle
+                self.log_odds[start + middle] = np.log((before[high] - before[middle]) / (before[middle] - before[low]))
+
+    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The units that tokens pass, in order of tokens: the token's place, the unit, whether it goes right."""
+        units = self.units[ids]
+        token, depth = np.nonzero(units >= 0)
+        return token, units[token, depth], self.right[ids[token], depth]
+
+
+def initial_units(vocabulary: Vocabulary) -> np.ndarray:
+    """HIDDEN weights of zero for each unit, and the log-odds of its halves as its bias."""
+    return np.column_stack((np.zeros((BUCKETS, HIDDEN), np.float32), vocabulary.log_odds))
 
 
 def initial(vocabulary: Vocabulary, seed: int = 11) -> np.ndarray:
@@ -110,31 +146,55 @@ def _forward(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hidden, logits
 
 
-def log_probabilities(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probability of each target class."""
+def _unit_logits(hidden: np.ndarray, units: np.ndarray, token: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logit of going right for each (token, unit), with the hidden layers and the units' weights that gave it."""
+    inputs, weights = hidden.take(token, axis=0), units.take(unit, axis=0)
+    logits = np.einsum("ij,ij->i", inputs, weights[:, :HIDDEN])
+    logits += weights[:, HIDDEN]
+    return logits, inputs, weights
+
+
+def log_probabilities(weights: np.ndarray, rows: np.ndarray, target: np.ndarray, units: np.ndarray | None = None, vocabulary: Vocabulary | None = None, ids: np.ndarray | None = None) -> np.ndarray:
+    """Log-probability of each target class; with ``units``, of each bucket of ``ids``."""
     out = np.empty(len(target), np.float32)
     _, _, output, output_bias = _parts(weights)
     # A tanh unit is in [-1, 1], so no logit can pass this; where exp can't overflow, the greatest isn't taken off.
     bounded = float((np.abs(output).sum(axis=1) + np.abs(output_bias)).max()) < 60
     for i in range(0, len(target), SCORED):
         some = slice(i, i + SCORED)
-        _, logits = _forward(weights, rows[:, some])
+        hidden, logits = _forward(weights, rows[:, some])
         if not bounded:
             logits -= logits.max(axis=1, keepdims=True)
         picked = logits[np.arange(len(logits)), target[some]]
         np.exp(logits, out=logits)
         out[some] = picked - np.log(logits.sum(axis=1))
+        if units is not None:
+            token, unit, right = vocabulary.paths(ids[some])
+            z = _unit_logits(hidden, units, token, unit)[0]
+            np.negative(z, out=z, where=right)
+            out[some] -= np.bincount(token, np.logaddexp(0, z), len(hidden)).astype(np.float32)
     return out
 
 
+def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of ``at`` in order and the sum of each one's rows."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at[first], np.add.reduceat(values[order], first, axis=0)
+
+
 class Trainer:
-    """Adam on the class's cross-entropy."""
+    """Adam on the class's cross-entropy; Adagrad on that of the units, of which a step passes few."""
 
-    def __init__(self, weights: np.ndarray) -> None:
+    def __init__(self, weights: np.ndarray, units: np.ndarray | None = None, vocabulary: Vocabulary | None = None) -> None:
         self.weights = weights.copy()
         self.first, self.second, self.step = np.zeros_like(weights), np.zeros_like(weights), 0
+        self.vocabulary = vocabulary
+        if units is not None:
+            self.units, self.squares, self.passed = units.copy(), np.zeros_like(units), np.zeros(len(units), np.int64)
 
-    def learn(self, rows: np.ndarray, target: np.ndarray) -> None:
+    def learn(self, rows: np.ndarray, target: np.ndarray, ids: np.ndarray | None = None) -> None:
         hidden, logits = _forward(self.weights, rows)
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
@@ -142,10 +202,13 @@ class Trainer:
         logits[np.arange(len(target)), target] -= 1
         logits /= len(target)
         _, _, output, _ = _parts(self.weights)
-        back = (logits @ output) * (1 - hidden * hidden)
+        back = logits @ output
+        if ids is not None:
+            self._learn_units(hidden, back, ids)
+        back *= 1 - hidden * hidden
         grad = np.zeros_like(self.weights)
-        for i in range(len(PLACES)):
-            np.add.at(grad, rows[i], back)
+        at, sums = _summed(rows.reshape(-1), np.tile(back, (len(PLACES), 1)))
+        grad[at] = sums
         grad[_TABLES] = back.sum(axis=0)
         grad[_TABLES + 1 : _TABLES + 1 + CLASSES] = logits.T @ hidden
         grad[_TABLES + 1 + CLASSES :] = logits.sum(axis=0).reshape(-1, HIDDEN)
@@ -154,6 +217,21 @@ class Trainer:
         self.second += 0.001 * (grad * grad - self.second)
         self.weights -= RATE * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.999**self.step)) + 1e-8)
 
+    def _learn_units(self, hidden: np.ndarray, back: np.ndarray, ids: np.ndarray) -> None:
+        """A step of the units that the tokens pass; what they hand back to the hidden layer is added to ``back``."""
+        token, unit, right = self.vocabulary.paths(ids)
+        if not len(token):
+            return
+        z, inputs, weights = _unit_logits(hidden, self.units, token, unit)
+        wrong = ((1 / (1 + np.exp(-z)) - right) / np.float32(len(ids))).astype(np.float32)[:, None]
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        back[token[first]] += np.add.reduceat(weights[:, :HIDDEN] * wrong, first, axis=0)
+        at, grad = _summed(unit, np.concatenate((inputs * wrong, wrong), axis=1))
+        np.add.at(self.passed, unit, 1)
+        squares = self.squares[at] + grad * grad
+        self.squares[at] = squares
+        self.units[at] -= UNIT_RATE * grad / (np.sqrt(squares) + 1e-8)
+
 
 IDS = "doc_id long, ids array<int>"
 
@@ -194,63 +272,75 @@ def corpus_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def train_round(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, number: int) -> np.ndarray:
-    """The mean of the copies that all tasks train from ``weights``, weighted by their positions."""
-    names = [f"w{k}" for k in range(HIDDEN)]
+class Model(NamedTuple):
+    vocabulary: Vocabulary
+    weights: np.ndarray
+    units: np.ndarray
+
+
+def train_round(rows: DataFrame, model: Model) -> Model:
+    """The mean of the copies that all tasks train from ``model``, weighted by the positions that each row of weights saw."""
+    names = [f"w{k}" for k in range(HIDDEN + 1)]
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, held, seen = Trainer(weights), [], 0
+        vocabulary, weights, units = shared.value
+        trainer, held, seen = Trainer(weights, units, vocabulary), [], 0
         for batch in batches:
             ids, sizes = _ids(batch)
-            classes = vocabulary.of[ids]
-            # Another position of each stretch of STRIDE in each round; a short document's middle is never left out.
-            first = np.cumsum(sizes) - sizes
-            offset = np.repeat((first + (number * 7) % np.maximum(1, np.minimum(sizes, STRIDE))), sizes)
-            some = np.flatnonzero((np.arange(len(ids)) - offset) % STRIDE == 0)
-            held.append((contexts(classes, sizes, some), classes[some]))
-            while sum(len(t) for _, t in held) >= BATCH:
+            held.append((contexts(vocabulary.of[ids], sizes), ids))
+            if sum(len(t) for _, t in held) >= BATCH:
                 x, y = np.concatenate([a for a, _ in held], axis=1), np.concatenate([b for _, b in held])
                 full = len(y) // BATCH * BATCH
                 for i in range(0, full, BATCH):
-                    trainer.learn(x[:, i : i + BATCH], y[i : i + BATCH])
+                    some = slice(i, i + BATCH)
+                    trainer.learn(x[:, some], vocabulary.of[y[some]], y[some])
                 held = [(x[:, full:], y[full:])]
                 seen += full
         if sum(len(t) for _, t in held):
             x, y = np.concatenate([a for a, _ in held], axis=1), np.concatenate([b for _, b in held])
-            trainer.learn(x, y)
+            trainer.learn(x, vocabulary.of[y], y)
             seen += len(y)
         if seen:
-            scaled = trainer.weights.astype(np.float64) * seen
-            cols = [pa.array(range(ROWS), pa.int32()), pa.array([seen] * ROWS, pa.int64()), *(pa.array(scaled[:, k]) for k in range(HIDDEN))]
+            some = np.flatnonzero(trainer.passed)
+            at = np.concatenate((np.arange(ROWS), ROWS + some))
+            n = np.concatenate((np.full(ROWS, seen), trainer.passed[some]))
+            scaled = np.concatenate((np.pad(trainer.weights, ((0, 0), (0, 1))), trainer.units[some])).astype(np.float64) * n[:, None]
+            cols = [pa.array(at, pa.int32()), pa.array(n, pa.int64()), *(pa.array(scaled[:, k]) for k in range(HIDDEN + 1))]
             yield pa.RecordBatch.from_arrays(cols, ["row", "seen", *names])
 
     copies = rows.select("ids").mapInArrow(learn, "row int, seen long, " + ", ".join(f"{n} double" for n in names))
-    found = copies.groupBy("row").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in names)).orderBy("row").toPandas()
-    if len(found) < ROWS:
-        return weights
-    return (found[names].to_numpy(float) / found[["seen"]].to_numpy(float)).astype(np.float32)
-
-
-def fit(rows: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
-    """A model of ``tokenized`` documents."""
+    found = copies.groupBy("row").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in names)).toArrow()
+    shared.unpersist()
+    at, seen = found["row"].to_numpy(), found["seen"].to_numpy()
+    means = np.column_stack([found[n].to_numpy() / seen for n in names]).astype(np.float32)
+    weights, units, top = model.weights.copy(), model.units.copy(), at < ROWS
+    weights[at[top]] = means[top, :HIDDEN]
+    units[at[~top] - ROWS] = means[~top]
+    return Model(model.vocabulary, weights, units)
+
+
+def fit(rows: DataFrame, rounds: int = ROUNDS) -> Model:
+    """A model of ``tokenized`` documents, each round of which trains on every position."""
     small_batches(rows.sparkSession)
     vocabulary = Vocabulary(corpus_counts(rows))
-    weights = initial(vocabulary)
-    for number in range(rounds):
-        weights = train_round(rows, vocabulary, weights, number)
-    return vocabulary, weights
+    model = Model(vocabulary, initial(vocabulary), initial_units(vocabulary))
+    for _ in range(rounds):
+        model = train_round(rows, model)
+    return model
 
 
-def score(rows: DataFrame, model: tuple[Vocabulary, np.ndarray]) -> DataFrame:
+def score(rows: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every ``tokenized`` document."""
     small_batches(rows.sparkSession)
-    vocabulary, weights = model
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, weights, units = shared.value
         for batch in batches:
             ids, sizes = _ids(batch)
             classes = vocabulary.of[ids]
-            each = log_probabilities(weights, contexts(classes, sizes), classes) + vocabulary.log_share[ids]
+            each = log_probabilities(weights, contexts(classes, sizes), classes, units, vocabulary, ids)
             sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes))
             means = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(sums), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])

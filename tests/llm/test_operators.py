@@ -149,3 +149,32 @@ def test_network_gradient():
         t.learn(x, classes)
     assert lm_scoring.log_probabilities(t.weights, x, classes).mean() > before + 0.5
     assert x[0, 0] == lm_scoring.CLASSES and x[3, 0] == 7 + 3 * (lm_scoring.CLASSES + 1)
+
+
+def test_tail_probabilities_sum_to_one():
+    r = np.random.default_rng(1)
+    v = lm_scoring.Vocabulary((1e6 / (1 + np.arange(lm_scoring.BUCKETS))).astype(int))
+    ids = np.arange(lm_scoring.BUCKETS)
+    units = lm_scoring.initial_units(v) + r.normal(0, 0.3, (lm_scoring.BUCKETS, lm_scoring.HIDDEN + 1)).astype(np.float32)
+    same = np.repeat(lm_scoring.contexts(np.array([3, 7, 9, 100, 4]), np.array([5]))[:, 2:3], len(ids), axis=1)
+    each = lm_scoring.log_probabilities(lm_scoring.initial(v), same, v.of[ids], units, v, ids)
+    assert abs(np.exp(each.astype(float)).sum() - 1) < 1e-3
+
+
+def test_language_model_learns_tail_words_at_every_position(spark):
+    # A rare word's neighbours tell which it is; it stands where a stride of 16 with offsets 0 and 7 never looks.
+    r = random.Random(7)
+    common = [f"c{i}" for i in range(lm_scoring.OWN)]
+    texts = []
+    for k in range(1500):
+        words = [r.choice(common) for _ in range(16)]
+        words[2] = words[4] = "left" if k % 2 else "right"
+        words[3] = f"{'l' if k % 2 else 'r'}{k % 40 // 2}"
+        texts.append(" ".join(words))
+    ids = lm_scoring.tokenized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    model = lm_scoring.fit(ids, rounds=6)
+    probe = [(0, "c1 c2 left l3 left c5"), (1, "c1 c2 right l3 right c5"), (2, "c1 c2 right r3 right c5"), (3, "c1 c2 left r3 left c5")]
+    table = lm_scoring.tokenized(spark.createDataFrame(probe, "doc_id long, text string"))
+    got = {x["doc_id"]: x["log_likelihood"] for x in lm_scoring.score(table, model).collect()}
+    # Both swaps together leave what the frames and the words cost by themselves.
+    assert got[0] + got[2] > got[1] + got[3] + 1
