@@ -7,6 +7,9 @@ Where few grams of an item are rare, its rarest half are seeds.  Documents are j
 passage where the item would stand, passages that overlap are merged, and local alignment over words (match 2, other
 word -1, gap -1) scores each.  The score is a fraction of what a whole copy would score.
 
+Counts, seeds and alignment compare words in a normal form (NFKC, case folded, outer punctuation stripped; a word of
+punctuation alone stays), while ``start`` and ``stop`` count the document's own words.
+
 Defined results: null texts are empty; empty documents and items match nothing; an item of fewer words than a seed is
 its own seed; rows of equal identifier are one document; of several passages that align with one item the best (the first
 of equal ones) counts; null identifiers are kept.  Texts are read whole.
@@ -14,6 +17,7 @@ of equal ones) counts; null identifiers are kept.  Texts are read whole.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taplight.llm.common import id_and_text, shared_dir, small_batches, table, text_of, written
+from taplight.llm.common import holds_tables, id_and_text, shared_dir, small_batches, table, text_of, written
 from taplight.llm.words import mixed, words_of
 
 SEED_WORDS, RARE_BITS = 3, 24.0
@@ -34,6 +38,49 @@ LEAK = 0.5
 MATCH, OTHER, GAP = 2, -1, -1
 #: Benchmark text that one pass puts to the documents.
 BLOCK_BYTES = 16 << 20
+#: Words whose normal form a worker keeps.
+KEPT_WORDS = 300_000
+_normal: dict[str, str] = {}
+#: Those of them whose normal form is several words.
+_parted: set[str] = set()
+
+
+def normal_form(word: str) -> str:
+    """The word as it is compared; where NFKC makes a space of a character, several words with a space between."""
+    parts = []
+    for part in unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", word).casefold()).split():
+        a, b = 0, len(part)
+        while a < b and unicodedata.category(part[a]) in _OUTER:
+            a += 1
+        while a < b and unicodedata.category(part[b - 1]) in _OUTER:
+            b -= 1
+        parts.append(part[a:b] or part)
+    return " ".join(parts) or word
+
+
+_OUTER = frozenset(("Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sk"))
+
+
+def _forget() -> None:
+    _normal.clear()
+    _parted.clear()
+
+
+def normal_words(text: str) -> tuple[list[str], list[int] | None]:
+    """Normal words of a text, and for each the place of the own word it comes from; none where they are the same."""
+    holds_tables("benchmark", _forget)
+    if len(_normal) > KEPT_WORDS:
+        _forget()
+    words = words_of(text)
+    for w in set(words).difference(_normal):
+        _normal[w] = form = normal_form(w)
+        if " " in form:
+            _parted.add(w)
+    forms = list(map(_normal.__getitem__, words))
+    if _parted.isdisjoint(words):
+        return forms, None
+    parts = [f.split(" ") for f in forms]
+    return [p for some in parts for p in some], [i for i, some in enumerate(parts) for _ in some]
 
 
 class Seeds(NamedTuple):
@@ -144,7 +191,7 @@ def word_counts(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int]
         counts: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                words = words_of(text)
+                words = normal_words(text)[0]
                 counts[total] += len(words)
                 counts.update(w for w in words if w in wanted)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -174,7 +221,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = id_and_text(docs, id_col, text_col)
     out = spark.createDataFrame([], LEAKS)
     for block in _blocks(benchmark, item_col, item_text_col):
-        items = [words_of(t) for _, t in block]
+        items = [normal_words(t)[0] for _, t in block]
         counts, total = word_counts(rows, {w for words in items for w in words})
         seeds = spark.sparkContext.broadcast(make_seeds(items, counts, total))
         queries = spark.sparkContext.broadcast([(i, w) for (i, _), w in zip(block, items, strict=True)])
@@ -183,24 +230,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             for batch in batches:
                 found = []
                 for n, text in enumerate(batch.column("text").to_pylist()):
-                    words = words_of(text)
-                    found += [(n, item, a, " ".join(words[a:b])) for item, a, b in passages(words, seeds.value)] if len(seeds.value.keys) else []
-                cols = list(zip(*found, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["doc_id", "item", "first", "passage"])
+                    words, at = normal_words(text)
+                    found += [(n, item, a, " ".join(words[a:b]), at and at[a:b]) for item, a, b in passages(words, seeds.value)] if len(seeds.value.keys) else []
+                cols = list(zip(*found, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.int64()))], ["doc_id", "item", "first", "passage", "at"])
 
         def score(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
-                for doc_id, item, first, passage in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item", "first", "passage")), strict=True):
+                for doc_id, item, first, passage, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item", "first", "passage", "at")), strict=True):
                     item_id, words = queries.value[item]
                     points, a, b = align(passage.split(" "), words)
                     share = points / (MATCH * len(words))
                     if share >= LEAK:
-                        found.append((doc_id, item_id, share, first + a, first + b))
+                        found.append((doc_id, item_id, share, at[a] if at else first + a, at[b - 1] + 1 if at else first + b))
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["doc_id", "item_id", "score", "start", "stop"])
 
-        proposed = rows.mapInArrow(propose, "doc_id long, item int, first long, passage string")
+        proposed = rows.mapInArrow(propose, "doc_id long, item int, first long, passage string, at array<long>")
         scored = proposed.mapInArrow(score, LEAKS)
         best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("early"), "stop")).alias("top"))
         out = out.union(best.select("doc_id", "item_id", "top.score", (-F.col("top.early")).alias("start"), "top.stop"))

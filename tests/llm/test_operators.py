@@ -178,3 +178,21 @@ def test_language_model_learns_tail_words_at_every_position(spark):
     got = {x["doc_id"]: x["log_likelihood"] for x in lm_scoring.score(table, model).collect()}
     # Both swaps together leave what the frames and the words cost by themselves.
     assert got[0] + got[2] > got[1] + got[3] + 1
+
+
+def test_leaks_in_other_case_and_punctuation(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    item = [word() for _ in range(30)]
+    before, after = " ".join(word() for _ in range(10)), " ".join(word() for _ in range(10))
+    copies = {
+        1: " ".join(item).upper(),
+        2: " ".join(f'"{w},' if k % 2 else f"({w.title()}\u2026" for k, w in enumerate(item)),
+        3: "\u00a0".join(item[:5]) + " " + " ".join(item[5:]),
+        4: "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in " ".join(item)),
+    }
+    docs = [(i, f"{before} {t} {after}") for i, t in copies.items()] + [(9, f"{before} {after}")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item) + ".")], "item_id long, text string")
+    found = {x["doc_id"]: (x["score"], x["start"], x["stop"]) for x in decontaminate.leaks(table, bench).collect()}
+    assert found == {1: (1.0, 10, 40), 2: (1.0, 10, 40), 3: (1.0, 10, 36), 4: (1.0, 10, 40)}
