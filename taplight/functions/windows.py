@@ -2,17 +2,20 @@
 
 A row sees the rows of its key in (t - T, t], those of its own instant only up to itself in arrival order.  RANGE
 frames include both edges and treat equal order keys as peers, so rows are ordered by one number: the microseconds
-since the key's first row, shifted left, plus the arrival number within the instant.  The spare bit between lets a
-frame's lower bound fall after all rows of the instant t - T (left-open) or before them (closed).
+since the key's first row, doubled, and the arrival number within the instant as its decimals, of which there are more
+than an instant can have rows.  The odd numbers between instants let a frame's lower bound fall after all rows of the
+instant t - T (left-open) or before them (closed).
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Rows of one key and instant that can be told apart: 2 ** BITS; a key may then span 2 ** (62 - BITS) microseconds.
-BITS = 12
+#: Decimals of the order number: row_number, a 32-bit integer, ends long before 10 ** PLACES rows of a key and instant.
+PLACES = 15
 ORDER = "window__order"
 
 
@@ -21,13 +24,13 @@ def with_order(df: DataFrame, keys: list[str], ts_us: str = "ts_us", arrival: st
     by = Window.partitionBy(*keys)
     place = F.row_number().over(Window.partitionBy(*keys, ts_us).orderBy(arrival)) - 1
     since = F.col(ts_us) - F.min(ts_us).over(by)
-    return df.withColumn(ORDER, since * (1 << BITS + 1) + place)
+    number = (since * 2).cast("decimal(20,0)") + place.cast(f"decimal({PLACES},0)") * F.lit(Decimal(1).scaleb(-PLACES)).cast(f"decimal({PLACES},{PLACES})")
+    return df.withColumn(ORDER, number.cast(f"decimal(38,{PLACES})"))
 
 
 def within(keys: list[str], span_us: int, closed: bool = False) -> WindowSpec:
     """The window of ``span_us`` microseconds up to each row, over a frame that ``with_order`` prepared."""
-    lower = span_us * (1 << BITS + 1)
-    lower = lower + (1 << BITS) - 1 if closed else lower - (1 << BITS)
+    lower = span_us * 2 + (1 if closed else -1)
     return Window.partitionBy(*keys).orderBy(ORDER).rangeBetween(-lower, 0)
 
 

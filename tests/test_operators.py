@@ -22,6 +22,16 @@ def test_window_edges_and_ties(spark):
             assert got[i] == (len(near), len({b[3] for b in near}))
 
 
+def test_windows_tell_many_ties_apart(spark):
+    ties, span = 6000, 7 * 365 * 86_400_000_000
+    rows = [(i, "a", 0) for i in range(ties)] + [(ties + i, "a", 10) for i in range(6)] + [(ties + 6, "a", span)]
+    df = spark.createDataFrame(rows, "flow_id long, k string, ts_us long")
+    for closed in (False, True):
+        got = dict(win.with_order(df, ["k"]).select("flow_id", win.count(win.within(["k"], 10, closed))).collect())
+        assert all(got[i] == i + 1 for i in range(ties))
+        assert [got[ties + i] for i in range(7)] == [n + ties * closed for n in range(1, 7)] + [1]
+
+
 def test_cooldown_and_escalation(spark):
     r = random.Random(2)
     rows = [(i, r.choice(["a", "b", None]), i * r.randrange(1, 4), r.randrange(3)) for i in range(200)]
