@@ -11,7 +11,8 @@ so tasks may be lost and run again.
 Defined results: a null text is the empty text and has the end id alone; a null identifier sorts first; documents of
 equal identifier keep rows of their own, ordered by text.  Texts are encoded whole.  Words are encoded by the
 tokenizers library once and kept in a bounded table: text falls apart before a space between other characters and
-around white space just as the library's own splitting does.
+around white space just as the library's own splitting does.  A text that holds one of the tokenizer's added tokens
+goes to the library whole.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.kept: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         #: Bytes that each id stands for: a byte-level token has one character for each.
@@ -87,14 +89,15 @@ class IdEncoder:
         holds_tables("shards", kept.clear)
         if len(kept) > KEPT_WORDS:
             kept.clear()
-        split = [_CHUNK.findall(t) for t in texts]
+        whole = {n: np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for n, t in enumerate(texts) if self.added.search(t)}
+        split = [[] if n in whole else _CHUNK.findall(t) for n, t in enumerate(texts)]
         found: set[str] = set()
         for chunks in split:
             found.update(chunks)
         fresh = self._chunks(list(found.difference(kept)))
         kept.update(fresh)
         end = struct.pack("<I", end_id)
-        out = [b"".join(map(kept.__getitem__, chunks)) + end for chunks in split]
+        out = [(whole[n] if n in whole else b"".join(map(kept.__getitem__, chunks))) + end for n, chunks in enumerate(split)]
         for c in fresh:
             if len(c) > KEPT_LENGTH:
                 del kept[c]

@@ -50,6 +50,17 @@ def test_shard_ids_equal_the_library():
         assert list(np.frombuffer(ids, "<u4")) == library.encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_added_tokens_in_texts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(sst.default_tokenizer())
+    texts = ["x <|endoftext|> y", "<|endoftext|>", " <|endoftext|><|endoftext|>", "a<|endoftext|>b  <|endoftext|>\n", "plain <|endoftext | > text", "x  y"]
+    got = sst.IdEncoder(sst.default_tokenizer()).encode(texts, 2)
+    for text, ids in zip(texts, got, strict=True):
+        assert list(np.frombuffer(ids, "<u4")) == library.encode(text, add_special_tokens=False).ids + [2]
+    assert list(np.frombuffer(got[0], "<u4")) == [87, 220, 50256, 331, 2]
+
+
 @pytest.mark.parametrize("wide", [True, False])
 def test_shard_lookup(tmp_path, wide):
     r = random.Random(3)
