@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch carries to a Python worker, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
+#: Rows and bytes that one Arrow batch carries to a Python worker, whichever ends it first; one text alone may be longer.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary folder that becomes it."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset in local mode (tests), below a temporary folder that becomes it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="taplight-")
         spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext.setCheckpointDir(base)
@@ -38,6 +43,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that this session sends to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_of(column: str | Column) -> Column:
@@ -50,6 +56,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs[text_col]).alias("text"))
 
 
+def free_name(docs: DataFrame, stem: str) -> str:
+    """A column name that ``docs`` doesn't use, whatever its case."""
+    return stem + "_" * (1 + max([len(c) for c in docs.columns], default=0))
+
+
+def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """A text column as UTF-8, as it lies in the batch."""
+    values = batch.column(column)
+    return values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary()).to_pylist()
+
+
 _tables: dict[str, Callable[[], None]] = {}
 
 
@@ -57,11 +74,24 @@ def holds_tables(owner: str, clear: Callable[[], None]) -> None:
     """Called by what keeps tables in a worker process, before it uses them: the tables of all others are let go.
 
     Workers live on from stage to stage; without this a pipeline would keep every operator's tables in each of them.
+    What is let go is also given back to the system.
     """
-    if owner not in _tables or len(_tables) > 1:
-        for other in [o for o in _tables if o != owner]:
-            _tables.pop(other)()
-        _tables[owner] = clear
+    others = [o for o in _tables if o != owner]
+    for other in others:
+        _tables.pop(other)()
+    _tables[owner] = clear
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, where the C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taplight.llm.common import holds_tables, small_batches, table, text_of
-from taplight.llm.words import mixed, words_of
+from taplight.llm.common import bytes_of, holds_tables, small_batches, table, text_of
+from taplight.llm.words import mixed, split_words
 
 BUCKETS, WIDTH, NONZERO = 1 << 13, 32, 2
 SAMPLE, HIDDEN, EPOCHS, BATCH, RATE = 20_000, 32, 30, 128, 0.004
@@ -38,7 +38,7 @@ KEPT_WORDS = 300_000
 #: Documents whose words a worker holds as arrays at once.
 HELD = 100
 
-_tokens: dict[str, int] = {}
+_tokens: dict[bytes, int] = {}
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 
@@ -60,20 +60,21 @@ class _Letters(dict):
 _kinds, _letters = _Kinds(), _Letters()
 
 
-def _code(word: str) -> int:
+def _code(raw: bytes) -> int:
     """Buckets of a word's letters and of its shape, in one number."""
+    word = raw.decode("utf-8", "replace")
     letters = zlib.crc32(word.lower().translate(_letters).encode("utf-8", "surrogatepass")) % BUCKETS
     shape = zlib.crc32(b"\0" + _RUN.sub(r"\1", word.translate(_kinds)).encode("utf-8", "surrogatepass")) % BUCKETS
     return letters * BUCKETS + shape
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letter and shape buckets of the words of several documents end to end, and each document's number of words."""
     holds_tables("quality", _tokens.clear)
     if len(_tokens) > KEPT_WORDS:
         _tokens.clear()
     known = _tokens
-    split = [words_of(t) for t in texts]
+    split = [split_words(t) for t in texts]
     flat = [w for s in split for w in s]
     for w in set(flat).difference(known):
         known[w] = _code(w)
@@ -103,7 +104,7 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     sums = np.zeros(BUCKETS * WIDTH)
     for batch in batches:
         for i in range(0, batch.num_rows, 4 * HELD):
-            for own, near in _around(*tokens(batch.column("text").slice(i, 4 * HELD).to_pylist())):
+            for own, near in _around(*tokens(bytes_of(batch.slice(i, 4 * HELD)))):
                 for k in range(NONZERO):
                     sums += np.bincount(own * WIDTH + place[near, k], sign[near, k], BUCKETS * WIDTH)
     rows = sums.reshape(BUCKETS, WIDTH)
@@ -123,7 +124,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out.astype(np.float32)
 
 
-def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
+def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """Mean letter and shape vectors and log length of each document."""
     if len(texts) > HELD:
         return np.concatenate([pooled(texts[i : i + HELD], vectors) for i in range(0, len(texts), HELD)])
@@ -210,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pooled(batch.column("text").to_pylist(), vectors).astype(np.float32)
+            x = pooled(bytes_of(batch), vectors).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label__y"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
     rows = texts.select("doc_id", "label__y", "text").mapInArrow(features, "doc_id long, y double, x array<float>").toPandas()
@@ -229,7 +230,7 @@ def score_column(model: tuple[np.ndarray, Network], text: Column) -> Column:
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(net.probabilities(pooled(texts.tolist(), vectors)))
 
-    return scored(text_of(text))
+    return scored(text_of(text).cast("binary"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taplight.llm.common import id_and_text, shared_dir, small_batches, table, written
-from taplight.llm.words import mixed, word_hashes, words_of
+from taplight.llm.common import bytes_of, id_and_text, shared_dir, small_batches, table, written
+from taplight.llm.words import mixed, split_words, word_hashes, words_of
 
 LENGTH, GRAM = 35, 8
 #: Odd multipliers of the two polynomial hashes (any odd numbers do) and the seed of the second.
@@ -61,13 +61,13 @@ class Anchors(NamedTuple):
     low: np.ndarray
 
 
-def _joined(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of several documents end to end, and where each begins."""
     sizes = np.array([len(t) for t in texts], np.int64)
     return word_hashes([w for t in texts for w in t]), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def anchors(texts: list[list[str]]) -> Anchors:
+def anchors(texts: list[list[bytes]]) -> Anchors:
     """Anchors of several documents: each with the first window that it owns, how many, and a hash of their words."""
     hashes, starts = _joined(texts)
     n = len(hashes)
@@ -96,7 +96,7 @@ def anchors(texts: list[list[str]]) -> Anchors:
     return Anchors(of, grams[owner].view(np.int64), first - starts[of], count, mixed(one.of(first, count + LENGTH - 1) + place).view(np.int64), mixed(two.of(first, count + LENGTH - 1) + place).view(np.int64))
 
 
-def window_hashes(texts: list[list[str]], doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_hashes(texts: list[list[bytes]], doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each owned window: which of the given rows it is of, its start, and two hashes of its words."""
     hashes, starts = _joined(texts)
     row = np.repeat(np.arange(len(doc)), count)
@@ -118,7 +118,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a = anchors([words_of(t) for t in batch.column("text").to_pylist()])
+        a = anchors([split_words(t) for t in bytes_of(batch)])
         doc = pa.array(a.doc)
         cols = [batch.column("doc_id").take(doc), batch.column("rid").take(doc), *(pa.array(x, pa.int64()) for x in (a.anchor, a.high, a.low)), *(pa.array(x, pa.int32()) for x in (a.first, a.count))]
         yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in ANCHORS.split(", ")])
@@ -129,7 +129,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owned = batch.column("owned").to_pylist()
         doc = np.repeat(np.arange(len(owned)), [len(x) for x in owned])
         first, count, copies = (np.array([s[k] for x in owned for s in x], np.int64) for k in ("first", "count", "copies"))
-        row, start, high, low = window_hashes([words_of(t) for t in batch.column("text").to_pylist()], doc, first, count)
+        row, start, high, low = window_hashes([split_words(t) for t in bytes_of(batch)], doc, first, count)
         of = pa.array(doc[row])
         cols = [batch.column("doc_id").take(of), batch.column("rid").take(of), pa.array(start, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(copies[row], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in WINDOWS.split(", ")])
@@ -161,7 +161,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     return written(full.unionByName(single), f"{folder}/repeated")
 
 
-def _keep(words: list[str], runs) -> list[str]:
+def _keep(words: list[bytes], runs) -> list[bytes]:
     """Words that none of the runs of windows covers."""
     if runs is None or not len(runs):
         return words
@@ -181,9 +181,9 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_words = [words_of(t) for t in batch.column("text").to_pylist()]
+            all_words = [split_words(t) for t in bytes_of(batch)]
             kept = [_keep(w, r) for w, r in zip(all_words, batch.column("runs").to_pylist(), strict=True)]
-            cols = [batch.column("doc_id"), pa.array([len(w) for w in all_words], pa.int64()), pa.array([len(w) - len(k) for w, k in zip(all_words, kept, strict=True)], pa.int64()), pa.array([" ".join(k) for k in kept], pa.string())]
+            cols = [batch.column("doc_id"), pa.array([len(w) for w in all_words], pa.int64()), pa.array([len(w) - len(k) for w, k in zip(all_words, kept, strict=True)], pa.int64()), pa.array([b" ".join(k) for k in kept], pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept"])
 
     return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")

@@ -12,7 +12,7 @@ from taplight.llm.common import holds_tables
 #: Words whose hash a worker keeps.
 KEPT_WORDS = 300_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
-_hashes: dict[str, int] = {}
+_hashes: dict[bytes, int] = {}
 
 
 def words_of(text: str) -> list[str]:
@@ -20,14 +20,19 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def split_words(text: bytes) -> list[bytes]:
+    """``words_of`` a text in UTF-8: splitting bytes knows ASCII white space alone."""
+    return text.split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes; those of common words are kept by the worker."""
     holds_tables("words", _hashes.clear)
     if len(_hashes) > KEPT_WORDS:
         _hashes.clear()
     known = _hashes
     for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        known[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

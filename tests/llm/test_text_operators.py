@@ -84,7 +84,8 @@ def test_alignment_equals_full_matrix():
             for j in range(1, len(q) + 1):
                 h[i][j] = max(0, h[i - 1][j - 1] + (2 if p[i - 1] == q[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
                 best = max(best, h[i][j])
-        assert decontaminate.align(p, q)[0] == best
+        codes = {w: i for i, w in enumerate("abcd", 1)}
+        assert decontaminate.align(np.array([codes[w] for w in p], int), np.array([codes[w] for w in q]))[0] == best
 
 
 def test_leaks_whole_edited_and_clean(spark):
@@ -138,33 +139,78 @@ def test_language_model_learns(spark):
     assert lm_scoring.score(empty, lm_scoring.fit(empty)).count() == 0
 
 
-def test_network_gradient():
-    v = lm_scoring.Vocabulary(np.arange(lm_scoring.BUCKETS))
+def _vocabulary():
+    return lm_scoring.Vocabulary((1e6 / (1 + np.arange(lm_scoring.BUCKETS))).astype(int))
+
+
+def test_network_step_follows_the_gradient():
+    # Central differences of the loss over every kind of weight against one plain step of the tables' gradient.
+    v = _vocabulary()
+    r = np.random.default_rng(2)
     w = lm_scoring.initial(v)
-    classes, sizes = np.array([3, 5, 7, 9, 3, 5]), np.array([4, 2])
-    x = lm_scoring.contexts(classes, sizes)
-    before = lm_scoring.log_probabilities(w, x, classes).mean()
-    t = lm_scoring.Trainer(w)
+    ids, sizes = r.integers(0, 3000, 40), np.array([25, 0, 15])
+    x = lm_scoring.contexts(v.row[ids], sizes)
+    loss = lambda weights: -lm_scoring.log_probabilities(weights, x, v, ids).astype(float).sum() / len(ids)
+    t = lm_scoring.Trainer(w, v)
+    t.learn(x, ids)
+    for row in (int(x[0, 3]), int(x[3, 30]), lm_scoring.TABLES, lm_scoring.TABLES + 5, lm_scoring.TABLES + 1 + lm_scoring.CLASSES + 3, lm_scoring.TABLES + 1 + lm_scoring.OUT):
+        for k in (0, 7):
+            up, down = w.copy(), w.copy()
+            up[row, k] += 0.02
+            down[row, k] -= 0.02
+            slope = (loss(up) - loss(down)) / 0.04
+            if abs(slope) > 1e-4:
+                assert np.sign(slope) == -np.sign(t.weights[row, k] - w[row, k])
+    before = loss(w)
     for _ in range(30):
-        t.learn(x, classes)
-    assert lm_scoring.log_probabilities(t.weights, x, classes).mean() > before + 0.5
-    assert x[0, 0] == lm_scoring.CLASSES and x[3, 0] == 7 + 3 * (lm_scoring.CLASSES + 1)
+        t.learn(x, ids)
+    assert loss(t.weights) < before - 0.5
+
 
+def test_contexts_stop_at_the_ends_of_documents():
+    sizes = np.array([4, 0, 1, 2])
+    rows = np.arange(10, 17)
+    docs = np.split(rows, np.cumsum(sizes)[:-1])
+    want = [[d[i + k] if 0 <= i + k < len(d) else lm_scoring.EDGE for d in docs for i in range(len(d))] for k in lm_scoring.PLACES]
+    got = lm_scoring.contexts(rows, sizes) - np.arange(len(lm_scoring.PLACES))[:, None] * (lm_scoring.EDGE + 1)
+    assert got.tolist() == [list(map(int, w)) for w in want]
 
-def test_tail_probabilities_sum_to_one():
+
+def test_probabilities_sum_to_one_and_equal_a_plain_sum():
+    v = _vocabulary()
     r = np.random.default_rng(1)
-    v = lm_scoring.Vocabulary((1e6 / (1 + np.arange(lm_scoring.BUCKETS))).astype(int))
+    w = lm_scoring.initial(v)
+    w[lm_scoring.TABLES :] += r.normal(0, 0.2, w[lm_scoring.TABLES :].shape).astype(np.float32)
     ids = np.arange(lm_scoring.BUCKETS)
-    units = lm_scoring.initial_units(v) + r.normal(0, 0.3, (lm_scoring.BUCKETS, lm_scoring.HIDDEN + 1)).astype(np.float32)
-    same = np.repeat(lm_scoring.contexts(np.array([3, 7, 9, 100, 4]), np.array([5]))[:, 2:3], len(ids), axis=1)
-    each = lm_scoring.log_probabilities(lm_scoring.initial(v), same, v.of[ids], units, v, ids)
-    assert abs(np.exp(each.astype(float)).sum() - 1) < 1e-3
+    one = lm_scoring.contexts(v.row[[3, 70, 9000, 100, 4]], np.array([5]))[:, 2:3]
+    each = lm_scoring.log_probabilities(w, np.repeat(one, len(ids), axis=1), v, ids).astype(float)
+    assert abs(np.exp(each).sum() - 1) < 1e-3
+    tables, bias, classes, first, second, class_bias = (x.astype(float) for x in lm_scoring._parts(w))
+    hidden = np.tanh(tables[one[:, 0]].sum(axis=0) + bias)
+    log_softmax = lambda z: z - np.log(np.exp(z).sum())
+    for i in (0, 47, 48, 500, 60000):
+        want = log_softmax(classes @ hidden + class_bias)[v.of[i]]
+        if v.of[i] >= lm_scoring.OWN:
+            want += log_softmax(first @ hidden + v.log_one[v.of[i] - lm_scoring.OWN])[v.one[i]] + log_softmax(second @ hidden + v.log_two[v.first[i]])[v.two[i]] + v.share[i]
+        assert abs(each[i] - want) < 1e-3
+
+
+def test_scores_do_not_depend_on_tasks(spark):
+    texts = _corpus(120, 9)
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[7]), (None, "x y"), (None, None)], "doc_id long, text string")
+    found = []
+    for parts in (1, 5):
+        ids = lm_scoring.tokenized(docs.repartition(parts))
+        model = lm_scoring.fit(ids, rounds=0)
+        model = lm_scoring.train_round(ids, model, shard_tokens=2000)
+        found.append(sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], round(r["log_likelihood"], 2)) for r in lm_scoring.score(ids, model).collect()))
+    assert found[0] == found[1] and len(found[0]) == len(texts) + 3
 
 
 def test_language_model_learns_tail_words_at_every_position(spark):
     # A rare word's neighbours tell which it is; it stands where a stride of 16 with offsets 0 and 7 never looks.
     r = random.Random(7)
-    common = [f"c{i}" for i in range(lm_scoring.OWN)]
+    common = [f"c{i}" for i in range(96)]
     texts = []
     for k in range(1500):
         words = [r.choice(common) for _ in range(16)]
@@ -196,3 +242,61 @@ def test_leaks_in_other_case_and_punctuation(spark):
     bench = spark.createDataFrame([(0, " ".join(item) + ".")], "item_id long, text string")
     found = {x["doc_id"]: (x["score"], x["start"], x["stop"]) for x in decontaminate.leaks(table, bench).collect()}
     assert found == {1: (1.0, 10, 40), 2: (1.0, 10, 40), 3: (1.0, 10, 36), 4: (1.0, 10, 40)}
+
+
+def test_near_duplicates_that_differ_in_how_often_a_line_occurs(spark):
+    r = random.Random(11)
+    texts = {}
+    for k in range(40):
+        body = " ".join(f"b{k}_{r.randrange(10**6)}" for _ in range(60))
+        line = " ".join(f"l{k}_{i}" for i in range(40))
+        texts[2 * k], texts[2 * k + 1] = f"{body} {line}", " ".join([body, *[line] * r.choice((5, 50, 400))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert dict(near_dedup.classes(docs).collect()) == near_dedup.brute_force(texts)
+
+
+def test_blocks_give_a_spanning_forest():
+    import pyarrow as pa
+
+    sets = [list(range(100))] * 30 + [list(range(200, 300))] * 20 + [list(range(1000 + i * 100, 1100 + i * 100)) for i in range(10)]
+    group = pa.table({"node": pa.array(range(60), pa.int64()), "label": pa.array(range(60), pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int32()))})
+    links = near_dedup._links_within(group).to_pydict()
+    assert len(links["a"]) == 29 + 19 and all(a > b for a, b in zip(links["a"], links["b"], strict=True))
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, 5, 6), (1, text, 5, 6), (2, text, 7, 8), (3, None, None, None), (None, text, 1, 1)], "doc_id long, text string, kept__id long, leaked__id long")
+    assert sorted(r["doc_id"] or 0 for r in near_dedup.keep_first(docs).collect()) == [0, 1, 3]
+    bench = spark.createDataFrame([(9, text)], "item_id long, text string")
+    left = decontaminate.drop_leaked(docs, bench)
+    assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [3]
+    twice = spark.createDataFrame([(9, text), (10, text.upper())], "item_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.leaks(docs, twice).collect()) == [(0, 9), (0, 10), (1, 9), (1, 10), (2, 9), (2, 10)]
+
+
+def test_leaks_equal_alignment_of_all_pairs(spark):
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = {i: [r.choice(vocabulary) for _ in range(r.randint(12, 40))] for i in range(25)}
+    docs = {}
+    for d in range(80):
+        words = [r.choice(vocabulary) for _ in range(r.randint(0, 150))]
+        if d % 2:
+            copy = list(items[r.randrange(25)])
+            for _ in range(r.randint(0, len(copy) // 5)):
+                edit, k = r.randrange(3), r.randrange(len(copy))
+                copy[k : k + (edit < 2)] = [] if edit == 0 else [r.choice(vocabulary)]
+            words[len(words) // 2 : len(words) // 2] = copy
+        docs[d] = words
+    codes = {w: i for i, w in enumerate(vocabulary, 1)}
+    want = set()
+    for d, words in docs.items():
+        for i, item in items.items():
+            points = decontaminate.align(np.array([codes[w] for w in words], int), np.array([codes[w] for w in item]))[0] if words else 0
+            if points >= decontaminate.LEAK * decontaminate.MATCH * len(item):
+                want.add((d, i, points))
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"], round(x["score"] * decontaminate.MATCH * len(items[x["item_id"]]))) for x in decontaminate.leaks(table, bench).collect()}
+    assert got == want and len(want) >= 40
