@@ -4,6 +4,8 @@ A document is its set of 5-word shingles, each weighted by 1 + ln(times it occur
 Poisson process, at a rate of its weight, to the registers of a sketch; a register keeps its first arrival, and a
 shingle stops once its next arrival comes after every register's.  Two sketches agree in a register with the
 probability Jaccard similarity of the weighted sets, which for weights that are all equal is the Jaccard similarity.
+A document that repeats a shingle has a second sketch with all weights 1, so that it also meets a document that differs
+from it in how often a line occurs.
 
 Bands of registers give buckets.  A bucket's members are linked to its hub, never all to all; the hub is the member that
 meets most others in all its buckets, so that copies of one text, each edited elsewhere, find that text.  What is still
@@ -25,25 +27,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taplight.llm.common import id_and_text, shared_dir, small_batches, table, written
-from taplight.llm.words import mixed, word_hashes, words_of
+from taplight.llm.common import bytes_of, free_name, id_and_text, shared_dir, small_batches, table, written
+from taplight.llm.words import mixed, split_words, word_hashes, words_of
 
 WORDS, SIMILAR = 5, (4, 5)
 ROWS, BANDS = 6, 36
 REGISTERS = ROWS * BANDS
 #: Members of a block; what a bucket's hubs leave apart is compared block by block, at most two blocks in a task's hands.
 BLOCK = 256
+#: Pairs of a hub that are verified together.
+SPLIT = 1000
 
 _ROUND = 0x9E3779B97F4A7C15
 _PLACE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every shingle of several documents, in order."""
-    split = [words_of(t) for t in texts]
+    split = [split_words(t) for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     hashes = word_hashes([w for s in split for w in s])
     n = len(hashes)
@@ -101,18 +105,27 @@ def bands(sketch: np.ndarray) -> np.ndarray:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, value, count = counted(*shingles(batch.column("text").to_pylist()))
-        keys = bands(sketches(doc, value, 1 + np.log(count), batch.num_rows))
-        offsets = np.zeros(batch.num_rows + 1, np.int32)
-        full = np.bincount(doc, minlength=batch.num_rows) > 0
-        np.cumsum(full * BANDS, out=offsets[1:])
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel()))
+        rows = batch.num_rows
+        doc, value, count = counted(*shingles(bytes_of(batch)))
+        keys = np.zeros((rows, 2, BANDS), np.int64)
+        keys[:, 0] = bands(sketches(doc, value, np.ones(len(doc)), rows))
+        # Where no shingle occurs twice, all weights are 1 and both sketches the same.
+        of = np.zeros((rows, 2), bool)
+        of[doc, 0] = True
+        of[doc[count > 1], 1] = True
+        some = of[doc, 1]
+        if some.any():
+            again = np.flatnonzero(of[:, 1])
+            keys[again, 1] = bands(sketches(np.searchsorted(again, doc[some]), value[some], 1 + np.log(count[some]), len(again)))
+        offsets = np.zeros(rows + 1, np.int32)
+        np.cumsum(of.sum(axis=1) * BANDS, out=offsets[1:])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[of].ravel()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("blob"), lists], ["doc_id", "blob", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, value = shingles(batch.column("text").to_pylist())
+        doc, value = shingles(bytes_of(batch))
         sets = [np.unique(v.astype(np.uint32)).view(np.int32) for v in np.split(value, np.searchsorted(doc, np.arange(1, batch.num_rows)))] if batch.num_rows else []
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
 
@@ -138,16 +151,25 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose shingle sets are similar enough."""
+    """Pairs (a, b) whose shingle sets are similar enough.
+
+    ``b`` is a hub; one of many pairs is dealt out over parts of SPLIT pairs, to each of which its set is sent once.
+    """
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumns({"i": F.size(F.array_intersect("x", "y")), "n": F.size("x") + F.size("y")})
+    parts = F.ceil(F.col("pairs") / SPLIT).cast("int")
+    hubs = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs"))
+    right = hubs.join(sets.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("shingles").alias("y"))
+    salted = pairs.select("a", "b").join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
+    both = salted.join(left, "a").join(right, ["b", "part"]).withColumns({"i": F.size(F.array_intersect("x", "y")), "n": F.size("x") + F.size("y")})
     most, of = SIMILAR
     return both.where(F.least(F.size("x"), F.size("y")) * of >= F.greatest(F.size("x"), F.size("y")) * most).where((F.col("i") * of >= (F.col("n") - F.col("i")) * most) & (F.col("i") > 0)).select("a", "b").distinct()
 
 
 def _links_within(group: pa.Table) -> pa.Table:
-    """Similar pairs of a block or two of different components, from exact intersections of all their sets."""
+    """Links that join the components of a block or two which hold similar texts, from exact intersections of all sets.
+
+    They are a spanning forest of the components, whatever the number of similar pairs.
+    """
     node, label = group.column("node").to_numpy(), group.column("label").to_numpy()
     lists = group.column("shingles").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
@@ -165,7 +187,21 @@ def _links_within(group: pa.Table) -> pa.Table:
     most, of = SIMILAR
     similar = (both * of >= (sizes[:, None] + sizes[None, :] - both) * most) & (both > 0) & (label[:, None] < label[None, :])
     i, j = np.nonzero(similar)
-    return pa.table({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])})
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = root[x]
+        return x
+
+    links = []
+    for a, b in np.unique(np.column_stack((label[i], label[j])), axis=0).tolist():
+        low, high = sorted((find(a), find(b)))
+        if low < high:
+            root[high] = low
+            links.append((high, low))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,7 +229,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same_id = copies.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
 
     # Buckets of two or more texts, and their hubs.
-    keyed = copies.where("size(bands) > 0").select("node", F.explode("bands").alias("key"))
+    keyed = copies.where("size(bands) > 0").select("node", F.explode(F.array_distinct("bands")).alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "members"), f"{folder}/shared")
     met = written(keyed.join(shared, "key"), f"{folder}/met")
     weight = written(met.groupBy("node").agg(F.sum("members").alias("weight")), f"{folder}/weight")
@@ -231,10 +267,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, the least identifier; all columns stay, null identifiers too."""
-    found = classes(docs, id_col, text_col).where("doc_id = class_id").select(F.col("class_id").alias("kept__id")).distinct()
-    kept = docs.join(found, docs[id_col].cast("long") == F.col("kept__id"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    """``docs`` with one document of each class, the least identifier; all columns stay, null identifiers too.
+
+    Of several rows of that identifier the one whose text sorts first stays.
+    """
+    name, rank = free_name(docs, "kept"), free_name(docs, "rank")
+    found = classes(docs, id_col, text_col).where("doc_id = class_id").select(F.col("class_id").alias(name)).distinct()
+    kept = docs.join(found, docs[id_col].cast("long") == F.col(name), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
+    one = kept.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*docs.columns)
+    return one.unionByName(docs.where(docs[id_col].isNull()))
 
 
 def brute_force(texts: dict[int, str]) -> dict[int, int]:
