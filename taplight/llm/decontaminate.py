@@ -20,7 +20,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
 from math import ceil, log2
 from typing import NamedTuple
 
@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taplight.llm.common import holds_tables, id_and_text, shared_dir, small_batches, table, text_of, written
-from taplight.llm.words import mixed, words_of
+from taplight.llm.common import bytes_of, free_name, holds_tables, id_and_text, shared_dir, small_batches, table, text_of, written
+from taplight.llm.words import mixed, split_words, words_of
 
 SEED_WORDS, RARE_BITS = 3, 24.0
 #: Share of a whole copy's alignment score from which a passage counts as a leak.
@@ -38,12 +38,8 @@ LEAK = 0.5
 MATCH, OTHER, GAP = 2, -1, -1
 #: Benchmark text that one pass puts to the documents.
 BLOCK_BYTES = 16 << 20
-#: Words whose normal form a worker keeps.
+#: Words whose codes a worker keeps.
 KEPT_WORDS = 300_000
-_normal: dict[str, str] = {}
-#: Those of them whose normal form is several words.
-_parted: set[str] = set()
-
 
 def normal_form(word: str) -> str:
     """The word as it is compared; where NFKC makes a space of a character, several words with a space between."""
@@ -59,40 +55,75 @@ def normal_form(word: str) -> str:
 
 
 _OUTER = frozenset(("Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sk"))
-
-
-def _forget() -> None:
-    _normal.clear()
-    _parted.clear()
-
-
-def normal_words(text: str) -> tuple[list[str], list[int] | None]:
-    """Normal words of a text, and for each the place of the own word it comes from; none where they are the same."""
-    holds_tables("benchmark", _forget)
-    if len(_normal) > KEPT_WORDS:
-        _forget()
-    words = words_of(text)
-    for w in set(words).difference(_normal):
-        _normal[w] = form = normal_form(w)
-        if " " in form:
-            _parted.add(w)
-    forms = list(map(_normal.__getitem__, words))
-    if _parted.isdisjoint(words):
-        return forms, None
-    parts = [f.split(" ") for f in forms]
-    return [p for some in parts for p in some], [i for i, some in enumerate(parts) for _ in some]
+_OUTER_ASCII = "".join(c for c in map(chr, range(33, 127)) if unicodedata.category(c) in _OUTER)
+
+
+def normal_forms(word: bytes) -> list[str]:
+    """The words that a word in UTF-8 is compared as; one for almost all."""
+    text = word.decode("utf-8", "replace")
+    if text.isascii() and text.isprintable():
+        return [(low := text.lower()).strip(_OUTER_ASCII) or low]
+    return normal_form(text).split(" ")
+
+
+def normal_words(text: str) -> list[str]:
+    """Normal words of a text."""
+    return [form for word in words_of(text) for form in normal_forms(word.encode("utf-8", "surrogatepass"))]
+
+
+class Coder:
+    """Codes of normal words, from 1; all others are 0.  Codes of own words are kept in a bounded table.
+
+    An own word that is several normal ones has a negative number there, which stands for the list of their codes.
+    """
+
+    def __init__(self, codes: dict[str, int]) -> None:
+        self.codes = codes
+        self.known: dict[bytes, int] = {}
+        self.parted: list[list[int]] = [[]]
+
+    def clear(self) -> None:
+        self.known.clear()
+        del self.parted[1:]
+
+    def _learn(self, words: set[bytes]) -> None:
+        codes, known = self.codes, self.known
+        for word in words:
+            forms = normal_forms(word)
+            if len(forms) == 1:
+                known[word] = codes.get(forms[0], 0)
+            else:
+                known[word] = -len(self.parted)
+                self.parted.append([codes.get(f, 0) for f in forms])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Codes of the normal words of several texts end to end, where each text begins, and the place in its own
+        text of the word that each code comes from (none if own and normal words are the same)."""
+        holds_tables("benchmark", self.clear)
+        if len(self.known) > KEPT_WORDS:
+            self.clear()
+        split = [split_words(t) for t in texts]
+        flat = [w for words in split for w in words]
+        self._learn(set(flat).difference(self.known))
+        codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        starts = np.concatenate(([0], np.cumsum([len(words) for words in split]))).astype(np.int64)
+        if not (codes < 0).any():
+            return codes, starts, None
+        lists = [self.parted[-c] if c < 0 else [c] for c in codes.tolist()]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        own = np.arange(len(flat)) - np.repeat(starts[:-1], np.diff(starts))
+        return np.array([c for x in lists for c in x], np.int64), np.concatenate(([0], np.cumsum(sizes)))[starts], np.repeat(own, sizes)
 
 
 class Seeds(NamedTuple):
-    """Word codes from 1; seed hashes in order, each with its items and places from ``first``."""
+    """Items as codes; seed hashes in order, each with its items and places from ``first``."""
 
-    codes: dict[str, int]
     sizes: tuple[int, ...]
     keys: np.ndarray
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    lengths: np.ndarray
+    items: list[np.ndarray]
 
 
 def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -107,44 +138,60 @@ def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return np.where(known, value, np.uint64(0))
 
 
-def make_seeds(items: list[list[str]], counts: dict[str, int], total: int) -> Seeds:
-    codes = {w: i for i, w in enumerate(dict.fromkeys(w for words in items for w in words), 1)}
-    bits = {w: log2((total + 1) / (counts.get(w, 0) + 1)) for w in codes}
+def make_seeds(items: list[list[int]], counts: np.ndarray, total: int) -> Seeds:
+    """Seeds of items, given as codes, from the corpus counts of all codes.
+
+    A gram that many items share proposes them all at each hit, so it counts as less rare by the bits of that number.
+    """
+    bits = np.log2((total + 1) / (counts + 1.0))
+    arrays = [np.array(words, np.int64) for words in items]
+    grams = [(min(SEED_WORDS, len(a)), gram_hashes(a, min(SEED_WORDS, len(a)))) if len(a) else (0, np.empty(0, np.uint64)) for a in arrays]
+    holders = Counter(h for _, hashes in grams for h in set(hashes.tolist()))
     rows: list[tuple[int, int, int]] = []
-    sizes = set()
-    for number, words in enumerate(items):
-        n = min(SEED_WORDS, len(words))
+    for number, (a, (n, hashes)) in enumerate(zip(arrays, grams, strict=True)):
         if not n:
             continue
-        sizes.add(n)
-        rarity = [sum(bits[w] for w in words[k : k + n]) for k in range(len(words) - n + 1)]
+        rarity = [float(bits[a[k : k + n]].sum()) - log2(holders[h]) for k, h in enumerate(hashes.tolist())]
         least = min(RARE_BITS, sorted(rarity)[len(rarity) // 2])
-        hashes = gram_hashes(np.array([codes[w] for w in words]), n)
-        rows += [(int(h), number, k) for k, (h, r) in enumerate(zip(hashes, rarity, strict=True)) if r >= least]
+        rows += [(h, number, k) for k, (h, r) in enumerate(zip(hashes.tolist(), rarity, strict=True)) if r >= least]
     rows.sort()
     keys, first = np.unique(np.array([r[0] for r in rows], np.uint64), return_index=True)
     item, place = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
-    return Seeds(codes, tuple(sorted(sizes)), keys, np.append(first, len(rows)), item, place, np.array([len(w) for w in items], np.int64))
-
-
-def passages(words: list[str], seeds: Seeds) -> list[tuple[int, int, int]]:
-    """(item, first word, end) of the passages that seed hits propose; those of one item that overlap are merged."""
-    codes = np.fromiter(map(seeds.codes.get, words, repeat(0)), np.int64, len(words))
-    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for n in seeds.sizes:
-        hashes = gram_hashes(codes, n)
-        at = np.flatnonzero(hashes)
-        index = np.searchsorted(seeds.keys, hashes[at])
-        hit = (index < len(seeds.keys)) & (seeds.keys[np.minimum(index, len(seeds.keys) - 1)] == hashes[at])
-        for p, i in zip(at[hit].tolist(), index[hit].tolist(), strict=True):
-            for k in range(seeds.first[i], seeds.first[i + 1]):
-                item = int(seeds.item[k])
-                length = int(seeds.lengths[item])
-                start = p - int(seeds.place[k])
-                slack = length // 4 + 2
-                found[item].append((max(0, start - slack), min(len(words), start + length + slack)))
+    return Seeds(tuple(sorted({n for n, _ in grams if n})), keys, np.append(first, len(rows)), item, place, arrays)
+
+
+def hits(codes: np.ndarray, starts: np.ndarray, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
+    """Where in texts that lie end to end seeds stand, and which."""
+    at, which = [], []
+    for n in seeds.sizes if len(seeds.keys) else ():
+        known = np.flatnonzero(codes)
+        # Only stretches of known words are hashed.
+        known = known[known + n <= len(codes)]
+        for k in range(1, n):
+            known = known[codes[known + k] > 0]
+        value = np.full(len(known), n, np.uint64)
+        for k in range(n):
+            value = mixed(value * np.uint64(31) + codes[known + k].astype(np.uint64))
+        index = np.minimum(np.searchsorted(seeds.keys, value), len(seeds.keys) - 1)
+        hit = np.flatnonzero(seeds.keys[index] == value)
+        hit = hit[np.searchsorted(starts, known[hit], side="right") == np.searchsorted(starts, known[hit] + n - 1, side="right")]
+        at.append(known[hit])
+        which.append(index[hit])
+    return (np.concatenate(at), np.concatenate(which)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def passages(found: list[tuple[int, int]], size: int, seeds: Seeds) -> list[tuple[int, int, int]]:
+    """(item, first, end) of the stretches that a text's (place, seed) hits propose; those of one item that overlap are merged."""
+    by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for p, i in found:
+        for k in range(seeds.first[i], seeds.first[i + 1]):
+            item = int(seeds.item[k])
+            length = len(seeds.items[item])
+            start = p - int(seeds.place[k])
+            slack = length // 4 + 2
+            by_item[item].append((max(0, start - slack), min(size, start + length + slack)))
     out = []
-    for item, spans in found.items():
+    for item, spans in by_item.items():
         spans.sort()
         first, end = spans[0]
         for a, b in spans[1:]:
@@ -156,17 +203,18 @@ def passages(words: list[str], seeds: Seeds) -> list[tuple[int, int, int]]:
     return out
 
 
-def align(passage: list[str], item: list[str]) -> tuple[int, int, int]:
-    """(score, first word, end) of the best local alignment in the passage; the first of equal ones."""
-    codes = {w: i for i, w in enumerate(item)}
-    query = np.array([codes[w] for w in item], np.int64)
+def align(passage: np.ndarray, query: np.ndarray) -> tuple[int, int, int]:
+    """(score, first, end) of the best local alignment of two rows of codes in the passage; the first of equal ones.
+
+    Codes of the query are above 0, so that 0 in the passage equals none.
+    """
     n = len(query)
     steps = np.arange(n + 1) * GAP
     row = np.zeros(n + 1, np.int64)
     start = np.zeros(n + 1, np.int64)
     best = (0, 0, 0)
-    for p, word in enumerate(passage):
-        diagonal = row[:-1] + np.where(query == codes.get(word, -1), MATCH, OTHER)
+    for p, code in enumerate(passage.tolist()):
+        diagonal = row[:-1] + np.where(query == code, MATCH, OTHER)
         up = row[1:] + GAP
         new = np.zeros(n + 1, np.int64)
         new[1:] = np.maximum(np.maximum(diagonal, up), 0)
@@ -183,22 +231,23 @@ def align(passage: list[str], item: list[str]) -> tuple[int, int, int]:
     return best
 
 
-def word_counts(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int]:
-    """Occurrences in all documents of the wanted words, and of all words."""
-    total = ""
+def word_counts(docs: DataFrame, coder: Coder) -> np.ndarray:
+    """Occurrences in all documents of each code; at 0, of all other words."""
+    width = len(coder.codes) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(coder)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        sums = np.zeros(width, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = normal_words(text)[0]
-                counts[total] += len(words)
-                counts.update(w for w in words if w in wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    found = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = {r["word"]: r["n"] for r in found}
-    return counts, counts.pop(total, 0)
+            sums += np.bincount(shared.value.encode(bytes_of(batch))[0], minlength=width)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some], pa.int64())], ["code", "n"])
+
+    found = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    shared.destroy()
+    out = np.zeros(width, np.int64)
+    out[found["code"].to_numpy(int)] = found["n"].to_numpy(int)
+    return out
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
@@ -219,45 +268,54 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     small_batches(spark)
     rows = id_and_text(docs, id_col, text_col)
-    out = spark.createDataFrame([], LEAKS)
-    for block in _blocks(benchmark, item_col, item_text_col):
-        items = [normal_words(t)[0] for _, t in block]
-        counts, total = word_counts(rows, {w for words in items for w in words})
-        seeds = spark.sparkContext.broadcast(make_seeds(items, counts, total))
-        queries = spark.sparkContext.broadcast([(i, w) for (i, _), w in zip(block, items, strict=True)])
-
-        def propose(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for n, text in enumerate(batch.column("text").to_pylist()):
-                    words, at = normal_words(text)
-                    found += [(n, item, a, " ".join(words[a:b]), at and at[a:b]) for item, a, b in passages(words, seeds.value)] if len(seeds.value.keys) else []
-                cols = list(zip(*found, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.int64()))], ["doc_id", "item", "first", "passage", "at"])
-
-        def score(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
+    folder = shared_dir(spark, "leaks")
+    parts = []
+    for number, block in enumerate(_blocks(benchmark, item_col, item_text_col)):
+        # Items of equal words are one query.
+        owners: dict[tuple[str, ...], list] = defaultdict(list)
+        for item_id, text in block:
+            if words := tuple(normal_words(text)):
+                owners[words].append(item_id)
+        coder = Coder({w: i for i, w in enumerate(dict.fromkeys(w for words in owners for w in words), 1)})
+        counts = word_counts(rows, coder)
+        seeds = make_seeds([[coder.codes[w] for w in words] for words in owners], np.concatenate(([0], counts[1:])), int(counts.sum()))
+        shared = spark.sparkContext.broadcast((coder, seeds, list(owners.values())))
+
+        def align_all(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            coder, seeds, owners = shared.value
             for batch in batches:
+                codes, starts, own = coder.encode(bytes_of(batch))
+                at, which = hits(codes, starts, seeds)
+                doc = np.searchsorted(starts, at, side="right") - 1
+                by_doc: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                for n, p, i in zip(doc.tolist(), at.tolist(), which.tolist(), strict=True):
+                    by_doc[n].append((p - int(starts[n]), i))
                 found = []
-                for doc_id, item, first, passage, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item", "first", "passage", "at")), strict=True):
-                    item_id, words = queries.value[item]
-                    points, a, b = align(passage.split(" "), words)
-                    share = points / (MATCH * len(words))
-                    if share >= LEAK:
-                        found.append((doc_id, item_id, share, at[a] if at else first + a, at[b - 1] + 1 if at else first + b))
+                for n, places in by_doc.items():
+                    text = codes[starts[n] : starts[n + 1]]
+                    for item, a, b in passages(places, len(text), seeds):
+                        query = seeds.items[item]
+                        points, first, end = align(text[a:b], query)
+                        if points / (MATCH * len(query)) >= LEAK:
+                            first, end = a + first, a + end
+                            if own is not None:
+                                first, end = int(own[starts[n] + first]), int(own[starts[n] + end - 1]) + 1
+                            found += [(n, item_id, points / (MATCH * len(query)), first, end) for item_id in owners[item]]
                 cols = list(zip(*found, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["doc_id", "item_id", "score", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], [pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True))], ["doc_id", "item_id", "score", "start", "stop"])
 
-        proposed = rows.mapInArrow(propose, "doc_id long, item int, first long, passage string, at array<long>")
-        scored = proposed.mapInArrow(score, LEAKS)
+        scored = rows.mapInArrow(align_all, LEAKS)
         best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("early"), "stop")).alias("top"))
-        out = out.union(best.select("doc_id", "item_id", "top.score", (-F.col("top.early")).alias("start"), "top.stop"))
-    return written(out, shared_dir(spark, "leaks"))
+        parts.append(written(best.select("doc_id", "item_id", "top.score", (-F.col("top.early")).alias("start"), "top.stop"), f"{folder}/{number}"))
+        shared.destroy()
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], LEAKS)
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those that hold a benchmark item; rows of equal identifier go together, all columns stay."""
-    found = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("leaked__id")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("leaked__id")), "left_anti")
+    name = free_name(docs, "leaked")
+    found = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
