@@ -68,26 +68,33 @@ def ratio(n: Column, d: Column) -> Column:
 
 
 def lexical_features(domain: Column) -> dict[str, Column]:
-    """Measures of a normal domain name, taken on its body."""
+    """The nineteen measures of a normal domain name, in their fixed order; character measures are of its body."""
     body = domain_body(domain)
-    n = F.char_length(body)
-    letters = matches(body, "a-z")
+    parts = F.split(domain, r"\.")
+    sizes = F.transform(parts, lambda x: F.char_length(x))
+    n, letters, digits, vowels = F.char_length(body), matches(body, "\\p{L}"), matches(body, "\\p{Nd}"), matches(body, VOWELS)
+    tld = F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise("")
+    hyphens, unique = matches(body, "\\-"), F.size(F.array_distinct(characters(body)))
     return {
-        "length": n,
-        "labels": F.size(F.split(domain, r"\.")),
+        "length": F.char_length(domain),
+        "body_length": n,
+        "tld_length": F.char_length(tld),
+        "label_count": F.size(parts),
+        "max_label_length": F.array_max(sizes),
+        "mean_label_length": F.aggregate(sizes, F.lit(0), lambda a, x: a + x) / F.size(sizes),
+        "digit_count": digits,
+        "digit_ratio": ratio(digits, n),
+        "alpha_ratio": ratio(letters, n),
+        "vowel_ratio": ratio(vowels, n),
+        "consonant_ratio": ratio(letters - vowels, n),
+        "hyphen_count": hyphens,
+        "hyphen_ratio": ratio(hyphens, n),
+        "unique_char_count": unique,
+        "unique_char_ratio": ratio(unique, n),
         "entropy": entropy(body),
-        "digits": matches(body, "0-9"),
-        "digit_ratio": ratio(matches(body, "0-9"), n),
-        "vowel_ratio": ratio(matches(body, VOWELS), letters),
-        "consonant_ratio": ratio(matches(body, "b-df-hj-np-tv-z"), letters),
-        "hyphens": matches(body, "\\-"),
-        "distinct_ratio": ratio(F.size(F.array_distinct(characters(body))), n),
-        "longest_digits": longest_run(body, "0-9"),
-        "longest_consonants": longest_run(body, "b-df-hj-np-tv-z"),
-        "longest_vowels": longest_run(body, VOWELS),
-        "longest_label": F.array_max(F.transform(F.split(domain, r"\."), lambda x: F.char_length(x))),
-        "first_is_digit": body.rlike("^[0-9]").cast("int"),
-        "hex_ratio": ratio(matches(body, "0-9a-f"), n),
+        "longest_digit_run": longest_run(body, "\\p{Nd}"),
+        "longest_alpha_run": longest_run(body, "\\p{L}"),
+        "longest_consonant_run": longest_run(body, f"\\p{{L}}&&[^{VOWELS}]"),
     }
 
 

@@ -1,73 +1,10 @@
-"""Exact keyed event-time windows.
-
-A row sees the rows of its key in (t - T, t], those of its own instant only up to itself in arrival order.  RANGE
-frames include both edges and treat equal order keys as peers, so rows are ordered by one number: the microseconds
-since the key's first row, doubled, and the arrival number within the instant as its decimals, of which there are more
-than an instant can have rows.  The odd numbers between instants let a frame's lower bound fall after all rows of the
-instant t - T (left-open) or before them (closed).
-"""
+"""Small helpers of rules on windows."""
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Decimals of the order number: row_number, a 32-bit integer, ends long before 10 ** PLACES rows of a key and instant.
-PLACES = 15
-ORDER = "window__order"
-
-
-def with_order(df: DataFrame, keys: list[str], ts_us: str = "ts_us", arrival: str = "flow_id") -> DataFrame:
-    """``df`` with the order number that ``within`` needs; null keys are keys like others."""
-    by = Window.partitionBy(*keys)
-    place = F.row_number().over(Window.partitionBy(*keys, ts_us).orderBy(arrival)) - 1
-    since = F.col(ts_us) - F.min(ts_us).over(by)
-    number = (since * 2).cast("decimal(20,0)") + place.cast(f"decimal({PLACES},0)") * F.lit(Decimal(1).scaleb(-PLACES)).cast(f"decimal({PLACES},{PLACES})")
-    return df.withColumn(ORDER, number.cast(f"decimal(38,{PLACES})"))
-
-
-def within(keys: list[str], span_us: int, closed: bool = False) -> WindowSpec:
-    """The window of ``span_us`` microseconds up to each row, over a frame that ``with_order`` prepared."""
-    lower = span_us * 2 + (1 if closed else -1)
-    return Window.partitionBy(*keys).orderBy(ORDER).rangeBetween(-lower, 0)
-
-
-def capped(keys: list[str], span_us: int, rows: int):
-    """Aggregates over the latest ``rows`` rows of the window.  Both frames end at the row, so the shorter one is meant."""
-    w, last = within(keys, span_us), Window.partitionBy(*keys).orderBy(ORDER).rowsBetween(1 - rows, 0)
-    return lambda aggregate: F.when(count(w) > rows, aggregate.over(last)).otherwise(aggregate.over(w))
-
-
-def count(w: WindowSpec) -> Column:
-    return F.count(F.lit(1)).over(w)
-
-
-def distinct(column: Column | str, w: WindowSpec) -> Column:
-    """Distinct values, null not among them."""
-    return F.size(F.collect_set(column).over(w)).cast("long")
-
-
-def whole_sum(column: Column | str, w: WindowSpec) -> Column:
-    """The sum, null if any row of the window lacks the value."""
-    return F.when(F.count(column).over(w) == count(w), F.sum(column).over(w))
-
-
-def whole_max(column: Column | str, w: WindowSpec) -> Column:
-    """The maximum, null if any row of the window lacks the value."""
-    return F.when(F.count(column).over(w) == count(w), F.max(column).over(w))
-
-
-def share(condition: Column, w: WindowSpec) -> Column:
-    """The share of the window's rows for which the condition holds; null counts as not."""
-    return F.avg(F.coalesce(condition, F.lit(False)).cast("int")).over(w)
-
-
-def only(column: Column | str, w: WindowSpec) -> Column:
-    """The one value that all rows with a value have, else null."""
-    return F.when(F.min(column).over(w) == F.max(column).over(w), F.min(column).over(w))
-
 
 def clamp(column: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(column, F.lit(low)), F.lit(high))
@@ -77,6 +14,13 @@ def seconds(n: float) -> int:
     return int(n * 1_000_000)
 
 
-def gap_us(keys: list[str], ts_us: str = "ts_us") -> Column:
-    """Microseconds since the key's previous row, over a frame that ``with_order`` prepared."""
-    return F.col(ts_us) - F.lag(ts_us).over(Window.partitionBy(*keys).orderBy(ORDER))
+def share(part: Column | str, whole: Column | str) -> Column:
+    """A share, null of nothing."""
+    of = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.try_divide(of(part).cast("double"), of(whole))
+
+
+def whole(value: Column | str, known: Column | str, rows: Column | str) -> Column:
+    """A window's value, null if any of its rows lacks it."""
+    of = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.when(of(known) == of(rows), of(value))

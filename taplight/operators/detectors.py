@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taplight.functions import codes
-from taplight.functions import windows as win
-from taplight.functions.windows import clamp, seconds
+from taplight.functions import rolling as roll
+from taplight.functions.rolling import Rolling
+from taplight.functions.windows import clamp, seconds, share, whole
 from taplight.operators.emit import cooldown
 
 
@@ -35,8 +36,9 @@ class Flood:
 
     def __call__(self, flows: DataFrame) -> DataFrame:
         """Many sources send many flows or packets to one destination."""
-        w = win.within(["dst"], self.window_us)
-        seen = win.with_order(flows, ["dst"]).withColumns({"sources": win.distinct("src", w), "flows": win.count(w), "packets": win.whole_sum("orig_pkts", w)})
+        window = Rolling(("dst",), self.window_us)
+        seen = window.over(flows, {"sources": roll.distinct("src"), "flows": roll.count(), "packets": roll.total("orig_pkts"), "counted": roll.known("orig_pkts")})
+        seen = seen.withColumn("packets", whole("packets", "counted", "flows"))
         fired = seen.where((F.col("sources") >= self.sources) & ((F.col("flows") >= self.flows) | F.coalesce(F.col("packets") >= self.packets, F.lit(False))))
         volume = F.greatest(F.col("flows") / self.flows, F.coalesce(F.col("packets") / self.packets, F.lit(0.0)))
         ratio = (F.col("sources") / self.sources + volume) / 2
@@ -58,24 +60,22 @@ class Scan:
 
     def __call__(self, flows: DataFrame) -> DataFrame:
         """One source tries many ports, or one port on many hosts, and few of them answer."""
-        w = win.within(["src"], self.window_us)
         endpoint = F.struct("dst", "port")
-        known = F.col("state").isNotNull() & ~F.col("state").isin(*codes.UNCLASSIFIED_STATES)
-        complete = known & ~F.col("state").isin(*codes.INCOMPLETE_STATES)
-        first = win.with_order(flows, ["src"]).withColumns({"ports": win.distinct("port", w), "service_ports": win.distinct(F.when(F.col("port") <= self.last_service_port, F.col("port")), w), "hosts": win.distinct("dst", w)})
-        gated = first.where(((F.col("ports") >= self.ports) & (F.col("service_ports") >= self.service_ports)) | (F.col("hosts") >= self.fanout))
-        # The window's rows of gated rows only: evidence is looked up by a join with the source's own flows.
-        rows = flows.select(F.col("src").alias("o_src"), F.col("ts_us").alias("o_ts"), F.col("flow_id").alias("o_id"), endpoint.alias("endpoint"), F.col("port").alias("o_port"), F.col("dst").alias("o_dst"), known.alias("known"), complete.alias("complete"), (F.col("resp_bytes") >= self.answer_bytes).alias("responded"))
-        near = (F.col("o_src") == F.col("src")) & (F.col("o_ts") > F.col("ts_us") - self.window_us) & ((F.col("o_ts") < F.col("ts_us")) | ((F.col("o_ts") == F.col("ts_us")) & (F.col("o_id") <= F.col("flow_id"))))
-        pairs = gated.select("flow_id", "src", "ts_us").join(rows, near)
-        endpoints = pairs.groupBy("flow_id", "o_port", "o_dst").agg(F.max("known").alias("known"), F.max("complete").alias("complete"), F.max(F.coalesce("responded", F.lit(False))).alias("responded"))
-        shares = endpoints.groupBy("flow_id").agg(
-            F.avg(F.col("known").cast("int")).alias("coverage"),
-            (F.count_if(F.col("known") & ~F.col("complete")) / F.nullif(F.count_if("known"), F.lit(0))).alias("incomplete"),
-            F.avg(F.col("responded").cast("int")).alias("answered"),
-        )
-        fanout = endpoints.where("o_port is not null").groupBy("flow_id", "o_port").agg(F.count_distinct("o_dst").alias("n")).groupBy("flow_id").agg(F.max("n").alias("fanout"), F.min_by("o_port", F.struct(-F.col("n"), "o_port")).alias("fanout_port"))
-        seen = gated.join(shares, "flow_id").join(fanout, "flow_id", "left").withColumn("fanout", F.coalesce("fanout", F.lit(0)))
+        known = codes.classified(F.col("state"))
+        complete = F.col("state").isin(*codes.COMPLETE_STATES)
+        answered = F.col("resp_bytes") >= self.answer_bytes
+        of = lambda c: roll.distinct(F.when(c, endpoint))
+        measures = {
+            "ports": roll.distinct("port"),
+            "service_ports": roll.distinct(F.when(F.col("port") <= self.last_service_port, F.col("port"))),
+            "endpoints": roll.distinct(endpoint),
+            "known": of(known),
+            "complete": of(complete),
+            "responded": of(answered),
+            "fanout": roll.widest("port", "dst"),
+        }
+        seen = Rolling(("src",), self.window_us).over(flows, measures)
+        seen = seen.withColumns({"coverage": share("known", "endpoints"), "incomplete": share(F.col("known") - F.col("complete"), "known"), "answered": share("responded", "endpoints")})
         quiet = F.when(F.col("coverage") >= self.coverage, F.coalesce(F.col("incomplete"), F.lit(0.0)) >= self.incomplete).otherwise(F.col("answered") <= self.answered)
         vertical = (F.col("ports") >= self.ports) & (F.col("service_ports") >= self.service_ports)
         horizontal = F.col("fanout") >= self.fanout
@@ -93,7 +93,8 @@ class Beacon:
     most_s: float = 120.0
     variation: float = 0.20
     mean_bytes: int = 65_536
-    service_ports: tuple[int, ...] = (53, 67, 68, 123, 137, 138, 161, 162, 514, 1900, 5353, 5355)
+    # Ports of services that call on a timer and are no controllers.
+    service_ports: tuple[int, ...] = (67, 68, 123, 137, 138, 389, 636, 1900, 3268, 3269, 5353, 5355)
 
     def candidates(self, flows: DataFrame) -> DataFrame:
         """Flows whose destination may be a controller: no service port, multicast or broadcast destination."""
@@ -104,15 +105,13 @@ class Beacon:
     def __call__(self, flows: DataFrame) -> DataFrame:
         """Contacts of one source and endpoint at steady intervals."""
         keys = ["src", "dst", "port", "proto"]
-        w = win.within(keys, self.window_us)
-        seen = win.with_order(self.candidates(flows), keys).withColumns({"contacts": win.count(w), "times": F.collect_list("ts_us").over(w), "mean_sent": F.avg("orig_bytes").over(w)})
-        gaps = F.filter(F.zip_with(F.slice("times", F.lit(2), F.greatest(F.size("times") - 1, F.lit(1))), F.slice("times", F.lit(1), F.greatest(F.size("times") - 1, F.lit(1))), lambda b, a: (b - a) / 1e6), lambda g: g > 0)
-        with_gaps = seen.where(F.col("contacts") >= self.contacts).withColumn("gaps", gaps).where(F.size("gaps") >= self.contacts - 1).drop("times")
-        n = F.size("gaps")
-        mean = F.try_divide(F.aggregate("gaps", F.lit(0.0), lambda a, g: a + g), n)
-        measured = with_gaps.withColumn("mean_gap", mean).where(F.col("mean_gap").between(self.least_s, self.most_s))
-        spread = F.sqrt(F.aggregate(F.transform("gaps", lambda g: (g - F.col("mean_gap")) * (g - F.col("mean_gap"))), F.lit(0.0), lambda a, g: a + g) / F.nullif(n, F.lit(0)))
-        steady = measured.withColumn("cv", F.try_divide(spread, F.col("mean_gap"))).where((F.col("cv") <= self.variation) & (F.coalesce(F.col("mean_sent"), F.lit(0.0)) <= self.mean_bytes))
+        measures = {"contacts": roll.count(), "gaps": roll.gaps(), "sent": roll.total("orig_bytes"), "sizes": roll.known("orig_bytes")}
+        seen = Rolling(tuple(keys), self.window_us).over(self.candidates(flows), measures)
+        n, gaps = F.col("gaps.n"), F.col("gaps")
+        mean = roll.mean_gap_us(gaps)
+        measured = seen.withColumns({"mean_sent": share("sent", "sizes"), "mean_gap": mean / 1e6, "cv": F.try_divide(roll.gap_deviation_us(gaps), mean)})
+        enough = (F.col("contacts") >= self.contacts) & (n >= self.contacts - 1) & F.col("mean_gap").between(self.least_s, self.most_s)
+        steady = measured.where(enough & (F.col("cv") <= self.variation) & (F.coalesce(F.col("mean_sent"), F.lit(0.0)) <= self.mean_bytes))
         strength = 0.6 * clamp(1 - F.col("cv") / self.variation) + 0.4 * clamp(((n + 1) / self.contacts - 1) / 3)
         return _scored(steady.withColumn("n_gaps", n), 0.5 + 0.5 * strength, keys, self.cooldown_us).drop("gaps")
 
@@ -128,12 +127,13 @@ class Outbound:
 
     def __call__(self, flows: DataFrame) -> DataFrame:
         """Much data from one source to one destination, that makes up most of what the source sends."""
-        pair, source = win.within(["src", "dst"], self.window_us), ["src"]
-        by_pair = win.with_order(flows, ["src", "dst"]).withColumns({"pair_bytes": win.whole_sum("orig_bytes", pair), "pair_rows": win.count(pair), "largest": win.whole_max("orig_bytes", pair)}).drop(win.ORDER)
-        ws = win.within(source, self.window_us)
-        seen = win.with_order(by_pair, source).withColumn("source_bytes", win.whole_sum("orig_bytes", ws))
-        share = F.when(F.col("source_bytes") > 0, F.least(F.col("pair_bytes") / F.col("source_bytes"), F.lit(1.0))).when(F.col("source_bytes").isNotNull(), F.lit(0.0))
-        seen = seen.withColumn("concentration", share)
+        sent = {"pair_rows": roll.count(), "pair_bytes": roll.total("orig_bytes"), "pair_known": roll.known("orig_bytes"), "largest": roll.largest("orig_bytes")}
+        by_pair = Rolling(("src", "dst"), self.window_us).over(flows, sent)
+        by_pair = by_pair.withColumns({c: whole(c, "pair_known", "pair_rows") for c in ("pair_bytes", "largest")})
+        seen = Rolling(("src",), self.window_us).over(by_pair, {"source_bytes": roll.total("orig_bytes"), "source_known": roll.known("orig_bytes"), "source_rows": roll.count()})
+        seen = seen.withColumn("source_bytes", whole("source_bytes", "source_known", "source_rows"))
+        part = F.when(F.col("source_bytes") > 0, F.least(F.col("pair_bytes") / F.col("source_bytes"), F.lit(1.0))).when(F.col("source_bytes").isNotNull(), F.lit(0.0))
+        seen = seen.withColumn("concentration", part)
         sustained = (F.col("pair_bytes") >= self.total_bytes) & (F.col("pair_rows") >= self.rows)
         single = F.col("largest") >= self.single_bytes
         fired = seen.where((F.col("concentration") >= self.concentration) & (F.coalesce(sustained, F.lit(False)) | F.coalesce(single, F.lit(False))))
@@ -164,10 +164,10 @@ class DnsTunnel:
     def __call__(self, queries: DataFrame) -> DataFrame:
         """Names sent to one resolver that look like data: long, mixed, of many labels, or for text records."""
         keys = ["src", "resolver"]
-        marked = win.with_order(queries, keys, arrival="page_id").withColumn("signals", self.signal_count())
+        marked = queries.withColumn("signals", self.signal_count())
         odd = F.col("signals") >= self.signals
-        latest = win.capped(keys, self.window_us, self.kept_rows)
-        seen = marked.withColumns({"rows": latest(F.count(F.lit(1))), "odd_rows": latest(F.count_if(odd)), "signal_sum": latest(F.sum(F.when(odd, F.col("signals")))), "txt_ratio": latest(F.avg(F.col("is_txt").cast("int")))})
+        measures = {"rows": roll.count(), "odd_rows": roll.rows_with(odd), "signal_sum": roll.total(F.when(odd, F.col("signals"))), "txt_rows": roll.rows_with(F.col("is_txt")), "typed": roll.known("is_txt")}
+        seen = Rolling(tuple(keys), self.window_us, arrival="page_id").over(marked, measures, latest_rows=self.kept_rows).withColumn("txt_ratio", share("txt_rows", "typed"))
         fired = seen.where((F.col("rows") >= self.rows) & (F.col("odd_rows") / F.col("rows") >= self.suspicious))
         ratio, mean = F.col("odd_rows") / F.col("rows"), F.col("signal_sum") / F.col("odd_rows")
         strength = 0.5 * clamp((ratio - 0.5) / 0.5) + 0.25 * clamp((F.col("rows") / self.rows - 1) / 2) + 0.25 * clamp((mean - 2) / 3)
@@ -188,9 +188,10 @@ class TlsMetadata:
     def __call__(self, handshakes: DataFrame) -> DataFrame:
         """Handshakes of one pair whose server names look generated; needs sni_length, sni_entropy and version."""
         keys = ["src", "dst"]
-        latest = win.capped(keys, self.window_us, self.kept_rows)
-        odd = F.coalesce((F.col("sni_length") >= self.sni_length) & (F.col("sni_entropy") >= self.sni_entropy), F.lit(False))
-        seen = win.with_order(handshakes, keys).withColumns({"rows": latest(F.count(F.lit(1))), "odd_ratio": latest(F.avg(odd.cast("int"))), "obsolete_ratio": latest(F.avg(F.col("version").isin(*codes.OBSOLETE_TLS).cast("int")))})
+        odd = (F.col("sni_length") >= self.sni_length) & (F.col("sni_entropy") >= self.sni_entropy)
+        measures = {"rows": roll.count(), "odd_rows": roll.rows_with(odd), "obsolete_rows": roll.rows_with(F.col("version").isin(*codes.OBSOLETE_TLS)), "versions": roll.known("version")}
+        seen = Rolling(tuple(keys), self.window_us).over(handshakes, measures, latest_rows=self.kept_rows)
+        seen = seen.withColumns({"odd_ratio": share("odd_rows", "rows"), "obsolete_ratio": share("obsolete_rows", "versions")})
         fired = seen.where((F.col("rows") >= self.rows) & (F.col("odd_ratio") >= self.suspicious))
         strength = 0.6 * clamp((F.col("odd_ratio") - 0.6) / 0.4) + 0.4 * clamp((F.col("rows") / self.rows - 1) / 2)
         return _scored(fired, 0.5 + 0.5 * strength + F.when(F.col("obsolete_ratio") >= self.obsolete, 0.10).otherwise(0.0), keys, self.cooldown_us)
@@ -217,10 +218,24 @@ def generated_domains(scored: DataFrame, threshold: float, cooldown_us: int = se
     hits = scored.where(F.col("model_score") >= threshold).withColumn("score", codes.normal_score(0.5 + 0.5 * (F.col("model_score") - threshold) / (1 - threshold)))
     hits = hits.withColumns({"severity": codes.severity(F.col("score")), "rank": codes.severity_rank(codes.severity(F.col("score")))})
     by_name = cooldown(hits, ["src", "domain"], cooldown_us)
-    w = win.within(["src"], span_us)
-    seen = win.with_order(by_name, ["src"]).withColumn("names", F.array_sort(F.collect_set("domain").over(w)))
-    seen = seen.withColumns({"n_domains": F.size("names"), "sample": F.slice("names", 1, 10)}).drop("names")
-    return cooldown(seen, ["src"], cooldown_us)
+    seen = Rolling(("src",), span_us).over(by_name, {"n_domains": roll.distinct("domain")})
+    reports = cooldown(seen, ["src"], cooldown_us)
+    # The names of a report are looked up for reports alone; of each the ten first are kept before they are put together.
+    names = by_name.select(F.col("src").alias("n_src"), F.col("domain").alias("name"), F.col("ts_us").alias("n_ts"), F.col("flow_id").alias("n_id"))
+    before = (F.col("n_ts") < F.col("ts_us")) | ((F.col("n_ts") == F.col("ts_us")) & (F.col("n_id") <= F.col("flow_id")))
+    met = reports.select("flow_id", "src", "ts_us").join(names, F.col("src").eqNullSafe(F.col("n_src")) & (F.col("n_ts") > F.col("ts_us") - span_us) & before).select("flow_id", "name").distinct()
+    first = met.withColumn("place", F.row_number().over(Window.partitionBy("flow_id").orderBy("name"))).where("place <= 10")
+    samples = first.groupBy("flow_id").agg(F.array_sort(F.collect_list("name")).alias("sample"))
+    return reports.join(samples, "flow_id", "left")
+
+
+def widest_ports(alerts: DataFrame, flows: DataFrame, window_us: int) -> DataFrame:
+    """(flow_id, fanout, fanout_port): the port that reaches most hosts in the window of each alert, the lowest of equal ones."""
+    rows = flows.where("port is not null").select(F.col("src").alias("o_src"), F.col("ts_us").alias("o_ts"), F.col("flow_id").alias("o_id"), F.col("port").alias("o_port"), F.col("dst").alias("o_dst"))
+    before = (F.col("o_ts") < F.col("ts_us")) | ((F.col("o_ts") == F.col("ts_us")) & (F.col("o_id") <= F.col("flow_id")))
+    met = alerts.select("flow_id", "src", "ts_us").join(rows, F.col("src").eqNullSafe(F.col("o_src")) & (F.col("o_ts") > F.col("ts_us") - window_us) & before)
+    by_port = met.groupBy("flow_id", "o_port").agg(F.count_distinct("o_dst").alias("n"))
+    return by_port.groupBy("flow_id").agg(F.max("n").alias("fanout"), F.min_by("o_port", F.struct(-F.col("n"), "o_port")).alias("fanout_port"))
 
 
 def scan_pattern(ports: Column, ips: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from taplight.functions import text
 
-FEATURES = ("length", "labels", "entropy", "digits", "digit_ratio", "vowel_ratio", "consonant_ratio", "hyphens", "distinct_ratio", "longest_digits", "longest_consonants", "longest_vowels", "longest_label", "first_is_digit", "hex_ratio")
+# Names and order of the measures.
+FEATURES = ("length", "body_length", "tld_length", "label_count", "max_label_length", "mean_label_length", "digit_count", "digit_ratio", "alpha_ratio", "vowel_ratio", "consonant_ratio", "hyphen_count", "hyphen_ratio", "unique_char_count", "unique_char_ratio", "entropy", "longest_digit_run", "longest_alpha_run", "longest_consonant_run")
 
 
 def features(domains: DataFrame) -> DataFrame:

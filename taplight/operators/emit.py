@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,33 +18,25 @@ def _sessions(df: DataFrame, keys: list[str], order: list[str], new: Column, nam
 def cooldown(df: DataFrame, keys: list[str], cooldown_us: int, rank: str = "rank", ts_us: str = "ts_us", arrival: str = "flow_id") -> DataFrame:
     """Rows that are emitted: the key's first, those a cooldown after the last emitted, and those of a higher rank.
 
-    Suppressed rows change nothing.  A candidate that follows the one before it by the cooldown is emitted whatever
-    came earlier, so each run of closer candidates is folded by itself, and a key's history is never held whole.
+    Suppressed rows change nothing.  Rows go by in order, batch after batch, and two numbers are kept: the time and rank
+    of the last emitted row of the key.  A row without a time or rank is compared with nothing and emits only as the
+    first of its key.
     """
-    order = [ts_us, arrival]
-    gap = F.col(ts_us) - F.lag(ts_us).over(Window.partitionBy(*keys).orderBy(*order))
-    runs = _sessions(df, keys, order, gap >= cooldown_us, "fold__run")
-    row = F.struct(F.col(ts_us).alias("fold__ts"), F.col(arrival).alias("fold__at"), F.col(rank).alias("fold__rank"))
-    held = runs.groupBy(*keys, "fold__run").agg(F.array_sort(F.collect_list(row)).alias("steps"))
-    kind = "struct<last:bigint,rank:int,out:array<bigint>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("int").alias("rank"), F.array().cast("array<bigint>").alias("out")).cast(kind)
-
-    def step(state: Column, x: Column) -> Column:
-        emit = state["last"].isNull() | (x["fold__ts"] - state["last"] >= cooldown_us) | (x["fold__rank"] > state["rank"])
-        new = F.struct(x["fold__ts"].alias("last"), x["fold__rank"].cast("int").alias("rank"), F.concat(state["out"], F.array(x["fold__at"].cast("bigint"))).alias("out"))
-        return F.when(emit, new.cast(kind)).otherwise(state)
-
-    emitted = held.select(*keys, F.explode(F.aggregate("steps", start, step)["out"]).alias(arrival))
-    return _semi_null_safe(df, emitted, [*keys, arrival])
-
-
-def _semi_null_safe(df: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
-    named = found.select(*(F.col(c).alias(f"semi__{c}") for c in on))
-    condition = None
-    for c in on:
-        one = df[c].eqNullSafe(named[f"semi__{c}"])
-        condition = one if condition is None else condition & one
-    return df.join(named, condition, "left_semi")
+    order = Window.partitionBy(*keys).orderBy(ts_us, arrival)
+    opened = df.withColumn("fold__new", F.row_number().over(order) == 1).sortWithinPartitions(*keys, ts_us, arrival)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, top = None, None
+        for batch in batches:
+            kept = []
+            for new, t, r in zip(*(batch.column(c).to_pylist() for c in ("fold__new", ts_us, rank)), strict=True):
+                emit = new or (t is not None and last is not None and t - last >= cooldown_us) or (r is not None and top is not None and r > top)
+                if emit:
+                    last, top = t, r
+                kept.append(emit)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return opened.mapInArrow(fold, opened.schema).drop("fold__new")
 
 
 def fold_repeats(alerts: DataFrame, keys: list[str], gap_us: int, ts_us: str = "ts_us", arrival: str = "alert_id", score: str = "score", evidence: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from taplight.operators import detectors
 from taplight.operators.emit import cooldown
 from taplight.plans.catalog import query
 from taplight.sources import views
-from taplight.sources.views import DAY_US, DNS_SQL, FLOWS_SQL, RANK_SQL, SEVERITY_SQL
+from taplight.sources.views import CLASSIFIED_SQL, COMPLETE_SQL, DAY_US, DNS_SQL, FLOWS_SQL, RANK_SQL, SEVERITY_SQL
 
 HOUR = DAY_US // 24
 
@@ -59,7 +59,7 @@ SCAN = detectors.Scan(window_us=3 * DAY_US, cooldown_us=DAY_US, ports=5, service
         "flow_id",
         f"{_OUT}, ports, fanout",
         f"""flows AS ({FLOWS_SQL}),
-        e AS (SELECT a.flow_id, b.dst, b.port, max(CASE WHEN b.state IS NOT NULL THEN 1 ELSE 0 END) AS known, max(CASE WHEN b.state IN ('SF','S1') THEN 1 ELSE 0 END) AS complete, max(CASE WHEN b.resp_bytes >= 100 THEN 1 ELSE 0 END) AS answered
+        e AS (SELECT a.flow_id, b.dst, b.port, max(CASE WHEN b.state IN {CLASSIFIED_SQL} THEN 1 ELSE 0 END) AS known, max(CASE WHEN b.state IN {COMPLETE_SQL} THEN 1 ELSE 0 END) AS complete, max(CASE WHEN b.resp_bytes >= 100 THEN 1 ELSE 0 END) AS answered
               FROM flows a JOIN flows b ON a.src = b.src AND b.ts_us > a.ts_us - {3 * DAY_US} AND b.ts_us <= a.ts_us GROUP BY ALL),
         s AS (SELECT flow_id, count(DISTINCT port) AS ports, count(DISTINCT CASE WHEN port <= 49151 THEN port END) AS service_ports, avg(known) AS coverage, sum(CASE WHEN known = 1 AND complete = 0 THEN 1 ELSE 0 END) / nullif(sum(known), 0) AS incomplete, avg(answered) AS answered FROM e GROUP BY flow_id),
         p AS (SELECT flow_id, max(n) AS fanout FROM (SELECT flow_id, port, count(DISTINCT dst) AS n FROM e GROUP BY ALL) t GROUP BY flow_id),
@@ -82,16 +82,19 @@ BEACON = detectors.Beacon(window_us=2 * DAY_US, cooldown_us=DAY_US, contacts=5,
         DAY_US,
         "flow_id",
         f"{_OUT}, n_gaps",
-        f"""base AS ({FLOWS_SQL}), flows AS (SELECT flow_id, ts_us, concat('10.0.0.', user_id % 10) AS src, concat('192.168.1.', k % 2) AS dst, 4444 AS port, proto, orig_bytes FROM base),
-        o AS (SELECT *, lag(ts_us) OVER (PARTITION BY src, dst, proto ORDER BY ts_us) AS prev FROM flows),
+        f"""base AS ({FLOWS_SQL}), flows AS (SELECT * FROM (SELECT flow_id, ts_us, concat('10.0.0.', user_id % 10) AS src, CASE WHEN k % 40 = 39 THEN '239.255.255.250' ELSE concat('192.168.1.', k % 2) END AS dst, [4444, 4444, 4444, 4444, 4444, 4444, 4444, 53, 161, 162, 514, 445, 67, 68, 123, 137, 138, 389, 636, 1900, 3268, 3269, 5353, 5355][1 + user_id % 24] AS port, proto, orig_bytes FROM base) t
+             WHERE port NOT IN (67, 68, 123, 137, 138, 389, 636, 1900, 3268, 3269, 5353, 5355) AND dst NOT LIKE '239.%'),
+        o AS (SELECT *, lag(ts_us) OVER (PARTITION BY src, dst, port, proto ORDER BY ts_us) AS prev FROM flows),
         g AS (SELECT a.flow_id, avg(b.orig_bytes) AS mean_sent, count(*) AS contacts, count(CASE WHEN b.prev > a.ts_us - {2 * DAY_US} THEN 1 END) AS n_gaps,
                      avg(CASE WHEN b.prev > a.ts_us - {2 * DAY_US} THEN (b.ts_us - b.prev) / 1e6 END) AS mean_gap, stddev_pop(CASE WHEN b.prev > a.ts_us - {2 * DAY_US} THEN (b.ts_us - b.prev) / 1e6 END) AS sd
-              FROM o a JOIN o b ON a.src = b.src AND a.dst = b.dst AND a.proto = b.proto AND b.ts_us > a.ts_us - {2 * DAY_US} AND b.ts_us <= a.ts_us GROUP BY a.flow_id),
+              FROM o a JOIN o b ON a.src = b.src AND a.dst = b.dst AND a.port = b.port AND a.proto = b.proto AND b.ts_us > a.ts_us - {2 * DAY_US} AND b.ts_us <= a.ts_us GROUP BY a.flow_id),
         m AS (SELECT flows.*, g.mean_sent, g.contacts, g.n_gaps, g.mean_gap, g.sd / g.mean_gap AS cv FROM flows JOIN g USING (flow_id))""",
     ),
 )
 def det_beacon(spark, sf_dir):
-    flows = views.flows(spark, sf_dir).select("flow_id", "ts_us", F.concat(F.lit("10.0.0."), F.col("user_id") % 10).alias("src"), F.concat(F.lit("192.168.1."), F.col("k") % 2).alias("dst"), F.lit(4444).alias("port"), "proto", "orig_bytes")
+    ports = F.array(*map(F.lit, [4444] * 7 + [53, 161, 162, 514, 445, 67, 68, 123, 137, 138, 389, 636, 1900, 3268, 3269, 5353, 5355]))
+    dst = F.when(F.col("k") % 40 == 39, "239.255.255.250").otherwise(F.concat(F.lit("192.168.1."), F.col("k") % 2))
+    flows = views.flows(spark, sf_dir).select("flow_id", "ts_us", F.concat(F.lit("10.0.0."), F.col("user_id") % 10).alias("src"), dst.alias("dst"), F.get(ports, (F.col("user_id") % 24).cast("int")).alias("port"), "proto", "orig_bytes")
     return BEACON(flows).select(*_OUT.split(", "), F.col("n_gaps").cast("long").alias("n_gaps"))
 
 
@@ -196,12 +199,13 @@ def det_tls_meta(spark, sf_dir):
     e AS (SELECT n.* EXCLUDE (rn) FROM n JOIN f ON n.src = f.src AND n.domain = f.domain AND n.rn = f.rn WHERE f.emit),
     w AS (SELECT *, count(DISTINCT domain) OVER (PARTITION BY src ORDER BY ts_us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS n_domains, row_number() OVER (PARTITION BY src ORDER BY ts_us, flow_id) AS rn FROM e),
     g AS (SELECT src, rn, ts_us AS last, rank AS lrank, TRUE AS emit FROM w WHERE rn = 1 UNION ALL SELECT w.src, w.rn, CASE WHEN w.ts_us - g.last >= 300000000 OR w.rank > g.lrank THEN w.ts_us ELSE g.last END, CASE WHEN w.ts_us - g.last >= 300000000 OR w.rank > g.lrank THEN w.rank ELSE g.lrank END, w.ts_us - g.last >= 300000000 OR w.rank > g.lrank FROM g JOIN w ON w.src = g.src AND w.rn = g.rn + 1)
-    SELECT w.flow_id, w.domain, w.score, w.severity, CAST(w.n_domains AS INT) AS n_domains FROM w JOIN g ON w.src = g.src AND w.rn = g.rn WHERE g.emit""",
+    SELECT w.flow_id, w.domain, w.score, w.severity, CAST(w.n_domains AS INT) AS n_domains,
+           (SELECT array_to_string(list_sort(list(DISTINCT e.domain))[1:10], ',') FROM e WHERE e.src = w.src AND e.ts_us > w.ts_us - 300000000 AND e.ts_us <= w.ts_us) AS sample FROM w JOIN g ON w.src = g.src AND w.rn = g.rn WHERE g.emit""",
 )
 def det_generated(spark, sf_dir):
     """Reports on sources of generated names; the score here is a measure of length, the forest is in text_queries."""
     scored = views.dns(spark, sf_dir).select(F.col("page_id").alias("flow_id"), "ts_us", "src", F.col("query").alias("domain"), (F.char_length(F.replace("query", F.lit("."), F.lit(""))) / 40.0).alias("model_score"))
-    return detectors.generated_domains(scored, 0.5).select("flow_id", "domain", "score", "severity", F.col("n_domains").cast("int").alias("n_domains"))
+    return detectors.generated_domains(scored, 0.5).select("flow_id", "domain", "score", "severity", F.col("n_domains").cast("int").alias("n_domains"), F.array_join("sample", ",").alias("sample"))
 
 
 @query(

@@ -141,10 +141,17 @@ def schema_drift(spark, sf_dir):
     return rows.select("s.side", F.explode("s.fields").alias("field")).groupBy("side", "field").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("state_codes", f"WITH {_F} SELECT flow_id, CASE k % 4 WHEN 1 THEN 'S1' WHEN 2 THEN 'SF' WHEN 3 THEN 'REJ' END AS state FROM f")
+@query(
+    "state_codes",
+    f"""WITH {_F} SELECT flow_id, CASE k % 14 WHEN 1 THEN 'S1' WHEN 2 THEN 'S2' WHEN 3 THEN 'S3' WHEN 4 THEN 'SF' WHEN 5 THEN 'REJ' WHEN 6 THEN 'RSTO' WHEN 7 THEN 'RSTOS0' WHEN 8 THEN 'RSTR' WHEN 9 THEN 'RSTRH' WHEN 10 THEN 'SH' WHEN 11 THEN 'SHR' WHEN 12 THEN 'OTH' END AS state,
+    CASE k % 7 WHEN 1 THEN 'TLSv10' WHEN 2 THEN 'TLSv11' WHEN 3 THEN 'TLSv12' WHEN 4 THEN 'TLSv13' WHEN 5 THEN 'SSLv3' END AS version,
+    CASE k % 11 WHEN 1 THEN 'GET' WHEN 2 THEN 'POST' WHEN 3 THEN 'HEAD' WHEN 4 THEN 'PUT' WHEN 5 THEN 'DELETE' WHEN 6 THEN 'OPTIONS' WHEN 7 THEN 'CONNECT' WHEN 8 THEN 'TRACE' WHEN 9 THEN 'PATCH' END AS method,
+    CASE state WHEN 'S1' THEN 1 WHEN 'S2' THEN 2 WHEN 'S3' THEN 3 WHEN 'SF' THEN 4 WHEN 'REJ' THEN 5 WHEN 'RSTOS0' THEN 7 WHEN 'RSTR' THEN 8 WHEN 'OTH' THEN 12 ELSE 0 END AS encoded FROM f""",
+)
 def state_codes(spark, sf_dir):
-    """Integer connection states decoded; 0 has no name."""
-    return views.flows(spark, sf_dir).select("flow_id", codes.lookup(codes.CONN_STATES, (F.col("k") % 4).cast("int")).alias("state"))
+    """Integer codes of states, versions and methods decoded, where 0 and others have no name; and states encoded."""
+    of = lambda table, n: codes.lookup(table, (F.col("k") % n).cast("int"))
+    return views.flows(spark, sf_dir).select("flow_id", of(codes.CONN_STATES, 14).alias("state"), of(codes.TLS_VERSIONS, 7).alias("version"), of(codes.HTTP_METHODS, 11).alias("method"), codes.code_of(codes.CONN_STATES, F.col("state")).alias("encoded"))
 
 
 def _observations(spark, sf_dir):

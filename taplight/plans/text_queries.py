@@ -34,15 +34,17 @@ def subdomain_entropy(spark, sf_dir):
 
 @query(
     "domain_features",
-    f"""WITH {_H}, b AS (SELECT name, CASE WHEN name LIKE '%.%' THEN array_to_string(string_split(name, '.')[1:len(string_split(name, '.')) - 1], '') ELSE name END AS body FROM h)
-    SELECT name, length(body)::INT AS length, length(regexp_replace(body, '[^0-9]', '', 'g'))::INT AS digits, round(length(regexp_replace(body, '[^aeiou]', '', 'g')) / nullif(length(regexp_replace(body, '[^a-z]', '', 'g')), 0), 6) AS vowel_ratio,
-    coalesce(list_max(list_transform(regexp_extract_all(body, '[b-df-hj-np-tv-z]+'), lambda x: length(x))), 0)::INT AS longest_consonants, list_max(list_transform(string_split(name, '.'), lambda x: length(x)))::INT AS longest_label,
-    round(len(list_distinct(string_split(body, ''))) / length(body), 6) AS distinct_ratio, round({_ENTROPY.format('body')}, 6) AS entropy FROM b""",
+    f"""WITH {_H}, p AS (SELECT name, string_split(name, '.') AS parts FROM h), b AS (SELECT name, parts, CASE WHEN len(parts) > 1 THEN array_to_string(parts[1:len(parts) - 1], '') ELSE name END AS body, CASE WHEN len(parts) > 1 THEN parts[len(parts)] ELSE '' END AS tld FROM p),
+    c AS (SELECT *, length(body) AS n, length(regexp_replace(body, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(body, '[^a-z]', '', 'g')) AS alphas, length(regexp_replace(body, '[^aeiou]', '', 'g')) AS vowels, length(regexp_replace(body, '[^-]', '', 'g')) AS hyphens, len(list_distinct(string_split(body, ''))) AS uniq FROM b)
+    SELECT name, length(name)::INT AS length, n::INT AS body_length, length(tld)::INT AS tld_length, len(parts)::INT AS label_count, list_max(list_transform(parts, lambda x: length(x)))::INT AS max_label_length, round(list_sum(list_transform(parts, lambda x: length(x))) / len(parts), 6)::DOUBLE AS mean_label_length,
+    digits::INT AS digit_count, round(digits / n, 6) AS digit_ratio, round(alphas / n, 6) AS alpha_ratio, round(vowels / n, 6) AS vowel_ratio, round((alphas - vowels) / n, 6) AS consonant_ratio, hyphens::INT AS hyphen_count, round(hyphens / n, 6) AS hyphen_ratio, uniq::INT AS unique_char_count, round(uniq / n, 6) AS unique_char_ratio, round({_ENTROPY.format('body')}, 6) AS entropy,
+    coalesce(list_max(list_transform(regexp_extract_all(body, '[0-9]+'), lambda x: length(x))), 0)::INT AS longest_digit_run, coalesce(list_max(list_transform(regexp_extract_all(body, '[a-z]+'), lambda x: length(x))), 0)::INT AS longest_alpha_run, coalesce(list_max(list_transform(regexp_extract_all(body, '[b-df-hj-np-tv-z]+'), lambda x: length(x))), 0)::INT AS longest_consonant_run FROM c""",
 )
 def domain_features(spark, sf_dir):
-    f = text.lexical_features(F.col("name"))
-    rounded = {c: F.round(f[c], 6) for c in ("vowel_ratio", "distinct_ratio", "entropy")}
-    return _names(spark, sf_dir).select("name", *((rounded.get(c, f[c])).alias(c) for c in ("length", "digits", "vowel_ratio", "longest_consonants", "longest_label", "distinct_ratio", "entropy")))
+    from pyspark.sql.types import DoubleType
+
+    measured = _names(spark, sf_dir).select("name", *(c.alias(n) for n, c in text.lexical_features(F.col("name")).items()))
+    return measured.select(*(F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in measured.schema))
 
 
 @query(
@@ -67,12 +69,13 @@ def tcp_flags(spark, sf_dir):
 
 @query(
     "code_names",
-    f"""WITH f AS ({FLOWS_SQL}), r AS (SELECT flow_id, CASE k % 5 WHEN 0 THEN '1' WHEN 1 THEN '16' WHEN 2 THEN '-' WHEN 3 THEN 'aaaa' ELSE cast(k AS VARCHAR) END AS raw FROM f)
-    SELECT flow_id, CASE raw WHEN '-' THEN NULL WHEN '1' THEN 'A' WHEN '2' THEN 'NS' WHEN '5' THEN 'CNAME' WHEN '6' THEN 'SOA' WHEN '12' THEN 'PTR' WHEN '15' THEN 'MX' WHEN '16' THEN 'TXT' WHEN '28' THEN 'AAAA' WHEN '33' THEN 'SRV' ELSE upper(raw) END AS qtype FROM r""",
+    f"""WITH f AS ({FLOWS_SQL}), r AS (SELECT flow_id, k, CASE k % 5 WHEN 2 THEN '-' WHEN 3 THEN 'aaaa' ELSE cast(k % 260 AS VARCHAR) END AS raw FROM f)
+    SELECT flow_id, CASE raw WHEN '-' THEN NULL WHEN '1' THEN 'A' WHEN '2' THEN 'NS' WHEN '5' THEN 'CNAME' WHEN '6' THEN 'SOA' WHEN '12' THEN 'PTR' WHEN '15' THEN 'MX' WHEN '16' THEN 'TXT' WHEN '28' THEN 'AAAA' WHEN '33' THEN 'SRV' WHEN '35' THEN 'NAPTR' WHEN '43' THEN 'DS' WHEN '46' THEN 'RRSIG' WHEN '47' THEN 'NSEC' WHEN '48' THEN 'DNSKEY' WHEN '50' THEN 'NSEC3' WHEN '52' THEN 'TLSA' WHEN '65' THEN 'HTTPS' WHEN '99' THEN 'SPF' WHEN '251' THEN 'IXFR' WHEN '252' THEN 'AXFR' WHEN '255' THEN 'ANY' ELSE upper(raw) END AS qtype,
+    CASE k % 13 WHEN 0 THEN 'NOERROR' WHEN 1 THEN 'FORMERR' WHEN 2 THEN 'SERVFAIL' WHEN 3 THEN 'NXDOMAIN' WHEN 4 THEN 'NOTIMP' WHEN 5 THEN 'REFUSED' WHEN 6 THEN 'YXDOMAIN' WHEN 7 THEN 'YXRRSET' WHEN 8 THEN 'NXRRSET' WHEN 9 THEN 'NOTAUTH' WHEN 10 THEN 'NOTZONE' ELSE cast(k % 13 AS VARCHAR) END AS rcode FROM r""",
 )
 def code_names(spark, sf_dir):
-    raw = F.expr("CASE k % 5 WHEN 0 THEN '1' WHEN 1 THEN '16' WHEN 2 THEN '-' WHEN 3 THEN 'aaaa' ELSE cast(k AS STRING) END")
-    return views.flows(spark, sf_dir).select("flow_id", codes.name_of_code(raw, codes.QTYPES).alias("qtype"))
+    raw = F.expr("CASE k % 5 WHEN 2 THEN '-' WHEN 3 THEN 'aaaa' ELSE cast(k % 260 AS STRING) END")
+    return views.flows(spark, sf_dir).select("flow_id", codes.name_of_code(raw, codes.QTYPES).alias("qtype"), codes.name_of_code((F.col("k") % 13).cast("string"), codes.RCODES).alias("rcode"))
 
 
 @query(
@@ -93,4 +96,4 @@ def domain_model(spark, sf_dir):
     made = views.read(spark, sf_dir, "pages").select(F.concat(F.substring(F.sha1(F.col("url").cast("binary")), 1, 16), F.lit(".net")).alias("domain"), F.lit(1).alias("label")).distinct()
     rows = hosts.union(made)
     train, test = model.split(rows)
-    return model.score(model.fit(train, trees=20), test).select("domain", "label", F.round("score", 4).alias("score"))
+    return model.score(model.fit(train), test).select("domain", "label", F.round("score", 4).alias("score"))

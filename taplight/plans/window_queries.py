@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taplight.functions import codes
-from taplight.functions import windows as win
+from taplight.functions import rolling as roll
+from taplight.functions.rolling import Rolling
+from taplight.functions.windows import share, whole
+from taplight.operators import detectors
 from taplight.plans.catalog import query
 from taplight.sources import views
-from taplight.sources.views import DAY_US, FLOWS_SQL
+from taplight.sources.views import CLASSIFIED_SQL, COMPLETE_SQL, DAY_US, FLOWS_SQL, INCOMPLETE_SQL
 
 SPAN = 3 * DAY_US
 _BACK = f"ORDER BY ts_us RANGE BETWEEN {SPAN - 1} PRECEDING AND CURRENT ROW"
 
 
-def _by_source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
-    return win.with_order(views.flows(spark, sf_dir), ["src"]), win.within(["src"], SPAN)
+def _by_source(spark: SparkSession, sf_dir: str, measures: dict[str, roll.Measure]) -> DataFrame:
+    return Rolling(("src",), SPAN).over(views.flows(spark, sf_dir), measures)
 
 
 @query(
@@ -28,9 +31,9 @@ def _by_source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
     FROM flows WINDOW w AS (PARTITION BY src {_BACK})""",
 )
 def win_counts(spark, sf_dir):
-    df, w = _by_source(spark, sf_dir)
     service = F.when(F.col("port") <= 49151, F.col("port"))
-    return df.select("flow_id", win.count(w).alias("n"), win.distinct("port", w).alias("ports"), win.distinct("dst", w).alias("hosts"), win.distinct(service, w).alias("service_ports"), win.distinct("proto", w).alias("protos"), (F.max("ts_us").over(w) - F.min("ts_us").over(w)).alias("span_us"))
+    measures = {"n": roll.count(), "ports": roll.distinct("port"), "hosts": roll.distinct("dst"), "service_ports": roll.distinct(service), "protos": roll.distinct("proto"), "first": roll.first_time()}
+    return _by_source(spark, sf_dir, measures).select("flow_id", "n", "ports", "hosts", "service_ports", "protos", (F.col("ts_us") - F.col("first")).alias("span_us"))
 
 
 @query(
@@ -44,8 +47,8 @@ def win_ties(spark, sf_dir):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = views.read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("flow_id"), "l_suppkey", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("ts_us"), "l_partkey", "l_quantity")
     rows = rows.groupBy("flow_id").agg(*(F.min(c).alias(c) for c in ("l_suppkey", "ts_us", "l_partkey", "l_quantity")))
-    df, w = win.with_order(rows, ["l_suppkey"]), win.within(["l_suppkey"], 7 * DAY_US)
-    return df.select("flow_id", win.count(w).alias("n"), win.distinct("l_partkey", w).alias("parts"), F.min("l_quantity").over(w).alias("least"), F.sum("l_quantity").over(w).alias("total"))
+    measures = {"n": roll.count(), "parts": roll.distinct("l_partkey"), "least": roll.least("l_quantity"), "total": roll.total("l_quantity")}
+    return Rolling(("l_suppkey",), 7 * DAY_US).over(rows, measures).select("flow_id", *measures)
 
 
 @query(
@@ -57,56 +60,65 @@ def win_ties(spark, sf_dir):
     FROM flows WINDOW w AS (PARTITION BY src {_BACK})""",
 )
 def win_poisoned_sums(spark, sf_dir):
-    df, w = _by_source(spark, sf_dir)
-    return df.select("flow_id", win.whole_sum("orig_bytes", w).alias("sent"), win.whole_max("orig_bytes", w).alias("largest"), win.whole_sum("resp_bytes", w).alias("received"), win.whole_sum("orig_pkts", w).alias("packets"))
+    measures = {"n": roll.count(), "sent": roll.total("orig_bytes"), "known": roll.known("orig_bytes"), "largest": roll.largest("orig_bytes"), "received": roll.total("resp_bytes"), "packets": roll.total("orig_pkts")}
+    rows = _by_source(spark, sf_dir, measures)
+    return rows.select("flow_id", *(whole(c, "known", "n").alias(c) for c in ("sent", "largest")), "received", "packets")
 
 
 @query(
     "win_state_shares",
     f"""WITH flows AS ({FLOWS_SQL})
-    SELECT flow_id, round(avg(CASE WHEN state IS NOT NULL AND state <> 'OTH' THEN 1 ELSE 0 END) OVER w, 6) AS coverage,
-           round(avg(CASE WHEN state IN ('S0','REJ','RSTOS0','RSTRH','SH','SHR') THEN 1 ELSE 0 END) OVER w, 6) AS incomplete,
+    SELECT flow_id, round(avg(CASE WHEN state IN {CLASSIFIED_SQL} THEN 1 ELSE 0 END) OVER w, 6) AS coverage,
+           round(avg(CASE WHEN state IN {INCOMPLETE_SQL} THEN 1 ELSE 0 END) OVER w, 6) AS incomplete,
            round(avg(CASE WHEN resp_bytes >= 100 THEN 1 ELSE 0 END) OVER w, 6) AS established,
            CASE WHEN min(proto) OVER w = max(proto) OVER w THEN min(proto) OVER w END AS only_proto
     FROM flows WINDOW w AS (PARTITION BY src {_BACK})""",
 )
 def win_state_shares(spark, sf_dir):
-    df, w = _by_source(spark, sf_dir)
-    known = F.col("state").isNotNull() & ~F.col("state").isin(*codes.UNCLASSIFIED_STATES)
-    return df.select("flow_id", F.round(win.share(known, w), 6).alias("coverage"), F.round(win.share(F.col("state").isin(*codes.INCOMPLETE_STATES), w), 6).alias("incomplete"), F.round(win.share(F.col("resp_bytes") >= 100, w), 6).alias("established"), win.only("proto", w).alias("only_proto"))
+    measures = {"n": roll.count(), "coverage": roll.rows_with(codes.classified(F.col("state"))), "incomplete": roll.rows_with(F.col("state").isin(*codes.INCOMPLETE_STATES)), "established": roll.rows_with(F.col("resp_bytes") >= 100), "protos": roll.distinct("proto"), "last_proto": roll.latest("proto")}
+    rows = _by_source(spark, sf_dir, measures)
+    return rows.select("flow_id", *(F.round(share(c, "n"), 6).alias(c) for c in ("coverage", "incomplete", "established")), F.when(F.col("protos") == 1, F.col("last_proto")).alias("only_proto"))
 
 
 @query(
     "win_fanout",
     f"""WITH flows AS ({FLOWS_SQL}),
     p AS (SELECT a.flow_id, b.port, count(DISTINCT b.dst) AS n FROM flows a JOIN flows b ON a.src = b.src AND b.ts_us > a.ts_us - {SPAN} AND b.ts_us <= a.ts_us GROUP BY ALL)
-    SELECT flow_id, max(n) AS fanout, arg_min(port, -n * 100000 + port) AS fanout_port FROM p GROUP BY flow_id""",
+    SELECT flow_id, max(n) AS fanout FROM p GROUP BY flow_id""",
 )
 def win_fanout(spark, sf_dir):
-    """The port that reaches most hosts in the window, the lowest of equal ones."""
-    df, w = _by_source(spark, sf_dir)
-    pairs = df.select("flow_id", F.collect_set(F.struct("port", "dst")).over(w).alias("e")).select("flow_id", F.explode("e").alias("e"))
-    by_port = pairs.groupBy("flow_id", "e.port").agg(F.count(F.lit(1)).alias("n"))
-    return by_port.groupBy("flow_id").agg(F.max("n").alias("fanout"), F.min_by("port", F.struct(-F.col("n"), "port")).alias("fanout_port"))
+    """How many hosts the widest port of each row's window reaches."""
+    return _by_source(spark, sf_dir, {"fanout": roll.widest("port", "dst")}).select("flow_id", "fanout")
+
+
+@query(
+    "win_fanout_port",
+    f"""WITH flows AS ({FLOWS_SQL}), late AS (SELECT * FROM flows WHERE k % 10 = 3),
+    p AS (SELECT a.flow_id, b.port, count(DISTINCT b.dst) AS n FROM late a JOIN flows b ON a.src = b.src AND b.ts_us > a.ts_us - {SPAN} AND b.ts_us <= a.ts_us GROUP BY ALL)
+    SELECT flow_id, max(n) AS fanout, arg_min(port, -n * 100000 + port) AS fanout_port FROM p GROUP BY flow_id""",
+)
+def win_fanout_port(spark, sf_dir):
+    """The widest port itself, for rows that need it as evidence."""
+    flows = views.flows(spark, sf_dir)
+    return detectors.widest_ports(flows.where("k % 10 = 3"), flows, SPAN)
 
 
 @query(
     "win_endpoint_fractions",
     f"""WITH flows AS ({FLOWS_SQL}),
-    p AS (SELECT a.flow_id, b.dst, b.port, max(CASE WHEN b.state IS NOT NULL THEN 1 ELSE 0 END) AS known,
-                 max(CASE WHEN b.state IN ('SF','S1') THEN 1 ELSE 0 END) AS complete, max(CASE WHEN b.resp_bytes >= 100 THEN 1 ELSE 0 END) AS answered
+    p AS (SELECT a.flow_id, b.dst, b.port, max(CASE WHEN b.state IN {CLASSIFIED_SQL} THEN 1 ELSE 0 END) AS known,
+                 max(CASE WHEN b.state IN {COMPLETE_SQL} THEN 1 ELSE 0 END) AS complete, max(CASE WHEN b.resp_bytes >= 100 THEN 1 ELSE 0 END) AS answered
           FROM flows a JOIN flows b ON a.src = b.src AND b.ts_us > a.ts_us - {SPAN} AND b.ts_us <= a.ts_us GROUP BY ALL)
     SELECT flow_id, count(*) AS endpoints, round(avg(known), 6) AS coverage, round(sum(CASE WHEN known = 1 AND complete = 0 THEN 1 ELSE 0 END) / nullif(sum(known), 0), 6) AS incomplete, round(avg(answered), 6) AS answered
     FROM p GROUP BY flow_id""",
 )
 def win_endpoint_fractions(spark, sf_dir):
     """Shares of the window's distinct (host, port) endpoints."""
-    df, w = _by_source(spark, sf_dir)
-    of = lambda c: F.collect_set(F.when(c, F.struct("dst", "port"))).over(w)
-    complete = F.col("state").isNotNull() & ~F.col("state").isin(*codes.INCOMPLETE_STATES, *codes.UNCLASSIFIED_STATES)
-    sets = df.select("flow_id", of(F.lit(True)).alias("all"), of(F.col("state").isNotNull() & ~F.col("state").isin(*codes.UNCLASSIFIED_STATES)).alias("known"), of(complete).alias("complete"), of(F.col("resp_bytes") >= 100).alias("answered"))
-    n = lambda c: F.size(c)
-    return sets.select("flow_id", n("all").cast("long").alias("endpoints"), F.round(n("known") / n("all"), 6).alias("coverage"), F.round((n("known") - n("complete")) / F.nullif(n("known"), F.lit(0)), 6).alias("incomplete"), F.round(n("answered") / n("all"), 6).alias("answered"))
+    endpoint = F.struct("dst", "port")
+    of = lambda c: roll.distinct(F.when(c, endpoint))
+    measures = {"endpoints": roll.distinct(endpoint), "known": of(codes.classified(F.col("state"))), "complete": of(F.col("state").isin(*codes.COMPLETE_STATES)), "responded": of(F.col("resp_bytes") >= 100)}
+    rows = _by_source(spark, sf_dir, measures)
+    return rows.select("flow_id", "endpoints", F.round(share("known", "endpoints"), 6).alias("coverage"), F.round(share(F.col("known") - F.col("complete"), "known"), 6).alias("incomplete"), F.round(share("responded", "endpoints"), 6).alias("answered"))
 
 
 @query(
@@ -117,14 +129,9 @@ def win_endpoint_fractions(spark, sf_dir):
 )
 def win_interval_stats(spark, sf_dir):
     """Gaps between a window's rows: both ends inside, zero gaps left out, population deviation."""
-    df, w = _by_source(spark, sf_dir)
-    times = df.select("flow_id", F.array_sort(F.collect_list("ts_us").over(w)).alias("t")).where(F.size("t") >= 4)
-    gaps = F.filter(F.zip_with(F.slice("t", F.lit(2), F.size("t") - 1), F.slice("t", F.lit(1), F.size("t") - 1), lambda b, a: (b - a) / 1e6), lambda g: g > 0)
-    known = times.select("flow_id", gaps.alias("g")).where(F.size("g") >= 3)
-    mean = F.aggregate("g", F.lit(0.0), lambda a, x: a + x) / F.size("g")
-    with_mean = known.withColumn("m", mean)
-    spread = F.sqrt(F.aggregate(F.transform("g", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda a, x: a + x) / F.size("g"))
-    return with_mean.select("flow_id", F.size("g").cast("long").alias("n_gaps"), F.round(F.col("m") * F.size("g") * 1e6).cast("long").alias("gaps_us"), F.round(spread / F.col("m"), 4).alias("cv"))
+    g = F.col("gaps")
+    rows = _by_source(spark, sf_dir, {"gaps": roll.gaps()}).where(g["n"] >= 3)
+    return rows.select("flow_id", g["n"].alias("n_gaps"), g["us"].alias("gaps_us"), F.round(roll.gap_deviation_us(g) / roll.mean_gap_us(g), 4).alias("cv"))
 
 
 @query(
@@ -134,10 +141,9 @@ def win_interval_stats(spark, sf_dir):
     FROM flows WINDOW p AS (PARTITION BY src, dst {_BACK}), s AS (PARTITION BY src {_BACK})""",
 )
 def win_concentration(spark, sf_dir):
-    pair = win.with_order(views.flows(spark, sf_dir), ["src", "dst"]).withColumn("pair", F.sum("resp_bytes").over(win.within(["src", "dst"], SPAN))).drop(win.ORDER)
-    df = win.with_order(pair, ["src"])
-    source = F.sum("resp_bytes").over(win.within(["src"], SPAN))
-    return df.select("flow_id", F.round(F.when(source > 0, F.least(F.col("pair") / source, F.lit(1.0))).otherwise(0.0), 6).alias("concentration"))
+    pair = Rolling(("src", "dst"), SPAN).over(views.flows(spark, sf_dir), {"pair": roll.total("resp_bytes")})
+    rows = Rolling(("src",), SPAN).over(pair, {"source": roll.total("resp_bytes")})
+    return rows.select("flow_id", F.round(F.when(F.col("source") > 0, F.least(F.col("pair") / F.col("source"), F.lit(1.0))).otherwise(0.0), 6).alias("concentration"))
 
 
 @query(
@@ -153,28 +159,18 @@ def win_concentration(spark, sf_dir):
 )
 def win_global_features(spark, sf_dir):
     """Closed windows: rates, gaps with sample deviation, distinct values and source entropy (per destination here)."""
-    span = 6 * 3_600_000_000
-    df = win.with_order(views.flows(spark, sf_dir), ["dst"])
-    w = win.within(["dst"], span, closed=True)
-    before = F.lag("ts_us").over(Window.partitionBy("dst").orderBy(win.ORDER))
-    df = df.withColumn("gap", (F.col("ts_us") - before) / 1e6)
-    first_ts = F.min("ts_us").over(w)
-    rows = df.withColumns({"span_s": (F.col("ts_us") - first_ts) / 1e6 + 1e-6, "n": win.count(w), "bytes": F.sum("resp_bytes").over(w), "gaps": F.collect_list(F.struct(win.ORDER, "gap")).over(w), "ports": win.distinct("port", w), "srcs": F.collect_list("src").over(w)})
-    inner = F.transform(F.slice(F.array_sort("gaps"), F.lit(2), F.greatest(F.size("gaps") - 1, F.lit(0))), lambda g: g["gap"])
-    rows = rows.withColumn("g", inner).withColumn("m", F.try_divide(F.aggregate("g", F.lit(0.0), lambda a, x: a + x), F.size("g")))
-    spread = F.sqrt(F.try_divide(F.aggregate(F.transform("g", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda a, x: a + x), F.size("g") - 1))
-    distinct = F.array_distinct("srcs")
-    counts = F.transform(distinct, lambda s: F.size(F.filter("srcs", lambda x: x == s)))
-    entropy = F.log2(F.col("n").cast("double")) - F.aggregate(F.transform(counts, lambda c: c * F.log2(c.cast("double"))), F.lit(0.0), lambda a, x: a + x) / F.col("n")
+    measures = {"n": roll.count(), "bytes": roll.total("resp_bytes"), "first": roll.first_time(), "gaps": roll.gaps(), "ports": roll.distinct("port"), "ips": roll.distinct("src"), "logs": roll.count_logs("src")}
+    rows = Rolling(("dst",), 6 * 3_600_000_000, closed=True).over(views.flows(spark, sf_dir), measures)
+    n, g, span_s = F.col("n"), F.col("gaps"), (F.col("ts_us") - F.col("first")) / 1e6 + 1e-6
     return rows.select(
         "flow_id",
-        F.round(F.col("n") / F.col("span_s"), 4).alias("flow_rate"),
-        F.round(F.col("bytes") / F.col("span_s"), 4).alias("byte_rate"),
-        F.round(F.coalesce(F.col("m") * F.size("g"), F.lit(0.0)) * 1e6).cast("long").alias("gaps_us"),
-        F.round(F.when(F.size("g") > 1, spread).otherwise(0.0), 4).alias("gap_stddev"),
+        F.round(n / span_s, 4).alias("flow_rate"),
+        F.round(F.col("bytes") / span_s, 4).alias("byte_rate"),
+        g["us"].alias("gaps_us"),
+        F.round(F.when(n > 2, roll.gap_deviation_us(g, sample=True, n=n - 1) / 1e6).otherwise(0.0), 4).alias("gap_stddev"),
         "ports",
-        F.size(distinct).cast("long").alias("ips"),
-        F.round(entropy, 4).alias("src_entropy"),
+        "ips",
+        F.round(F.log2(n.cast("double")) - F.col("logs") / n, 4).alias("src_entropy"),
     )
 
 

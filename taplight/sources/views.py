@@ -11,11 +11,15 @@ SELECT event_id AS flow_id, {us} AS ts_us, user_id, k,
        concat('10.0.0.', user_id) AS src, concat('192.168.1.', k % 7) AS dst,
        CAST(1 + (k * 37) % 24 + CASE WHEN k % 10 = 0 THEN 50000 ELSE 0 END AS INT) AS port,
        CASE event_type WHEN 'click' THEN 'udp' WHEN 'error' THEN 'icmp' ELSE 'tcp' END AS proto,
-       CASE event_type WHEN 'signup' THEN 'S0' WHEN 'purchase' THEN 'REJ' WHEN 'error' THEN 'SF' WHEN 'click' THEN 'S1' END AS state,
+       CASE k % 23 WHEN 5 THEN 'OTH' WHEN 6 THEN 'odd' WHEN 7 THEN 'RSTR' WHEN 8 THEN 'S2' WHEN 9 THEN 'S3' WHEN 10 THEN 'RSTOS0'
+       ELSE CASE event_type WHEN 'signup' THEN 'S0' WHEN 'purchase' THEN 'REJ' WHEN 'error' THEN 'SF' WHEN 'click' THEN 'S1' END END AS state,
        CASE WHEN k % 50 = 49 THEN NULL ELSE CAST(floor(value * 1000) AS BIGINT) END AS orig_bytes,
        CAST((k * 13) % 300 AS BIGINT) AS resp_bytes, CAST(1 + k % 10 AS BIGINT) AS orig_pkts, event_type, value
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events}) e
 """
+#: Connection states that tell whether the exchange was completed, as SQL lists.
+COMPLETE_SQL, INCOMPLETE_SQL = "('S1', 'S2', 'S3', 'SF', 'RSTO', 'RSTR')", "('S0', 'REJ', 'RSTOS0', 'RSTRH', 'SH', 'SHR')"
+CLASSIFIED_SQL = f"{COMPLETE_SQL[:-1]}, {INCOMPLETE_SQL[1:]}"
 FLOWS_SQL = _FLOWS.format(us="epoch_us(ts)", events="events")
 
 
