@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CORE = "flow_id string, uid string, timestamp double, ts double, src_ip string, src_port int, dst_ip string, dst_port int, proto string, service string, duration double, orig_bytes bigint, resp_bytes bigint, orig_pkts bigint, resp_pkts bigint, conn_state string"
-TRANSACTION = "uid string, event_time double, source_ordinal bigint, query string, qtype string, rcode string, transaction_count int"
-SCHEMA = f"{CORE}, dns struct<{TRANSACTION.replace(' string', ': string').replace(' double', ': double').replace(' bigint', ': bigint').replace(' int', ': int')}>, dns_transactions array<struct<{TRANSACTION.replace(' string', ': string').replace(' double', ': double').replace(' bigint', ': bigint').replace(' int', ': int')}>>"
+from taplight.functions import codes
+
+CORE = "flow_id string, uid string, timestamp double, ts double, src_ip string, src_port int, dst_ip string, dst_port int, proto string, service string, duration double, orig_bytes bigint, resp_bytes bigint, orig_pkts bigint, resp_pkts bigint, conn_state string, conn_state_encoded int"
+_ENDS = "event_time:double,source_ordinal:bigint,src_ip:string,src_port:int,dst_ip:string,dst_port:int,proto:string"
+BLOCKS = {
+    "dns": "uid:string,query:string,qtype:string,rcode:string,query_length:int,query_entropy:double,subdomain_entropy:double,is_txt:boolean,label_count:int,answer_count:int,rejected:boolean",
+    "tls": "uid:string,ja3:string,ja3s:string,ja4:string,server_name:string,version:string,cipher:string,ssl_version_encoded:int,sni_length:int,sni_entropy:double",
+    "http": "uid:string,host:string,uri:string,user_agent:string,method:string,method_encoded:int,status_code:int,host_length:int,uri_length:int,uri_entropy:double,has_user_agent:boolean,user_agent_length:int,request_body_len:bigint,response_body_len:bigint",
+}
+SCHEMA = ", ".join([CORE, *(f"{k} struct<{f},transaction_count:int>, {k}_transactions array<struct<{f},{_ENDS}>>" for k, f in BLOCKS.items())])
 REQUIRED = ("src_ip", "dst_ip", "proto", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")
 NUMBERS = ("src_port", "dst_port", "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "timestamp", "ts")
 
@@ -29,9 +36,21 @@ def parse(lines: DataFrame) -> DataFrame:
     kind = F.schema_of_variant("json")
     rows = raw.withColumns({"kind": kind, "record": F.when(kind.startswith("OBJECT"), F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}))})
     record, json = F.col("record"), F.col("json")
-    transactions = record["dns_transactions"]
-    ordinals = F.transform(transactions, lambda t: t["source_ordinal"])
-    rising = F.forall(F.sequence(F.lit(1), F.greatest(F.size(ordinals) - 1, F.lit(1))), lambda i: F.coalesce(F.get(ordinals, i) > F.get(ordinals, i - 1), F.lit(True)))
+    shapes: dict[str, Column] = {}
+    for kind_name in BLOCKS:
+        block, rows_of, n = record[kind_name], record[f"{kind_name}_transactions"], F.size(record[f"{kind_name}_transactions"])
+        given = _json_type(json, f"{kind_name}_transactions").startswith("ARRAY")
+        ordinals = F.filter(F.transform(rows_of, lambda t: t["source_ordinal"]), lambda o: o.isNotNull())
+        rising = F.forall(F.sequence(F.lit(1), F.greatest(F.size(ordinals) - 1, F.lit(1))), lambda i: F.coalesce(F.get(ordinals, i) > F.get(ordinals, i - 1), F.lit(True)))  # noqa: B023
+        uids = F.filter(F.concat(F.array(record["uid"], block["uid"]), F.coalesce(F.transform(rows_of, lambda t: t["uid"]), F.array().cast("array<string>"))), lambda u: u != "")
+        prefix = "" if kind_name == "dns" else f"{kind_name}_"
+        shapes |= {
+            f"type_{kind_name}": record.isNotNull() & ~F.coalesce(_json_type(json, kind_name), F.lit("VOID")).rlike("^(OBJECT|VOID)"),
+            f"type_{kind_name}_transactions": record.isNotNull() & ~F.coalesce(_json_type(json, f"{kind_name}_transactions"), F.lit("VOID")).rlike("^(ARRAY<(OBJECT|VOID)|VOID)"),
+            f"{prefix}transactions": given & F.when(block.isNull(), n > 0).otherwise((n == 0) | F.coalesce(block["transaction_count"] != n, F.lit(True))),
+            f"{prefix}transaction_uids": (n > 0) & (F.size(F.array_distinct(uids)) > 1),
+            f"{prefix}transaction_order": (n > 0) & ~rising,
+        }
     tests = {
         "json": json.isNull(),
         "object": json.isNotNull() & ~F.col("kind").startswith("OBJECT"),
@@ -40,9 +59,7 @@ def parse(lines: DataFrame) -> DataFrame:
         "port": record["dst_port"].isNotNull() & ~record["dst_port"].between(0, 65535),
         "address": (record["src_ip"] == "") | (record["dst_ip"] == ""),
         "time": record.isNotNull() & timestamp(record, json).isNull(),
-        "transactions": transactions.isNotNull() & (record["dns"].isNull() | (F.size(transactions) == 0) | (F.coalesce(record["dns"]["transaction_count"], F.size(transactions)) != F.size(transactions))),
-        "transaction_uids": F.size(F.array_distinct(F.transform(transactions, lambda t: t["uid"]))) > 1,
-        "transaction_order": transactions.isNotNull() & ~rising,
+        **shapes,
     }
     reasons = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in tests.items())), lambda x: x.isNotNull())
     return rows.withColumn("reasons", reasons).withColumn("time", timestamp(record, json))
@@ -55,3 +72,15 @@ def read(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFram
     if strict and (bad := rows.where(F.size("reasons") > 0).select("reasons").first()):
         raise ValueError(f"a record was rejected: {', '.join(bad['reasons'])}")
     return good.select("record.*", F.col("time").alias("event_time")), rows.where(F.size("reasons") > 0).select("value", "reasons")
+
+
+def decoded(flows: DataFrame) -> DataFrame:
+    """Flows whose names of states, versions and methods are filled from their codes where the texts are lacking."""
+    state = F.coalesce(F.nullif("conn_state", F.lit("")), codes.lookup(codes.CONN_STATES, F.col("conn_state_encoded")))
+    named = lambda block, text, code, table: F.when(F.col(block).isNotNull(), F.col(block).withField(text, F.coalesce(F.col(block)[text], codes.lookup(table, F.col(block)[code]))))
+    return flows.withColumns({"conn_state": state, "tls": named("tls", "version", "ssl_version_encoded", codes.TLS_VERSIONS), "http": named("http", "method", "method_encoded", codes.HTTP_METHODS)})
+
+
+def write(flows: DataFrame, path: str, nulls: bool = False) -> None:
+    """Records as JSON lines below a new path; an existing one is an error."""
+    flows.write.mode("errorifexists").option("ignoreNullFields", str(not nulls).lower()).json(path)

@@ -22,6 +22,8 @@ def _rows(frame: pd.DataFrame, names: list[str]) -> list[tuple]:
     def plain(v):
         if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return "null"
+        if str(v) in ("True", "False"):
+            return str(v)
         return f"{float(v):.6f}" if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
 
     return sorted(tuple(map(plain, r)) for r in frame[names].itertuples(index=False))
