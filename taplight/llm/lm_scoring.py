@@ -1,19 +1,21 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from the words on both its sides.
 
 A token is a word, hashed to one of BUCKETS; the corpus counts of all buckets, gathered over all documents, rank them.
-The most frequent are classes of their own, the others share CLASSES in all: stretches of the frequency order that
-hold about equal shares of the tokens.  The network reads the classes of the two words before and the two after,
-through a table per place, a tanh layer and a softmax over classes; within a class a binary tree of logistic units on
-the same hidden layer leads to the word, so that every word's probability depends on both sides.  The sum of the
-conditional log-probabilities of all tokens of a document, each given both sides, is its pseudo-log-likelihood.
-
-Training is data-parallel: in each round every task trains a copy, in numpy, on every position of its documents;
-Spark sums the copies, weighted by their positions (a tree's unit by how often the copy passed it), and the mean starts
-the next round.  What is gathered -- counts and weights of every task -- grows with the input; what any worker holds
-does not.
+The network reads the two words before and the two after: the most frequent buckets have rows of their own in a table
+per place, the others share SHARED rows in stretches of the frequency order.  A tanh layer feeds three softmax layers
+which spell the token: its class (the OWN most frequent are classes of their own), a digit within the class and a digit
+within that, all of about equal mass; a bucket's corpus share among those of one spelling completes its probability.
+The sum of the conditional log-probabilities of all tokens of a document, each given both sides, is its
+pseudo-log-likelihood.
+
+Training is data-parallel: documents are dealt by a hash to shards of about SHARD tokens, in each round a copy of the
+network is trained, in numpy, on every position of every document of a shard, in order of identifier; Spark sums the
+copies, weighted by their positions (a table's row by how often the copy read it), and the mean starts the next round.
+Shards depend on the documents alone, so scores don't change with the number of tasks but by rounding.  What is gathered
+-- counts and weights of every shard -- grows with the input; what any worker holds does not.
 
 Defined results: null and empty texts have no tokens, log-likelihood 0 and a null mean; repeated rows have equal scores;
-in an empty table nothing is trained and nothing returned.  Texts are read whole.
+in an empty table nothing is trained and nothing returned.  Texts are read whole; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,233 +29,239 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taplight.llm.common import holds_tables, id_and_text, shared_dir, small_batches, table, written
-from taplight.llm.words import words_of
+from taplight.llm.common import bytes_of, holds_tables, id_and_text, shared_dir, small_batches, table, written
+from taplight.llm.words import split_words
 
 BUCKETS = 1 << 16
-CLASSES, OWN = 128, 96
+OWN, TAIL, DIGITS = 48, 16, 64
+CLASSES = OWN + TAIL
+#: Rows of a place's table: frequent buckets, stretches of the others, and the edge of a document.
+FREQUENT, SHARED = 4064, 32
+EDGE = FREQUENT + SHARED
 SIDE, HIDDEN = 2, 32
-ROUNDS, BATCH, RATE, UNIT_RATE = 1, 256, 0.003, 0.03
-#: The deepest tree that a class can have.
-DEPTH = (BUCKETS - OWN - 1).bit_length()
+PLACES = tuple(k for k in range(-SIDE, SIDE + 1) if k)
+TABLES = len(PLACES) * (EDGE + 1)
+#: Rows of HIDDEN weights beyond the tables: the bias, the three outputs, and the classes' biases.
+OUT = CLASSES + 2 * DIGITS
+ROWS = TABLES + 1 + OUT + CLASSES // HIDDEN
+ROUNDS, BATCH, RATE, TABLE_RATE = 1, 1024, 0.003, 0.05
+#: Tokens of a shard, about; each shard trains a copy of its own.
+SHARD = 4_000_000
 #: Positions that are scored at once: their logits stay in a core's cache.
 SCORED = 4096
 KEPT_WORDS = 400_000
-PLACES = tuple(k for k in range(-SIDE, SIDE + 1) if k)
-#: Rows of HIDDEN weights: a table of classes and the edge for each place, the bias, the output and its bias.
-_TABLES = len(PLACES) * (CLASSES + 1)
-ROWS = _TABLES + 1 + CLASSES + CLASSES // HIDDEN
+#: The logarithm that stands for a share of nothing.
+NEVER = -30.0
 
-_known: dict[str, int] = {}
+_known: dict[bytes, int] = {}
 
 
-def bucket_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def bucket_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words of several documents end to end, and each document's number of words."""
     holds_tables("language model", _known.clear)
     if len(_known) > KEPT_WORDS:
         _known.clear()
     known = _known
-    split = [words_of(t) for t in texts]
+    split = [split_words(t) for t in texts]
     flat = [w for s in split for w in s]
     for w in set(flat).difference(known):
-        known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
-    return np.fromiter(map(known.__getitem__, flat), np.int64, len(flat)), np.array([len(s) for s in split], np.int64)
+        known[w] = zlib.crc32(w) % BUCKETS
+    return np.fromiter(map(known.__getitem__, flat), np.uint16, len(flat)), np.array([len(s) for s in split], np.int64)
 
 
-class Vocabulary:
-    """Classes of buckets, and the units from a class's root to each of its buckets.
+def _halves(mass: np.ndarray, group: np.ndarray, parts: int) -> np.ndarray:
+    """For each of a row of masses the part it falls into, of ``parts`` about equal ones of its group (rising numbers)."""
+    total = np.bincount(group, mass)
+    before = np.concatenate(([0.0], np.cumsum(total)))[group]
+    middle = np.cumsum(mass) - mass / 2 - before
+    return np.minimum(middle * parts / total[group], parts - 1).astype(np.int64)
 
-    A class's buckets stand in frequency order; a unit halves a stretch of them and has the number of the place where
-    it does, which no other unit has.  ``units`` has -1 where a bucket passes no unit of that depth.
-    """
+
+def _log_shares(group: np.ndarray, mass: np.ndarray, groups: int, parts: int) -> np.ndarray:
+    """Logarithms of each part's share of its group, from parts numbered across groups."""
+    sums = np.bincount(group, mass, groups * parts).reshape(groups, parts)
+    shares = sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-300)
+    return np.where(shares > 0, np.log(np.maximum(shares, 1e-13)), NEVER).astype(np.float32)
+
+
+class Vocabulary:
+    """How every bucket is read (its row of a place's table) and spelt (class, two digits, share)."""
 
     def __init__(self, counts: np.ndarray) -> None:
         order = np.argsort(-counts, kind="stable")
-        smooth = counts + 1.0
-        mass = np.cumsum(smooth[order[OWN:]])
-        tail = np.minimum((mass - smooth[order[OWN:]] / 2) * ((CLASSES - OWN) / mass[-1]), CLASSES - OWN - 1).astype(np.int64)
+        mass = counts[order] + 1.0
+        self.row = np.empty(BUCKETS, np.int64)
+        self.row[order[:FREQUENT]] = np.arange(FREQUENT)
+        self.row[order[FREQUENT:]] = FREQUENT + _halves(mass[FREQUENT:], np.zeros(BUCKETS - FREQUENT, np.int64), SHARED)
+        rest = mass[OWN:]
+        tail = _halves(rest, np.zeros(len(rest), np.int64), TAIL)
+        one = _halves(rest, tail, DIGITS)
+        first = tail * DIGITS + one
+        two = _halves(rest, np.unique(first, return_inverse=True)[1], DIGITS)
+        spelling = first * DIGITS + two
         self.of = np.empty(BUCKETS, np.int64)
         self.of[order] = np.concatenate((np.arange(OWN), OWN + tail))
-        self.log_class = np.log(np.maximum(np.bincount(self.of, smooth, CLASSES) / smooth.sum(), 1e-12)).astype(np.float32)
-        self.units, self.right = np.full((BUCKETS, DEPTH), -1, np.int32), np.zeros((BUCKETS, DEPTH), bool)
-        self.log_odds = np.zeros(BUCKETS, np.float32)
-        for start, size in zip(*np.unique(np.searchsorted(tail, tail), return_counts=True), strict=True):
-            some = order[OWN + start : OWN + start + size]
-            before = np.concatenate(([0], np.cumsum(smooth[some])))
-            at, levels = np.arange(size), int(size - 1).bit_length()
-            for d in range(levels):
-                low = at >> (levels - d) << (levels - d)
-                middle = low + (1 << (levels - d - 1))
-                halved = np.flatnonzero(middle < size)
-                low, middle = low[halved], middle[halved]
-                high = np.minimum(low + (1 << (levels - d)), size)
-                self.units[some[halved], d] = start + middle
-                self.right[some[halved], d] = at[halved] >= middle
-                self.log_odds[start + middle] = np.log((before[high] - before[middle]) / (before[middle] - before[low]))
-
-    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The units that tokens pass, in order of tokens: the token's place, the unit, whether it goes right."""
-        units = self.units[ids]
-        token, depth = np.nonzero(units >= 0)
-        return token, units[token, depth], self.right[ids[token], depth]
-
-
-def initial_units(vocabulary: Vocabulary) -> np.ndarray:
-    """HIDDEN weights of zero for each unit, and the log-odds of its halves as its bias."""
-    return np.column_stack((np.zeros((BUCKETS, HIDDEN), np.float32), vocabulary.log_odds))
+        self.one, self.two, self.first = (np.zeros(BUCKETS, np.int64) for _ in range(3))
+        self.one[order[OWN:]], self.two[order[OWN:]], self.first[order[OWN:]] = one, two, first
+        self.share = np.zeros(BUCKETS, np.float32)
+        self.share[order[OWN:]] = np.log(rest / np.bincount(spelling, rest)[spelling])
+        self.log_class = np.log(np.bincount(self.of[order], mass, CLASSES) / mass.sum()).astype(np.float32)
+        self.log_one = _log_shares(first, rest, TAIL, DIGITS)
+        self.log_two = _log_shares(spelling, rest, TAIL * DIGITS, DIGITS)
 
 
 def initial(vocabulary: Vocabulary, seed: int = 11) -> np.ndarray:
-    """Small random tables, an output of zeros and the classes' log-frequencies as its bias."""
+    """Small random tables and outputs, and the classes' log-frequencies as their bias."""
     out = np.zeros((ROWS, HIDDEN), np.float32)
-    out[:_TABLES] = np.random.default_rng(seed).normal(0, 0.3, (_TABLES, HIDDEN))
-    out[_TABLES + 1 : _TABLES + 1 + CLASSES] = np.random.default_rng(seed + 1).normal(0, 0.05, (CLASSES, HIDDEN))
-    out[_TABLES + 1 + CLASSES :] = vocabulary.log_class.reshape(-1, HIDDEN)
+    out[:TABLES] = np.random.default_rng(seed).normal(0, 0.3, (TABLES, HIDDEN))
+    out[TABLES + 1 : TABLES + 1 + OUT] = np.random.default_rng(seed + 1).normal(0, 0.05, (OUT, HIDDEN))
+    out[TABLES + 1 + OUT :] = vocabulary.log_class.reshape(-1, HIDDEN)
     return out
 
 
-def contexts(classes: np.ndarray, sizes: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """For each place (a row) and token the row of the tables to read; beyond a document's ends it is the edge's.
-
-    ``at`` are the tokens wanted, all if it is not given.
-    """
-    if at is None:
-        at = np.arange(len(classes))
-    ends = np.repeat(np.cumsum(sizes), sizes)[at]
-    begins = np.repeat(np.cumsum(sizes) - sizes, sizes)[at]
-    out = np.empty((len(PLACES), len(at)), np.int64)
+def contexts(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each place (a row) and token the row of the tables to read; beyond a document's ends it is the edge's."""
+    n = len(rows)
+    out = np.empty((len(PLACES), n), np.int64)
+    ends = np.cumsum(sizes)
     for i, k in enumerate(PLACES):
-        near = at + k
-        outside = (near >= ends) if k > 0 else (near < begins)
-        out[i] = classes[np.clip(near, 0, max(0, len(classes) - 1))] + i * (CLASSES + 1)
-        out[i, outside] = CLASSES + i * (CLASSES + 1)
+        base = i * (EDGE + 1)
+        out[i] = base + EDGE
+        if k > 0:
+            out[i, : max(0, n - k)] = rows[k:] + base
+            for back in range(1, k + 1):
+                out[i, (ends - back)[sizes >= back]] = base + EDGE
+        else:
+            out[i, -k:] = rows[:k] + base
+            for on in range(-k):
+                out[i, (ends - sizes + on)[sizes > on]] = base + EDGE
     return out
 
 
-def _parts(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return weights[:_TABLES], weights[_TABLES], weights[_TABLES + 1 : _TABLES + 1 + CLASSES], weights[_TABLES + 1 + CLASSES :].reshape(-1)
+def _parts(weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tables, bias, the three outputs, the classes' biases."""
+    out = weights[TABLES + 1 : TABLES + 1 + OUT]
+    return weights[:TABLES], weights[TABLES], out[:CLASSES], out[CLASSES : CLASSES + DIGITS], out[CLASSES + DIGITS :], weights[TABLES + 1 + OUT :].reshape(-1)
 
 
-def _forward(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    tables, bias, output, output_bias = _parts(weights)
-    hidden = tables.take(rows[0], axis=0)
+def _hidden(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    hidden = weights.take(rows[0], axis=0)
     for near in rows[1:]:
-        hidden += tables.take(near, axis=0)
-    hidden += bias
-    np.tanh(hidden, out=hidden)
-    logits = hidden @ output.T
-    logits += output_bias
-    return hidden, logits
-
-
-def _unit_logits(hidden: np.ndarray, units: np.ndarray, token: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The logit of going right for each (token, unit), with the hidden layers and the units' weights that gave it."""
-    inputs, weights = hidden.take(token, axis=0), units.take(unit, axis=0)
-    logits = np.einsum("ij,ij->i", inputs, weights[:, :HIDDEN])
-    logits += weights[:, HIDDEN]
-    return logits, inputs, weights
-
-
-def log_probabilities(weights: np.ndarray, rows: np.ndarray, target: np.ndarray, units: np.ndarray | None = None, vocabulary: Vocabulary | None = None, ids: np.ndarray | None = None) -> np.ndarray:
-    """Log-probability of each target class; with ``units``, of each bucket of ``ids``."""
-    out = np.empty(len(target), np.float32)
-    _, _, output, output_bias = _parts(weights)
-    # A tanh unit is in [-1, 1], so no logit can pass this; where exp can't overflow, the greatest isn't taken off.
-    bounded = float((np.abs(output).sum(axis=1) + np.abs(output_bias)).max()) < 60
-    for i in range(0, len(target), SCORED):
-        some = slice(i, i + SCORED)
-        hidden, logits = _forward(weights, rows[:, some])
-        if not bounded:
-            logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[np.arange(len(logits)), target[some]]
-        np.exp(logits, out=logits)
-        out[some] = picked - np.log(logits.sum(axis=1))
-        if units is not None:
-            token, unit, right = vocabulary.paths(ids[some])
-            z = _unit_logits(hidden, units, token, unit)[0]
-            np.negative(z, out=z, where=right)
-            out[some] -= np.bincount(token, np.logaddexp(0, z), len(hidden)).astype(np.float32)
-    return out
+        hidden += weights.take(near, axis=0)
+    hidden += weights[TABLES]
+    return np.tanh(hidden, out=hidden)
 
 
-def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers of ``at`` in order and the sum of each one's rows."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], np.add.reduceat(values[order], first, axis=0)
+def log_probabilities(weights: np.ndarray, rows: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
+    """Log-probability of each bucket of ``ids`` given the rows that stand around it."""
+    out = np.empty(len(ids), np.float32)
+    _, _, classes, first, second, bias = _parts(weights)
+
+    def picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        logits -= logits.max(axis=1, keepdims=True)
+        chosen = logits[np.arange(len(at)), at]
+        np.exp(logits, out=logits)
+        return chosen - np.log(logits.sum(axis=1))
+
+    for i in range(0, len(ids), SCORED):
+        some = ids[i : i + SCORED]
+        hidden = _hidden(weights, rows[:, i : i + SCORED])
+        each = picked(hidden @ classes.T + bias, vocabulary.of[some])
+        tail = np.flatnonzero(vocabulary.of[some] >= OWN)
+        if len(tail):
+            hidden, words = hidden.take(tail, axis=0), some[tail]
+            digit = hidden @ first.T
+            digit += vocabulary.log_one.take(vocabulary.of[words] - OWN, axis=0)
+            spelt = picked(digit, vocabulary.one[words]) + vocabulary.share[words]
+            digit = hidden @ second.T
+            digit += vocabulary.log_two.take(vocabulary.first[words], axis=0)
+            each[tail] += spelt + picked(digit, vocabulary.two[words])
+        out[i : i + SCORED] = each
+    return out
 
 
 class Trainer:
-    """Adam on the class's cross-entropy; Adagrad on that of the units, of which a step passes few."""
+    """Adam on the outputs and biases, Adagrad on the tables, of which a step reads few rows."""
 
-    def __init__(self, weights: np.ndarray, units: np.ndarray | None = None, vocabulary: Vocabulary | None = None) -> None:
-        self.weights = weights.copy()
-        self.first, self.second, self.step = np.zeros_like(weights), np.zeros_like(weights), 0
-        self.vocabulary = vocabulary
-        if units is not None:
-            self.units, self.squares, self.passed = units.copy(), np.zeros_like(units), np.zeros(len(units), np.int64)
+    def __init__(self, weights: np.ndarray, vocabulary: Vocabulary) -> None:
+        self.weights, self.vocabulary, self.step = weights.copy(), vocabulary, 0
+        self.squares, self.read = np.zeros((TABLES, HIDDEN), np.float32), np.zeros(TABLES, np.int64)
+        self.first, self.second = (np.zeros((ROWS - TABLES, HIDDEN), np.float32) for _ in range(2))
 
-    def learn(self, rows: np.ndarray, target: np.ndarray, ids: np.ndarray | None = None) -> None:
-        hidden, logits = _forward(self.weights, rows)
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        logits[np.arange(len(target)), target] -= 1
-        logits /= len(target)
-        _, _, output, _ = _parts(self.weights)
-        back = logits @ output
-        if ids is not None:
-            self._learn_units(hidden, back, ids)
+    def learn(self, rows: np.ndarray, ids: np.ndarray) -> None:
+        """A step on the cross-entropy of what ``ids`` spell."""
+        words, n = self.vocabulary, len(ids)
+        _, _, classes, first, second, bias = _parts(self.weights)
+        hidden = _hidden(self.weights, rows)
+        grad = np.zeros((ROWS - TABLES, HIDDEN), np.float32)
+
+        def wrong(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            logits -= logits.max(axis=1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits *= (np.float32(1 / n) / logits.sum(axis=1))[:, None]
+            logits[np.arange(len(at)), at] -= np.float32(1 / n)
+            return logits
+
+        of = words.of[ids]
+        gap = wrong(hidden @ classes.T + bias, of)
+        back = gap @ classes
+        grad[1 : 1 + CLASSES] = gap.T @ hidden
+        grad[1 + OUT :] = gap.sum(axis=0).reshape(-1, HIDDEN)
+        tail = np.flatnonzero(of >= OWN)
+        if len(tail):
+            inner, rare = hidden.take(tail, axis=0), ids[tail]
+            digit = inner @ first.T
+            digit += words.log_one.take(of[tail] - OWN, axis=0)
+            gap = wrong(digit, words.one[rare])
+            more = gap @ first
+            grad[1 + CLASSES : 1 + CLASSES + DIGITS] = gap.T @ inner
+            digit = inner @ second.T
+            digit += words.log_two.take(words.first[rare], axis=0)
+            gap = wrong(digit, words.two[rare])
+            more += gap @ second
+            grad[1 + CLASSES + DIGITS : 1 + OUT] = gap.T @ inner
+            back[tail] += more
         back *= 1 - hidden * hidden
-        grad = np.zeros_like(self.weights)
-        at, sums = _summed(rows.reshape(-1), np.tile(back, (len(PLACES), 1)))
-        grad[at] = sums
-        grad[_TABLES] = back.sum(axis=0)
-        grad[_TABLES + 1 : _TABLES + 1 + CLASSES] = logits.T @ hidden
-        grad[_TABLES + 1 + CLASSES :] = logits.sum(axis=0).reshape(-1, HIDDEN)
+        grad[0] = back.sum(axis=0)
+        self._tables(rows, back)
         self.step += 1
         self.first += 0.1 * (grad - self.first)
         self.second += 0.001 * (grad * grad - self.second)
-        self.weights -= RATE * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.999**self.step)) + 1e-8)
-
-    def _learn_units(self, hidden: np.ndarray, back: np.ndarray, ids: np.ndarray) -> None:
-        """A step of the units that the tokens pass; what they hand back to the hidden layer is added to ``back``."""
-        token, unit, right = self.vocabulary.paths(ids)
-        if not len(token):
-            return
-        z, inputs, weights = _unit_logits(hidden, self.units, token, unit)
-        wrong = ((1 / (1 + np.exp(-z)) - right) / np.float32(len(ids))).astype(np.float32)[:, None]
-        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        back[token[first]] += np.add.reduceat(weights[:, :HIDDEN] * wrong, first, axis=0)
-        at, grad = _summed(unit, np.concatenate((inputs * wrong, wrong), axis=1))
-        np.add.at(self.passed, unit, 1)
-        squares = self.squares[at] + grad * grad
+        self.weights[TABLES:] -= RATE * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.999**self.step)) + 1e-8)
+
+    def _tables(self, rows: np.ndarray, back: np.ndarray) -> None:
+        flat = rows.reshape(-1)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        sorted_rows = flat[order]
+        starts = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
+        at = sorted_rows[starts]
+        grad = np.add.reduceat(back.take(order % rows.shape[1], axis=0), starts, axis=0)
+        self.read[at] += np.diff(np.append(starts, len(flat)))
+        squares = self.squares.take(at, axis=0)
+        squares += grad * grad
         self.squares[at] = squares
-        self.units[at] -= UNIT_RATE * grad / (np.sqrt(squares) + 1e-8)
-
-
-IDS = "doc_id long, ids array<int>"
+        self.weights[at] -= TABLE_RATE * grad / (np.sqrt(squares) + 1e-8)
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the buckets of every whole text's words, split and hashed once for all passes."""
+    """(doc_id, ids): the buckets of every whole text's words, two bytes each; split and hashed once for all passes."""
     small_batches(docs.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes = bucket_ids(batch.column("text").to_pylist())
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
+            ids, sizes = bucket_ids(bytes_of(batch))
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32) * np.int32(2)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], ["doc_id", "ids"])
 
-    rows = id_and_text(docs, id_col, text_col).mapInArrow(split, IDS)
+    rows = id_and_text(docs, id_col, text_col).mapInArrow(split, "doc_id long, ids binary")
     return written(rows, shared_dir(docs.sparkSession, "lm"))
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """A batch's buckets end to end, and each document's number of words."""
-    lists = batch.column("ids")
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    packed = batch.column("ids").to_pylist()
+    return np.frombuffer(b"".join(packed), "<u2").astype(np.int64), np.array([len(p) // 2 for p in packed], np.int64)
 
 
 def corpus_counts(rows: DataFrame) -> np.ndarray:
@@ -275,56 +283,74 @@ def corpus_counts(rows: DataFrame) -> np.ndarray:
 class Model(NamedTuple):
     vocabulary: Vocabulary
     weights: np.ndarray
-    units: np.ndarray
+    #: Tokens of the corpus.
+    tokens: int
+
+
+NAMES = [f"w{k}" for k in range(HIDDEN)]
 
 
-def train_round(rows: DataFrame, model: Model) -> Model:
-    """The mean of the copies that all tasks train from ``model``, weighted by the positions that each row of weights saw."""
-    names = [f"w{k}" for k in range(HIDDEN + 1)]
+def _copy(trainer: Trainer, seen: int) -> pa.RecordBatch:
+    """A shard's copy of the rows that it trained, times the positions each has seen."""
+    some = np.flatnonzero(trainer.read)
+    at = np.concatenate((some, np.arange(TABLES, ROWS)))
+    n = np.concatenate((trainer.read[some], np.full(ROWS - TABLES, seen)))
+    scaled = trainer.weights[at].astype(np.float64) * n[:, None]
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64()), *(pa.array(scaled[:, k]) for k in range(HIDDEN))], ["row", "seen", *NAMES])
+
+
+def train_round(rows: DataFrame, model: Model, shard_tokens: int = SHARD) -> Model:
+    """The mean of the copies that all shards train from ``model``, weighted by the positions that each row of weights saw."""
+    shards = max(1, -(-model.tokens // shard_tokens))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights, units = shared.value
-        trainer, held, seen = Trainer(weights, units, vocabulary), [], 0
-        for batch in batches:
-            ids, sizes = _ids(batch)
-            held.append((contexts(vocabulary.of[ids], sizes), ids))
-            if sum(len(t) for _, t in held) >= BATCH:
-                x, y = np.concatenate([a for a, _ in held], axis=1), np.concatenate([b for _, b in held])
-                full = len(y) // BATCH * BATCH
-                for i in range(0, full, BATCH):
-                    some = slice(i, i + BATCH)
-                    trainer.learn(x[:, some], vocabulary.of[y[some]], y[some])
-                held = [(x[:, full:], y[full:])]
-                seen += full
-        if sum(len(t) for _, t in held):
+        vocabulary, weights, _ = shared.value
+        current, trainer, held, seen, waiting = None, None, [], 0, 0
+
+        def steps(last: bool) -> None:
+            nonlocal held, seen, waiting
             x, y = np.concatenate([a for a, _ in held], axis=1), np.concatenate([b for _, b in held])
-            trainer.learn(x, vocabulary.of[y], y)
-            seen += len(y)
+            stop = len(y) if last else len(y) // BATCH * BATCH
+            for i in range(0, stop, BATCH):
+                trainer.learn(x[:, i : min(i + BATCH, stop)], y[i : min(i + BATCH, stop)])
+            held, seen, waiting = [(x[:, stop:], y[stop:])], seen + stop, len(y) - stop
+
+        for batch in batches:
+            numbers = batch.column("shard").to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1]))).tolist() if len(numbers) else []
+            for a, b in zip(edges, [*edges[1:], len(numbers)], strict=True):
+                if numbers[a] != current:
+                    if waiting:
+                        steps(True)
+                    if seen:
+                        yield _copy(trainer, seen)
+                    current, trainer, held, seen, waiting = numbers[a], Trainer(weights, vocabulary), [], 0, 0
+                ids, sizes = _ids(batch.slice(a, b - a))
+                held.append((contexts(vocabulary.row[ids], sizes), ids))
+                waiting += len(ids)
+                if waiting >= BATCH:
+                    steps(False)
+        if waiting:
+            steps(True)
         if seen:
-            some = np.flatnonzero(trainer.passed)
-            at = np.concatenate((np.arange(ROWS), ROWS + some))
-            n = np.concatenate((np.full(ROWS, seen), trainer.passed[some]))
-            scaled = np.concatenate((np.pad(trainer.weights, ((0, 0), (0, 1))), trainer.units[some])).astype(np.float64) * n[:, None]
-            cols = [pa.array(at, pa.int32()), pa.array(n, pa.int64()), *(pa.array(scaled[:, k]) for k in range(HIDDEN + 1))]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "seen", *names])
-
-    copies = rows.select("ids").mapInArrow(learn, "row int, seen long, " + ", ".join(f"{n} double" for n in names))
-    found = copies.groupBy("row").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in names)).toArrow()
+            yield _copy(trainer, seen)
+
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    copies = dealt.select("shard", "ids").mapInArrow(learn, "row int, seen long, " + ", ".join(f"{n} double" for n in NAMES))
+    found = copies.groupBy("row").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in NAMES)).toArrow()
     shared.unpersist()
-    at, seen = found["row"].to_numpy(), found["seen"].to_numpy()
-    means = np.column_stack([found[n].to_numpy() / seen for n in names]).astype(np.float32)
-    weights, units, top = model.weights.copy(), model.units.copy(), at < ROWS
-    weights[at[top]] = means[top, :HIDDEN]
-    units[at[~top] - ROWS] = means[~top]
-    return Model(model.vocabulary, weights, units)
+    out = model.weights.copy()
+    out[found["row"].to_numpy()] = np.column_stack([found[n].to_numpy() / found["seen"].to_numpy() for n in NAMES])
+    return model._replace(weights=out)
 
 
 def fit(rows: DataFrame, rounds: int = ROUNDS) -> Model:
     """A model of ``tokenized`` documents, each round of which trains on every position."""
     small_batches(rows.sparkSession)
-    vocabulary = Vocabulary(corpus_counts(rows))
-    model = Model(vocabulary, initial(vocabulary), initial_units(vocabulary))
+    counts = corpus_counts(rows)
+    vocabulary = Vocabulary(counts)
+    model = Model(vocabulary, initial(vocabulary), int(counts.sum()))
     for _ in range(rounds):
         model = train_round(rows, model)
     return model
@@ -336,11 +362,10 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights, units = shared.value
+        vocabulary, weights, _ = shared.value
         for batch in batches:
             ids, sizes = _ids(batch)
-            classes = vocabulary.of[ids]
-            each = log_probabilities(weights, contexts(classes, sizes), classes, units, vocabulary, ids)
+            each = log_probabilities(weights, contexts(vocabulary.row[ids], sizes), vocabulary, ids)
             sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes))
             means = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(sums), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
