@@ -102,3 +102,46 @@ def humanise(key: Column) -> Column:
     """Underscores to spaces, the first letter a capital."""
     words = F.replace(key, F.lit("_"), F.lit(" "))
     return F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, 2, 1_000_000)))
+
+
+def character_heat(name: Column) -> Column:
+    """How unlikely each character is by its kind alone: digits, vowels and separators have one value each, others rise with
+    the length of the run that they stand in, up to 1."""
+    start = F.struct(F.lit(0).alias("run"), F.array().cast("array<double>").alias("heat"))
+
+    def step(state: Column, c: Column) -> Column:
+        other = ~c.isin(".", "-") & ~c.rlike(r"^\p{Nd}$") & ~c.isin(*VOWELS)
+        run = F.when(other, state["run"] + 1).otherwise(0)
+        heat = F.when(c.isin(".", "-"), 0.0).when(c.rlike(r"^\p{Nd}$"), 0.85).when(c.isin(*VOWELS), 0.15).otherwise(F.least(0.35 + 0.2 * run, F.lit(1.0)))
+        return F.struct(run.alias("run"), F.concat(state["heat"], F.array(heat)).alias("heat"))
+
+    return F.aggregate(characters(F.lower(name)), start, step)["heat"]
+
+
+def shown_number(x: Column) -> Column:
+    """A number as it is shown: whole ones without a fraction, others with four significant digits, none for no number."""
+    x = x.cast("double")
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+    size = F.floor(F.log10(F.abs(F.nullif(x, F.lit(0.0))))).cast("int")
+    digits = F.format_string("%.3e", x)
+    exponent = F.regexp_extract(digits, r"e([+-]\d+)$", 1).cast("int")
+    rounded = F.element_at(F.array(*(F.round(x, n).cast("decimal(38,12)").cast("string") for n in range(0, 9))), F.least(F.greatest(3 - size, F.lit(0)), F.lit(8)) + 1)
+    short = F.regexp_replace(F.regexp_replace(rounded, r"0+$", ""), r"\.$", "")
+    mantissa = F.regexp_replace(F.regexp_replace(F.regexp_extract(digits, r"^([^e]+)e", 1), r"0+$", ""), r"\.$", "")
+    scientific = F.concat(mantissa, F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    shown = F.when(whole, F.format_string("%.0f", x)).when((exponent < -4) | (exponent >= 4), scientific).otherwise(short)
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "not reported").otherwise(shown)
+
+
+def shown_list(values: Column, most: int = 5) -> Column:
+    """Texts with commas between them, cut after ``most`` with the number of those left out."""
+    n = F.size(values)
+    return F.concat(F.array_join(F.slice(values, 1, most), ", "), F.when(n > most, F.concat(F.lit(" (+"), (n - most).cast("string"), F.lit(" more)"))).otherwise(""))
+
+
+def unsupported_numbers(said: Column, facts: Column) -> Column:
+    """Numbers in a text that the facts' text doesn't hold, in order; whole numbers up to ten are let pass."""
+    numbers = lambda c: F.regexp_extract_all(c, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))
+    known = numbers(facts)
+    small = lambda t: (t.cast("double") <= 10) & (t.cast("double") == F.floor(t.cast("double")))
+    return F.filter(numbers(said), lambda t: ~F.array_contains(known, t) & ~small(t))

@@ -121,3 +121,99 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFram
     width = (F.col("hi") - F.col("lo")) / bins
     bin_no = F.when(F.col("hi") - F.col("lo") < 1e-9, 0).otherwise(F.least(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(bins - 1)))
     return df.join(edges, keys).withColumn("bin", bin_no.cast("int")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def project(alerts: DataFrame, folded: DataFrame, key: str = "dedup_key") -> DataFrame:
+    """Each alert as it is shown: under the identity, window, count and best score of the run of repeats it is in.
+
+    ``folded`` is what folding repeats gives (key, first_id, occurrences, first_seen, last_seen, max_score); times in
+    microseconds, latencies in milliseconds with three decimals.
+    """
+    ms = lambda a, b: F.round((F.col(a) - F.col(b)) / 1000.0, 3)
+    runs = folded.select(F.col(key).alias("run__key"), "first_id", "occurrences", "first_seen", "last_seen", "max_score")
+    met = alerts.join(runs, F.col(key).eqNullSafe(F.col("run__key")) & F.col("ts_us").between(F.col("first_seen"), F.col("last_seen")))
+    latencies = {"detector_latency_ms": ms("detected_us", "event_end_us"), "transport_latency_ms": ms("ingested_us", "detected_us"), "pipeline_latency_ms": ms("ingested_us", "event_end_us")}
+    return met.withColumns({**latencies, "received_id": F.col("alert_id"), "alert_id": F.col("first_id"), "score": F.col("max_score")}).drop("run__key", "first_id", "max_score")
+
+
+def bulk_report(rows: DataFrame, index: str, most: int = 25, fields: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(counts of accepted and rejected rows, the first rejected ones with some of their reasons each)."""
+    checked = rows.withColumn("reasons", reject_reasons())
+    bad = F.size("reasons") > 0
+    counts = checked.agg(F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("rejected"))
+    return counts, checked.where(bad).orderBy(index).limit(most).select(index, F.slice("reasons", 1, fields).alias("errors"))
+
+
+def incident_list(incidents: DataFrame, limit: int, *, from_us: int | None = None, to_us: int | None = None, host: str | None = None, rank: int | None = None) -> DataFrame:
+    """The incidents updated last that pass, of the 4 * limit updated last; ``total`` counts all of those that pass."""
+    latest = incidents.orderBy(F.desc("updated_us"), "host").limit(4 * limit)
+    tests = [F.lit(True)]
+    if from_us is not None:
+        tests.append(F.col("updated_us") >= from_us)
+    if to_us is not None:
+        tests.append(F.col("opened_us") <= to_us)
+    if host is not None:
+        tests.append(F.col("host") == host)
+    if rank is not None:
+        tests.append(F.col("rank") == rank)
+    passed = latest.where(reduce(lambda a, b: a & b, tests))
+    total = passed.agg(F.count(F.lit(1)).alias("total"))
+    return passed.orderBy(F.desc("updated_us"), "host").limit(limit).join(F.broadcast(total))
+
+
+def incident_members(alerts: DataFrame, keys: list[str], stage: str, most: int = 40) -> DataFrame:
+    """The ``most`` latest alerts of each incident, placed by stage and time; what is told of an incident's classes is
+    told of these."""
+    latest = Window.partitionBy(*keys).orderBy(F.desc("ts_us"), F.desc("alert_id"))
+    told = Window.partitionBy(*keys).orderBy(stage, "ts_us", "alert_id")
+    kept = alerts.withColumn("member__no", F.row_number().over(latest)).where(F.col("member__no") <= most).drop("member__no")
+    return kept.withColumn("place", F.row_number().over(told))
+
+
+def stream_groups(alerts: DataFrame, incident: str = "incident_id") -> DataFrame:
+    """Alerts as a stream shows them: one row per incident with several alerts, one per alert that is alone.
+
+    ``rank`` is the worst, ``codes`` are the distinct ones in order of time, ``label`` is the source that all share.
+    """
+    key = F.coalesce(F.col(incident), F.concat(F.lit("alert "), F.col("alert_id").cast("string")))
+    first = alerts.groupBy(key.alias("key"), "code").agg(F.min(F.struct("ts_us", "alert_id")).alias("at"), F.count(F.lit(1)).alias("n"), F.max("rank").alias("rank"), F.max("ts_us").alias("latest"), F.min("src").alias("low"), F.max("src").alias("high"), F.count("src").alias("named"))
+    rows = first.groupBy("key").agg(F.sum("n").alias("shown"), F.max("rank").alias("rank"), F.max("latest").alias("latest"), F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]).alias("codes"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("named").alias("named"))
+    label = F.when((F.col("low") == F.col("high")) & (F.col("named") == F.col("shown")), F.col("low")).otherwise(F.col("key"))
+    return rows.withColumns({"kind": F.when(F.col("shown") > 1, "group").otherwise("alert"), "label": label}).drop("low", "high", "named")
+
+
+def detector_status(alerts: DataFrame, now_us: int, stale_us: int = 120_000_000) -> DataFrame:
+    """Each detector's state by when it was last seen, its alerts, classes and mean latency."""
+    seen = alerts.groupBy("detector").agg(F.count(F.lit(1)).alias("alerts"), F.max("ts_us").alias("last_seen"), F.round(F.avg("latency_ms"), 3).alias("mean_latency_ms"), F.array_sort(F.collect_set("threat_class")).alias("classes"))
+    return seen.withColumn("state", F.when(now_us - F.col("last_seen") <= stale_us, "online").otherwise("degraded"))
+
+
+def length_histogram(df: DataFrame, keys: list[str], length: str, width: int = 10) -> DataFrame:
+    """Counts of lengths in bins of a width."""
+    return df.where(F.col(length).isNotNull()).groupBy(*keys, (F.floor(F.col(length) / width) * width).alias("bin_start")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def peak_rate(df: DataFrame, keys: list[str], ts_us: str = "ts_us") -> DataFrame:
+    """The most rows that fall into one second of each key."""
+    return df.groupBy(*keys, F.floor(F.col(ts_us) / 1_000_000).alias("second")).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max("n").alias("peak"))
+
+
+def fingerprint_feed(lines: DataFrame) -> DataFrame:
+    """(kind, value, reason) of a feed's lines: ``kind:value``, or a bare digest, which is a ja3; comments and blanks go.
+
+    A line that can't be used has a reason; values are trimmed and in lower case, each once.
+    """
+    line = F.trim("value")
+    kind = F.when(line.contains(":"), F.lower(F.trim(F.substring_index(line, ":", 1)))).otherwise("ja3")
+    value = F.lower(F.trim(F.when(line.contains(":"), F.expr("substring(trim(value), locate(':', trim(value)) + 1)")).otherwise(line)))
+    digest, token = value.rlike("^[0-9a-f]{32}$"), value.rlike(r"^[a-z0-9_.\-]{4,128}$")
+    reason = F.when(~kind.isin("ja3", "ja3s", "ja4"), "kind").when(value == "", "empty").when(kind.isin("ja3", "ja3s") & ~digest, "digest").when((kind == "ja4") & ~token, "token")
+    return lines.where((line != "") & ~line.startswith("#")).select(kind.alias("kind"), value.alias("value"), reason.alias("reason")).distinct()
+
+
+def alert_capture(lines: DataFrame) -> DataFrame:
+    """Alerts of a capture's lines in order of detection: comments and lines that are no JSON objects are skipped."""
+    line = F.trim("value")
+    json = F.try_parse_json(line)
+    good = lines.where((line != "") & ~line.startswith("//")).where(F.schema_of_variant(json).startswith("OBJECT"))
+    return good.select(F.coalesce(F.try_variant_get(F.try_parse_json(F.trim("value")), "$.detected_at", "string"), F.lit("")).alias("detected_at"), F.trim("value").alias("alert")).orderBy("detected_at", "alert")
