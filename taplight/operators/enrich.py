@@ -22,20 +22,33 @@ def join_last(conn: DataFrame, other: DataFrame, name: str, uid: str = "uid", or
     return last.join(other.groupBy(uid).agg(F.max_by(F.struct(*rest), ordinal).alias(name)), uid, "left")
 
 
-def link_to_flows(rows: DataFrame, flows: DataFrame, row_id: str, ports_may_lack: bool) -> DataFrame:
+def match_flows(rows: DataFrame, flows: DataFrame, row_id: str, ports_may_lack: bool, ports: tuple[str, ...] = ("port",), fill: bool = False) -> DataFrame:
     """Outcome of looking for the flow of each row: linked, ambiguous, inconsistent or unlinked.
 
-    Both need uid, src, dst, proto and port; ``flows`` has record_id.  Candidates share the uid; a match also has the
-    addresses and protocol, and a port that is equal or, where that is allowed, missing on either side.
+    Both need uid, src, dst, proto and the ports; ``flows`` has record_id.  Candidates share the uid; a match also has
+    the addresses and protocol, and ports that are equal or, where that is allowed, missing on either side.  With
+    ``fill`` a row that lacks its protocol first takes that of the one flow with its uid and addresses; ``proto`` tells.
     """
-    f = flows.select(F.col("uid").alias("f_uid"), *(F.col(c).alias(f"f_{c}") for c in ("src", "dst", "proto", "port")), "record_id")
-    port = F.col("port") == F.col("f_port")
-    if ports_may_lack:
-        port = port | F.col("port").isNull() | F.col("f_port").isNull()
-    fits = F.coalesce((F.col("src") == F.col("f_src")) & (F.col("dst") == F.col("f_dst")) & (F.col("proto") == F.col("f_proto")) & port, F.lit(False))
-    met = rows.join(f, F.col("uid") == F.col("f_uid"), "left").groupBy(row_id).agg(F.count("record_id").alias("candidates"), F.count_if(fits & F.col("record_id").isNotNull()).alias("fitting"), F.min(F.when(fits, F.col("record_id"))).alias("record_id"))
-    outcome = F.when(F.col("fitting") == 1, "linked").when(F.col("fitting") > 1, "ambiguous").when(F.col("candidates") > 0, "inconsistent").otherwise("unlinked")
-    return met.select(row_id, outcome.alias("outcome"), F.when(F.col("fitting") == 1, F.col("record_id")).alias("record_id"))
+    f = flows.select(F.col("uid").alias("f_uid"), *(F.col(c).alias(f"f_{c}") for c in ("src", "dst", "proto", *ports)), "record_id")
+    near = (F.col("src") == F.col("f_src")) & (F.col("dst") == F.col("f_dst"))
+    fits = near
+    for p in ports:
+        same = F.col(p) == F.col(f"f_{p}")
+        fits = fits & ((same | F.col(p).isNull() | F.col(f"f_{p}").isNull()) if ports_may_lack else same)
+    there = F.col("record_id").isNotNull()
+    joined = rows.join(f, F.col("uid") == F.col("f_uid"), "left").withColumns({"m_near": there & F.coalesce(near, F.lit(False)), "m_fits": there & F.coalesce(fits, F.lit(False))})
+    # Where a row's own protocol is lacking, the one near flow is the only one whose protocol it can take.
+    own = F.col("m_fits") & (F.col("proto") == F.col("f_proto"))
+    met = joined.groupBy(row_id).agg(F.first("proto").alias("own"), F.count("record_id").alias("candidates"), F.count_if("m_near").alias("near"), F.min(F.when(F.col("m_near"), F.col("f_proto"))).alias("near_proto"), F.count_if(own).alias("n_own"), F.min(F.when(own, F.col("record_id"))).alias("own_id"), F.min(F.when(F.col("m_fits"), F.col("record_id"))).alias("fit_id"))
+    taken = F.col("own").isNull() & (F.col("near") == 1) & F.lit(fill)
+    fitting = F.when(taken, F.when(F.col("fit_id").isNotNull(), 1).otherwise(0)).otherwise(F.col("n_own"))
+    outcome = F.when(fitting == 1, "linked").when(fitting > 1, "ambiguous").when(F.col("candidates") > 0, "inconsistent").otherwise("unlinked")
+    proto = F.when(taken, F.col("near_proto")).otherwise(F.col("own"))
+    return met.select(row_id, *([proto.alias("proto")] if fill else []), outcome.alias("outcome"), F.when(fitting == 1, F.when(taken, F.col("fit_id")).otherwise(F.col("own_id"))).alias("record_id"))
+
+
+def link_to_flows(rows: DataFrame, flows: DataFrame, row_id: str, ports_may_lack: bool) -> DataFrame:
+    return match_flows(rows, flows, row_id, ports_may_lack)
 
 
 def fill_protocol(rows: DataFrame, flows: DataFrame, row_id: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +9,11 @@ from pyspark.sql import functions as F
 
 from taplight.plans.catalog import query
 from taplight.plans.detector_queries import fold_sql
-from taplight.sources import views
+from taplight.sources import shared, views
 from taplight.sources.views import ALERTS_SQL, DAY_US, RANK_SQL
 from taplight.streaming import live
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="taplight-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = views.read(spark, sf_dir, "events")
@@ -36,7 +30,7 @@ def stream_cooldown(spark, sf_dir):
     _events(spark, sf_dir).createOrReplaceTempView(view)
     rated = spark.sql(f"SELECT alert_id, src, ts_us, CAST({RANK_SQL.format('score')} AS INT) AS rank FROM ({views._ALERTS.format(us='unix_micros(ts)', events=view)}) a")
     emitted = live.cooldown(rated, ["src"], DAY_US // 4, "alert_id long, src string, ts_us long, rank int", arrival="alert_id")
-    return live.drain(emitted, _folder(spark)).select("alert_id", "src", "rank")
+    return live.drain(emitted, shared.folder(spark, "stream")).select("alert_id", "src", "rank")
 
 
 @query(
@@ -46,5 +40,5 @@ def stream_cooldown(spark, sf_dir):
 )
 def stream_rates(spark, sf_dir):
     """Counts per type and day; days that the watermark hasn't passed at the end are not out yet."""
-    return live.drain(live.rates(_events(spark, sf_dir), ["event_type"], "ts", "1 day"), _folder(spark))
+    return live.drain(live.rates(_events(spark, sf_dir), ["event_type"], "ts", "1 day"), shared.folder(spark, "stream"))
 

@@ -76,7 +76,7 @@ def incident_members(spark, sf_dir):
 @query(
     "stream_groups",
     f"""WITH {_RATED}, s AS (SELECT *, CASE WHEN k % 4 = 0 THEN NULL ELSE concat('i', k % 200) END AS incident, coalesce(CASE WHEN k % 4 = 0 THEN NULL ELSE concat('i', k % 200) END, concat('alert ', alert_id)) AS key FROM r),
-    c AS (SELECT key, threat_class, min(ts_us * 10000000 + alert_id) AS seen FROM s GROUP BY ALL), l AS (SELECT key, string_agg(threat_class, ',' ORDER BY seen) AS codes FROM c GROUP BY key)
+    c AS (SELECT key, threat_class, min({{'t': ts_us, 'a': alert_id}}) AS seen FROM s GROUP BY ALL), l AS (SELECT key, string_agg(threat_class, ',' ORDER BY seen) AS codes FROM c GROUP BY key)
     SELECT s.key, count(*) AS shown, max(rank) AS rank, max(ts_us) AS latest, any_value(l.codes) AS codes, CASE WHEN count(*) > 1 THEN 'group' ELSE 'alert' END AS kind, CASE WHEN min(src) = max(src) THEN min(src) ELSE s.key END AS label FROM s JOIN l ON s.key = l.key GROUP BY s.key""",
 )
 def stream_groups(spark, sf_dir):

@@ -143,9 +143,110 @@ def v9_records(parts: DataFrame, ttl_s: int = 1800) -> DataFrame:
     whole = F.when((F.col("size") > 0) & (F.octet_length("body") >= F.col("size")), F.sequence(F.lit(0), F.expr("octet_length(body) div size").cast("int") - 1))
     rows = sized.withColumn("record", F.explode_outer(whole))
     starts = F.transform("layout", lambda f, i: F.aggregate(F.slice(F.col("layout"), F.lit(1), i), F.col("record") * F.col("size"), lambda a, g: a + g["size"]))
-    values = F.map_from_arrays(F.transform("layout", lambda f: f["id"]), F.zip_with("layout", "starts", lambda f, s: F.conv(F.substring(F.col("hex"), s * 2 + 1, f["size"] * 2), 16, 10).cast("decimal(20,0)")))
-    out = rows.withColumn("starts", starts).withColumn("values", values)
-    return out.withColumn("reason", F.when(F.col("layout").isNull(), "no template").when(F.col("record").isNull(), "short body")).select("exporter", "ordinal", "source_id", "template_id", "record", "values", "reason", "uptime_ms", "export_s")
+    fields = F.zip_with("layout", "starts", lambda f, s: F.struct(f["id"].alias("id"), f["size"].alias("size"), F.substring(F.col("hex"), s * 2 + 1, f["size"] * 2).alias("hex")))
+    out = rows.withColumn("starts", starts).withColumn("fields", fields)
+    # A field that a template names twice has its first value here; ``v9_normal`` compares them.
+    firsts = F.filter("fields", lambda f, i: ~F.array_contains(F.transform(F.slice(F.col("fields"), F.lit(1), i), lambda g: g["id"]), f["id"]) & (f["size"] <= 8))
+    values = F.map_from_entries(F.transform(firsts, lambda f: F.struct(f["id"], _number(f["hex"]))))
+    out = out.withColumn("values", F.when(F.col("layout").isNotNull() & F.col("record").isNotNull(), values))
+    return out.withColumn("reason", F.when(F.col("layout").isNull(), "no template").when(F.col("record").isNull(), "short body")).select("exporter", "ordinal", "source_id", "sequence", "template_id", "part", "record", "fields", "values", "reason", "uptime_ms", "export_s")
+
+
+def _number(hex_text: Column) -> Column:
+    return F.conv(hex_text, 16, 10).cast("decimal(20,0)")
+
+
+# The supported elements of a record and the widths that each may have.
+V9_WIDTHS = {1: (1, 8), 2: (1, 8), 4: (1, 1), 6: (1, 1), 7: (2, 2), 8: (4, 4), 10: (2, 8), 11: (2, 2), 12: (4, 4), 14: (2, 8), 21: (4, 4), 22: (4, 4), 27: (16, 16), 28: (16, 16), 32: (2, 2), 60: (1, 1)}
+
+
+def address6(hex_text: Column) -> Column:
+    """The shortest text of an IPv6 address: the first longest run of zero groups left out, mapped IPv4 as such."""
+    groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.regexp_replace(F.substring(hex_text, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))), ":")
+    short = groups
+    for n in range(2, 9):
+        run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
+        short = F.when(groups.rlike(run), F.regexp_replace(groups, run, "$1::$2")).otherwise(short)
+    mapped = F.upper(hex_text).rlike("^0{20}FFFF")
+    return F.when(mapped, F.concat(F.lit("::ffff:"), address(_number(F.substring(hex_text, 25, 8)).cast("long")))).otherwise(short)
+
+
+def v9_normal(records: DataFrame, ip_bytes: bool = False, most_age_ms: int = 86_400_000) -> DataFrame:
+    """Records of ``v9_records`` as flows: each has its values, or the first reason for which it can't be one.
+
+    Bytes count only where they are known to be those of IP (``ip_bytes``); what a record says twice alike is a note,
+    what it says twice differently rejects it.
+    """
+    supported = F.filter("fields", lambda f: f["id"].isin(*(i for i in V9_WIDTHS if ip_bytes or i != 1)))
+    rows = records.withColumn("known", supported)
+    widths = F.create_map(*(x for i, (a, b) in V9_WIDTHS.items() for x in (F.lit(i), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))))
+    wide = F.exists("known", lambda f: ~f["size"].between(widths[f["id"]]["a"], widths[f["id"]]["b"]))
+    distinct_ids, distinct_values = F.array_distinct(F.transform("known", lambda f: f["id"])), F.array_distinct(F.transform("known", lambda f: F.struct(f["id"], F.ltrim(f["hex"], F.lit("0")))))
+    raw = lambda i: F.get(F.filter("known", lambda f: f["id"] == i), 0)["hex"]
+    n = lambda i: _number(raw(i))
+    wrap = lambda a, b: F.pmod(a.cast("long") - b.cast("long"), F.lit(WRAP))
+    family, six = n(60), raw(27).isNotNull() | raw(28).isNotNull()
+    version = F.when(family.isNull() & ~six, F.lit(4)).otherwise(family.cast("int"))
+    ends = lambda four, sixteen: F.when(version == 4, F.when(raw(four).isNotNull(), address(n(four).cast("long")))).otherwise(address6(raw(sixteen)))
+    rows = rows.withColumns({"protocol": n(4).cast("int"), "src": ends(8, 27), "dst": ends(12, 28), "first_ms": n(22).cast("long"), "last_ms": n(21).cast("long"), "packets": n(2), "bytes": n(1)})
+    end_age, length = wrap(F.col("uptime_ms"), F.col("last_ms")), wrap(F.col("last_ms"), F.col("first_ms"))
+    limit = min(most_age_ms, 86_400_000)
+    tests = {
+        "field_width": wide,
+        "ambiguous_field": F.size(distinct_values) > F.size(distinct_ids),
+        "protocol": F.col("protocol").isNull(),
+        "ip_version": family.isNotNull() & ~family.isin(4, 6),
+        "address_family": family.isNull() & six,
+        "src": F.col("src").isNull(),
+        "dst": F.col("dst").isNull(),
+        "start_time": F.col("first_ms").isNull(),
+        "end_time": F.col("last_ms").isNull(),
+        "time_order": ((F.col("last_ms") > F.col("uptime_ms")) & (end_age > limit)) | ((F.col("first_ms") > F.col("last_ms")) & (length > limit)) | (end_age + length >= WRAP),
+        "age": (end_age > most_age_ms) | (length > most_age_ms),
+        "counters": F.col("packets").isNull() & F.col("bytes").isNull(),
+    }
+    reason = F.coalesce("reason", *(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in tests.items()))
+    ported, protocol = F.col("protocol").isin(6, 17), F.col("protocol")
+    interface = lambda i: F.when(n(i) != 0, F.concat(F.lit("ifindex:"), n(i).cast("string")))
+    end_ms = F.col("export_s") * 1000 - end_age
+    named = F.coalesce(codes.lookup(codes.PROTOCOLS, protocol), F.concat(F.lit("ip_protocol_"), protocol.cast("string")))
+    made = {"proto": named, "src_port": F.when(ported, n(7).cast("int")), "dst_port": F.when(ported, n(11).cast("int")), "icmp_type": F.when(protocol == 1, F.floor(n(32) / 256).cast("int")), "icmp_code": F.when(protocol == 1, (n(32) % 256).cast("int")), "tcp_flags": F.when(protocol == 6, codes.tcp_flags(n(6).cast("int"))), "input_if": interface(10), "output_if": interface(14), "start_ms": end_ms - length, "end_ms": end_ms}
+    notes = F.filter(F.array(F.when(F.size("known") > F.size(distinct_ids), "duplicate"), F.when(F.lit(not ip_bytes) & F.exists("fields", lambda f: f["id"] == 1), "bytes_left_out")), lambda x: x.isNotNull())
+    return rows.withColumns({**made, "notes": notes, "reason": reason}).drop("known", "first_ms", "last_ms")
+
+
+def v9_audit(normal: DataFrame) -> DataFrame:
+    """How many records were taken, and rejected for which reason."""
+    return normal.groupBy(F.coalesce("reason", F.lit("taken")).alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def udp_filter(packets: DataFrame, exporters: tuple[str, ...] = (), collectors: tuple[str, ...] = (), ports: tuple[int, ...] = ()) -> DataFrame:
+    """UDP packets of a capture from the exporters to the collectors and ports that are given; none given lets all pass."""
+    out = packets.where("reason is null")
+    for column, chosen in (("src", exporters), ("dst", collectors), ("dst_port", ports)):
+        if chosen:
+            out = out.where(F.col(column).isin(*chosen))
+    return out
+
+
+def wire_bytes(text: Column) -> Column:
+    """Datagrams from hexadecimal text: white space is left out; null for other text, an odd number of digits or more
+    than a datagram holds."""
+    digits = F.regexp_replace(text, r"\s+", "")
+    return F.when(digits.rlike("^([0-9A-Fa-f]{2})+$") & (F.length(digits) <= 2 * 65535), F.unhex(digits))
+
+
+def datagram_files(spark, path: str, most_bytes: int = 65535, sha256: str | None = None) -> DataFrame:
+    """(path, payload, reason): one datagram to a file, too large ones and those of another digest with a reason."""
+    files = spark.read.format("binaryFile").load(path)
+    reason = F.when(F.col("length") > most_bytes, "size").when(F.lit(False) if sha256 is None else F.sha2("content", 256) != sha256.lower(), "digest")
+    return files.select("path", F.when(reason.isNull(), F.col("content")).alias("payload"), reason.alias("reason"))
+
+
+def capture_to_v5(files: DataFrame) -> DataFrame:
+    """Version 5 records of the UDP packets of captures, under the exporter that sent each."""
+    packets = udp_filter(read_capture(files)).select(F.col("src").alias("exporter"), "path", "ordinal", "payload")
+    return v5_canonical(v5_times(parse_v5(packets)).where("reason is null and time_reason is null"))
 
 
 # -- captures ------------------------------------------------------------------------------------------------------

@@ -127,8 +127,8 @@ def lossless(lines: DataFrame, header: Header, log: str) -> tuple[DataFrame, Dat
 class _Cells:
     """Typed cells of a log's rows: texts, and numbers that are null where the cell has none that can be read."""
 
-    def __init__(self, header: Header, log: str) -> None:
-        self.header, self.log, self.cols = header, log, F.split("value", "\t")
+    def __init__(self, header: Header, log: str, cols: Column | None = None) -> None:
+        self.header, self.log, self.cols = header, log, F.split("value", "\t") if cols is None else cols
 
     def text(self, field: str) -> Column:
         return cell(self.header, field, self.cols)["value"]
@@ -167,13 +167,13 @@ def _legacy_columns(c: _Cells, log: str) -> list[Column]:
 
 def protocol_legacy(lines: DataFrame, header: Header, log: str) -> DataFrame:
     """dns, ssl or http rows that have all columns; numbers that are absent or unreadable are 0, texts are empty."""
-    c = _Cells(header, log)
-    return lines.where(F.size(c.cols) >= len(header.fields)).select("ordinal", *_legacy_columns(c, log))
+    c = _Cells(header, log, F.col("cells__"))
+    return lines.withColumn("cells__", F.split("value", "\t")).where(F.size(c.cols) >= len(header.fields)).select("ordinal", *_legacy_columns(c, log))
 
 
 def protocol_rows(lines: DataFrame, header: Header, log: str) -> DataFrame:
     """All dns, ssl or http rows: the legacy columns, when and between which ends, and what detectors use beyond that."""
-    c = _Cells(header, log)
+    c = _Cells(header, log, F.col("cells__"))
     more = []
     if log == "dns":
         flags = {"AA": "authoritative_answer", "TC": "truncated", "RD": "recursion_desired", "RA": "recursion_available", "rejected": "rejected"}
@@ -181,7 +181,7 @@ def protocol_rows(lines: DataFrame, header: Header, log: str) -> DataFrame:
         more = [c.text("qtype_name").alias("qtype_name"), c.text("rcode_name").alias("rcode_name"), *(c.flag(f).alias(n) for f, n in flags.items()), c.number("Z", "int").alias("z"), F.when(count >= 0, count).alias("answer_count")]
     elif log == "ssl":
         more = [c.text("ja4").alias("ja4")]
-    return lines.select(*_legacy_columns(c, log), *c.tuple(), *more)
+    return lines.withColumn("cells__", F.split("value", "\t")).select(*_legacy_columns(c, log), *c.tuple(), *more)
 
 
 def conn_lossless(lines: DataFrame, header: Header) -> tuple[DataFrame, DataFrame]:
@@ -190,10 +190,10 @@ def conn_lossless(lines: DataFrame, header: Header) -> tuple[DataFrame, DataFram
 
 def conn_legacy(lines: DataFrame, header: Header) -> DataFrame:
     """Rows with all columns; numbers that are absent or unreadable are 0, texts are empty."""
-    c = _Cells(header, "conn")
+    c = _Cells(header, "conn", F.col("cells__"))
     text = lambda f: F.coalesce(c.text(f), F.lit(""))
     number = lambda f, kind: F.coalesce(c.number(f, kind), F.lit(0).cast(kind))
-    whole = lines.where(F.size(c.cols) >= len(header.fields))
+    whole = lines.withColumn("cells__", F.split("value", "\t")).where(F.size(c.cols) >= len(header.fields))
     return whole.select("ordinal", number("ts", "double").alias("ts"), text("uid").alias("uid"), text("id.orig_h").alias("src"), number("id.orig_p", "int").alias("src_port"), text("id.resp_h").alias("dst"), number("id.resp_p", "int").alias("dst_port"), text("proto").alias("proto"), text("service").alias("service"), number("duration", "double").alias("duration"), *(number(f, "long").alias(f) for f in ("orig_bytes", "resp_bytes")), text("conn_state").alias("conn_state"), *(number(f, "long").alias(f) for f in ("orig_pkts", "resp_pkts")))
 
 

@@ -92,3 +92,88 @@ def test_longest_suffix_and_links(spark):
     hosts = spark.createDataFrame([("a.b.c",), ("c",), ("x",)], "host string")
     got = dict(enrich.longest_suffix(hosts, spark.createDataFrame([("c",), ("b.c",)], "suffix string")).select("host", "suffix").collect())
     assert got == {"a.b.c": "b.c", "c": "c", "x": None}
+
+
+def test_addresses_are_texts_of_addresses(spark):
+    import ipaddress
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    sixes = [bytes(16), bytes(15) + b"\1", b"\xff" * 16, bytes(10) + b"\xff\xff" + bytes([1, 2, 3, 4])] + [bytes(r.choice([0, 0, 0, 1, 0x20, 0xAB]) for _ in range(16)) for _ in range(200)]
+    sixes = [b for b in sixes if b[:10] != bytes(10) or b[10:12] in (b"\xff\xff", bytes(2)) or True]
+    df = spark.createDataFrame([(b.hex(),) for b in sixes], "h string")
+    for h, text in df.select("h", netflow.address6(F.col("h"))).collect():
+        a = ipaddress.IPv6Address(bytes.fromhex(h))
+        assert ipaddress.IPv6Address(text) == a
+        if not a.ipv4_mapped:
+            assert text == str(a)
+    good = ["1.2.3.4", "255.255.255.255", "0.0.0.0", "::", "::1", "1::", "1:2:3:4:5:6:7:8", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "fe80::1:2", "1::8"]
+    bad = ["999.1.1.1", "1.2.3", "01.2.3.4", "1.2.3.4.5", ":", ":::", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", "g::1", "12345::", "::1.2.3.256", "", "not-an-ip"]
+    rows = spark.createDataFrame([(x,) for x in good + bad], "x string").select("x", zeek.readable(F.col("x"), "address").alias("ok")).collect()
+    assert {x["x"] for x in rows if x["ok"]} == set(good)
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    text = "#separator \\x09\n#fields\tts\tuid\n" + "".join(f"# note {i}\n" if i % 10 == 0 else ("\n" if i % 10 == 5 else f"{i}\tC{i}\n") for i in range(5000)) + "#close\n"
+    (tmp_path / "a.log").write_text(text)
+    (tmp_path / "b.log").write_text("#fields\tts\tuid\n7\tx\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = zeek.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    ours = sorted((x["ordinal"], x["value"]) for x in rows if x["file"].endswith("a.log"))
+    assert ours == list(enumerate(f"{i}\tC{i}" for i in range(5000) if i % 5))
+    assert [(x["ordinal"], x["value"]) for x in rows if x["file"].endswith("b.log")] == [(0, "7\tx")]
+    assert zeek.read_header(spark, str(tmp_path)).fields == ("ts", "uid")
+    (tmp_path / "c.log").write_text("#fields\tuid\tts\n")
+    with pytest.raises(ValueError):
+        zeek.read_header(spark, str(tmp_path))
+
+
+def test_log_sets_need_connections(spark, tmp_path):
+    with pytest.raises(ValueError):
+        zeek.read_log_set(spark, str(tmp_path))
+    assert zeek.read_log_set(spark, str(tmp_path), allow_empty=True) == {}
+    (tmp_path / "dns.log").write_text("#fields\tts\n1\n")
+    with pytest.raises(ValueError):
+        zeek.read_log_set(spark, str(tmp_path), allow_empty=True)
+    (tmp_path / "conn.log").write_text("#fields\tts\n1\n2\n")
+    found = zeek.read_log_set(spark, str(tmp_path))
+    assert set(found) == {"conn", "dns"} and found["conn"][0].count() == 2
+
+
+def test_datagrams_from_files_and_text(spark, tmp_path):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    (tmp_path / "b.bin").write_bytes(b"abcdef")
+    digest = hashlib.sha256(b"abc").hexdigest()
+    rows = {x["path"][-5:]: (x["payload"], x["reason"]) for x in netflow.datagram_files(spark, str(tmp_path), 5, digest).collect()}
+    assert rows == {"a.bin": (bytearray(b"abc"), None), "b.bin": (None, "size")}
+    text = spark.createDataFrame([("61 62\n63",), ("616",), ("6x",), ("",)], "t string")
+    assert [x[0] for x in text.select(netflow.wire_bytes(F.col("t"))).collect()] == [bytearray(b"abc"), None, None, None]
+
+
+def test_shown_numbers_equal_python(spark):
+    from pyspark.sql import functions as F
+
+    from taplight.functions import text
+
+    r = random.Random(4)
+    values = [0.0, 1.0, -3.0, 0.5, 0.91, 12345.6, 1234.56, 9.9996, 0.00012346, 0.000012346, 1e20, -2.5e-7, 99999.5] + [r.uniform(-1, 1) * 10 ** r.randrange(-6, 7) for _ in range(100)]
+    want = [str(int(v)) if v == int(v) and abs(v) < 1e15 else f"{v:.4g}" for v in values]
+    got = [x[0] for x in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(text.shown_number(F.col("v"))).collect()]
+    assert got == want
+
+
+def test_states_types_and_ports_are_the_formats():
+    from taplight.functions import codes
+
+    assert codes.CONN_STATES == dict(enumerate(("S1", "S2", "S3", "SF", "REJ", "RSTO", "RSTOS0", "RSTR", "RSTRH", "SH", "SHR", "OTH"), 1))
+    assert set(codes.COMPLETE_STATES) | set(codes.INCOMPLETE_STATES) == set(codes.CONN_STATES.values()) - {"OTH"} | {"S0"}
+    assert detectors.Beacon().service_ports == (67, 68, 123, 137, 138, 389, 636, 1900, 3268, 3269, 5353, 5355)
+    assert (codes.QTYPES[35], codes.QTYPES[65], codes.QTYPES[252], codes.RCODES[10], codes.TLS_VERSIONS[5], codes.HTTP_METHODS[9]) == ("NAPTR", "HTTPS", "AXFR", "NOTZONE", "SSLv3", "PATCH")
