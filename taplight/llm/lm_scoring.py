@@ -152,13 +152,21 @@ def _hidden(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.tanh(hidden, out=hidden)
 
 
+def _bounded(weights: np.ndarray) -> bool:
+    """Whether no logit is so large that its exponent overflows: a tanh unit is in [-1, 1].  Spellings only lower them."""
+    _, _, classes, first, second, bias = _parts(weights)
+    return max(float((np.abs(classes).sum(axis=1) + np.abs(bias)).max()), float(np.abs(first).sum(axis=1).max()), float(np.abs(second).sum(axis=1).max())) < 60
+
+
 def log_probabilities(weights: np.ndarray, rows: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
     """Log-probability of each bucket of ``ids`` given the rows that stand around it."""
     out = np.empty(len(ids), np.float32)
     _, _, classes, first, second, bias = _parts(weights)
+    bounded = _bounded(weights)
 
     def picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        logits -= logits.max(axis=1, keepdims=True)
+        if not bounded:
+            logits -= logits.max(axis=1, keepdims=True)
         chosen = logits[np.arange(len(at)), at]
         np.exp(logits, out=logits)
         return chosen - np.log(logits.sum(axis=1))
@@ -166,7 +174,9 @@ def log_probabilities(weights: np.ndarray, rows: np.ndarray, vocabulary: Vocabul
     for i in range(0, len(ids), SCORED):
         some = ids[i : i + SCORED]
         hidden = _hidden(weights, rows[:, i : i + SCORED])
-        each = picked(hidden @ classes.T + bias, vocabulary.of[some])
+        logits = hidden @ classes.T
+        logits += bias
+        each = picked(logits, vocabulary.of[some])
         tail = np.flatnonzero(vocabulary.of[some] >= OWN)
         if len(tail):
             hidden, words = hidden.take(tail, axis=0), some[tail]
@@ -194,16 +204,20 @@ class Trainer:
         _, _, classes, first, second, bias = _parts(self.weights)
         hidden = _hidden(self.weights, rows)
         grad = np.zeros((ROWS - TABLES, HIDDEN), np.float32)
+        bounded = _bounded(self.weights)
 
         def wrong(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            logits -= logits.max(axis=1, keepdims=True)
+            if not bounded:
+                logits -= logits.max(axis=1, keepdims=True)
             np.exp(logits, out=logits)
             logits *= (np.float32(1 / n) / logits.sum(axis=1))[:, None]
             logits[np.arange(len(at)), at] -= np.float32(1 / n)
             return logits
 
         of = words.of[ids]
-        gap = wrong(hidden @ classes.T + bias, of)
+        logits = hidden @ classes.T
+        logits += bias
+        gap = wrong(logits, of)
         back = gap @ classes
         grad[1 : 1 + CLASSES] = gap.T @ hidden
         grad[1 + OUT :] = gap.sum(axis=0).reshape(-1, HIDDEN)
@@ -336,7 +350,7 @@ def train_round(rows: DataFrame, model: Model, shard_tokens: int = SHARD) -> Mod
         if seen:
             yield _copy(trainer, seen)
 
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "ids").repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
     copies = dealt.select("shard", "ids").mapInArrow(learn, "row int, seen long, " + ", ".join(f"{n} double" for n in NAMES))
     found = copies.groupBy("row").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in NAMES)).toArrow()
     shared.unpersist()
