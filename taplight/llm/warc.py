@@ -5,11 +5,13 @@ headers are parsed first, and where they don't match, or no payload is asked for
 length without decoding the rest.  Compressed records are gzip members whose extra field ``sl`` holds the compressed
 and the plain length, so they are passed over as well; members without it are decoded to find their end.
 
-Writing rolls files at a size; the commit lists the files of the tasks that succeeded, and a reader of the folder reads
-just these, so a task may be lost and run again.
+Writing rolls files at a size; each commit lists the files of the tasks that succeeded, and a reader of the folder reads
+what the commits list, so a task may be lost and run again, and a second write adds to the first (or replaces it, if it
+overwrites).
 
 Defined results: null payloads are empty; repeated pages keep records of their own; every page that has its payload's
-smallest page_id is a response; a null page_id never stands for others and its page is always a response.
+smallest page_id is a response; a null page_id never stands for others and its page is always a response; an empty table
+gives an archive without records; columns but page_id, url and html are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ FILE_BYTES, PARTITION_BYTES, BATCH_BYTES = 32 << 20, 64 << 20, 8 << 20
 REVISIT_BYTES = 100
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_length long, payload_length long, payload_digest string, refers_to string, headers map<string,string>, payload binary"
 HEADER_OF = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
-FILES = "_files.json"
+#: A commit lists its files under a name that begins so.
+FILES = "_files-"
 
 
 # -- records -------------------------------------------------------------------------------------------------------
@@ -118,6 +121,13 @@ class _Member:
             raise ValueError(f"a record's block is cut off at byte {self.at}")
         return self.plain[start : start + n]
 
+    def block_until(self, start: int, n: int, mark: bytes) -> bytes:
+        """The block up to the mark and perhaps beyond, or all of it."""
+        size = 4096
+        while mark not in (found := self.block(start, min(n, size))) and size < n:
+            size *= 4
+        return found
+
     def end(self, start: int, n: int) -> int:
         """Where the next record begins."""
         if self.next_at is not None:
@@ -139,8 +149,10 @@ def records(file, wanted, payload: bool) -> Iterator[tuple]:
         if wanted(fields):
             kind, block, length = fields.get("warc-type"), None, None
             is_http = fields.get("content-type", "").startswith("application/http")
-            if is_http or payload:
-                block = member.block(start, n if payload and kind != "revisit" else min(n, 4096))
+            if payload and kind != "revisit":
+                block = member.block(start, n)
+            elif is_http:
+                block = member.block_until(start, n, b"\r\n\r\n")
             if is_http and block is not None:
                 head, _, block = block.partition(b"\r\n\r\n")
                 length = int(parse_headers(head + b"\r\n").get("content-length", len(block)))
@@ -152,6 +164,14 @@ def records(file, wanted, payload: bool) -> Iterator[tuple]:
 # -- the data source -----------------------------------------------------------------------------------------------
 
 
+def manifests(fs: pafs.FileSystem, base: str) -> list[str]:
+    """The lists of files that commits have left in a folder, one each."""
+    if fs.get_file_info(base).type != pafs.FileType.Directory:
+        return []
+    found = fs.get_file_info(pafs.FileSelector(base))
+    return sorted(x.path for x in found if x.base_name.startswith(FILES) and x.base_name.endswith(".json"))
+
+
 @dataclass
 class _Files(InputPartition):
     paths: list[str]
@@ -187,9 +207,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, base = filesystem(self.path)
-        if fs.get_file_info(f"{base}/{FILES}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{base}/{FILES}") as f:
-                files = [(f"{base}/{name}", n) for name, n in json.loads(f.read())]
+        if lists := manifests(fs, base):
+            files = []
+            for path in lists:
+                with fs.open_input_stream(path) as f:
+                    files += [(f"{base}/{name}", n) for name, n in json.loads(f.read())]
         elif (info := fs.get_file_info(base)).type == pafs.FileType.File:
             files = [(base, info.size)]
         else:
@@ -204,7 +226,7 @@ class WarcReader(DataSourceReader):
                 held, total = [], 0
             held.append(path)
             total += n
-        return [*out, _Files(held)] if held else out
+        return [*out, _Files(held)] if held or not out else out
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.path)
@@ -239,8 +261,8 @@ class _Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows of (record_id, record_type, target_uri, date, payload_length, payload_digest, refers_to, payload)."""
 
-    def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"]
+    def __init__(self, options: dict[str, str], overwrite: bool = False) -> None:
+        self.path, self.overwrite = options["path"], overwrite
         self.compress = options.get("compression", "gzip") == "gzip"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -280,11 +302,15 @@ class WarcWriter(DataSourceArrowWriter):
         return record(headers, http_response(row["payload"], row["payload_length"]), self.compress)
 
     def commit(self, messages: list[WarcWriter | None]) -> None:
+        """List the files of this write, beside those of earlier ones unless it overwrites them."""
         fs, base = filesystem(self.path)
         fs.create_dir(base)
+        before = manifests(fs, base) if self.overwrite else []
         files = sorted(x for m in messages if m for x in m.files)
-        with fs.open_output_stream(f"{base}/{FILES}") as f:
+        with fs.open_output_stream(f"{base}/{FILES}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(files).encode())
+        for path in before:
+            fs.delete_file(path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         """Files that no commit lists are never read."""
@@ -302,7 +328,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -315,7 +341,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 # -- page archives -------------------------------------------------------------------------------------------------
 
 
-def archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
+def archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip", mode: str = "append") -> None:
     """A record per page: the first of equal payloads (of REVISIT_BYTES or more) is the response that others revisit."""
     spark = pages.sparkSession
     small_batches(spark)
@@ -336,7 +362,7 @@ def archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", com
         F.when(revisits, urn("first_id")).alias("refers_to"),
         F.when(F.coalesce(revisits, F.lit(False)), None).otherwise(F.col("body")).alias("payload"),
     )
-    out.write.format("warc").mode("append").option("compression", compression).save(path)
+    out.write.format("warc").mode(mode).option("compression", compression).save(path)
 
 
 def _payload_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
