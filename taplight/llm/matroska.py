@@ -5,7 +5,7 @@ bytes into rows of (track, timestamp, byte range); ``payloads`` puts a track's p
 
 Defined results: a null text is the empty text, a null media value gives no packets, and bytes that are not
 Matroska raise ``ValueError`` naming the offset.  Rows that repeat stay; equal payloads give equal media bytes, for
-nothing of the row but its payload is stored.  Elements of unknown identifier are skipped; an element of unknown
+nothing of the row but its payload is stored; an empty table gives an empty one; other columns are not looked at.  Elements of unknown identifier are skipped; an element of unknown
 size ends where its parent ends or where an element of its own or a higher level begins.
 """
 
@@ -20,9 +20,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from taplight.llm.common import id_and_text, small_batches
+from taplight.llm.common import id_and_text, shared_dir, small_batches, table, written
 
 #: Samples of a packet; at FREQUENCY samples a second a packet lasts 10 ms.
 PACKET = 576
@@ -216,6 +215,13 @@ def _block(data: bytes, at: int, end: int, cluster_time: int, scale: int, lasts:
 
 def demux(data: bytes) -> Media:
     """Packets, tracks, clusters and cues of a Matroska file's bytes."""
+    try:
+        return _demux(data)
+    except (IndexError, KeyError, struct.error) as e:
+        raise ValueError(f"the file is cut off or lacks an element before byte {len(data)}") from e
+
+
+def _demux(data: bytes) -> Media:
     packets: list[Packet] = []
     tracks: dict[int, str] = {}
     lasts: dict[int, int] = {}
@@ -298,23 +304,43 @@ def packets(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(rows, _PACKETS)
 
 
-def feature(media: Media, payload: bytes) -> str:
+_LISTED = pa.list_(pa.struct([("track", pa.int32()), ("timestamp_ns", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def with_packets(media: DataFrame) -> DataFrame:
+    """The media column with each file's packet table beside it, and how many clusters and cues it has."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [demux(data) for data in batch.column("media").to_pylist()]
+            sizes = np.array([len(m.packets) for m in found], np.int64)
+            flat = [p for m in found for p in m.packets]
+            fields = [pa.array([p.track for p in flat], pa.int32()), *(pa.array([p[k] for p in flat], pa.int64()) for k in (1, 2, 3))]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_LISTED.value_type)))
+            more = [pa.array([m.clusters for m in found], pa.int32()), pa.array([len(m.cues) for m in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_bytes", "media")), lists, *more], ["doc_id", "n_bytes", "media", "packets", "clusters", "cues"])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(rows, "doc_id long, n_bytes long, media binary, packets array<struct<track:int,timestamp_ns:long,start:long,end:long>>, clusters int, cues int")
+
+
+def feature(n: int, clusters: int, cues: int, last_ns: int, payload: bytes) -> str:
     """Container counts and the samples' level, spread, sign changes about 128 and loudest packet."""
     samples = np.frombuffer(payload, np.uint8)
     centred = samples.astype(np.float64) - 128
     changes = int(np.count_nonzero((samples[1:] > 127) != (samples[:-1] > 127)))
     loud = np.sqrt(np.mean(centred.reshape(-1, PACKET) ** 2, axis=1))
-    last = media.packets[-1]
-    return f"packets={len(media.packets)};clusters={media.clusters};cues={len(media.cues)};last_ms={last.timestamp_ns // 1_000_000};mean={centred.mean():.4f};std={centred.std():.4f};changes={changes};loudest={int(loud.argmax())}:{loud.max():.4f}"
+    return f"packets={n};clusters={clusters};cues={cues};last_ms={last_ns // 1_000_000};mean={centred.mean():.4f};std={centred.std():.4f};changes={changes};loudest={int(loud.argmax())}:{loud.max():.4f}"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for data in batch.column("media").to_pylist():
-            media = demux(data)
-            payload = b"".join([data[p.start : p.end] for p in media.packets])
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, payload)))
+        lists = batch.column("packets")
+        offsets, (times, starts, ends) = lists.offsets.to_pylist(), (lists.values.field(i).to_pylist() for i in (1, 2, 3))
+        for row, (data, clusters, cues) in enumerate(zip(batch.column("media").to_pylist(), batch.column("clusters").to_pylist(), batch.column("cues").to_pylist(), strict=True)):
+            a, b = offsets[row], offsets[row + 1]
+            payload = b"".join([data[i:j] for i, j in zip(starts[a:b], ends[a:b], strict=True)])
+            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(b - a, clusters, cues, times[b - 1], payload)))
         cols = list(zip(*out, strict=True)) or [[]] * 6
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -322,10 +348,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Payload and container digests and features, read from the stored bytes."""
-    return media.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Payload and container digests and features of what ``store`` made: its bytes are cut out by their packet tables."""
+    return with_packets(media).mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Every document's text stored as a Matroska media value, read back through its packet table."""
-    return digests(store(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id"), F.col("text"))))
+    """Every document's text written as a Matroska media value, read back through its packet table."""
+    media = written(store(table(spark, sf_dir, "documents")), shared_dir(spark, "media"))
+    return digests(media)
