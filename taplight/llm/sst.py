@@ -9,7 +9,7 @@ of bounded size under names of its own to the shared folder, and only those that
 so tasks may be lost and run again.
 
 Defined results: a null text is the empty text and has the end id alone; a null identifier sorts first; documents of
-equal identifier keep rows of their own, ordered by text.  Texts are encoded whole.  Words are encoded by the
+equal identifier keep rows of their own, ordered by a hash of the text.  Texts are encoded whole.  Words are encoded by the
 tokenizers library once and kept in a bounded table: text falls apart before a space between other characters and
 around white space just as the library's own splitting does.  A text that holds one of the tokenizer's added tokens
 goes to the library whole.
@@ -286,7 +286,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
     small_batches(spark)
     rows = id_and_text(docs, id_col, text_col)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows of one identifier are dealt on by a hash, so that no identifier is too many for a task.
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), "hash"]
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(tokenizer)
@@ -356,6 +359,42 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup(manifest: DataFrame, folder: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, ids binary): the documents of the wanted identifiers, found by each shard's filter, index and restarts.
+
+    Wanted identifiers meet the parts' ranges, as many as the writer had tasks, and then the shards of their parts;
+    each shard that any of them may be in is opened once.
+    """
+    spark = manifest.sparkSession
+    names = wanted.select(wanted[id_col].cast("long").alias("id")).distinct()
+    low = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.lit(1).alias("n"), F.col(c).alias("v"))).otherwise(F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("v")))
+    shards = manifest.select("part", "path", low("first_id").alias("a"), low("last_id").alias("b"))
+    ranges = F.broadcast(shards.groupBy("part").agg(F.min("a").alias("pa"), F.max("b").alias("pb")))
+    key = names.withColumn("k", low("id"))
+    near = key.join(ranges, (F.col("k") >= F.col("pa")) & (F.col("k") <= F.col("pb"))).join(shards, "part").where((F.col("k") >= F.col("a")) & (F.col("k") <= F.col("b")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = filesystem(folder)
+        path, file, reader = None, None, None
+        for batch in batches:
+            ids, values = [], []
+            for shard, doc_id in zip(batch.column("path").to_pylist(), batch.column("id").to_pylist(), strict=True):
+                if shard != path:
+                    if file:
+                        file.close()
+                    path, file = shard, fs.open_input_file(shard)
+                    reader = ShardReader(file)
+                for value in reader.get(doc_id):
+                    ids.append(doc_id)
+                    values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "ids"])
+        if file:
+            file.close()
+
+    dealt = near.select("path", "id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path")
+    return dealt.mapInArrow(read, "doc_id long, ids binary")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
