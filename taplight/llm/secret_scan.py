@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taplight.llm.common import shared_dir, small_batches, table, text_of, written
+from taplight.llm.common import free_name, shared_dir, small_batches, table, text_of, written
 
 #: Goes into the ledger's key: a new version scans every blob again.
 RULE_VERSION = "2"
@@ -90,9 +90,14 @@ def update_ledger(versions: DataFrame, ledger_path: str, id_col: str = "doc_id",
     return part.count()
 
 
+def _known(spark, ledger_path: str) -> DataFrame:
+    """(blob, spans) of the ledger for this rule version; rows that a second writer or a retry repeated count once."""
+    return spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("rule_version") == RULE_VERSION).select("blob", "spans").dropDuplicates(["blob"])
+
+
 def findings(versions: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, blob, spans) for every row of ``versions``, whichever copy was scanned."""
-    known = versions.sparkSession.read.schema(LEDGER).parquet(ledger_path).where(F.col("rule_version") == RULE_VERSION).select("blob", "spans")
+    known = _known(versions.sparkSession, ledger_path)
     paths = versions.select(versions[id_col].cast("long").alias("doc_id"), blob_id(versions[text_col]).alias("blob"))
     return paths.join(known, "blob").select("doc_id", "blob", "spans")
 
@@ -136,9 +141,8 @@ def redact(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_i
     """
     path = ledger_path or shared_dir(docs.sparkSession, "ledger")
     update_ledger(docs, path, id_col, text_col)
-    blob = "blob" + "_" * (1 + max([len(c) for c in docs.columns], default=0))
-    spans = "spans" + blob[4:]
-    known = docs.sparkSession.read.schema(LEDGER).parquet(path).where(F.col("rule_version") == RULE_VERSION).where(F.size("spans") > 0)
+    blob, spans = free_name(docs, "blob"), free_name(docs, "spans")
+    known = _known(docs.sparkSession, path).where(F.size("spans") > 0)
     joined = docs.withColumn(blob, blob_id(docs[text_col])).join(known.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
 
     @F.pandas_udf("string")
