@@ -380,7 +380,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             ids, sizes = _ids(batch)
             each = log_probabilities(weights, contexts(vocabulary.row[ids], sizes), vocabulary, ids)
-            sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes))
+            sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes)).astype(np.float64)
             means = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(sums), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 

@@ -51,6 +51,8 @@ class PieceCodec:
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         if any(SPACE in p.lstrip(SPACE) for p in self.rank):
             raise ValueError("a piece holds a space after another character; texts can't be split before spaces")
+        if any(GAP in p for p in self.rank):
+            raise ValueError("a piece holds the character that parts words here")
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, str] = {}
         self.machine = ahocorasick.Automaton()
@@ -122,11 +124,11 @@ class PieceCodec:
         """Ids of a stretch of which each character is a piece, from the longest piece at each position."""
         sizes, pairs = self.sizes, self.pairs
         ids: list[int] = []
-        failed, before = 0, -1
+        failed, before = bytearray((end - start >> 3) + 1), -1
         at, piece = start, longest[start]
         while True:
             after = at + sizes[piece]
-            if not failed >> (after - start) & 1:
+            if not failed[after - start >> 3] >> (after - start & 7) & 1:
                 if before >= 0:
                     fits = pairs.get(before << 32 | piece)
                     if fits is None:
@@ -139,7 +141,7 @@ class PieceCodec:
                     continue
             shorter = self.next_shorter(piece)
             while shorter < 0:
-                failed |= 1 << (at - start)
+                failed[at - start >> 3] |= 1 << (at - start & 7)
                 if not ids:
                     raise ValueError("no compatible sequence of pieces")
                 piece = ids.pop()
