@@ -36,6 +36,7 @@ def cooldown(candidates: DataFrame, keys: list[str], cooldown_us: int, columns:
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, top = state.get if state.exists else (None, None)
+        # What a micro-batch has of a key is put in order, so it is held; ``maxFilesPerTrigger`` bounds it.
         rows = pd.concat(list(batches)).sort_values([ts_us, arrival])
         kept = []
         for i, (t, r) in enumerate(zip(rows[ts_us], rows[rank], strict=True)):
@@ -59,3 +60,19 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def drain_complete(stream: DataFrame, folder: str) -> DataFrame:
+    """The whole result of an aggregation for the input that is there now, with what no watermark has passed yet.
+
+    Each micro-batch writes the result under its number; the last one is read.
+    """
+    done: list[int] = []
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows-{number}")
+        done.append(number)
+
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows-{max(done)}")
