@@ -81,11 +81,15 @@ def host_rollup(alerts: DataFrame) -> DataFrame:
     return by_role(alerts).groupBy("host").agg(F.min("ts_us").alias("first_seen"), F.max("ts_us").alias("last_seen"), F.count(F.lit(1)).alias("n"))
 
 
+def recent(alerts: DataFrame, what: str, n: int) -> DataFrame:
+    """What each host was seen with, by the time it was last seen, the latest ``n``; rows without it don't count."""
+    seen = by_role(alerts).where(F.col(what).isNotNull()).groupBy("host", what).agg(F.max("ts_us").alias("last_seen"), F.count(F.lit(1)).alias("alerts"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("last_seen"), what))
+    return seen.withColumn("place", place).where(F.col("place") <= n)
+
+
 def recent_peers(alerts: DataFrame, n: int) -> DataFrame:
-    """Each host's peers by the time they were last seen with it, the latest ``n``."""
-    peers = by_role(alerts).groupBy("host", "peer").agg(F.max("ts_us").alias("last_seen"), F.count(F.lit(1)).alias("alerts"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("last_seen"), "peer"))
-    return peers.withColumn("place", place).where(F.col("place") <= n)
+    return recent(alerts, "peer", n)
 
 
 def evidence_rows(alerts: DataFrame, registry: DataFrame) -> DataFrame:
@@ -217,3 +221,17 @@ def alert_capture(lines: DataFrame) -> DataFrame:
     json = F.try_parse_json(line)
     good = lines.where((line != "") & ~line.startswith("//")).where(F.schema_of_variant(json).startswith("OBJECT"))
     return good.select(F.coalesce(F.try_variant_get(F.try_parse_json(F.trim("value")), "$.detected_at", "string"), F.lit("")).alias("detected_at"), F.trim("value").alias("alert")).orderBy("detected_at", "alert")
+
+
+def fingerprints(*feeds: DataFrame) -> DataFrame:
+    """The usable (kind, value) pairs of several feeds, each once."""
+    return reduce(DataFrame.union, (f.where("reason is null").select("kind", "value") for f in feeds)).distinct()
+
+
+def incident_notices(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """What is new of incidents: created ones, and those whose number of alerts or rank changed."""
+    old = before.select(*(F.col(k).alias(f"old_{k}") for k in keys), F.col("n_alerts").alias("old_n"), F.col("rank").alias("old_rank"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"old_{k}")) for k in keys))
+    met = after.join(old, same, "left")
+    notice = F.when(F.col("old_n").isNull(), "created").when((F.col("old_n") != F.col("n_alerts")) | (F.col("old_rank") != F.col("rank")), "updated")
+    return met.withColumn("notice", notice).where("notice is not null").drop(*(f"old_{k}" for k in keys), "old_n", "old_rank")

@@ -245,3 +245,15 @@ def scan_pattern(ports: Column, ips: Column) -> Column:
 def flood_signature(entropy: Column, syn_ratio: Column, amplification: Column) -> Column:
     base = F.when((entropy >= 6) & (syn_ratio >= 0.7), "spoofed").when(entropy < 3, "direct").otherwise("mixed")
     return F.when(amplification >= 5, "amplification").otherwise(base)
+
+
+def skip_reason(detector: str, exported: Column, packets: Column) -> Column:
+    """Why a rule doesn't see a row, null where it does: exported flows reach the flood rule alone, and with a packet count."""
+    if detector != "flood":
+        return F.when(exported, "exported flow")
+    return F.when(exported & packets.isNull(), "no packet count")
+
+
+def decisions(detectors: list[str], exported: Column, packets: Column) -> Column:
+    """Each rule's decision on a row: run, or why not."""
+    return F.create_map(*(x for d in detectors for x in (F.lit(d), F.coalesce(skip_reason(d, exported, packets), F.lit("run")))))

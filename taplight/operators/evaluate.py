@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +37,33 @@ def ranking_metrics(scored: DataFrame) -> DataFrame:
     return ranked.agg(area.alias("area"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(_share(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp"))).alias("precision_sum")).select(_share(F.col("area"), F.col("positives") * F.col("negatives")).alias("roc_auc"), F.when(F.col("negatives") > 0, _share(F.col("precision_sum"), F.col("positives"))).alias("pr_auc"), "positives", "negatives")
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], parts: int = 64) -> DataFrame:
     """Values at 1-based ``places`` of each key's sorted values; a place is an expression of the count ``n``.
 
-    Ranks come from a window that streams through its sorted rows; no array of a key's values is built.
+    Equal values are counted first.  A key's values are dealt into ranges of equal width, which are sorted apart; one row
+    per range tells how many values lie below it.  So no task has all values of a key.
     """
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "place": F.row_number().over(w)})
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("place") == at, F.col(value))).alias(name) for name, at in places.items()))
+    named = [f"os__{i}" for i in range(len(keys))]
+    rows = df.where(F.col(value).isNotNull()).select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col(value).alias("os__value"))
+    counted = rows.groupBy(*named, "os__value").agg(F.count(F.lit(1)).alias("c"))
+    edges = counted.groupBy(*(F.col(n).alias(f"e_{n}") for n in named)).agg(F.min("os__value").alias("lo"), F.max("os__value").alias("hi"), F.sum("c").alias("n"))
+    same = lambda prefix, on: reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in on), F.lit(True))
+    width = (F.col("hi") - F.col("lo")).cast("double")
+    dealt = counted.join(edges, same("e_", named)).withColumn("part", F.coalesce(F.least(F.floor(F.try_divide((F.col("os__value") - F.col("lo")).cast("double") * parts, width)), F.lit(parts - 1)), F.lit(0)))
+    dealt = dealt.select(*named, "os__value", "c", "n", "part")
+    below = Window.partitionBy(*(f"o_{n}" for n in named)).orderBy("o_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*(F.col(n).alias(f"o_{n}") for n in (*named, "part"))).agg(F.sum("c").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(below), F.lit(0))).drop("held")
+    within = Window.partitionBy(*named, "part").orderBy("os__value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("upto", F.sum("c").over(within))
+    both = ranked.join(offsets, same("o_", [*named, "part"])).withColumn("last", F.col("upto") + F.col("before"))
+    at = lambda place: F.max(F.when((place > F.col("last") - F.col("c")) & (place <= F.col("last")), F.col("os__value")))
+    found = both.groupBy(*named).agg(F.max("n").alias("total"), *(at(place).alias(name) for name, place in places.items()))
+    return found.select(*(F.col(n).alias(k) for k, n in zip(keys, named, strict=True)), F.col("total").alias("n"), *places)
+
+
+def usable_latency(ms: Column, most_ms: int = 300_000) -> Column:
+    """A latency that is not below zero; null where it is so long that the row is of another time."""
+    return F.when(ms <= most_ms, F.greatest(ms, F.lit(0)))
 
 
 def latency_places() -> dict[str, Column]:

@@ -161,12 +161,52 @@ def alert_contract(spark, sf_dir):
 @query(
     "corpus_facts",
     f"""WITH {_RATED} SELECT 'class' AS fact, threat_class AS value, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM r GROUP BY 2
-    UNION ALL SELECT * FROM (SELECT 'host', src, count(*) AS n FROM r GROUP BY src ORDER BY n DESC, src LIMIT 5) t""",
+    UNION ALL SELECT * FROM (SELECT 'host', src, count(*) AS n FROM r GROUP BY src ORDER BY n DESC, src LIMIT 5) t
+    UNION ALL SELECT 'time', 'first', min(ts_us) FROM r UNION ALL SELECT 'time', 'last', max(ts_us) FROM r
+    UNION ALL SELECT * FROM (SELECT 'score', cast(alert_id AS VARCHAR), CAST(round(score * 1000000) AS BIGINT) FROM r ORDER BY score DESC, alert_id LIMIT 3) u""",
 )
 def corpus_facts(spark, sf_dir):
     r = _rated(spark, sf_dir)
     tally = lambda fact, c: r.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(fact).alias("fact"), "value", "n")
-    return tally("class", "threat_class").union(tally("severity", "severity")).union(tally("host", "src").orderBy(F.desc("n"), "value").limit(5))
+    when = r.agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last")).unpivot([], ["first", "last"], "value", "n").select(F.lit("time").alias("fact"), "value", "n")
+    top = r.orderBy(F.desc("score"), "alert_id").limit(3).select(F.lit("score").alias("fact"), F.col("alert_id").cast("string").alias("value"), F.round(F.col("score") * 1_000_000).cast("long").alias("n"))
+    return tally("class", "threat_class").union(tally("severity", "severity")).union(tally("host", "src").orderBy(F.desc("n"), "value").limit(5)).union(when).union(top)
+
+
+@query(
+    "host_fingerprints",
+    f"""WITH {_A}, f AS (SELECT *, concat('fp', k % 30) AS fp FROM a WHERE threat_class = 'dns_tunnelling'), u AS (SELECT src AS host, fp, ts_us FROM f UNION ALL SELECT dst, fp, ts_us FROM f), p AS (SELECT host, fp, max(ts_us) AS last_seen, count(*) AS alerts FROM u GROUP BY ALL)
+    SELECT *, CAST(row_number() OVER (PARTITION BY host ORDER BY last_seen DESC, fp) AS INT) AS place FROM p QUALIFY place <= 4""",
+)
+def host_fingerprints(spark, sf_dir):
+    rows = views.alerts(spark, sf_dir).withColumn("fp", F.when(F.col("threat_class") == "dns_tunnelling", F.concat(F.lit("fp"), F.col("k") % 30)))
+    return ops.recent(rows, "fp", 4)
+
+
+@query(
+    "incident_notices",
+    f"""WITH {_INCIDENTS.replace("FROM r)", "FROM r WHERE ts_us < 1705200000000000)", 1)}, b AS (SELECT host, min(ts_us) AS opened_us, count(*) AS n, least(max(rank) + CASE WHEN count(DISTINCT stage) >= 2 THEN 1 ELSE 0 END, 3) AS rank FROM n GROUP BY host, run),
+    h2 AS (SELECT *, CASE WHEN threat_class = 'ddos' THEN dst ELSE src END AS host FROM r), g2 AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w > {4 * HOUR} OR lag(ts_us) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM h2 WINDOW w AS (PARTITION BY host ORDER BY ts_us, alert_id)),
+    n2 AS (SELECT *, sum(new) OVER (PARTITION BY host ORDER BY ts_us, alert_id ROWS UNBOUNDED PRECEDING) AS run FROM g2), c AS (SELECT host, min(ts_us) AS opened_us, count(*) AS n, least(max(rank) + CASE WHEN count(DISTINCT stage) >= 2 THEN 1 ELSE 0 END, 3) AS rank FROM n2 GROUP BY host, run)
+    SELECT notice, count(*) AS n FROM (SELECT CASE WHEN b.n IS NULL THEN 'created' WHEN b.n <> c.n OR b.rank <> c.rank THEN 'updated' END AS notice FROM c LEFT JOIN b ON b.host = c.host AND b.opened_us = c.opened_us) t WHERE notice IS NOT NULL GROUP BY 1""",
+)
+def incident_notices(spark, sf_dir):
+    """What is new of incidents once the alerts from a time on are known."""
+    hosted = _rated(spark, sf_dir).withColumn("scope", F.lit("flow")).withColumn("host", ops.pivot_host())
+    found = lambda rows: emit.incidents(rows, "host", 4 * HOUR, "rank", "stage")
+    notices = ops.incident_notices(found(hosted.where("ts_us < 1705200000000000")), found(hosted), ["host", "opened_us"])
+    return notices.groupBy("notice").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "ledger_counts",
+    f"""WITH {_RATED} SELECT alert_id, CAST(count(*) OVER (PARTITION BY threat_class, severity ORDER BY ts_us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM r""",
+)
+def ledger_counts(spark, sf_dir):
+    """Alerts of a class and severity in the five minutes up to each."""
+    from taplight.functions import rolling
+
+    return rolling.Rolling(("threat_class", "severity"), 300_000_000, arrival="alert_id").over(_rated(spark, sf_dir), {"n": rolling.count()}).select("alert_id", "n")
 
 
 @query(

@@ -42,14 +42,15 @@ def binary_metrics(spark, sf_dir):
 
 @query(
     "latency_percentiles",
-    f"""WITH f AS ({FLOWS_SQL}), v AS (SELECT proto, list(value ORDER BY value) AS l, count(*) AS n FROM f GROUP BY proto)
+    f"""WITH f AS ({FLOWS_SQL}), m AS (SELECT proto, greatest(k * 1000 - 50000 + value, 0) AS ms FROM f WHERE k * 1000 - 50000 + value <= 300000), v AS (SELECT proto, list(ms ORDER BY ms) AS l, count(*) AS n FROM m GROUP BY proto)
     SELECT proto, n, l[CAST(least(floor(n * 0.5), n - 1) AS BIGINT) + 1] AS p50, l[CAST(least(floor(n * 0.95), n - 1) AS BIGINT) + 1] AS p95, l[n] AS top, l[CAST(ceil(n * 0.9) AS BIGINT)] AS nearest90,
            l[CAST(greatest(floor(n * 0.05) - 1, 0) AS BIGINT) + 1] AS band5 FROM v""",
 )
 def latency_percentiles(spark, sf_dir):
-    """All three percentile conventions."""
+    """All three percentile conventions, of latencies that are clipped at zero and not of another time."""
     places = evaluate.latency_places() | {"nearest90": evaluate.nearest_rank(0.9), "band5": evaluate.band_place(0.05)}
-    return evaluate.order_statistics(views.flows(spark, sf_dir), ["proto"], "value", places)
+    rows = views.flows(spark, sf_dir).withColumn("ms", evaluate.usable_latency(F.col("k") * 1000 - 50000 + F.col("value")))
+    return evaluate.order_statistics(rows, ["proto"], "ms", places)
 
 
 @query(

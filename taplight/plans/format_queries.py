@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taplight.functions import codes
+from taplight.operators import detectors
 from taplight.plans.catalog import query
 from taplight.sources import features, netflow, views, zeek
 from taplight.sources.views import FLOWS_SQL
@@ -120,10 +121,17 @@ def v9_records(spark, sf_dir):
 )
 def capability_gate(spark, sf_dir):
     """Which rules see a row, and why the others skip it."""
-    rows = views.flows(spark, sf_dir).withColumn("detector", F.explode(F.array(F.lit("flood"), F.lit("scan"), F.lit("beacon"))))
-    exported = F.col("k") % 2 == 0
-    decision = F.when(~exported, "run").when(F.col("detector") != "flood", "exported flow").when(F.col("orig_bytes").isNull(), "no packet count").otherwise("run")
-    return rows.groupBy("detector", decision.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+    chosen = detectors.decisions(["flood", "scan", "beacon"], F.col("k") % 2 == 0, F.col("orig_bytes"))
+    rows = views.flows(spark, sf_dir).select(F.explode(chosen).alias("detector", "decision"))
+    return rows.groupBy("detector", "decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("consumer_trace", f"""WITH {_F} SELECT flow_id, concat('flood=', CASE WHEN k % 2 = 0 AND orig_bytes IS NULL THEN 'no packet count' ELSE 'run' END, ',scan=', CASE WHEN k % 2 = 0 THEN 'exported flow' ELSE 'run' END) AS decisions FROM f""")
+def consumer_trace(spark, sf_dir):
+    """A row per flow with each rule's decision."""
+    chosen = detectors.decisions(["flood", "scan"], F.col("k") % 2 == 0, F.col("orig_bytes"))
+    shown = F.array_join(F.transform(F.map_entries(chosen), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return views.flows(spark, sf_dir).select("flow_id", shown.alias("decisions"))
 
 
 @query(

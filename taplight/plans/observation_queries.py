@@ -126,3 +126,14 @@ def v9_normal(spark, sf_dir):
 def v9_audit(spark, sf_dir):
     """With bytes that are known to be those of IP, a record without packets has them as its counter."""
     return netflow.v9_audit(netflow.v9_normal(netflow.v9_records(netflow.v9_parts(_v9(spark, sf_dir))), ip_bytes=True))
+
+
+_PARTS = ("'session-v1'", "'e' || (k % 5)", "src")
+
+
+@query(
+    "session_digests",
+    f"WITH {_F} SELECT flow_id, sha256({' || '.join(f'unhex(lpad(hex(strlen({p})), 8, chr(48))) || encode({p})' for p in _PARTS)}) AS digest FROM f",
+)
+def session_digests(spark, sf_dir):
+    return views.flows(spark, sf_dir).select("flow_id", ids.fingerprint(F.lit("session-v1"), F.concat(F.lit("e"), F.col("k") % 5), F.col("src")).alias("digest"))

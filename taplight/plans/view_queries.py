@@ -206,3 +206,13 @@ def visible_rows(spark, sf_dir):
     rows = views.read(spark, sf_dir, "orders")
     shown = samples.visible_rows(F.col("o_orderkey") % 4000 - 100, F.col("o_custkey") % 300, F.col("o_orderkey") % 150, 20, 3)
     return rows.select("o_orderkey", shown.alias("s")).select("o_orderkey", F.col("s.first").cast("long").alias("first"), F.col("s.last").cast("long").alias("last"))
+
+
+@query(
+    "fingerprint_union",
+    f"""WITH f AS ({FLOWS_SQL}) SELECT DISTINCT 'ja3s' AS kind, md5(cast(k % 40 AS VARCHAR)) AS value FROM f WHERE k % 8 = 1 UNION SELECT DISTINCT 'ja3', md5(cast(k % 40 AS VARCHAR)) FROM f WHERE k % 8 = 0 UNION SELECT DISTINCT 'ja4', concat('t13d_', k % 40) FROM f WHERE k % 8 = 2 UNION SELECT 'ja4', 'own_1'""",
+)
+def fingerprint_union(spark, sf_dir):
+    """What a feed and a list of one's own have together, without lines that can't be used."""
+    own = ops.fingerprint_feed(spark.createDataFrame([("ja4:OWN_1",), ("ja9:x",)], "value string"))
+    return ops.fingerprints(fingerprint_feed(spark, sf_dir), own)
