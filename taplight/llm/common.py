@@ -35,6 +35,12 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a shared table, or a folder of them, that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system behind a URI or absolute path, and the path in it."""
     return pafs.FileSystem.from_uri(uri)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taplight.llm.common import bytes_of, free_name, id_and_text, shared_dir, small_batches, table, written
+from taplight.llm.common import bytes_of, drop, free_name, id_and_text, shared_dir, small_batches, table, written
 from taplight.llm.words import mixed, split_words, word_hashes, words_of
 
 WORDS, SIMILAR = 5, (4, 5)
@@ -133,7 +133,8 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def components(links: DataFrame, folder: str) -> DataFrame:
     """(node, label): the least node of each node's component, for all nodes of ``links`` (a, b) but the least.
 
-    Large and small stars alternate until every node points to its component's least; each step is written.
+    Large and small stars alternate until every node points to its component's least; each step is written, and what it
+    was made from is deleted.
     """
     edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct(), f"{folder}/0")
     step = 0
@@ -145,6 +146,8 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         least = written(large.groupBy("v").agg(F.min("m").alias("low"), F.count("*").alias("n")), f"{folder}/{step}c")
         small = large.join(least, "v").select(F.col("m").alias("v"), F.col("low").alias("m")).where("v <> m").union(least.select("v", "low"))
         edges = written(small.distinct(), f"{folder}/{step}d")
+        for done in (f"{step - 1}d" if step > 1 else "0", f"{step}a", f"{step}b", f"{step}c"):
+            drop(links.sparkSession, f"{folder}/{done}")
         stars = edges.groupBy("v").count().where("count > 1").limit(1).union(edges.select(F.col("m").alias("v")).distinct().join(edges.select("v").distinct(), "v", "left_semi").withColumn("count", F.lit(1)).limit(1))
         if stars.isEmpty():
             return edges.select(F.col("v").alias("node"), F.col("m").alias("label"))
@@ -220,7 +223,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, class_id) for every row; the class is the least identifier of the documents linked to each other."""
     spark = docs.sparkSession
     small_batches(spark)
-    folder = shared_dir(spark, "near")
+    result = shared_dir(spark, "near")
+    folder = f"{result}/work"
     rows = id_and_text(docs, id_col, text_col)
     hashed = rows.select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("blob"), "text")
     sketched = written(hashed.mapInArrow(_sketched, "doc_id long, blob string, bands array<long>"), f"{folder}/sketched")
@@ -263,7 +267,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     final = components(written(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more).union(same_id), f"{folder}/links"), f"{folder}/components")
     by_node = _labelled(copies.select("doc_id", F.col("doc_id").alias("node")), final)
     nameless = sketched.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return by_node.select("doc_id", F.col("label").alias("class_id")).union(nameless)
+    out = written(by_node.select("doc_id", F.col("label").alias("class_id")).union(nameless), f"{result}/classes")
+    drop(spark, folder)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

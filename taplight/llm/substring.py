@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taplight.llm.common import bytes_of, id_and_text, shared_dir, small_batches, table, written
+from taplight.llm.common import bytes_of, drop, id_and_text, shared_dir, small_batches, table, written
 from taplight.llm.words import mixed, split_words, word_hashes, words_of
 
 LENGTH, GRAM = 35, 8
@@ -142,7 +142,8 @@ def _same_row(a: DataFrame, b: DataFrame):
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """(doc_id, rid, start, count): runs of windows of ``rows`` whose words also start elsewhere; runs may overlap."""
     spark = rows.sparkSession
-    folder = shared_dir(spark, "substring")
+    result = shared_dir(spark, "substring")
+    folder = f"{result}/work"
     found = written(rows.mapInArrow(_anchor_rows, ANCHORS), f"{folder}/anchors")
     again = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), f"{folder}/again")
     seeds = written(found.join(again, "anchor", "left_semi"), f"{folder}/seeds")
@@ -158,7 +159,9 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     windows = written(texts.select("doc_id", "rid", "text", "owned").mapInArrow(_window_rows, WINDOWS), f"{folder}/windows")
     shared = written(windows.groupBy("high", "low").agg(F.sum("copies").alias("n")).where("n > 1").select("high", "low"), f"{folder}/shared")
     single = windows.where("copies = 1").join(shared, ["high", "low"], "left_semi").select("doc_id", "rid", "start", F.lit(1).alias("count"))
-    return written(full.unionByName(single), f"{folder}/repeated")
+    out = written(full.unionByName(single), f"{result}/repeated")
+    drop(spark, folder)
+    return out
 
 
 def _keep(words: list[bytes], runs) -> list[bytes]:
