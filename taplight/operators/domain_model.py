@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,16 +28,29 @@ def split(rows: DataFrame, group: str = "domain", test_share: float = 0.25) -> t
     return rows.where(~part), rows.where(part)
 
 
-def fit(train: DataFrame, trees: int = 200, seed: int = 42) -> RandomForestClassificationModel:
-    """Classes weigh the same whatever their sizes."""
+def _weighted(train: DataFrame) -> DataFrame:
+    """Rows with measures and a weight: classes weigh the same whatever their sizes."""
     rows = train.join(features(train), "domain")
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 1
-    weighted = rows.join(counts, "label").withColumn("weight", F.lit(float(total)) / (2 * F.col("n")))
-    return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=10, seed=seed).fit(weighted)
+    return rows.join(F.broadcast(counts), "label").withColumn("weight", F.lit(float(total)) / (2 * F.col("n")))
+
+
+def fit(train: DataFrame, trees: int = 200, seed: int = 42) -> RandomForestClassificationModel:
+    return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=10, seed=seed).fit(_weighted(train))
+
+
+def fit_baseline(train: DataFrame) -> PipelineModel:
+    """A logistic regression on standardised measures, to hold the forest against."""
+    stages = [StandardScaler(inputCol="features", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=100)]
+    return Pipeline(stages=stages).fit(_weighted(train))
+
+
+def importances(model: RandomForestClassificationModel) -> dict[str, float]:
+    return dict(zip(FEATURES, model.featureImportances.toArray().tolist(), strict=True))
 
 
-def score(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame:
-    """``rows`` with the mean tree probability of class 1."""
+def score(model: RandomForestClassificationModel | PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with the probability of class 1: the mean of a forest's trees, or the baseline's."""
     scored = model.transform(features(rows)).select("domain", vector_to_array("probability")[1].alias("score"))
     return rows.join(scored, "domain")
