@@ -137,3 +137,22 @@ _PARTS = ("'session-v1'", "'e' || (k % 5)", "src")
 )
 def session_digests(spark, sf_dir):
     return views.flows(spark, sf_dir).select("flow_id", ids.fingerprint(F.lit("session-v1"), F.concat(F.lit("e"), F.col("k") % 5), F.col("src")).alias("digest"))
+
+
+@query(
+    "exporter_states",
+    f"""WITH {_F}, i AS (SELECT flow_id % 4 AS engine, row_number() OVER (PARTITION BY flow_id % 4 ORDER BY flow_id) - 1 AS i FROM f)
+    SELECT CASE WHEN i = 0 THEN 'initial' WHEN i % 50 = 10 THEN 'duplicate' WHEN i % 50 IN (11, 21) THEN 'gap' ELSE 'in_order' END AS sequence_state,
+           CASE WHEN i = 0 THEN 'initial' WHEN i % 50 = 20 THEN 'regressed' WHEN i % 50 = 30 THEN 'shifted' ELSE 'in_order' END AS clock_state, count(*) AS n, CAST(sum(CASE WHEN i % 50 IN (11, 21) THEN 1 ELSE 0 END) AS BIGINT) AS lost FROM i GROUP BY ALL""",
+)
+def exporter_states(spark, sf_dir):
+    """Exporters that now and then send a datagram twice, set their clock back for a moment or forward for good."""
+    from pyspark.sql import Window
+
+    i = F.col("i")
+    rows = views.flows(spark, sf_dir).select("flow_id", (F.col("flow_id") % 4).alias("engine"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("engine").orderBy("flow_id")).cast("long") - 1)
+    export = i + 10 * F.floor((i + 20) / 50) - F.when(i % 50 == 20, 5).otherwise(0) + 1_700_000_000
+    heads = rows.select("engine", "flow_id", F.when(i % 50 == 10, i - 1).otherwise(i).alias("sequence"), F.lit(1).alias("count"), (i * 1000).alias("uptime_ms"), export.alias("export_s"), F.lit(0).alias("export_ns"))
+    states = netflow.exporter_states(heads, ["engine"], "flow_id")
+    return states.groupBy("sequence_state", "clock_state").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from taplight.functions import codes
 
@@ -75,6 +76,52 @@ def sequence_relation(headers: DataFrame, keys: list[str], order: str) -> DataFr
     return headers.withColumns({"relation": relation, "lost": F.when(relation == "gap", ahead)})
 
 
+def exporter_states(headers: DataFrame, keys: list[str], order: str, tolerance_ms: int = 1000) -> DataFrame:
+    """Datagrams (sequence, count, uptime_ms, export_s, export_ns) with what their numbers and clocks say: ``sequence_state``,
+    ``clock_state`` and ``lost`` records.
+
+    What a datagram is held against is the last one that moved its exporter on: duplicates, steps back and datagrams
+    whose clock can't be trusted don't.  Datagrams pass in order, and five numbers are kept for the exporter at hand.
+    """
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1
+    ordered = headers.withColumns({"es__first": first, "es__ms": F.col("export_s") * 1000 + F.floor(F.col("export_ns") / 1_000_000)}).sortWithinPartitions(*keys, order)
+    own = headers.columns
+    schema = StructType(list(headers.schema)).add("sequence_state", "string").add("clock_state", "string").add("lost", "long")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq = count = uptime = ms = wraps = 0
+        for batch in batches:
+            out: list[tuple[str, str, int | None]] = []
+            for new, s, c, u, at in zip(*(batch.column(x).to_pylist() for x in ("es__first", "sequence", "count", "uptime_ms", "es__ms")), strict=True):
+                if new:
+                    seq, count, uptime, ms, wraps = s, c, u, at, 0
+                    out.append(("initial", "initial", None))
+                    continue
+                ahead = (s - seq - count) % WRAP
+                relation = "in_order" if ahead == 0 else "duplicate" if s == seq else "gap" if ahead < WRAP // 2 else "regression"
+                turned = relation == "in_order" and s < seq
+                boot = ms - uptime - wraps * WRAP
+                moves, around = relation in ("in_order", "gap"), wraps
+                if at < ms:
+                    clock, moves = "regressed", False
+                elif u >= uptime:
+                    clock = "shifted" if abs(at - u - wraps * WRAP - boot) > tolerance_ms else "in_order"
+                elif relation == "regression" and abs(at - u - boot) > tolerance_ms:
+                    relation, clock, moves, around = "restart", "restart", True, 0
+                elif moves and abs((at - ms) - (u - uptime) % WRAP) <= 1000:
+                    clock, around = "uptime_wrapped", wraps + 1
+                else:
+                    clock, moves = "ambiguous", False
+                if moves:
+                    seq, count, uptime, ms, wraps = s, c, u, at, around
+                out.append(("wrapped" if turned else relation, clock, ahead if relation == "gap" else None))
+            kept = [batch.column(c) for c in own]
+            more = [pa.array([o[i] for o in out], k) for i, k in ((0, pa.string()), (1, pa.string()), (2, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*kept, *more], [*own, "sequence_state", "clock_state", "lost"])
+
+    return ordered.mapInArrow(fold, schema)
+
+
 # -- version 9 -----------------------------------------------------------------------------------------------------
 
 V9_PARTS = "exporter string, ordinal long, source_id long, sequence long, uptime_ms long, export_s long, part int, kind string, template_id int, fields array<struct<id:int,size:int>>, body binary, reason string"

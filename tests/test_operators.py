@@ -177,3 +177,13 @@ def test_states_types_and_ports_are_the_formats():
     assert set(codes.COMPLETE_STATES) | set(codes.INCOMPLETE_STATES) == set(codes.CONN_STATES.values()) - {"OTH"} | {"S0"}
     assert detectors.Beacon().service_ports == (67, 68, 123, 137, 138, 389, 636, 1900, 3268, 3269, 5353, 5355)
     assert (codes.QTYPES[35], codes.QTYPES[65], codes.QTYPES[252], codes.RCODES[10], codes.TLS_VERSIONS[5], codes.HTTP_METHODS[9]) == ("NAPTR", "HTTPS", "AXFR", "NOTZONE", "SSLv3", "PATCH")
+
+
+def test_exporters_wrap_restart_and_lose_their_clock(spark):
+    wrap = 1 << 32
+    rows = [  # ordinal, sequence, count, uptime, export
+        (0, wrap - 2, 2, wrap - 3000, 100), (1, 0, 1, wrap - 2000, 101), (2, 1, 1, 500, 103), (3, 1, 1, 600, 103), (4, 2, 1, 1500, 104), (5, 0, 1, 10, 200), (6, 1, 1, 1010, 201), (7, 2, 1, 5, 202),
+    ]
+    heads = spark.createDataFrame([("e", *r, 0) for r in rows], "e string, ordinal long, sequence long, count long, uptime_ms long, export_s long, export_ns long")
+    got = [(x["sequence_state"], x["clock_state"]) for x in netflow.exporter_states(heads, ["e"], "ordinal").orderBy("ordinal").collect()]
+    assert got == [("initial", "initial"), ("wrapped", "in_order"), ("in_order", "uptime_wrapped"), ("duplicate", "in_order"), ("in_order", "in_order"), ("restart", "restart"), ("in_order", "in_order"), ("in_order", "ambiguous")]
