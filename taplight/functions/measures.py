@@ -15,7 +15,7 @@ def _clean(c: Column) -> Column:
 
 def flow_features(conn: DataFrame) -> DataFrame:
     """Legacy connection rows as flows: an identifier from ends and time, ratios of what came back, the state's code."""
-    key = F.format_string("%s:%s:%d:%s:%.3f", "src", "dst", "dst_port", "proto", "ts")
+    key = F.concat_ws(":", "src", "dst", F.col("dst_port").cast("string"), "proto", text.three_decimals(F.col("ts").cast("double")))
     back = lambda a, b: F.col(a).cast("double") / (F.col(b).cast("double") + 1.0)
     return conn.withColumns({"flow_id": key, "byte_ratio": back("resp_bytes", "orig_bytes"), "pkt_ratio": back("resp_pkts", "orig_pkts"), "conn_state_encoded": codes.code_of(codes.CONN_STATES, F.col("conn_state"))})
 

@@ -145,3 +145,18 @@ def unsupported_numbers(said: Column, facts: Column) -> Column:
     known = numbers(facts)
     small = lambda t: (t.cast("double") <= 10) & (t.cast("double") == F.floor(t.cast("double")))
     return F.filter(numbers(said), lambda t: ~F.array_contains(known, t) & ~small(t))
+
+
+def three_decimals(x: Column) -> Column:
+    """A number with three decimals, rounded from its exact binary value as C and Python do.
+
+    Spark's formatter rounds the shortest decimal text of a number instead.  From 2^30 to 2^31, where times of our years
+    lie, a number has 22 binary places, so its exact value is a long over 2^22.
+    """
+    thousandths = (x * (1 << 22)).cast("long") * 1000
+    rest = F.pmod(thousandths, F.lit(1 << 22))
+    whole = F.shiftright(thousandths, 22)
+    up = (rest > 1 << 21) | ((rest == 1 << 21) & (whole % 2 == 1))
+    n = whole + up.cast("long")
+    exact = F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    return F.when(x.between(1 << 30, (1 << 31) - 1), exact).otherwise(F.format_string("%.3f", x))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taplight.functions import codes
+from taplight.sources.shared import computed_once
 
 CORE = "flow_id string, uid string, timestamp double, ts double, src_ip string, src_port int, dst_ip string, dst_port int, proto string, service string, duration double, orig_bytes bigint, resp_bytes bigint, orig_pkts bigint, resp_pkts bigint, conn_state string, conn_state_encoded int"
 _ENDS = "event_time:double,source_ordinal:bigint,src_ip:string,src_port:int,dst_ip:string,dst_port:int,proto:string"
@@ -35,6 +36,7 @@ def parse(lines: DataFrame) -> DataFrame:
     raw = lines.where(F.trim("value") != "").withColumn("json", F.try_parse_json("value"))
     kind = F.schema_of_variant("json")
     rows = raw.withColumns({"kind": kind, "record": F.when(kind.startswith("OBJECT"), F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}))})
+    rows = computed_once(rows)
     record, json = F.col("record"), F.col("json")
     shapes: dict[str, Column] = {}
     for kind_name in BLOCKS:
@@ -62,7 +64,7 @@ def parse(lines: DataFrame) -> DataFrame:
         **shapes,
     }
     reasons = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in tests.items())), lambda x: x.isNotNull())
-    return rows.withColumn("reasons", reasons).withColumn("time", timestamp(record, json))
+    return computed_once(rows.withColumn("reasons", reasons).withColumn("time", timestamp(record, json)))
 
 
 def read(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from taplight.functions import ids, times
 from taplight.operators import enrich
 from taplight.sources import zeek
+from taplight.sources.shared import computed_once
 
 # Protocol numbers of the names that logs use, for each kind of log.
 NAMED = {"conn": {"tcp": 6, "udp": 17, "icmp": 1, "icmp6": 58}, "dns": {"tcp": 6, "udp": 17}, "ssl": {"tcp": 6, "udp": 17}, "http": {"tcp": 6}}
@@ -64,7 +65,7 @@ def produce(lines: DataFrame, header: zeek.Header, log: str, origin: Origin, flo
     else:
         own = ("version", "cipher", "server_name", "ja3", "ja3s", "ja4") if log == "ssl" else ("method", "host", "uri", "user_agent")
         base |= {f: F.nullif(c.text(f), F.lit("")) for f in own} | ({"status_code": c.number("status_code", "int")} if log == "http" else {})
-    rows = lines.withColumn("cells__", F.split("value", "\t")).select("ordinal", *(v.alias(n) for n, v in base.items()))
+    rows = computed_once(lines.withColumn("cells__", F.split("value", "\t")).select("ordinal", *(v.alias(n) for n, v in base.items())))
     own_fields = [n for n in base if n not in ("uid", "time_ns", "src_ip", "dst_ip", "src_port", "dst_port", "ip_protocol", "conflict")]
     rows = rows.withColumn("time", times.utc(F.col("time_ns")))
     if flows is None:
@@ -83,7 +84,7 @@ def produce(lines: DataFrame, header: zeek.Header, log: str, origin: Origin, flo
         data = {"event_time": F.col("time"), "flow_record_id": F.col("link"), **{p: F.col(p) for p in ports}, **{f: F.col(f) for f in own_fields}}
         odd = {"ambiguous_flow": F.col("outcome") == "ambiguous", "inconsistent_flow": F.col("outcome") == "inconsistent"}
     found = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(n)) for n, bad in {"conflict": F.col("conflict"), **odd}.items())), lambda x: x.isNotNull())
-    rows = rows.withColumns({"reason": _first_of(required), "found": found})
+    rows = computed_once(rows.withColumns({"reason": _first_of(required), "found": found}))
     reason, kind = F.col("reason"), KINDS[log]
     notes = F.when(reason.isNull(), F.col("found")).otherwise(F.array().cast("array<string>"))
     identity = ids.observation_id(origin.namespace, F.lit(origin.marker), F.lit(origin.sensor_id), F.lit(origin.input_sha256.lower()), F.lit(kind), F.lit(log), F.col("uid"), F.col("ordinal"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -23,3 +24,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """``df`` with its columns made before what follows: a filter on them isn't pushed below and so doesn't make them again."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("once")).select("once.*")
