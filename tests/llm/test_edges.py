@@ -2,10 +2,8 @@
 
 import hashlib
 import random
-import struct
 import zlib
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

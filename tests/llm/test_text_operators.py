@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from taplight.llm import decontaminate, lm_scoring, near_dedup, quality, secret_scan, substring
 
@@ -300,3 +299,25 @@ def test_leaks_equal_alignment_of_all_pairs(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
     got = {(x["doc_id"], x["item_id"], round(x["score"] * decontaminate.MATCH * len(items[x["item_id"]]))) for x in decontaminate.leaks(table, bench).collect()}
     assert got == want and len(want) >= 40
+
+
+def test_recall_of_pairs_just_similar_enough(spark):
+    # 250 pairs whose similarity lies between 0.80 and 0.84, and as many just below, which must stay apart.
+    r = random.Random(31)
+    texts, near, apart = {}, [], []
+    while len(near) < 250 or len(apart) < 250:
+        words = [f"v{r.randrange(10**7)}" for _ in range(r.randint(150, 400))]
+        copy = list(words)
+        for k in r.sample(range(len(copy)), max(1, round(len(copy) / 48))):
+            copy[k] = f"u{r.randrange(10**7)}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, copy))
+        similar = len(a & b) / len(a | b)
+        i = len(texts)
+        kind = near if 0.80 <= similar < 0.84 else apart if 0.76 <= similar < 0.80 else None
+        if kind is not None and len(kind) < 250:
+            kind.append((i, i + 1))
+            texts[i], texts[i + 1] = " ".join(words), " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = dict(near_dedup.classes(docs).collect())
+    assert sum(found[a] == found[b] for a, b in near) >= 249
+    assert not any(found[a] == found[b] for a, b in apart)
