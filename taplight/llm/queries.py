@@ -11,6 +11,7 @@ from taplight.llm.decontaminate import op5_decontaminate
 from taplight.llm.lm_scoring import op2_lm_scoring
 from taplight.llm.matroska import op6_media_columns
 from taplight.llm.near_dedup import op1_near_dedup
+from taplight.llm.periodic import op13_runs
 from taplight.llm.piece_codec import op8_piece_codec
 from taplight.llm.quality import op4_quality
 from taplight.llm.secret_scan import op3_secret_scan
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_shards": op7_token_shards,
         "op8_piece_codec": op8_piece_codec,
         "op6_media_columns": op6_media_columns,
+        "op13_runs": op13_runs,
     }
 
 
