@@ -18,6 +18,7 @@ from taplight.llm.secret_scan import op3_secret_scan
 from taplight.llm.sst import op7_token_shards
 from taplight.llm.substring import op10_substring_dedup
 from taplight.llm.warc import op9_warc
+from taplight.llm.whitening import op12_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_shards": op7_token_shards,
         "op8_piece_codec": op8_piece_codec,
         "op6_media_columns": op6_media_columns,
+        "op12_whitening": op12_whitening,
         "op13_runs": op13_runs,
     }
 
