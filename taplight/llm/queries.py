@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from taplight.llm import warc
 from taplight.llm.decontaminate import op5_decontaminate
+from taplight.llm.language import op11_language
 from taplight.llm.lm_scoring import op2_lm_scoring
 from taplight.llm.matroska import op6_media_columns
 from taplight.llm.near_dedup import op1_near_dedup
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_shards": op7_token_shards,
         "op8_piece_codec": op8_piece_codec,
         "op6_media_columns": op6_media_columns,
+        "op11_language": op11_language,
         "op12_whitening": op12_whitening,
         "op13_runs": op13_runs,
     }
