@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 VOWELS = "aeiou"
 
 
+# The characters that count as white space, as a class of a regular expression.
+SPACE = "\\t-\\r\\x1c- \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def stripped(s: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(s, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def characters(s: Column) -> Column:
     """The characters of a string; none of an empty one."""
     return F.filter(F.split(s, ""), lambda c: c != "")
@@ -42,8 +51,8 @@ def subdomain_entropy(domain: Column) -> Column:
 
 def normal_domain(s: Column) -> Column:
     """Trimmed, lower case, without trailing dots; null if empty, with white space, a slash or an empty label."""
-    d = F.regexp_replace(F.lower(F.trim(s)), r"\.+$", "")
-    return F.when((d != "") & ~d.rlike(r"[\s/]") & ~d.rlike(r"(^|\.)\.") & ~d.rlike(r"^\."), d)
+    d = F.regexp_replace(F.lower(stripped(s)), r"\.+$", "")
+    return F.when((d != "") & ~d.rlike(f"[{SPACE}/]") & ~d.rlike(r"(^|\.)\.") & ~d.rlike(r"^\."), d)
 
 
 def domain_body(d: Column) -> Column:

@@ -8,6 +8,7 @@ from taplight.functions import codes
 from taplight.operators import detectors
 from taplight.plans.catalog import query
 from taplight.sources import features, netflow, views, zeek
+from taplight.sources.shared import computed_once
 from taplight.sources.views import FLOWS_SQL
 
 _HEADER = zeek.Header(("ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "duration", "orig_bytes", "resp_bytes", "conn_state", "orig_pkts", "resp_pkts"))
@@ -46,17 +47,49 @@ def log_cells(spark, sf_dir):
     return rows.groupBy(F.col("duration.state").alias("duration"), F.col("service.state").alias("service"), F.col("resp_pkts.state").alias("resp_pkts")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: How a record is broken, by k % 40: (pattern, what stands there instead, the reasons that must be given).
+_BROKEN = {
+    3: ('"resp_pkts":3', '"resp_pkts":"3"', "type_resp_pkts"),
+    4: ('"resp_pkts":3', '"resp_pkts":true', "type_resp_pkts"),
+    5: ('"dst_port":\\d+', '"dst_port":70000', "port"),
+    7: (',"resp_pkts":3', "", "missing_resp_pkts"),
+    8: ('"duration":1.25,', "", "missing_duration"),
+    9: ('"duration":1.25', '"duration":-1', "range_duration"),
+    10: ('"dst_port"', '"src_port":99999,"dst_port"', "port"),
+    11: ('"dst_port"', '"src_port":-4,"dst_port"', "port"),
+    12: ('"orig_bytes":\\d+', '"orig_bytes":-1', "range_orig_bytes"),
+    13: ('"orig_bytes":\\d+', '"orig_bytes":1.5', "whole_orig_bytes"),
+    14: ('"orig_bytes":\\d+', '"orig_bytes":99999999999999999999', "range_orig_bytes"),
+    15: ('"src_ip":"[^"]*"', '"src_ip":5', "type_src_ip"),
+    16: ('"src_ip":"[^"]*"', '"src_ip":" \\\\t"', "address"),
+    17: ('"dst_port"', '"timestamp":"2000.5","dst_port"', "type_timestamp"),
+    18: ('"flow_id":"f:', '"flow_id":"', "time"),
+    19: ('"duration":1.25', '"duration":null', "missing_duration"),
+    20: ('"resp_pkts":3', '"resp_pkts":5.0', ""),
+    21: ('"dst_port"', '"dns":{"z":300},"dst_port"', "fields_dns"),
+    22: ('"dst_port"', '"dns_transactions":null,"dst_port"', "type_dns_transactions"),
+    23: ('"dst_port"', '"http":{"status_code":"200","host":7},"dst_port"', "fields_http"),
+    24: ('"dst_port"', '"tls":{"transaction_count":1,"sni_entropy":2},"tls_transactions":[{"source_ordinal":-1}],"dst_port"', "fields_tls_transactions"),
+    25: ('"dst_port"', '"service":12,"dst_port"', "type_service"),
+}
+_REASONS_SQL = " ".join(f"WHEN {k} THEN '{reasons}'" for k, (_, _, reasons) in _BROKEN.items())
+
+
 def _records(spark, sf_dir):
-    good = F.to_json(F.struct(F.concat(F.lit("f:"), (F.col("ts_us") / 1e6).cast("decimal(20,3)").cast("string")).alias("flow_id"), F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip"), F.col("port").alias("dst_port"), "proto", F.coalesce("orig_bytes", F.lit(5)).alias("orig_bytes"), "resp_bytes", "orig_pkts", F.lit(3).alias("resp_pkts")))
-    k = F.col("k") % 20
-    return views.flows(spark, sf_dir).select(F.when(k == 1, '{"src_ip": "1.1.1.1"').when(k == 2, "[1, 2]").when(k == 3, F.regexp_replace(good, '"resp_pkts":3', '"resp_pkts":"3"')).when(k == 4, F.regexp_replace(good, '"resp_pkts":3', '"resp_pkts":true')).when(k == 5, F.regexp_replace(good, '"dst_port":\\d+', '"dst_port":70000')).when(k == 6, "").when(k == 7, F.regexp_replace(good, ',"resp_pkts":3', "")).otherwise(good).alias("value"))
+    good = F.to_json(F.struct(F.concat(F.lit("f:"), (F.col("ts_us") / 1e6).cast("decimal(20,3)").cast("string")).alias("flow_id"), F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip"), F.col("port").alias("dst_port"), "proto", F.lit(1.25).alias("duration"), F.coalesce("orig_bytes", F.lit(5)).alias("orig_bytes"), "resp_bytes", "orig_pkts", F.lit(3).alias("resp_pkts")))
+    k = F.col("k") % 40
+    table = lambda i: F.create_map(*(F.lit(x) for at, how in _BROKEN.items() for x in (at, how[i])))
+    broken = F.coalesce(F.regexp_replace("good", F.try_element_at(table(0), k.cast("int")), F.try_element_at(table(1), k.cast("int"))), F.col("good"))
+    value = F.when(k == 1, '{"src_ip": "1.1.1.1"').when(k == 2, "[1, 2]").when(k == 6, "\u2003\t").otherwise(broken)
+    return computed_once(views.flows(spark, sf_dir).withColumn("good", good).select(value.alias("value")))
 
 
 @query(
     "record_rejects",
-    f"""WITH {_F} SELECT CASE k % 20 WHEN 1 THEN 'json' WHEN 2 THEN 'object' WHEN 3 THEN 'type_resp_pkts' WHEN 4 THEN 'type_resp_pkts' WHEN 5 THEN 'port' WHEN 7 THEN 'missing_resp_pkts' ELSE '' END AS reasons, count(*) AS n FROM f WHERE k % 20 <> 6 GROUP BY 1""",
+    f"""WITH {_F} SELECT CASE k % 40 WHEN 1 THEN 'json' WHEN 2 THEN 'object' {_REASONS_SQL} ELSE '' END AS reasons, count(*) AS n FROM f WHERE k % 40 <> 6 GROUP BY 1""",
 )
 def record_rejects(spark, sf_dir):
+    """Records with one fault each, and the reasons for which they are left out."""
     return features.parse(_records(spark, sf_dir)).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
 
 

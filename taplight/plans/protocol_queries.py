@@ -9,6 +9,7 @@ from taplight.functions import measures
 from taplight.operators import enrich
 from taplight.plans.catalog import query
 from taplight.plans.text_queries import _ENTROPY
+from taplight.sources.shared import computed_once
 from taplight.sources import features, views, zeek
 from taplight.sources.views import FLOWS_SQL
 
@@ -168,10 +169,10 @@ def _record_lines(spark, sf_dir):
     fields = {}
     for name in ("dns", "tls", "http"):
         fields |= {n: F.when(kind == name, c) for n, c in made(name).items()}
-    core = {"flow_id": F.lit("f:1.5"), "src_ip": F.col("src"), "dst_ip": F.col("dst"), "proto": F.col("proto"), **{c: F.lit(1) for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")}, "conn_state_encoded": (F.col("k") % 13).cast("int")}
+    core = {"flow_id": F.lit("f:1.5"), "src_ip": F.col("src"), "dst_ip": F.col("dst"), "proto": F.col("proto"), **{c: F.lit(1) for c in ("duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")}, "conn_state_encoded": (F.col("k") % 13).cast("int")}
     value = F.to_json(F.struct(*(c.alias(n) for n, c in {**core, **fields}.items())))
     broken = F.when(k == 9, F.regexp_replace(value, '"(dns|tls|http)":\\{[^}]*\\}', '"$1":"text"')).otherwise(value)
-    return views.flows(spark, sf_dir).select("flow_id", kind.alias("block"), broken.alias("value"))
+    return computed_once(views.flows(spark, sf_dir).select("flow_id", kind.alias("block"), broken.alias("value")))
 
 
 @query(
@@ -189,5 +190,5 @@ def transaction_rejects(spark, sf_dir):
     f"""WITH f AS ({FLOWS_SQL}) SELECT flow_id, CASE k % 13 WHEN 1 THEN 'S1' WHEN 2 THEN 'S2' WHEN 3 THEN 'S3' WHEN 4 THEN 'SF' WHEN 5 THEN 'REJ' WHEN 6 THEN 'RSTO' WHEN 7 THEN 'RSTOS0' WHEN 8 THEN 'RSTR' WHEN 9 THEN 'RSTRH' WHEN 10 THEN 'SH' WHEN 11 THEN 'SHR' WHEN 12 THEN 'OTH' END AS conn_state FROM f WHERE k % 24 NOT IN (3, 4, 5, 6, 7, 9)""",
 )
 def decoded_records(spark, sf_dir):
-    good = features.parse(_record_lines(spark, sf_dir)).where(F.size("reasons") == 0).select(F.col("flow_id").alias("id"), "record.*")
+    good = computed_once(features.parse(_record_lines(spark, sf_dir))).where(F.size("reasons") == 0).select(F.col("flow_id").alias("id"), "record.*")
     return features.decoded(good).select(F.col("id").alias("flow_id"), "conn_state")

@@ -49,11 +49,11 @@ def domain_features(spark, sf_dir):
 
 @query(
     "label_check",
-    """WITH w AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN ' ' || upper(url) || '. ' WHEN 1 THEN 'a..b' WHEN 2 THEN 'Www.Example.COM..' WHEN 3 THEN '' WHEN 4 THEN 'a b.c' ELSE '.x.y' END AS raw FROM pages), n AS (SELECT page_id, regexp_replace(lower(trim(raw)), '\\.+$', '') AS d FROM w)
-    SELECT page_id, CASE WHEN d <> '' AND NOT regexp_matches(d, '[\\s/]') AND NOT contains(d, '..') AND NOT starts_with(d, '.') THEN d END AS domain FROM n""",
+    """WITH w AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN ' ' || upper(url) || '. ' WHEN 1 THEN 'a..b' WHEN 2 THEN 'Www.Example.COM..' WHEN 3 THEN '' WHEN 4 THEN 'a' || chr(8195) || 'b.c' ELSE chr(9) || 'Name.com' || chr(10) || chr(160) END AS raw FROM pages), n AS (SELECT page_id, regexp_replace(lower(trim(raw, ' ' || chr(9) || chr(10) || chr(160))), '\\.+$', '') AS d FROM w)
+    SELECT page_id, CASE WHEN d <> '' AND NOT regexp_matches(d, '[\\s/]') AND NOT contains(d, chr(8195)) AND NOT contains(d, '..') AND NOT starts_with(d, '.') THEN d END AS domain FROM n""",
 )
 def label_check(spark, sf_dir):
-    raw = F.expr("CASE page_id % 6 WHEN 0 THEN concat(' ', upper(url), '. ') WHEN 1 THEN 'a..b' WHEN 2 THEN 'Www.Example.COM..' WHEN 3 THEN '' WHEN 4 THEN 'a b.c' ELSE '.x.y' END")
+    raw = F.expr("CASE page_id % 6 WHEN 0 THEN concat(' ', upper(url), '. ') WHEN 1 THEN 'a..b' WHEN 2 THEN 'Www.Example.COM..' WHEN 3 THEN '' WHEN 4 THEN 'a\u2003b.c' ELSE '\tName.com\n\u00a0' END")
     return views.read(spark, sf_dir, "pages").select("page_id", text.normal_domain(raw).alias("domain"))
 
 

@@ -46,7 +46,7 @@ def test_log_header_and_cells(spark):
 
 
 def test_records_are_rejected_for_stated_reasons(spark, tmp_path):
-    good = '{"flow_id": "a:1.5", "src_ip": "1", "dst_ip": "2", "proto": "tcp", "orig_bytes": 1, "resp_bytes": 2, "orig_pkts": 3, "resp_pkts": 4%s}'
+    good = '{"flow_id": "a:1.5", "src_ip": "1", "dst_ip": "2", "proto": "tcp", "duration": 0, "orig_bytes": 1, "resp_bytes": 2, "orig_pkts": 3, "resp_pkts": 4%s}'
     more = ', "dns": {"uid": "u", "transaction_count": 2}, "dns_transactions": [{"uid": "u", "source_ordinal": %d}, {"uid": "%s", "source_ordinal": 2}]'
     lines = [good % "", good % (more % (1, "u")), good % (more % (2, "v")), "", '{"a"', good % ', "dst_port": true']
     (tmp_path / "f").write_text("\n".join(lines))
