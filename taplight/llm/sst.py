@@ -43,7 +43,6 @@ KEPT_WORDS, KEPT_LENGTH = 700_000, 48
 #: Text between two of these starts is split alike with or without what stands around it (Unicode's white space).
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_SPACED = re.compile(f" [^{_S}]+")
 
 
 class IdEncoder:
@@ -70,12 +69,12 @@ class IdEncoder:
         runs: list[str] = []
         rest: list[str] = []
         for c in new:
-            (runs if _SPACED.fullmatch(c) else rest).append(c)
+            (runs if c[0] == " " and not c[-1].isspace() else rest).append(c)  # a chunk of white space ends with such
         out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
         groups = [runs[i : i + 500] for i in range(0, len(runs), 500)]
         for group, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(c.encode()) for c in group])
+            ends = np.cumsum(list(map(len, map(str.encode, group))))
             at = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
             data, last = ids.tobytes(), 0
             for c, i in zip(group, (at * 4).tolist(), strict=True):
@@ -245,6 +244,7 @@ class ShardReader:
             raise ValueError("not a whole shard")
         (self.bits,), self.bloom = struct.unpack_from("<Q", tail), tail[8:]
         self.index = [(k, *struct.unpack("<QQ", v)) for k, v in _entries(index, 0, _restarts(index)[1])]
+        self.firsts = [k for k, _, _ in self.index]
 
     def scan(self) -> Iterator[tuple[int | None, bytes]]:
         """(identifier, ids) in ascending order."""
@@ -262,7 +262,7 @@ class ShardReader:
         if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits)):
             return []
         out: list[bytes] = []
-        first = max(0, bisect_right([k for k, _, _ in self.index], key) - 1)
+        first = max(0, bisect_right(self.firsts, key) - 1)
         for _, at, n in self.index[first:]:
             block = self.file.read_at(n, at)
             restarts, end = _restarts(block)
