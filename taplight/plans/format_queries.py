@@ -133,9 +133,10 @@ def v5_sequence(spark, sf_dir):
 
 @query(
     "v9_records",
-    f"""WITH {_F}, d AS (SELECT *, k % 5 AS exporter, flow_id AS ordinal FROM f), t AS (SELECT exporter, ordinal, ts_us // 1000000 AS s FROM d WHERE k % 10 < 5),
-    j AS (SELECT d.*, (SELECT max_by(t.s, t.ordinal) FROM t WHERE t.exporter = d.exporter AND t.ordinal < d.ordinal) AS seen FROM d WHERE k % 10 >= 5)
-    SELECT ordinal, CASE WHEN seen IS NULL OR ts_us // 1000000 - seen > 3600 THEN 'no template' END AS reason, CASE WHEN seen IS NOT NULL AND ts_us // 1000000 - seen <= 3600 THEN resp_bytes END AS bytes, CASE WHEN seen IS NOT NULL AND ts_us // 1000000 - seen <= 3600 THEN orig_pkts END AS packets FROM j""",
+    f"""WITH {_F}, d AS (SELECT *, k % 5 AS exporter, flow_id AS ordinal, ts_us // 1000000 AS s FROM f), t AS (SELECT exporter, ordinal, s FROM d WHERE k % 10 < 5),
+    j AS (SELECT d.*, (SELECT max_by(struct_pack(s := t.s, o := t.ordinal), t.ordinal) FROM t WHERE t.exporter = d.exporter AND t.ordinal < d.ordinal) AS seen FROM d WHERE k % 10 >= 5),
+    a AS (SELECT *, seen.s IS NOT NULL AND s - seen.s >= 3600 AS old FROM j), n AS (SELECT *, row_number() OVER (PARTITION BY exporter, seen.o, old ORDER BY ordinal) AS place FROM a)
+    SELECT ordinal, CASE WHEN seen.s IS NULL THEN 'no template' WHEN old AND place = 1 THEN 'expired template' WHEN old THEN 'no template' END AS reason, CASE WHEN seen.s IS NOT NULL AND NOT old THEN resp_bytes END AS bytes, CASE WHEN seen.s IS NOT NULL AND NOT old THEN orig_pkts END AS packets FROM n""",
 )
 def v9_records(spark, sf_dir):
     """Exporters that send a template now and then, and data in between."""

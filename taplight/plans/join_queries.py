@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from taplight.operators import enrich
 from taplight.plans.catalog import query
-from taplight.sources import views
+from taplight.sources import shared, views
 from taplight.sources.views import ALERTS_SQL, DAY_US, FLOWS_SQL
 
 HOUR = DAY_US // 24
@@ -84,7 +84,8 @@ _INTERVALS = f"SELECT c_custkey AS idx, {_CLASSES.format('c_custkey')} AS threat
 
 
 def _eval_inputs(spark, sf_dir):
-    return views.alerts(spark, sf_dir), spark.sql(_INTERVALS.format(customer=views._register(spark, sf_dir, "customer")))
+    with shared.view(views.read(spark, sf_dir, "customer")) as customer:
+        return views.alerts(spark, sf_dir), spark.sql(_INTERVALS.format(customer=customer))
 
 
 _MATCHED = f"a AS ({ALERTS_SQL}), i AS ({_INTERVALS.format(customer='customer')}), m AS (SELECT a.alert_id, min(i.idx) AS idx FROM a JOIN i ON a.threat_class = i.threat_class AND a.src = i.src AND a.ts_us >= i.lo - 900000000 AND a.ts_us <= i.hi + 900000000 GROUP BY a.alert_id)"

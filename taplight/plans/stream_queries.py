@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +13,7 @@ from taplight.streaming import live
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = views.read(spark, sf_dir, "events")
-    return spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return views.events(spark, sf_dir, stream=True).withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
 @query(
@@ -26,9 +22,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_cooldown(spark, sf_dir):
     """The fold with keyed state; the batch query cooldown_fold gives the same rows."""
-    view = f"tl_stream_{uuid.uuid4().hex}"
-    _events(spark, sf_dir).createOrReplaceTempView(view)
-    rated = spark.sql(f"SELECT alert_id, src, ts_us, CAST({RANK_SQL.format('score')} AS INT) AS rank FROM ({views._ALERTS.format(us='unix_micros(ts)', events=view)}) a")
+    rated = views.alerts(spark, sf_dir, stream=True).selectExpr("alert_id", "src", "ts_us", f"CAST({RANK_SQL.format('score')} AS INT) AS rank")
     emitted = live.cooldown(rated, ["src"], DAY_US // 4, "alert_id long, src string, ts_us long, rank int", arrival="alert_id")
     return live.drain(emitted, shared.folder(spark, "stream")).select("alert_id", "src", "rank")
 

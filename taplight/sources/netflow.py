@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from taplight.functions import codes
+from taplight.sources import templates
 
 V5_HEADER, V5_RECORD, V5_MOST = 24, 48, 30
 WRAP = 1 << 32
@@ -142,23 +143,48 @@ def _v9_parts(data: bytes) -> tuple[tuple, list[tuple]]:
         if size < 4 or at + size > len(data):
             return (source, sequence, uptime, seconds), [("bad", None, None, None, "flowset length")]
         body = data[at + 4 : at + size]
-        if flowset == 0:
-            p = 0
-            while len(body) - p >= 4 and any(body[p:]):
-                template, n = struct.unpack_from(">HH", body, p)
-                if p + 4 + 4 * n > len(body):
-                    return (source, sequence, uptime, seconds), [("bad", None, None, None, "template length")]
-                flat = struct.unpack_from(f">{2 * n}H", body, p + 4)
-                parts.append(("template", template, [{"id": flat[2 * i], "size": flat[2 * i + 1]} for i in range(n)], None, None))
-                p += 4 + 4 * n
-        elif flowset == 1:
-            parts.append(("options", None, None, body, None))
+        if flowset <= 1:
+            found, whole = _template_parts(body, flowset == 1)
+            parts += found
+            if not whole:
+                return (source, sequence, uptime, seconds), parts
         elif flowset > 255:
             parts.append(("data", flowset, None, body, None))
         at += size
     return (source, sequence, uptime, seconds), parts
 
 
+def _template_parts(body: bytes, options: bool) -> tuple[list[tuple], bool]:
+    """Parts of a template flowset, and whether what follows it can be read.
+
+    A template that can't be used withdraws the one that it would replace; one whose end can't be told, or that can't
+    be named, resets the exporter, and nothing after it counts.
+    """
+    parts: list[tuple] = []
+    p, head = 0, 6 if options else 4
+    while len(body) - p >= 4 and any(body[p:]):
+        if len(body) - p < head:
+            return [*parts, ("reset", None, None, None, "template length")], False
+        template = struct.unpack_from(">H", body, p)[0]
+        if options:
+            scope, rest = struct.unpack_from(">HH", body, p + 2)
+            odd, n = bool(scope % 4 or rest % 4), (scope + rest) // 4
+            extent = head + scope + rest
+        else:
+            odd, n = False, struct.unpack_from(">H", body, p + 2)[0]
+            extent = head + 4 * n
+        if p + extent > len(body):
+            return [*parts, ("reset", None, None, None, "template length")], False
+        if template < 256:
+            return [*parts, ("reset", None, None, None, "template number")], False
+        flat = struct.unpack_from(f">{2 * n}H", body, p + head)
+        fields = [{"id": flat[2 * i], "size": flat[2 * i + 1]} for i in range(n)]
+        bad = odd or not 0 < n <= templates.MOST_FIELDS or any(f["size"] in (0, 65535) for f in fields)
+        parts.append(("withdraw", template, None, None, "template layout") if bad else ("options" if options else "template", template, fields, None, None))
+        p += extent
+    return parts, bool(parts) or not body
+
+
 def v9_parts(datagrams: DataFrame) -> DataFrame:
     """Templates and data of datagrams (exporter, ordinal, payload), in order; a bad datagram is one row with a reason."""
 
@@ -176,15 +202,22 @@ def v9_parts(datagrams: DataFrame) -> DataFrame:
     return datagrams.select("exporter", F.col("ordinal").cast("long").alias("ordinal"), "payload").mapInArrow(split, V9_PARTS)
 
 
-def v9_records(parts: DataFrame, ttl_s: int = 1800) -> DataFrame:
-    """A row per data record: the template in force is the last of its key before the data, no older than its lifetime.
+def v9_registry(parts: DataFrame, ttl_s: int = templates.TTL_S) -> DataFrame:
+    """Parts with what each did to its exporter's templates, or which template its data are read by (``definition``)."""
+    kind_and_fields = F.to_json(F.struct(F.col("kind").alias("k"), F.col("fields").alias("f")))
+    events = parts.where("kind <> 'bad'").withColumn("definition", F.when(F.col("kind").isin(*templates.DEFINES), kind_and_fields))
+    return templates.transitions(events, ["ordinal", "part"], ttl_s=ttl_s)
+
+
+def v9_records(parts: DataFrame, ttl_s: int = templates.TTL_S) -> DataFrame:
+    """A row per data record, read by the template that its exporter's registry has for it at that moment.
 
-    An as-of join: templates and data go through one window per (exporter, source, template), which carries the last
-    template along; no registry is kept in one place.
+    Data without one have a row with a reason: no template, an expired one, a clock that went back, or an options
+    template, whose data are no flows.
     """
-    w = Window.partitionBy("exporter", "source_id", "template_id").orderBy("ordinal", "part").rowsBetween(Window.unboundedPreceding, -1)
-    known = parts.where("kind in ('template', 'data')").withColumns({"as_of": F.last(F.when(F.col("kind") == "template", F.struct("fields", F.col("export_s").alias("seen_s"))), ignorenulls=True).over(w)})
-    data = known.where("kind = 'data'").withColumn("layout", F.when(F.col("export_s") - F.col("as_of.seen_s") <= ttl_s, F.col("as_of.fields")))
+    known = v9_registry(parts, ttl_s).where("kind = 'data'")
+    read = F.from_json("definition", "k string, f array<struct<id:int,size:int>>")
+    data = known.withColumn("t", read).withColumns({"layout": F.when(F.col("t.k") == "template", F.col("t.f")), "why": F.when(F.col("t.k") == "options", "options data").when(F.col("action") == "expired", "expired template").when(F.col("action") == "clock", "clock").when(F.col("action") != "found", "no template")})
     size = F.aggregate("layout", F.lit(0), lambda a, f: a + f["size"])
     sized = data.withColumns({"size": size, "hex": F.hex("body")})
     whole = F.when((F.col("size") > 0) & (F.octet_length("body") >= F.col("size")), F.sequence(F.lit(0), F.expr("octet_length(body) div size").cast("int") - 1))
@@ -196,7 +229,7 @@ def v9_records(parts: DataFrame, ttl_s: int = 1800) -> DataFrame:
     firsts = F.filter("fields", lambda f, i: ~F.array_contains(F.transform(F.slice(F.col("fields"), F.lit(1), i), lambda g: g["id"]), f["id"]) & (f["size"] <= 8))
     values = F.map_from_entries(F.transform(firsts, lambda f: F.struct(f["id"], _number(f["hex"]))))
     out = out.withColumn("values", F.when(F.col("layout").isNotNull() & F.col("record").isNotNull(), values))
-    return out.withColumn("reason", F.when(F.col("layout").isNull(), "no template").when(F.col("record").isNull(), "short body")).select("exporter", "ordinal", "source_id", "sequence", "template_id", "part", "record", "fields", "values", "reason", "uptime_ms", "export_s")
+    return out.withColumn("reason", F.when(F.col("layout").isNull(), F.col("why")).when(F.col("record").isNull(), "short body")).select("exporter", "ordinal", "source_id", "sequence", "template_id", "part", "record", "fields", "values", "reason", "uptime_ms", "export_s")
 
 
 def _number(hex_text: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,3 +31,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def computed_once(df: DataFrame) -> DataFrame:
     """``df`` with its columns made before what follows: a filter on them isn't pushed below and so doesn't make them again."""
     return df.select(F.explode(F.array(F.struct("*"))).alias("once")).select("once.*")
+
+
+@contextmanager
+def view(df: DataFrame) -> Iterator[str]:
+    """The name of a view of ``df`` that is there while SQL that reads it is analysed."""
+    name = f"tl_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    try:
+        yield name
+    finally:
+        df.sparkSession.catalog.dropTempView(name)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for a while; what was set before is set again."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taplight.sources import shared
 
 DAY_US = 86_400_000_000
 
@@ -23,21 +26,23 @@ CLASSIFIED_SQL = f"{COMPLETE_SQL[:-1]}, {INCOMPLETE_SQL[1:]}"
 FLOWS_SQL = _FLOWS.format(us="epoch_us(ts)", events="events")
 
 
-def _register(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """The table under a view name of its own for this folder."""
-    view = f"tl_{name}_{abs(hash(sf_dir))}"
-    spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
-    return view
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """The events with ``us``, their time in microseconds; a time without a zone is UTC, whatever the session's zone is."""
+    rows = read(spark, sf_dir, "events")
+    if stream:
+        rows = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/event[s].parquet")
+    zoned = dict(rows.dtypes)["ts"] == "timestamp"
+    return rows.withColumn("us", F.unix_micros("ts") if zoned else F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())))
+
+
+def flows(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Connections: one row per event, all timestamps in UTC microseconds."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.sql(_FLOWS.format(us="unix_micros(CAST(ts AS TIMESTAMP))", events=_register(spark, sf_dir, "events")))
+    with shared.view(events(spark, sf_dir, stream)) as name:
+        return spark.sql(_FLOWS.format(us="us", events=name))
 
 
 _DNS = """
@@ -50,7 +55,8 @@ DNS_SQL = _DNS.format(pages="pages")
 
 def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name queries: one row per page, ten seconds apart."""
-    return spark.sql(_DNS.format(pages=_register(spark, sf_dir, "pages")))
+    with shared.view(read(spark, sf_dir, "pages")) as pages:
+        return spark.sql(_DNS.format(pages=pages))
 
 
 _ALERTS = """
@@ -65,7 +71,7 @@ SEVERITY_SQL = "CASE WHEN {0} >= 0.9 THEN 'critical' WHEN {0} >= 0.75 THEN 'high
 RANK_SQL = "CASE WHEN {0} >= 0.9 THEN 3 WHEN {0} >= 0.75 THEN 2 WHEN {0} >= 0.6 THEN 1 ELSE 0 END"
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alerts(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Alerts: one row per event."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.sql(_ALERTS.format(us="unix_micros(CAST(ts AS TIMESTAMP))", events=_register(spark, sf_dir, "events")))
+    with shared.view(events(spark, sf_dir, stream)) as name:
+        return spark.sql(_ALERTS.format(us="us", events=name))

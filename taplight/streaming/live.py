@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from taplight.sources.shared import settings
+
+
+def rocks(spark: SparkSession):
+    """While it holds, streams that begin keep their state in RocksDB, as keyed processors need it."""
+    return settings(spark, {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
+
 
 def tail(spark: SparkSession, folder: str, schema: str | StructType, files: int = 64) -> DataFrame:
     """JSON lines of files that land in a folder, a bounded number of files to a batch."""

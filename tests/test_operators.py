@@ -73,7 +73,7 @@ def test_version_9_templates_as_of(spark):
     grams = [("e", 0, gram(0, data)), ("e", 1, gram(1, layout)), ("e", 2, gram(2, data)), ("e", 3, gram(9999, data)), ("f", 4, gram(3, data)), ("e", 5, b"bad")]
     parts = netflow.v9_parts(spark.createDataFrame(grams, "exporter string, ordinal long, payload binary"))
     rows = [(x["exporter"], x["ordinal"], x["reason"], int(x["values"][1]) if x["values"] else None) for x in netflow.v9_records(parts).collect()]
-    assert sorted(rows, key=str) == sorted([("e", 0, "no template", None), ("e", 2, None, 5), ("e", 2, None, 6), ("e", 3, "no template", None), ("f", 4, "no template", None)], key=str)
+    assert sorted(rows, key=str) == sorted([("e", 0, "no template", None), ("e", 2, None, 5), ("e", 2, None, 6), ("e", 3, "expired template", None), ("f", 4, "no template", None)], key=str)
     assert parts.where("kind = 'bad'").count() == 1
 
 
