@@ -7,11 +7,16 @@ Where few grams of an item are rare, its rarest half are seeds.  Documents are j
 passage where the item would stand, passages that overlap are merged, and local alignment over words (match 2, other
 word -1, gap -1) scores each.  The score is a fraction of what a whole copy would score.
 
+Edits may leave no gram of several words whole.  So an item also has seeds of one word, its rarest, and they propose a
+passage where enough of them stand together: an alignment of LEAK has a bounded number of the item's words unmatched and a
+bounded span, so of R seeds at least R less that number stand within it.  R is chosen for each item so that chance
+brings that many together least often.  No alignment that counts escapes this, whatever the edits.
+
 Counts, seeds and alignment compare words in a normal form (NFKC, case folded, outer punctuation stripped; a word of
 punctuation alone stays), while ``start`` and ``stop`` count the document's own words.
 
-Defined results: null texts are empty; empty documents and items match nothing; an item of fewer words than a seed is
-its own seed; rows of equal identifier are one document; of several passages that align with one item the best (the first
+Defined results: null texts are empty; empty documents and items match nothing; fewer words than a seed's are no leak, but
+where the item itself has no more; rows of equal identifier are one document; of several passages that align with one item the best (the first
 of equal ones) counts; null identifiers are kept.  Texts are read whole.
 """
 
@@ -21,6 +26,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 from math import ceil, log2
 from typing import NamedTuple
 
@@ -40,6 +46,11 @@ MATCH, OTHER, GAP = 2, -1, -1
 BLOCK_BYTES = 16 << 20
 #: Words whose codes a worker keeps.
 KEPT_WORDS = 300_000
+#: Stretches whose words are counted at once.
+STRETCHES = 20_000
+#: Stretches that are aligned together.
+TOGETHER = 64
+
 
 def normal_form(word: str) -> str:
     """The word as it is compared; where NFKC makes a space of a character, several words with a space between."""
@@ -79,22 +90,22 @@ class Coder:
 
     def __init__(self, codes: dict[str, int]) -> None:
         self.codes = codes
-        self.known: dict[bytes, int] = {}
+        self.known = _Known(self._learn)
         self.parted: list[list[int]] = [[]]
 
+    def __reduce__(self):
+        return Coder, (self.codes,)
+
     def clear(self) -> None:
         self.known.clear()
         del self.parted[1:]
 
-    def _learn(self, words: set[bytes]) -> None:
-        codes, known = self.codes, self.known
-        for word in words:
-            forms = normal_forms(word)
-            if len(forms) == 1:
-                known[word] = codes.get(forms[0], 0)
-            else:
-                known[word] = -len(self.parted)
-                self.parted.append([codes.get(f, 0) for f in forms])
+    def _learn(self, word: bytes) -> int:
+        forms = normal_forms(word)
+        if len(forms) == 1:
+            return self.codes.get(forms[0], 0)
+        self.parted.append([self.codes.get(f, 0) for f in forms])
+        return 1 - len(self.parted)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Codes of the normal words of several texts end to end, where each text begins, and the place in its own
@@ -103,8 +114,7 @@ class Coder:
         if len(self.known) > KEPT_WORDS:
             self.clear()
         split = [split_words(t) for t in texts]
-        flat = [w for words in split for w in words]
-        self._learn(set(flat).difference(self.known))
+        flat = list(chain.from_iterable(split))
         codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         starts = np.concatenate(([0], np.cumsum([len(words) for words in split]))).astype(np.int64)
         if not (codes < 0).any():
@@ -124,6 +134,28 @@ class Seeds(NamedTuple):
     item: np.ndarray
     place: np.ndarray
     items: list[np.ndarray]
+    words: "WordSeeds"
+
+
+class WordSeeds(NamedTuple):
+    """Items of each code, from ``first``, and how often each has it; how many of its seeds an item needs together, and within which span."""
+
+    first: np.ndarray
+    item: np.ndarray
+    times: np.ndarray
+    need: np.ndarray
+    span: np.ndarray
+
+
+class _Known(dict):
+    """Codes of own words, learnt as they come."""
+
+    def __init__(self, learn) -> None:
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = self.learn(word)
+        return code
 
 
 def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -157,7 +189,7 @@ def make_seeds(items: list[list[int]], counts: np.ndarray, total: int) -> Seeds:
     rows.sort()
     keys, first = np.unique(np.array([r[0] for r in rows], np.uint64), return_index=True)
     item, place = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
-    return Seeds(tuple(sorted({n for n, _ in grams if n})), keys, np.append(first, len(rows)), item, place, arrays)
+    return Seeds(tuple(sorted({n for n, _ in grams if n})), keys, np.append(first, len(rows)), item, place, arrays, make_word_seeds(arrays, counts, total))
 
 
 def hits(codes: np.ndarray, starts: np.ndarray, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +212,87 @@ def hits(codes: np.ndarray, starts: np.ndarray, seeds: Seeds) -> tuple[np.ndarra
     return (np.concatenate(at), np.concatenate(which)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def passages(found: list[tuple[int, int]], size: int, seeds: Seeds) -> list[tuple[int, int, int]]:
-    """(item, first, end) of the stretches that a text's (place, seed) hits propose; those of one item that overlap are merged."""
+def least_points(n: int) -> int:
+    """Points from which an alignment with an item of ``n`` words counts: LEAK of a whole copy's, and those of a seed's words."""
+    return max(ceil(LEAK * MATCH * n), MATCH * min(SEED_WORDS, n))
+
+
+def make_word_seeds(arrays: list[np.ndarray], counts: np.ndarray, total: int) -> WordSeeds:
+    """For each item the rarest words, as many as make chance bring the needed number together least often."""
+    share = (counts + 1.0) / (total + 1)
+    codes, owners, times, need, span = [], [], [], np.ones(len(arrays), np.int64), np.ones(len(arrays), np.int64)
+    for number, a in enumerate(arrays):
+        n = len(a)
+        span[number] = n + MATCH * n - least_points(n)
+        words, places = np.unique(a, return_counts=True)
+        order = np.argsort(share[words], kind="stable")
+        words, places = words[order], places[order]
+        needs = np.cumsum(places) - (n - ceil(least_points(n) / MATCH))
+        by_chance = np.cumsum(share[words]) * span[number]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            chance = np.where(needs > by_chance, needs - by_chance + needs * np.log(by_chance / needs), 0.0)  # Chernoff's bound
+        best = int(np.where(needs >= 1, chance, np.inf).argmin())
+        need[number] = needs[best]
+        codes.append(words[: best + 1])
+        owners.append(np.full(best + 1, number))
+        times.append(places[: best + 1])
+    code, item, each = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (codes, owners, times))
+    order = np.argsort(code, kind="stable")
+    return WordSeeds(np.searchsorted(code[order], np.arange(len(counts) + 1)), item[order], each[order], need, span)
+
+
+def together(codes: np.ndarray, starts: np.ndarray, seeds: WordSeeds) -> list[tuple[int, int, int]]:
+    """(item, first, end) of the stretches, in texts that lie end to end, in which an item has as many word seeds as it needs.
+
+    A stretch reaches as far as an alignment may that holds them.
+    """
+    copies = seeds.first[codes + 1] - seeds.first[codes]
+    at = np.flatnonzero(copies)
+    copies = copies[at]
+    if not len(at):
+        return []
+    ends = np.cumsum(copies)
+    own = np.repeat(seeds.first[codes[at]] - (ends - copies), copies) + np.arange(ends[-1])
+    item = seeds.item[own].astype(np.uint16 if len(seeds.need) <= 1 << 16 else np.int64)
+    order = np.argsort(item, kind="stable")
+    item, place, own = item[order].astype(np.int64), np.repeat(at, copies)[order], own[order]
+    last = np.arange(len(item)) + seeds.need[item] - 1
+    inside = np.flatnonzero(last < len(item))
+    last = last[inside]
+    inside = inside[(item[last] == item[inside]) & (place[last] - place[inside] < seeds.span[item[inside]])]
+    last = inside + seeds.need[item[inside]] - 1
+    text = np.searchsorted(starts, place[inside], side="right") - 1
+    same = place[last] < starts[text + 1]
+    inside, last, text = inside[same], last[same], text[same]
+    if not len(inside):
+        return []
+    # A word counts as often as the item has it: of those in a stretch, only its first ones.  Items with no stretch are left out.
+    some = np.zeros(len(seeds.need), bool)
+    some[item[inside]] = True
+    kept = np.flatnonzero(some[item])
+    inside, last = np.searchsorted(kept, inside), np.searchsorted(kept, last)
+    item, place, own = item[kept], place[kept], own[kept]
+    by_word = np.argsort(own.astype(np.uint16) if len(seeds.item) <= 1 << 16 else own, kind="stable")
+    before = np.arange(len(own)) - seeds.times[own[by_word]]
+    earlier = np.full(len(own), -1)
+    earlier[by_word] = np.where((before >= 0) & (own[by_word[before]] == own[by_word]), by_word[before], -1)
+    key = item * (int(starts[-1]) + 1) + place
+    stop = np.searchsorted(key, item[inside] * (int(starts[-1]) + 1) + np.minimum(place[inside] + seeds.span[item[inside]], starts[text + 1]))
+    enough = np.zeros(len(inside), bool)
+    for i in range(0, len(inside), STRETCHES):
+        a, size = inside[i : i + STRETCHES], stop[i : i + STRETCHES] - inside[i : i + STRETCHES]
+        first = np.cumsum(size) - size
+        each = np.repeat(a, size)
+        counted = earlier[np.arange(len(each)) + np.repeat(a - first, size)] < each
+        enough[i : i + STRETCHES] = np.add.reduceat(counted.astype(np.int64), first) >= seeds.need[item[a]]
+    inside, last, text = inside[enough], last[enough], text[enough]
+    first = np.maximum(place[last] - seeds.span[item[inside]] + 1, starts[text])
+    end = np.minimum(place[inside] + seeds.span[item[inside]], starts[text + 1])
+    return list(zip(item[inside].tolist(), first.tolist(), end.tolist(), strict=True))
+
+
+def passages(found: list[tuple[int, int]], size: int, seeds: Seeds, more: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
+    """(item, first, end) of the stretches that a text's (place, seed) hits propose, and ``more``; those of one item that overlap are merged."""
     by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p, i in found:
         for k in range(seeds.first[i], seeds.first[i + 1]):
@@ -190,6 +301,8 @@ def passages(found: list[tuple[int, int]], size: int, seeds: Seeds) -> list[tupl
             start = p - int(seeds.place[k])
             slack = length // 4 + 2
             by_item[item].append((max(0, start - slack), min(size, start + length + slack)))
+    for item, a, b in more:
+        by_item[item].append((a, b))
     out = []
     for item, spans in by_item.items():
         spans.sort()
@@ -203,32 +316,57 @@ def passages(found: list[tuple[int, int]], size: int, seeds: Seeds) -> list[tupl
     return out
 
 
-def align(passage: np.ndarray, query: np.ndarray) -> tuple[int, int, int]:
-    """(score, first, end) of the best local alignment of two rows of codes in the passage; the first of equal ones.
+def align_all(stretches: list[np.ndarray], queries: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(score, first, end) of the best local alignment of each stretch with its query, rows of codes; the first of equal ones.
 
-    Codes of the query are above 0, so that 0 in the passage equals none.
+    Codes of queries are above 0, so that 0 in a stretch equals none.  Those of like sizes are aligned together: shorter
+    stretches end with 0, shorter queries with a code that nothing has.
     """
-    n = len(query)
-    steps = np.arange(n + 1) * GAP
-    row = np.zeros(n + 1, np.int64)
-    start = np.zeros(n + 1, np.int64)
-    best = (0, 0, 0)
-    for p, code in enumerate(passage.tolist()):
-        diagonal = row[:-1] + np.where(query == code, MATCH, OTHER)
-        up = row[1:] + GAP
-        new = np.zeros(n + 1, np.int64)
-        new[1:] = np.maximum(np.maximum(diagonal, up), 0)
-        origin = np.full(n + 1, p + 1)
-        origin[1:] = np.where(diagonal >= up, np.where(row[:-1] > 0, start[:-1], p), start[1:])
-        # Gaps in the passage: a running maximum along the item, with the place that it comes from.
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(stretches)
+    order = sorted(range(len(stretches)), key=lambda i: (len(stretches[i]), len(queries[i])))
+    for at in range(0, len(order), TOGETHER):
+        chosen = order[at : at + TOGETHER]
+        for i, best in zip(chosen, _aligned([stretches[i] for i in chosen], [queries[i] for i in chosen]), strict=True):
+            out[i] = best
+    return out
+
+
+def _padded(rows: list[np.ndarray], other: int) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows))), other, np.int32)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
+def _aligned(stretches: list[np.ndarray], queries: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    codes, query = _padded(stretches, 0).T, _padded(queries, -1)
+    n, each = query.shape[1], np.arange(len(query))
+    steps, places = (np.arange(n + 1) * GAP).astype(np.int32), np.arange(n + 1, dtype=np.int32)
+    row, start = np.zeros((len(query), n + 1), np.int32), np.zeros((len(query), n + 1), np.int32)
+    best = np.zeros((len(query), 3), np.int64)
+    for p in range(len(codes)):
+        diagonal = row[:, :-1] + np.where(query == codes[p][:, None], np.int32(MATCH), np.int32(OTHER))
+        up = row[:, 1:] + np.int32(GAP)
+        new = np.zeros_like(row)
+        new[:, 1:] = np.maximum(np.maximum(diagonal, up), 0)
+        origin = np.full_like(row, p + 1)
+        origin[:, 1:] = np.where(diagonal >= up, np.where(row[:, :-1] > 0, start[:, :-1], np.int32(p)), start[:, 1:])
+        # Gaps in the stretch: a running maximum along the query, with the place that it comes from.
         lifted = new - steps
-        top = np.maximum.accumulate(lifted)
-        source = np.maximum.accumulate(np.where(lifted == top, np.arange(n + 1), 0))
-        row, start = np.maximum(top + steps, 0), origin[source]
-        k = int(row.argmax())
-        if row[k] > best[0]:
-            best = (int(row[k]), int(start[k]), p + 1)
-    return best
+        top = np.maximum.accumulate(lifted, axis=1)
+        source = np.maximum.accumulate(np.where(lifted == top, places, np.int32(0)), axis=1)
+        row, start = np.maximum(top + steps, 0), np.take_along_axis(origin, source, axis=1)
+        k = row.argmax(axis=1)
+        score = row[each, k]
+        better = np.flatnonzero(score > best[:, 0])
+        if len(better):
+            best[better, 0], best[better, 1], best[better, 2] = score[better], start[better, k[better]], p + 1
+    return [(a, b, c) for a, b, c in best.tolist()]
+
+
+def align(passage: np.ndarray, query: np.ndarray) -> tuple[int, int, int]:
+    """``align_all`` of one stretch."""
+    return align_all([passage], [query])[0]
 
 
 def word_counts(docs: DataFrame, coder: Coder) -> np.ndarray:
@@ -281,30 +419,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         seeds = make_seeds([[coder.codes[w] for w in words] for words in owners], np.concatenate(([0], counts[1:])), int(counts.sum()))
         shared = spark.sparkContext.broadcast((coder, seeds, list(owners.values())))
 
-        def align_all(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def aligned(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             coder, seeds, owners = shared.value
             for batch in batches:
                 codes, starts, own = coder.encode(bytes_of(batch))
                 at, which = hits(codes, starts, seeds)
                 doc = np.searchsorted(starts, at, side="right") - 1
-                by_doc: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                by_doc: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
                 for n, p, i in zip(doc.tolist(), at.tolist(), which.tolist(), strict=True):
-                    by_doc[n].append((p - int(starts[n]), i))
+                    by_doc[n][0].append((p - int(starts[n]), i))
+                for item, a, b in together(codes, starts, seeds.words):
+                    n = int(np.searchsorted(starts, a, side="right")) - 1
+                    by_doc[n][1].append((item, a - int(starts[n]), b - int(starts[n])))
+                places = [(n, *passage) for n, (grams, words) in by_doc.items() for passage in passages(grams, int(starts[n + 1] - starts[n]), seeds, words)]
+                scored = align_all([codes[starts[n] + a : starts[n] + b] for n, _, a, b in places], [seeds.items[item] for _, item, _, _ in places])
                 found = []
-                for n, places in by_doc.items():
-                    text = codes[starts[n] : starts[n + 1]]
-                    for item, a, b in passages(places, len(text), seeds):
-                        query = seeds.items[item]
-                        points, first, end = align(text[a:b], query)
-                        if points / (MATCH * len(query)) >= LEAK:
-                            first, end = a + first, a + end
-                            if own is not None:
-                                first, end = int(own[starts[n] + first]), int(own[starts[n] + end - 1]) + 1
-                            found += [(n, item_id, points / (MATCH * len(query)), first, end) for item_id in owners[item]]
+                for (n, item, a, _), (points, first, end) in zip(places, scored, strict=True):
+                    size = len(seeds.items[item])
+                    if points >= least_points(size):
+                        first, end = a + first, a + end
+                        if own is not None:
+                            first, end = int(own[starts[n] + first]), int(own[starts[n] + end - 1]) + 1
+                        found += [(n, item_id, points / (MATCH * size), first, end) for item_id in owners[item]]
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], [pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True))], ["doc_id", "item_id", "score", "start", "stop"])
 
-        scored = rows.mapInArrow(align_all, LEAKS)
+        scored = rows.mapInArrow(aligned, LEAKS)
         best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("early"), "stop")).alias("top"))
         parts.append(written(best.select("doc_id", "item_id", "top.score", (-F.col("top.early")).alias("start"), "top.stop"), f"{folder}/{number}"))
         shared.destroy()

@@ -321,3 +321,46 @@ def test_recall_of_pairs_just_similar_enough(spark):
     found = dict(near_dedup.classes(docs).collect())
     assert sum(found[a] == found[b] for a, b in near) >= 249
     assert not any(found[a] == found[b] for a, b in apart)
+
+
+def test_no_edit_that_leaves_a_leak_hides_it(spark):
+    """Every third word replaced, words put in between, words left out, frequent words all over: all pairs again."""
+    r = random.Random(31)
+    rare, frequent = [f"w{i}" for i in range(2000)], [f"f{i}" for i in range(12)]
+    word = lambda share: r.choice(frequent if r.random() < share else rare)
+    items = {i: [word(0.1 * (i % 10)) for _ in range(r.choice([1, 2, 3, 5, 12, 20, 35, 60]))] for i in range(60)}
+    docs = {}
+    for d in range(240):
+        copy = list(items[d % 60])
+        if d // 60 == 0:
+            copy = [word(0.4) if k % 3 == d % 3 else w for k, w in enumerate(copy)]
+        elif d // 60 == 1:
+            copy = [x for w in copy for x in ((w, word(0.4)) if r.random() < 0.95 else (w,))]
+        elif d // 60 == 2:
+            copy = [w for w in copy if r.random() < 0.6]
+        else:
+            for _ in range(r.randint(0, max(1, len(copy) // 2))):
+                edit, k = r.randrange(3), r.randrange(len(copy)) if copy else 0
+                copy[k : k + (edit < 2)] = [] if edit == 0 else [word(0.4)]
+        words = [word(0.4) for _ in range(r.randint(0, 150))]
+        at = r.randint(0, len(words))
+        docs[d] = words[:at] + copy + words[at:]
+    codes = {w: i for i, w in enumerate(rare + frequent, 1)}
+    want = {}
+    for d, words in docs.items():
+        for i, item in items.items():
+            points = decontaminate.align(np.array([codes[w] for w in words], int), np.array([codes[w] for w in item]))[0] if words else 0
+            if points >= max(decontaminate.LEAK * decontaminate.MATCH * len(item), 2 * min(3, len(item))):
+                want[d, i] = points
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): round(x["score"] * decontaminate.MATCH * len(items[x["item_id"]])) for x in decontaminate.leaks(table, bench).collect()}
+    assert got == want and len(want) > 300
+
+
+def test_stretches_align_together_as_one_by_one():
+    r = random.Random(8)
+    for _ in range(40):
+        some = [np.array([r.randint(0, 6) for _ in range(r.randint(0, 30))], int) for _ in range(r.randint(1, 150))]
+        queries = [np.array([r.randint(1, 6) for _ in range(r.randint(1, 12))]) for _ in some]
+        assert decontaminate.align_all(some, queries) == [decontaminate.align(s, q) for s, q in zip(some, queries, strict=True)]
