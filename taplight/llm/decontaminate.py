@@ -10,7 +10,7 @@ word -1, gap -1) scores each.  The score is a fraction of what a whole copy woul
 Edits may leave no gram of several words whole.  So an item also has seeds of one word, its rarest, and they propose a
 passage where enough of them stand together: an alignment of LEAK has a bounded number of the item's words unmatched and a
 bounded span, so of R seeds at least R less that number stand within it.  R is chosen for each item so that chance
-brings that many together least often.  No alignment that counts escapes this, whatever the edits.
+seldom brings that many together.  No alignment that counts escapes this, whatever the edits.
 
 Counts, seeds and alignment compare words in a normal form (NFKC, case folded, outer punctuation stripped; a word of
 punctuation alone stays), while ``start`` and ``stop`` count the document's own words.
@@ -48,6 +48,8 @@ BLOCK_BYTES = 16 << 20
 KEPT_WORDS = 300_000
 #: Stretches whose words are counted at once.
 STRETCHES = 20_000
+#: Logarithm of the chance that words come together, at which an item needs no more seeds: common ones are many to look at.
+CHANCE = -9.0
 #: Stretches that are aligned together.
 TOGETHER = 64
 
@@ -114,14 +116,13 @@ class Coder:
         if len(self.known) > KEPT_WORDS:
             self.clear()
         split = [split_words(t) for t in texts]
-        flat = list(chain.from_iterable(split))
-        codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        starts = np.concatenate(([0], np.cumsum([len(words) for words in split]))).astype(np.int64)
+        starts = np.concatenate(([0], np.cumsum(list(map(len, split))))).astype(np.int64)
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(starts[-1]))
         if not (codes < 0).any():
             return codes, starts, None
         lists = [self.parted[-c] if c < 0 else [c] for c in codes.tolist()]
         sizes = np.array([len(x) for x in lists], np.int64)
-        own = np.arange(len(flat)) - np.repeat(starts[:-1], np.diff(starts))
+        own = np.arange(len(codes)) - np.repeat(starts[:-1], np.diff(starts))
         return np.array([c for x in lists for c in x], np.int64), np.concatenate(([0], np.cumsum(sizes)))[starts], np.repeat(own, sizes)
 
 
@@ -218,7 +219,7 @@ def least_points(n: int) -> int:
 
 
 def make_word_seeds(arrays: list[np.ndarray], counts: np.ndarray, total: int) -> WordSeeds:
-    """For each item the rarest words, as many as make chance bring the needed number together least often."""
+    """For each item the rarest words, as many as make chance bring the needed number together seldom enough, or else least often."""
     share = (counts + 1.0) / (total + 1)
     codes, owners, times, need, span = [], [], [], np.ones(len(arrays), np.int64), np.ones(len(arrays), np.int64)
     for number, a in enumerate(arrays):
@@ -231,7 +232,8 @@ def make_word_seeds(arrays: list[np.ndarray], counts: np.ndarray, total: int) ->
         by_chance = np.cumsum(share[words]) * span[number]
         with np.errstate(divide="ignore", invalid="ignore"):
             chance = np.where(needs > by_chance, needs - by_chance + needs * np.log(by_chance / needs), 0.0)  # Chernoff's bound
-        best = int(np.where(needs >= 1, chance, np.inf).argmin())
+        chance = np.where(needs >= 1, chance, np.inf)
+        best = int((chance <= max(CHANCE, chance.min())).argmax())
         need[number] = needs[best]
         codes.append(words[: best + 1])
         owners.append(np.full(best + 1, number))
