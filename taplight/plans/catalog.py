@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-FAMILIES = ("window_queries", "detector_queries", "alert_queries", "join_queries", "evaluation_queries", "text_queries", "format_queries", "protocol_queries", "view_queries", "corpus_queries", "observation_queries", "stream_queries", "registry_queries")
+FAMILIES = ("window_queries", "detector_queries", "alert_queries", "join_queries", "evaluation_queries", "text_queries", "format_queries", "protocol_queries", "view_queries", "corpus_queries", "observation_queries", "stream_queries", "registry_queries", "order_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
