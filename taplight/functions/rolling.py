@@ -6,8 +6,9 @@ is then a running sum over the events of a key, which Spark keeps in one pass: a
 value counts where it comes into the window and where its last row leaves; a gap leaves with its earlier row.  Work
 grows with the rows, not with rows times window.
 
-A key's time is cut into chunks of CHUNK spans; the last span of a chunk is repeated in front of the next one, where it
-is only counted and not returned.  So a key that holds a third of all rows is dealt over many tasks.
+A key's time is cut into chunks of at most CHUNK spans, fewer where that is more than a day but two at least; the last
+span of a chunk is repeated in front of the next one, where it is only counted and not returned.  So a key that holds a
+third of all rows is dealt over many tasks.  No result depends on where a chunk ends.
 
 Rows without a time belong to no window and are left out; null keys are keys like others.
 """
@@ -20,8 +21,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Spans of a window in a chunk of a key's time.
-CHUNK = 16
+#: Most spans of a window in a chunk of a key's time, and microseconds above which a chunk has no more spans than two.
+CHUNK, LONG_US = 16, 86_400_000_000
+#: Sums of doubles are exact to so many decimals, for values below 10 ** 18.
+DECIMALS = 10
 
 
 class Measure(NamedTuple):
@@ -40,7 +43,7 @@ def count() -> Measure:
 
 
 def total(column: Column | str) -> Measure:
-    """The sum; null counts as 0."""
+    """The sum; null counts as 0.  Doubles are summed as decimals of DECIMALS places, infinite ones and NaN apart."""
     return Measure("total", _column(column))
 
 
@@ -68,7 +71,7 @@ def least(column: Column | str) -> Measure:
 
 
 def latest(column: Column | str) -> Measure:
-    """The value of the last row that has one, be it in the window or before."""
+    """The value of the last row of the window that has one."""
     return Measure("latest", _column(column))
 
 
@@ -102,10 +105,14 @@ class Rolling:
     ts_us: str = "ts_us"
     arrival: str = "flow_id"
 
+    @property
+    def chunk(self) -> int:
+        return max(2, min(CHUNK, LONG_US // self.span_us))
+
     def over(self, df: DataFrame, measures: dict[str, Measure], latest_rows: int | None = None) -> DataFrame:
         """``df`` with each measure of its rows' windows; totals are those of the latest rows only, if a number is given."""
         ts, span = F.col(self.ts_us), F.lit(self.span_us)
-        width = self.span_us * CHUNK
+        width = self.span_us * self.chunk
         own = F.floor(ts / width).cast("long")
         reach = ts >= (own + 1) * width - self.span_us
         rows = df.where(ts.isNotNull()).withColumn("r__chunks", F.when(reach, F.array(own, own + 1)).otherwise(F.array(own)))
@@ -134,7 +141,18 @@ class Rolling:
             rows = rows.withColumns({f"r__{name}_in": (here & F.coalesce(far(before), F.lit(True))).cast("long"), f"r__{name}_out": (here & F.coalesce(far(after), F.lit(True))).cast("long")})
 
         for name, m in measures.items():
-            if m.kind == "total":
+            if m.kind == "total" and df.select(m.column).dtypes[0][1] in ("double", "float"):
+                if latest_rows is not None:
+                    raise ValueError("doubles aren't summed over the latest rows only")
+                x, kind = m.column.cast("double"), f"decimal(28,{DECIMALS})"
+                odd = F.isnan(x) | (F.abs(x) == float("inf"))
+                finite = F.when(x.isNull() | odd, F.lit(0).cast(kind)).when(F.abs(x) < 1e18, x.cast(kind)).otherwise(F.raise_error(F.lit("a double is too large to be summed exactly")).cast(kind))
+                for kept_as, value in {"sum": finite, "nan": F.isnan(x), "up": x == float("inf"), "down": x == float("-inf")}.items():
+                    value = value if kept_as == "sum" else F.coalesce(value, F.lit(False)).cast("long")
+                    amounts[f"{name}_{kept_as}"] = (value, -value)
+                up, down = running(f"{name}_up") > 0, running(f"{name}_down") > 0
+                results[name] = F.when((running(f"{name}_nan") > 0) | (up & down), float("nan")).when(up, float("inf")).when(down, float("-inf")).otherwise(running(f"{name}_sum").cast("double"))
+            elif m.kind == "total":
                 amount = F.coalesce(m.column, F.lit(0))
                 amounts[name] = (amount, -amount)
                 results[name] = running(name)
@@ -162,8 +180,8 @@ class Rolling:
                 rest = F.when(gone["block"] == here["r__block"] - 1, gone["x"]).otherwise(here[f"r__{name}_before"])
                 results[name] = at(here[f"r__{name}_to"], rest)
             elif m.kind == "latest":
-                carried[name] = (m.column, F.lit(None))
-                results[name] = last(name)
+                carried[name] = (F.when(m.column.isNotNull(), F.struct(ts.alias("at"), m.column.alias("x"))), F.lit(None))
+                results[name] = F.when(~far(F.col("r__at") - last(name)["at"]), last(name)["x"])
             elif m.kind == "first_time":
                 rows = rows.withColumn("r__next", F.lead(self.ts_us).over(along))
                 carried[name] = (F.lit(None).cast("long"), F.col("r__next"))
