@@ -16,6 +16,7 @@ from taplight.functions import rolling as roll
 from taplight.functions.rolling import Rolling
 from taplight.functions.windows import clamp, seconds, share, whole
 from taplight.operators.emit import cooldown
+from taplight.operators.enrich import look_back
 
 
 def _scored(df: DataFrame, score: Column, keys: list[str], cooldown_us: int, arrival: str = "flow_id") -> DataFrame:
@@ -221,9 +222,7 @@ def generated_domains(scored: DataFrame, threshold: float, cooldown_us: int = se
     seen = Rolling(("src",), span_us).over(by_name, {"n_domains": roll.distinct("domain")})
     reports = cooldown(seen, ["src"], cooldown_us)
     # The names of a report are looked up for reports alone; of each the ten first are kept before they are put together.
-    names = by_name.select(F.col("src").alias("n_src"), F.col("domain").alias("name"), F.col("ts_us").alias("n_ts"), F.col("flow_id").alias("n_id"))
-    before = (F.col("n_ts") < F.col("ts_us")) | ((F.col("n_ts") == F.col("ts_us")) & (F.col("n_id") <= F.col("flow_id")))
-    met = reports.select("flow_id", "src", "ts_us").join(names, F.col("src").eqNullSafe(F.col("n_src")) & (F.col("n_ts") > F.col("ts_us") - span_us) & before).select("flow_id", "name").distinct()
+    met = look_back(reports, by_name.select("src", "ts_us", "flow_id", "domain"), "src", span_us).select(F.col("report").alias("flow_id"), F.col("domain").alias("name")).distinct()
     first = met.withColumn("place", F.row_number().over(Window.partitionBy("flow_id").orderBy("name"))).where("place <= 10")
     samples = first.groupBy("flow_id").agg(F.array_sort(F.collect_list("name")).alias("sample"))
     return reports.join(samples, "flow_id", "left")
@@ -231,10 +230,8 @@ def generated_domains(scored: DataFrame, threshold: float, cooldown_us: int = se
 
 def widest_ports(alerts: DataFrame, flows: DataFrame, window_us: int) -> DataFrame:
     """(flow_id, fanout, fanout_port): the port that reaches most hosts in the window of each alert, the lowest of equal ones."""
-    rows = flows.where("port is not null").select(F.col("src").alias("o_src"), F.col("ts_us").alias("o_ts"), F.col("flow_id").alias("o_id"), F.col("port").alias("o_port"), F.col("dst").alias("o_dst"))
-    before = (F.col("o_ts") < F.col("ts_us")) | ((F.col("o_ts") == F.col("ts_us")) & (F.col("o_id") <= F.col("flow_id")))
-    met = alerts.select("flow_id", "src", "ts_us").join(rows, F.col("src").eqNullSafe(F.col("o_src")) & (F.col("o_ts") > F.col("ts_us") - window_us) & before)
-    by_port = met.groupBy("flow_id", "o_port").agg(F.count_distinct("o_dst").alias("n"))
+    met = look_back(alerts, flows.where("port is not null").select("src", "ts_us", "flow_id", "port", "dst"), "src", window_us)
+    by_port = met.groupBy(F.col("report").alias("flow_id"), F.col("port").alias("o_port")).agg(F.count_distinct("dst").alias("n"))
     return by_port.groupBy("flow_id").agg(F.max("n").alias("fanout"), F.min_by("o_port", F.struct(-F.col("n"), "o_port")).alias("fanout_port"))
 
 

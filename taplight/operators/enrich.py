@@ -97,3 +97,16 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def schema_drift(keys: Column, known: list[str], ignored: list[str], expected: list[str]) -> tuple[Column, Column]:
     """Unknown and missing keys of a record."""
     return F.array_except(keys, F.array(*map(F.lit, [*known, *ignored]))), F.array_except(F.array(*map(F.lit, expected)), keys)
+
+
+def look_back(reports: DataFrame, rows: DataFrame, key: str, span_us: int, ts: str = "ts_us", arrival: str = "flow_id") -> DataFrame:
+    """(report's arrival as ``report``, columns of ``rows``): the rows of the report's key in the span that ends with it.
+
+    Both sides are dealt by key and by time in pieces of a span: a report meets the rows of two pieces, not all of its key.
+    """
+    piece = F.floor(F.col(ts) / span_us)
+    left = reports.select(F.col(arrival).alias("report"), F.col(ts).alias("lb__ts"), F.col(key).alias("lb__key"), F.explode(F.array(piece - 1, piece)).alias("lb__piece"))
+    right = rows.withColumn("lb__at", piece)
+    met = left.join(right, F.col("lb__key").eqNullSafe(F.col(key)) & (F.col("lb__piece") == F.col("lb__at")))
+    before = (F.col(ts) < F.col("lb__ts")) | ((F.col(ts) == F.col("lb__ts")) & (F.col(arrival) <= F.col("report")))
+    return met.where((F.col(ts) > F.col("lb__ts") - span_us) & before).drop("lb__ts", "lb__key", "lb__piece", "lb__at")

@@ -40,16 +40,16 @@ def ranking_metrics(scored: DataFrame) -> DataFrame:
 def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], parts: int = 64) -> DataFrame:
     """Values at 1-based ``places`` of each key's sorted values; a place is an expression of the count ``n``.
 
-    Equal values are counted first.  A key's values are dealt into ranges of equal width, which are sorted apart; one row
-    per range tells how many values lie below it.  So no task has all values of a key.
+    Equal values are counted first.  A key's distinct values are dealt into ranges of about as many each, by approximate
+    quantiles of them, and sorted apart; one row per range tells how many values lie below it.  So no task has all values
+    of a key, however they are spread.
     """
     named = [f"os__{i}" for i in range(len(keys))]
     rows = df.where(F.col(value).isNotNull()).select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col(value).alias("os__value"))
     counted = rows.groupBy(*named, "os__value").agg(F.count(F.lit(1)).alias("c"))
-    edges = counted.groupBy(*(F.col(n).alias(f"e_{n}") for n in named)).agg(F.min("os__value").alias("lo"), F.max("os__value").alias("hi"), F.sum("c").alias("n"))
+    edges = counted.groupBy(*(F.col(n).alias(f"e_{n}") for n in named)).agg(F.percentile_approx("os__value", [i / parts for i in range(1, parts)], 1000).alias("bounds"), F.sum("c").alias("n"))
     same = lambda prefix, on: reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in on), F.lit(True))
-    width = (F.col("hi") - F.col("lo")).cast("double")
-    dealt = counted.join(edges, same("e_", named)).withColumn("part", F.coalesce(F.least(F.floor(F.try_divide((F.col("os__value") - F.col("lo")).cast("double") * parts, width)), F.lit(parts - 1)), F.lit(0)))
+    dealt = counted.join(edges, same("e_", named)).withColumn("part", F.size(F.filter("bounds", lambda e: e < F.col("os__value"))))
     dealt = dealt.select(*named, "os__value", "c", "n", "part")
     below = Window.partitionBy(*(f"o_{n}" for n in named)).orderBy("o_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy(*(F.col(n).alias(f"o_{n}") for n in (*named, "part"))).agg(F.sum("c").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(below), F.lit(0))).drop("held")

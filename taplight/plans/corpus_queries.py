@@ -87,3 +87,21 @@ def unseen_families(spark, sf_dir):
 def split_overlap(spark, sf_dir):
     rows = _pages(spark, sf_dir).withColumnRenamed("host", "domain")
     return corpus.overlap(rows.where("i % 2 = 0"), rows.where("i % 2 = 1")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+_NAMES = "SELECT concat('name', c_custkey % 700) AS domain, CASE WHEN c_custkey % 700 % 3 > 0 THEN 1 ELSE 0 END AS label, CASE WHEN c_custkey % 700 % 3 > 0 THEN concat('family', c_custkey % 700 % 17) END AS family, c_custkey FROM {customer}"
+
+
+@query(
+    "family_split",
+    f"""WITH r AS ({_NAMES.format(customer="customer")}), z AS (SELECT family, count(*) AS n FROM r WHERE label = 1 GROUP BY family), p AS (SELECT family, sum(n) OVER w AS upto, n, row_number() OVER w AS place, sum(n) OVER () AS total, count(*) OVER () AS families FROM z WINDOW w AS (ORDER BY md5('42:' || family), family))
+    SELECT c_custkey, family, CASE WHEN label = 1 THEN place = 1 OR (upto - n / 2 <= total * 0.25 AND place < families) ELSE substr(md5('42:' || domain), 1, 8) < '40000000' END AS test FROM r LEFT JOIN p USING (family)""",
+)
+def family_split(spark, sf_dir):
+    """Names of generated families and of none, split so that no family is on both sides."""
+    from taplight.operators.domain_model import split_by_family
+    from taplight.sources import shared
+
+    with shared.view(views.read(spark, sf_dir, "customer")) as customer:
+        rows = spark.sql(_NAMES.format(customer=customer))
+    return split_by_family(rows).select("c_custkey", "family", "test")
