@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +250,17 @@ def test_pipeline_with_nulls_ties_clashes_and_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0 and kept.columns[-1] == "leaked"
+
+
+def test_near_dedup_worker_memory_is_bounded():
+    """A full batch is sketched in pieces; the arrays of all its shingles at once took 96 MB for 4 MB of text."""
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randrange(100_000)) for _ in range(700)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(map(str, range(1000))), pa.array(texts)], ["doc_id", "blob", "text"])
+    for step in (near_dedup._sketched, near_dedup._shingle_sets):
+        tracemalloc.start()
+        out = list(step(iter([batch, batch.slice(0, 0)])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum((b.column(0).to_pylist() for b in out), []) == list(range(1000))
+        assert most < 60e6
