@@ -6,9 +6,12 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +76,15 @@ def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary()).to_pylist()
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``size`` bytes of a text or binary column: what is made of them may be many times as large."""
+    for batch in batches:
+        ends = np.cumsum(np.array(pc.binary_length(batch.column(column)), np.int64))
+        firsts = np.flatnonzero(np.diff(ends // size, prepend=-1)).tolist()
+        for a, b in pairwise([*firsts, batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 _tables: dict[str, Callable[[], None]] = {}
 
 

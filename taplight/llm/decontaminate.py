@@ -26,7 +26,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
+from itertools import chain, pairwise
 from math import ceil, log2
 from typing import NamedTuple
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taplight.llm.common import bytes_of, free_name, holds_tables, id_and_text, shared_dir, small_batches, table, text_of, written
+from taplight.llm.common import bytes_of, drop, free_name, holds_tables, id_and_text, pieces, shared_dir, small_batches, table, text_of, written
 from taplight.llm.words import mixed, split_words, words_of
 
 SEED_WORDS, RARE_BITS = 3, 24.0
@@ -44,6 +44,8 @@ LEAK = 0.5
 MATCH, OTHER, GAP = 2, -1, -1
 #: Benchmark text that one pass puts to the documents.
 BLOCK_BYTES = 16 << 20
+#: Codes, as bytes, that are put to the benchmark at once; one text alone may have more.
+PIECE_BYTES = 1 << 20
 #: Words whose codes a worker keeps.
 KEPT_WORDS = 300_000
 #: Stretches whose words are counted at once.
@@ -69,6 +71,7 @@ def normal_form(word: str) -> str:
 
 _OUTER = frozenset(("Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sk"))
 _OUTER_ASCII = "".join(c for c in map(chr, range(33, 127)) if unicodedata.category(c) in _OUTER)
+_OUTER_BYTES, _UNPRINTABLE = _OUTER_ASCII.encode(), bytes([*range(32), 127])
 
 
 def normal_forms(word: bytes) -> list[str]:
@@ -92,6 +95,7 @@ class Coder:
 
     def __init__(self, codes: dict[str, int]) -> None:
         self.codes = codes
+        self.of_ascii = {w.encode(): code for w, code in codes.items() if w.isascii()}
         self.known = _Known(self._learn)
         self.parted: list[list[int]] = [[]]
 
@@ -103,6 +107,9 @@ class Coder:
         del self.parted[1:]
 
     def _learn(self, word: bytes) -> int:
+        if word.isascii() and word.translate(None, _UNPRINTABLE) == word:
+            low = word.lower()
+            return self.of_ascii.get(low.strip(_OUTER_BYTES) or low, 0)
         forms = normal_forms(word)
         if len(forms) == 1:
             return self.codes.get(forms[0], 0)
@@ -371,20 +378,64 @@ def align(passage: np.ndarray, query: np.ndarray) -> tuple[int, int, int]:
     return align_all([passage], [query])[0]
 
 
-def word_counts(docs: DataFrame, coder: Coder) -> np.ndarray:
-    """Occurrences in all documents of each code; at 0, of all other words."""
-    width = len(coder.codes) + 1
+ENCODED = "doc_id long, codes binary, own binary"
+
+
+def encoded(docs: DataFrame, coder: Coder, path: str) -> DataFrame:
+    """Codes of all documents, a row for each, written to ``path``: what counts and aligns them reads no text again.
+
+    ``own`` has the places of ``Coder.encode``; null where there are none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(coder)
+    kind = code_type(coder.codes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, starts, own = shared.value.encode(bytes_of(batch))
+            cols = [batch.column("doc_id"), _cut(codes.astype(kind), starts), pa.nulls(batch.num_rows, pa.binary()) if own is None else _cut(own.astype("<i8"), starts)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "codes", "own"])
+
+    out = written(docs.mapInArrow(rows, ENCODED), path)
+    shared.destroy()
+    return out
+
+
+def code_type(codes: dict[str, int]) -> str:
+    """Two bytes for a code where they do."""
+    return "<u2" if len(codes) < 1 << 16 else "<i4"
+
+
+def _cut(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of each text's values, which lie end to end."""
+    data = values.tobytes()
+    at = (starts * values.itemsize).tolist()
+    return pa.array([data[a:b] for a, b in pairwise(at)], pa.binary())
+
+
+def _joined(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """What ``Coder.encode`` gave for these rows."""
+    rows = batch.column("codes").to_pylist()
+    codes = np.frombuffer(b"".join(rows), kind).astype(np.int64)
+    starts = np.concatenate(([0], np.cumsum(list(map(len, rows))))).astype(np.int64) // np.dtype(kind).itemsize
+    places = batch.column("own")
+    if places.null_count == len(rows):
+        return codes, starts, None
+    each = [np.arange(b - a) if x is None else np.frombuffer(x, "<i8") for x, (a, b) in zip(places.to_pylist(), pairwise(starts.tolist()), strict=True)]
+    return codes, starts, np.concatenate(each)
+
+
+def word_counts(codes: DataFrame, coder: Coder) -> np.ndarray:
+    """Occurrences in all documents, as they were ``encoded``, of each code; at 0, of all other words."""
+    width, kind = len(coder.codes) + 1, code_type(coder.codes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(width, np.int64)
         for batch in batches:
-            sums += np.bincount(shared.value.encode(bytes_of(batch))[0], minlength=width)
+            sums += np.bincount(np.frombuffer(b"".join(batch.column("codes").to_pylist()), kind), minlength=width)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some], pa.int64())], ["code", "n"])
 
-    found = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    shared.destroy()
+    found = codes.select("codes").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(width, np.int64)
     out[found["code"].to_numpy(int)] = found["n"].to_numpy(int)
     return out
@@ -417,14 +468,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             if words := tuple(normal_words(text)):
                 owners[words].append(item_id)
         coder = Coder({w: i for i, w in enumerate(dict.fromkeys(w for words in owners for w in words), 1)})
-        counts = word_counts(rows, coder)
+        codes = encoded(rows, coder, f"{folder}/codes-{number}")
+        counts = word_counts(codes, coder)
         seeds = make_seeds([[coder.codes[w] for w in words] for words in owners], np.concatenate(([0], counts[1:])), int(counts.sum()))
-        shared = spark.sparkContext.broadcast((coder, seeds, list(owners.values())))
+        shared = spark.sparkContext.broadcast((code_type(coder.codes), seeds, list(owners.values())))
 
         def aligned(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            coder, seeds, owners = shared.value
-            for batch in batches:
-                codes, starts, own = coder.encode(bytes_of(batch))
+            kind, seeds, owners = shared.value
+            for batch in pieces(batches, "codes", PIECE_BYTES):
+                codes, starts, own = _joined(batch, kind)
                 at, which = hits(codes, starts, seeds)
                 doc = np.searchsorted(starts, at, side="right") - 1
                 by_doc: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
@@ -446,10 +498,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], [pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True))], ["doc_id", "item_id", "score", "start", "stop"])
 
-        scored = rows.mapInArrow(aligned, LEAKS)
+        scored = codes.mapInArrow(aligned, LEAKS)
         best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("early"), "stop")).alias("top"))
         parts.append(written(best.select("doc_id", "item_id", "top.score", (-F.col("top.early")).alias("start"), "top.stop"), f"{folder}/{number}"))
         shared.destroy()
+        drop(spark, f"{folder}/codes-{number}")
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], LEAKS)
 
 

@@ -24,15 +24,13 @@ a null identifier has a null class.  Texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taplight.llm.common import bytes_of, drop, free_name, id_and_text, shared_dir, small_batches, table, written
+from taplight.llm.common import bytes_of, drop, free_name, id_and_text, pieces, shared_dir, small_batches, table, written
 from taplight.llm.words import mixed, split_words, word_hashes, words_of
 
 WORDS, SIMILAR = 5, (4, 5)
@@ -107,17 +105,8 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about PIECE_BYTES of text: arrays of shingles are many times as large as the texts."""
-    for batch in batches:
-        ends = np.cumsum(np.array(pc.binary_length(batch.column("text")), np.int64))
-        firsts = np.flatnonzero(np.diff(ends // PIECE_BYTES, prepend=-1)).tolist()
-        for a, b in pairwise([*firsts, batch.num_rows]):
-            yield batch.slice(a, b - a)
-
-
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _pieces(batches):
+    for batch in pieces(batches, "text", PIECE_BYTES):
         rows = batch.num_rows
         doc, value, count = counted(*shingles(bytes_of(batch)))
         keys = np.zeros((rows, 2, BANDS), np.int64)
@@ -137,7 +126,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _pieces(batches):
+    for batch in pieces(batches, "text", PIECE_BYTES):
         doc, value = shingles(bytes_of(batch))
         sets = [np.unique(v.astype(np.uint32)).view(np.int32) for v in np.split(value, np.searchsorted(doc, np.arange(1, batch.num_rows)))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from taplight.llm import decontaminate, lm_scoring, near_dedup, quality, secret_scan, substring
 
@@ -364,3 +365,29 @@ def test_stretches_align_together_as_one_by_one():
         some = [np.array([r.randint(0, 6) for _ in range(r.randint(0, 30))], int) for _ in range(r.randint(1, 150))]
         queries = [np.array([r.randint(1, 6) for _ in range(r.randint(1, 12))]) for _ in some]
         assert decontaminate.align_all(some, queries) == [decontaminate.align(s, q) for s, q in zip(some, queries, strict=True)]
+
+
+def test_decontaminate_reads_each_text_once(spark):
+    """Counting and alignment share the codes of one pass; there were two passes over the texts."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    leak = "Zebra quartz, violet harbour mingle oddly upon seven copper kettles"
+    rows = [(1, f"some words before it {leak} and after it"), (2, "nothing here"), (None, None), (4, f"a b ﷺ {leak.upper()}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.udf(seen, "string")("text"))
+    benchmark = spark.createDataFrame([(7, leak)], "item_id long, text string")
+    found = decontaminate.leaks(docs, benchmark).orderBy("doc_id").collect()
+    assert [tuple(r) for r in found] == [(1, 7, 1.0, 4, 14), (4, 7, 1.0, 2, 12)]
+    assert read.value == len(rows)
+
+
+def test_codes_of_words_are_those_of_their_normal_forms():
+    forms = [w + e for w in ("abc", "x1", "") for e in ("", "\x01", "_", "$", "$_")] + ["\x7f", "a b"]
+    coder = decontaminate.Coder({f: i for i, f in enumerate(dict.fromkeys(f for f in forms if f), 1)})
+    words = [a + w + e for a in ("", "(", "$", "\x01", "\x7f") for w in ("Abc", "X1", "A\x1cB", "Ａbc") for e in ("", "!", "$", "\x01", "_", "$_")]
+    for word in words:
+        codes, _, _ = coder.encode([word.encode()])
+        assert codes.tolist() == [coder.codes.get(f, 0) for f in decontaminate.normal_forms(word.encode())], repr(word)
