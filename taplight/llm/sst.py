@@ -42,7 +42,9 @@ FOOTER = struct.Struct("<QQQQQQBI8s")  # filter, index: offset and length; docum
 KEPT_WORDS, KEPT_LENGTH = 700_000, 48
 #: Text between two of these starts is split alike with or without what stands around it (Unicode's white space).
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_CHUNK = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Latin letters before an ASCII character that is neither letter nor space end there too, so that a word is kept once whatever its punctuation.
+_L = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+_CHUNK = re.compile(f" ?[{_L}]++(?![^{_S}!-@\\[-`{{-~])| ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 class IdEncoder:

@@ -162,3 +162,15 @@ def test_headers_alone_are_decoded_where_they_decide():
 
     rows = list(warc.records(File(data), lambda h: h["warc-type"] == "response", True))
     assert [r[0] for r in rows] == ["1"] and len(rows[0][-1]) == 50_000
+
+
+def test_token_words_are_kept_without_their_punctuation():
+    """A word before different ASCII characters is one entry of the table (each was one of its own), and ids stay the library's."""
+    encoder = sst.IdEncoder(sst.default_tokenizer())
+    words, ends = [f"w{a}{b}" for a in "aeiou" for b in "klmnè"], [".", ",", "!!", "$$$", ")", "7", "'s", "_x", ""]
+    texts = ["".join(f" {w}{e}" for w in words for e in ends), "it's x² abδ. é́x, a×B abc’s\n\nWord, 'lla (ab) µm."]
+    expected = [encoder.library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[1:] + texts[:1], 2)] == expected[::-1]
+    encoder.kept.clear()
+    encoder.encode(texts[:1], 2)
+    assert len(encoder.kept) == len(words) + len(ends) - 1
