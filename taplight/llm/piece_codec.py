@@ -30,7 +30,7 @@ from taplight.llm.common import holds_tables, id_and_text, small_batches, table
 
 SPACE = "▁"
 #: Words kept encoded by a worker, and the longest that is kept; pairs of pieces whose compatibility is kept.
-KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 300_000, 48, 500_000
+KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 700_000, 48, 500_000
 #: Between words that are matched in one pass; no piece holds it.
 GAP = chr(0xE000)
 #: Words that are matched in one pass.
@@ -236,16 +236,19 @@ class PieceCodec:
         if len(kept) > KEPT_WORDS:
             kept.clear()
         split = [self.split(t) for t in texts]
-        new = list({w for words in split for w in words if w not in kept})
-        fresh = {w: " ".join(map(str, ids)) for w, ids in zip(new, self.encode_words(new), strict=True)}
-        kept.update((w, s) for w, s in fresh.items() if len(w) <= KEPT_LENGTH)
+        found: set[str] = set()
+        for words in split:
+            found.update(words)
+        new = list(found.difference(kept))
+        kept.update((w, " ".join(map(str, ids))) for w, ids in zip(new, self.encode_words(new), strict=True))
         end = str(self.end_id)
         out = []
         for words in split:
-            parts = [kept[w] if w in kept else fresh[w] for w in words]
-            parts.append(end)
-            joined = " ".join(parts)
+            joined = " ".join([*map(kept.__getitem__, words), end])
             out.append((joined, joined.count(" ") + 1))
+        for w in new:
+            if len(w) > KEPT_LENGTH:
+                del kept[w]
         return out
 
 

@@ -174,3 +174,13 @@ def test_token_words_are_kept_without_their_punctuation():
     encoder.kept.clear()
     encoder.encode(texts[:1], 2)
     assert len(encoder.kept) == len(words) + len(ends) - 1
+
+
+def test_piece_words_stay_known(monkeypatch):
+    """The table holds the distinct words of a larger corpus (it was cleared at 300 000); long words leave it again."""
+    codec = piece_codec.PieceCodec(piece_codec.default_model())
+    asked = []
+    monkeypatch.setattr(codec, "encode_words", lambda words: asked.append(len(words)) or [[5]] * len(words))
+    codec.digest_words([" ".join(f"w{i}" for i in range(400_000)) + " " + "x" * 100])
+    assert codec.digest_words([f"w1 w2 {'x' * 100}", ""]) == [(f"5 5 5 {codec.end_id}", 4), (str(codec.end_id), 1)]
+    assert asked == [400_001, 1]
