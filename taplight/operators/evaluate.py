@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taplight.sources import shared
+
 
 def _share(n: Column, d: Column) -> Column:
     return F.try_divide(n, F.nullif(d, F.lit(0)))
@@ -42,7 +44,8 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[st
 
     Equal values are counted first.  A key's distinct values are dealt into ranges of about as many each, by approximate
     quantiles of them, and sorted apart; one row per range tells how many values lie below it.  So no task has all values
-    of a key, however they are spread.
+    of a key, however they are spread.  The quantiles depend on the order in which shuffled blocks come, so the values are
+    dealt once and written: made anew for each reader, ranges would differ between counts and values.
     """
     named = [f"os__{i}" for i in range(len(keys))]
     rows = df.where(F.col(value).isNotNull()).select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col(value).alias("os__value"))
@@ -50,7 +53,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[st
     edges = counted.groupBy(*(F.col(n).alias(f"e_{n}") for n in named)).agg(F.percentile_approx("os__value", [i / parts for i in range(1, parts)], 1000).alias("bounds"), F.sum("c").alias("n"))
     same = lambda prefix, on: reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in on), F.lit(True))
     dealt = counted.join(edges, same("e_", named)).withColumn("part", F.size(F.filter("bounds", lambda e: e < F.col("os__value"))))
-    dealt = dealt.select(*named, "os__value", "c", "n", "part")
+    dealt = shared.written(dealt.select(*named, "os__value", "c", "n", "part"), "dealt")
     below = Window.partitionBy(*(f"o_{n}" for n in named)).orderBy("o_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy(*(F.col(n).alias(f"o_{n}") for n in (*named, "part"))).agg(F.sum("c").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(below), F.lit(0))).drop("held")
     within = Window.partitionBy(*named, "part").orderBy("os__value").rowsBetween(Window.unboundedPreceding, 0)

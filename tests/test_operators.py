@@ -4,9 +4,10 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
-from taplight.operators import detectors, emit, enrich
-from taplight.sources import features, netflow, zeek
+from taplight.operators import detectors, emit, enrich, evaluate
+from taplight.sources import features, netflow, shared, zeek
 
 
 def test_cooldown_and_escalation(spark):
@@ -187,3 +188,12 @@ def test_exporters_wrap_restart_and_lose_their_clock(spark):
     heads = spark.createDataFrame([("e", *r, 0) for r in rows], "e string, ordinal long, sequence long, count long, uptime_ms long, export_s long, export_ns long")
     got = [(x["sequence_state"], x["clock_state"]) for x in netflow.exporter_states(heads, ["e"], "ordinal").orderBy("ordinal").collect()]
     assert got == [("initial", "initial"), ("wrapped", "in_order"), ("in_order", "uptime_wrapped"), ("duplicate", "in_order"), ("in_order", "in_order"), ("restart", "restart"), ("in_order", "in_order"), ("in_order", "ambiguous")]
+
+
+def test_order_statistics_hold_whatever_order_the_bounds_come_of(spark, monkeypatch):
+    """Bounds that differ each time they are made, as a sketch's do where shuffled blocks come in another order."""
+    monkeypatch.setattr(F, "percentile_approx", lambda c, *_: F.udf(lambda top: sorted(random.uniform(0, top) for _ in range(9)), "array<double>").asNondeterministic()(F.max(c)))
+    rows = spark.range(1, 1001).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    with shared.settings(spark, {"spark.sql.exchange.reuse": "false"}):
+        got = evaluate.order_statistics(rows, ["g"], "v", {"p10": F.lit(50), "top": F.col("n")}).orderBy("g").collect()
+    assert [tuple(r) for r in got] == [(0, 500, 100.0, 1000.0), (1, 500, 99.0, 999.0)]
