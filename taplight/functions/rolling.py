@@ -1,10 +1,10 @@
 """Exact rolling windows per key from events: no row looks at its window again.
 
 A row sees the rows of its key in (t - T, t], those of its own instant only up to itself in arrival order (``closed``
-windows also see the instant t - T).  Each row is two events: it enters at t and leaves at t + T.  What a window holds
-is then a running sum over the events of a key, which Spark keeps in one pass: amounts are added and taken away; a
-value counts where it comes into the window and where its last row leaves; a gap leaves with its earlier row.  Work
-grows with the rows, not with rows times window.
+windows also see the instant t - T, totals over ``instant`` windows all rows of their own instant).  Each row is two
+events: it enters at t and leaves at t + T.  What a window holds is then a running sum over the events of a key, which
+Spark keeps in one pass: amounts are added and taken away; a value counts where it comes into the window and where its
+last row leaves; a gap leaves with its earlier row.  Work grows with the rows, not with rows times window.
 
 A key's time is cut into chunks of at most CHUNK spans, fewer where that is more than a day but two at least; the last
 span of a chunk is repeated in front of the next one, where it is only counted and not returned.  So a key that holds a
@@ -104,6 +104,7 @@ class Rolling:
     closed: bool = False
     ts_us: str = "ts_us"
     arrival: str = "flow_id"
+    instant: bool = False
 
     @property
     def chunk(self) -> int:
@@ -124,7 +125,11 @@ class Rolling:
         far = (lambda g: g > span) if self.closed else (lambda g: g >= span)
         amounts: dict[str, tuple[Column, Column]] = {}
         results: dict[str, Column] = {}
+        if self.instant and (latest_rows is not None or any(m.kind != "total" for m in measures.values())):
+            raise ValueError("only totals over all rows of a window see all rows of its last instant")
         run = Window.partitionBy(*part).orderBy("r__at", "r__edge", "r__seq").rowsBetween(Window.unboundedPreceding, 0)
+        if self.instant:
+            run = Window.partitionBy(*part).orderBy("r__at", "r__edge").rangeBetween(Window.unboundedPreceding, Window.currentRow)
         last = lambda c: F.last(c, ignorenulls=True).over(run)
         running = lambda c: F.sum(c).over(run)
         carried: dict[str, tuple[Column, Column]] = {}

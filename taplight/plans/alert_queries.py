@@ -203,10 +203,10 @@ def incident_notices(spark, sf_dir):
     f"""WITH {_RATED} SELECT alert_id, CAST(count(*) OVER (PARTITION BY threat_class, severity ORDER BY ts_us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM r""",
 )
 def ledger_counts(spark, sf_dir):
-    """Alerts of a class and severity in the five minutes up to each."""
+    """Alerts of a class and severity in the five minutes up to each, all those of its own instant among them."""
     from taplight.functions import rolling
 
-    return rolling.Rolling(("threat_class", "severity"), 300_000_000, arrival="alert_id").over(_rated(spark, sf_dir), {"n": rolling.count()}).select("alert_id", "n")
+    return rolling.Rolling(("threat_class", "severity"), 300_000_000, arrival="alert_id", instant=True).over(_rated(spark, sf_dir), {"n": rolling.count()}).select("alert_id", "n")
 
 
 @query(

@@ -100,3 +100,16 @@ def test_many_ties_and_empty_tables(spark):
         got = {x["flow_id"]: (x["n"], x["ports"]) for x in roll.Rolling(("k",), 10, closed).over(df, {"n": roll.count(), "ports": roll.distinct("port")}).collect()}
         assert got[ties - 1] == (ties, 1) and got[ties + 2] == ((ties + 3, 2) if closed else (3, 1)) and ties + 9 not in got
     assert roll.Rolling(("k",), 10).over(df.limit(0), {"n": roll.count()}).count() == 0
+
+
+def test_totals_see_all_rows_of_their_own_instant(spark):
+    span = 3_000_000
+    rows = _rows(5)
+    measures = {"n": roll.count(), "bytes": roll.total("size")}
+    windows = roll.Rolling(("k",), span, instant=True)
+    got = {x["flow_id"]: (x["n"], x["bytes"]) for x in windows.over(spark.createDataFrame(rows, SCHEMA), measures).collect()}
+    for i, k, t, *_ in rows:
+        seen = [x for x in rows if x[1] == k and t - span < x[2] <= t]
+        assert got[i] == (len(seen), sum(x[5] or 0 for x in seen))
+    with pytest.raises(ValueError):
+        windows.over(spark.createDataFrame(rows, SCHEMA), {"ports": roll.distinct("port")})
