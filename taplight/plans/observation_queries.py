@@ -22,7 +22,9 @@ _UID = "concat('C', CAST(flow_id % 500 AS STRING))"
 
 
 def _lines(spark, sf_dir, cells: list[str]):
-    return views.flows(spark, sf_dir).select(F.col("flow_id").alias("ordinal"), F.concat_ws("\t", *map(F.expr, cells)).alias("value"))
+    """Lines of the cells; a source is its user's address, for the view's text is none from user 256 on."""
+    rows = views.flows(spark, sf_dir).withColumn("src", F.coalesce(views.address(F.col("user_id")), F.lit("-")))
+    return rows.select(F.col("flow_id").alias("ordinal"), F.concat_ws("\t", *map(F.expr, cells)).alias("value"))
 
 
 def _conn(spark, sf_dir):

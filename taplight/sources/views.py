@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taplight.sources import shared
@@ -45,6 +45,15 @@ def flows(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
         return spark.sql(_FLOWS.format(us="us", events=name))
 
 
+def address(user: Column) -> Column:
+    """The address of a user in log lines whose addresses are checked, one for each user: the view's text ``10.0.0.<user>``
+    as far as that is an address, the next ones of 10.0.0.0/8 beyond, and IPv6 where no more are left."""
+    byte = lambda bits: F.shiftright(user, bits).bitwiseAND(F.lit(255)).cast("string")
+    digits = F.lpad(F.lower(F.hex(user)), 16, "0")
+    six = F.concat_ws(":", F.lit("fd00:0:0:0"), *(F.substring(digits, i, 4) for i in (1, 5, 9, 13)))
+    return F.when((user >= 0) & (user < 1 << 24), F.concat_ws(".", F.lit("10"), byte(16), byte(8), byte(0))).when(user.isNotNull(), six)
+
+
 _DNS = """
 SELECT page_id, page_id * 10000000 AS ts_us, concat('10.0.1.', page_id % 7) AS src, concat('10.9.9.', page_id % 2) AS resolver,
        lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS query, CASE WHEN page_id % 3 = 0 THEN 'TXT' ELSE 'A' END AS qtype, url
