@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taplight.sources.shared import computed_once
+
 COUNTERS = "struct<packets:decimal(20,0),payload_bytes:decimal(20,0),ip_bytes:decimal(20,0),l2_bytes:decimal(20,0)>"
 FLOW = f"struct<start_time:string,end_time:string,src_ip:string,dst_ip:string,src_port:int,dst_port:int,ip_protocol:int,connection_state:string,counters:struct<src_to_dst:{COUNTERS},dst_to_src:{COUNTERS}>>"
 SCHEMA = f"schema_version string, record_id string, observation_type string, telemetry_source string, sensor_id string, observed_at string, data {FLOW}"
-_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3}|\.\d{6}|\.\d{9})?Z$"
+_TIME = r"^(?!0000)\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3}|\.\d{6}|\.\d{9})?Z\z"
 MOST_BYTES = 65_536
 
 
 def nanoseconds(time: Column) -> Column:
     """Exact nanoseconds since the epoch of a UTC time in the strict layout; null for any other text or calendar day."""
-    seconds = F.try_to_timestamp(F.concat(F.substring(time, 1, 19), F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
-    fraction = F.rpad(F.regexp_extract(time, r"\.(\d+)Z$", 1), 9, "0").cast("decimal(20,0)")
-    return F.when(time.rlike(_TIME), F.unix_seconds(seconds).cast("decimal(20,0)") * 1_000_000_000 + F.coalesce(fraction, F.lit(0).cast("decimal(20,0)")))
+    seconds = F.concat(F.substring(time, 1, 19), F.lit("Z")).try_cast("timestamp")
+    fraction = F.rpad(F.substring(time, F.lit(21), F.char_length(time) - 21), 9, "0").try_cast("decimal(20,0)")
+    return F.when(time.rlike(_TIME), F.unix_seconds(seconds).cast("decimal(20,0)") * 1_000_000_000 + fraction)
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """``value`` lines as records with the reasons for which each is unfit; a run that must be whole stops if any has one."""
-    rows = lines.withColumn("record", F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}))
+    read = computed_once(lines.withColumn("record", F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"})))
     r, d = F.col("record"), F.col("record")["data"]
-    start, end = nanoseconds(d["start_time"]), nanoseconds(d["end_time"])
+    rows = computed_once(read.withColumns({"start_ns": nanoseconds(d["start_time"]), "end_ns": nanoseconds(d["end_time"])}))
+    start, end = F.col("start_ns"), F.col("end_ns")
     forward = d["counters"]["src_to_dst"]
     tests = {
         "size": F.octet_length("value") > MOST_BYTES,
@@ -39,7 +42,7 @@ def parse(lines: DataFrame) -> DataFrame:
         "negative": (forward["packets"] < 0) | (forward["ip_bytes"] < 0),
     }
     reasons = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in tests.items())), lambda x: x.isNotNull())
-    return rows.withColumn("reasons", reasons)
+    return computed_once(rows.withColumn("reasons", reasons))
 
 
 def to_flows(parsed: DataFrame, names: dict[int, str]) -> DataFrame:
@@ -47,8 +50,7 @@ def to_flows(parsed: DataFrame, names: dict[int, str]) -> DataFrame:
     from taplight.functions import codes
 
     d = F.col("record")["data"]
-    start, end = nanoseconds(d["start_time"]), nanoseconds(d["end_time"])
     protocol = F.coalesce(codes.lookup(names, d["ip_protocol"]), F.concat(F.lit("ip_protocol_"), d["ip_protocol"].cast("string")))
     good = parsed.where((F.size("reasons") == 0) & (F.col("record")["observation_type"] == "flow"))
     forward = d["counters"]["src_to_dst"]
-    return good.select(F.col("record")["record_id"].alias("flow_id"), (end - start).cast("long").alias("duration_ns"), d["src_ip"].alias("src"), d["dst_ip"].alias("dst"), d["dst_port"].alias("port"), protocol.alias("proto"), forward["packets"].cast("long").alias("orig_pkts"), forward["ip_bytes"].cast("long").alias("orig_ip_bytes"), forward["payload_bytes"].cast("long").alias("orig_bytes"))
+    return good.select(F.col("record")["record_id"].alias("flow_id"), (F.col("end_ns") - F.col("start_ns")).cast("long").alias("duration_ns"), d["src_ip"].alias("src"), d["dst_ip"].alias("dst"), d["dst_port"].alias("port"), protocol.alias("proto"), forward["packets"].cast("long").alias("orig_pkts"), forward["ip_bytes"].cast("long").alias("orig_ip_bytes"), forward["payload_bytes"].cast("long").alias("orig_bytes"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taplight.operators import detectors, emit, enrich, evaluate
-from taplight.sources import features, netflow, shared, zeek
+from taplight.sources import canonical, features, netflow, shared, zeek
 
 
 def test_cooldown_and_escalation(spark):
@@ -197,3 +197,18 @@ def test_order_statistics_hold_whatever_order_the_bounds_come_of(spark, monkeypa
     with shared.settings(spark, {"spark.sql.exchange.reuse": "false"}):
         got = evaluate.order_statistics(rows, ["g"], "v", {"p10": F.lit(50), "top": F.col("n")}).orderBy("g").collect()
     assert [tuple(r) for r in got] == [(0, 500, 100.0, 1000.0), (1, 500, 99.0, 999.0)]
+
+
+def test_canonical_times_are_exact_and_of_the_calendar(spark):
+    good = {"1969-12-31T23:59:59.5Z": None, "1969-12-31T23:59:59.500Z": -500_000_000, "2024-02-29T00:00:00Z": 1_709_164_800_000_000_000, "9999-12-31T23:59:59.999999999Z": 253_402_300_799_999_999_999}
+    bad = ["2024-02-30T00:00:00Z", "2024-01-01T24:00:00Z", "2024-01-01T00:00:60Z", "0000-01-01T00:00:00Z", "2024-01-01T00:00:00.12Z", "2024-01-01T00:00:00+00:00", "2024-01-01T00:00:00Z\n", "", None]
+    want = good | dict.fromkeys(bad)
+    times = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r["t"]: r["n"] if r["n"] is None else int(r["n"]) for r in times.select("t", canonical.nanoseconds(F.col("t")).alias("n")).collect()} == want
+
+
+def test_canonical_records_are_read_once(spark):
+    """A record's JSON is parsed by one expression, however many of its fields are looked at."""
+    lines = spark.range(9).select(F.concat(F.lit('{"record_id":"'), "id", F.lit('"}')).alias("value"))
+    flows = canonical.to_flows(canonical.parse(lines), {6: "tcp"})
+    assert flows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
