@@ -8,6 +8,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from taplight.sources.shared import computed_once
+
 
 @dataclass(frozen=True)
 class Header:
@@ -109,7 +111,8 @@ def readable(value: Column, kind: str) -> Column:
 
 def lossless(lines: DataFrame, header: Header, log: str) -> tuple[DataFrame, DataFrame]:
     """Every row with its cells, and the diagnostics: nothing is dropped for a cell that can't be read."""
-    cols = F.split("value", "\t")
+    lines = computed_once(lines.select("ordinal", F.split("value", "\t").alias("cells__")))
+    cols = F.col("cells__")
     named = {f: cell(header, f, cols) for f in header.fields}
     note = lambda kind, field: F.struct(F.lit(kind).alias("kind"), F.lit(field).alias("field"))
     tests = [F.when(F.size(cols) < len(header.fields), note("short_row", "")), F.when(F.size(cols) > len(header.fields), note("extra_column", ""))]
