@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from taplight.functions import ids, times
 from taplight.operators import enrich
-from taplight.sources import zeek
+from taplight.sources import shared, zeek
 from taplight.sources.shared import computed_once
 
 # Protocol numbers of the names that logs use, for each kind of log.
@@ -71,7 +71,7 @@ def produce(lines: DataFrame, header: zeek.Header, log: str, origin: Origin, flo
     if flows is None:
         rows = rows.withColumns({"link": F.lit(None).cast("string"), "outcome": F.lit(None).cast("string")})
     else:
-        rows = _linked(rows, flows, log)
+        rows = _linked(shared.written(rows, "rows"), flows, log)
     required = {"time": F.col("time").isNull(), "src_ip": F.col("src_ip").isNull(), "dst_ip": F.col("dst_ip").isNull(), "protocol": F.col("ip_protocol").isNull()}
     if log == "conn":
         rows = rows.withColumn("end_time", times.utc(F.when(F.col("length_ns") >= 0, F.col("time_ns") + F.col("length_ns"))))

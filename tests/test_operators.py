@@ -212,3 +212,27 @@ def test_canonical_records_are_read_once(spark):
     lines = spark.range(9).select(F.concat(F.lit('{"record_id":"'), "id", F.lit('"}')).alias("value"))
     flows = canonical.to_flows(canonical.parse(lines), {6: "tcp"})
     assert flows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+@pytest.mark.parametrize(("loose", "fill"), [(True, False), (False, True)])
+def test_flows_that_match_a_row_by_all_pairs(spark, loose, fill):
+    r = random.Random(11)
+    some = lambda *of: r.choice(of)
+    made = lambda i: (i, some("u", "v", None), some("a", "b"), some("x", "x", None), some(6, 17, None), some(1, 2, None), some(3, None))
+    rows, flows = [made(i) for i in range(150)], [made(i) for i in range(14)]
+    columns = "uid string, src string, dst string, proto int, sport int, dport int"
+    known = spark.createDataFrame([(*f[1:], f"r{f[0]}") for f in flows], f"{columns}, record_id string")
+    met = enrich.match_flows(spark.createDataFrame(rows, f"i int, {columns}"), known, "i", loose, ("sport", "dport"), fill)
+    got = {x["i"]: (x["proto"] if fill else None, x["outcome"], x["record_id"]) for x in met.collect()}
+    for i, uid, src, dst, proto, *ports in rows:
+        candidates = [f for f in flows if uid is not None and f[1] == uid]
+        near = [f for f in candidates if f[2] == src and dst is not None and f[3] == dst]
+        if fill and proto is None and len(near) == 1:
+            proto, near = near[0][4], [(*near[0][:4], "taken", *near[0][5:])]
+            fits, own = near, proto
+        else:
+            fits, own = [f for f in near if proto is not None and f[4] == proto], proto
+        same = lambda a, b: (a == b and a is not None) or (loose and (a is None or b is None))
+        fits = [f for f in fits if all(same(a, b) for a, b in zip(ports, f[5:], strict=True))]
+        outcome = "linked" if len(fits) == 1 else "ambiguous" if fits else "inconsistent" if candidates else "unlinked"
+        assert got[i] == (own if fill else None, outcome, f"r{fits[0][0]}" if len(fits) == 1 else None)
