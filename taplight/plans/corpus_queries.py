@@ -42,8 +42,11 @@ def _corpus(spark, sf_dir):
     f"""WITH {_P}, {_CLAIMS} SELECT family, 1 AS label, least(count(*), 4) AS n FROM c WHERE n = 1 GROUP BY 1 UNION ALL SELECT 'benign', 0, least((SELECT count(DISTINCT host) FROM p WHERE host <> '' AND host NOT IN (SELECT domain FROM c)), 7)""",
 )
 def corpus_sizes(spark, sf_dir):
-    """The corpus built from the pages' names: which names a cap leaves is a hash's choice, how many is not."""
-    return _corpus(spark, sf_dir).groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    """The corpus built from the pages' names: which names a cap leaves is a hash's choice, how many is not; of benign
+    names there may be none, which is a row too."""
+    rows, n = _corpus(spark, sf_dir), F.count(F.lit(1)).alias("n")
+    benign = rows.where("label = 0").agg(n).select(F.lit("benign").alias("family"), F.lit(0).alias("label"), "n")
+    return rows.where("label = 1").groupBy("family", "label").agg(n).unionByName(benign)
 
 
 _SCORED = f"{_P}, s AS (SELECT i, host AS domain, concat('p', i % 5) AS producer, CAST(i % 5 = 1 AS INT) AS label, (i * 37 % 101) / 100.0 AS score FROM p)"

@@ -40,3 +40,9 @@ def test_each_user_has_an_address(spark):
 @pytest.mark.parametrize("name", ["flow_observations", "log_diagnostics", "dns_observations"])
 def test_users_beyond_a_byte(spark, many_users, name):
     assert _equal(spark, many_users, name)
+
+
+def test_corpus_without_benign_names(spark, tmp_path):
+    """Pages all of whose names a family claims."""
+    spark.read.parquet(f"{SMALL}/pages.parquet").where("page_id % 3 = 0").write.parquet(f"{tmp_path}/pages.parquet")
+    assert _equal(spark, str(tmp_path), "corpus_sizes", ["pages"])
