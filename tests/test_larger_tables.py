@@ -37,7 +37,7 @@ def test_each_user_has_an_address(spark):
     assert got[:3] == ["10.0.0.0", "10.0.0.255", "10.0.1.0"]
 
 
-@pytest.mark.parametrize("name", ["flow_observations", "log_diagnostics", "dns_observations"])
+@pytest.mark.parametrize("name", ["flow_observations", "log_diagnostics", "dns_observations", "observation_kinds"])
 def test_users_beyond_a_byte(spark, many_users, name):
     assert _equal(spark, many_users, name)
 
