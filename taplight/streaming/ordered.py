@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegralType, StructField, StructType
 
 from taplight.functions.codes import COMPLETE_STATES, INCOMPLETE_STATES, SEVERITY_FROM
 from taplight.operators.detectors import Flood, Scan
@@ -41,8 +41,8 @@ class Fold(Protocol):
 
 
 class _Ordered(StatefulProcessor):
-    def __init__(self, make: Callable[[], Fold], columns: list[str], added: list[str], ts: str, arrival: str, delay_us: int, idle_ms: int) -> None:
-        self.make, self.columns, self.added = make, columns, added
+    def __init__(self, make: Callable[[], Fold], columns: list[str], added: list[str], ts: str, arrival: str, delay_us: int, idle_ms: int, whole: set[str]) -> None:
+        self.make, self.columns, self.added, self.whole = make, columns, added, whole
         self.ts, self.arrival, self.delay_us, self.idle_ms = ts, arrival, delay_us, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -51,25 +51,32 @@ class _Ordered(StatefulProcessor):
         self.kept = handle.getValueState("kept", "clock long, fold string")
 
     def _out(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        frame = pd.DataFrame(rows, columns=[*self.columns, *self.added, "late"], dtype=object)
-        yield frame.convert_dtypes()
+        if rows:
+            yield pd.DataFrame(rows, columns=[*self.columns, *self.added, "late"], dtype=object)
+
+    def _values(self, frame: pd.DataFrame, name: str) -> list:
+        """A column's plain values: none for nulls, for which Spark makes whole numbers floats."""
+        column = frame[name]
+        if not column.hasnans:
+            return column.tolist()
+        return [None if gone else int(v) if name in self.whole else v for v, gone in zip(column.tolist(), column.isna(), strict=True)]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        clock, folded = self.kept.get() if self.kept.exists() else (None, None)
+        clock, folded = before, _ = self.kept.get() or (None, None)
+        place, seq = self.columns.index(self.ts), self.columns.index(self.arrival)
         out: list[tuple] = []
         top = None
-        fresh: dict[tuple[int, int], list] = {}
+        fresh: dict[tuple[int, int], tuple] = {}
         for frame in rows:
-            for row in frame[self.columns].astype(object).where(frame[self.columns].notna(), None).to_dict("records"):
-                at = int(row[self.ts])
+            for values in zip(*(self._values(frame, c) for c in self.columns), strict=True):
+                at = values[place]
                 top = at if top is None else max(top, at)
-                if row[self.arrival] is None:
+                if values[seq] is None:
                     continue
-                values = [v.item() if hasattr(v, "item") else v for v in row.values()]
                 if clock is not None and at <= clock:
                     out.append((*values, *[None] * len(self.added), True))
                 else:
-                    fresh[at, int(row[self.arrival])] = values
+                    fresh[at, values[seq]] = values
         clock = max(x for x in (clock, None if top is None else top - self.delay_us) if x is not None)
         due = {k: v for k, v in fresh.items() if k[0] <= clock}
         for k, v in fresh.items():
@@ -85,11 +92,16 @@ class _Ordered(StatefulProcessor):
             if (added := fold.step(dict(zip(self.columns, due[k], strict=True)))) is not None:
                 out.append((*due[k], *(added[c] for c in self.added), False))
         self.kept.update((clock, json.dumps(fold.dump())))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer((clock + self.delay_us) // 1000 + self.idle_ms)
+        if clock != before:
+            if before is not None:
+                self.handle.deleteTimer(self._idle(before))
+            self.handle.registerTimer(self._idle(clock))
         yield from self._out(out)
 
+    def _idle(self, clock: int) -> int:
+        """When a key with such a clock is idle; the one timer that it has."""
+        return (clock + self.delay_us) // 1000 + self.idle_ms
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         """An idle key: what still waits is folded, and the key is forgotten."""
         _, folded = self.kept.get()
@@ -114,7 +126,7 @@ def in_order(rows: DataFrame, keys: list[str], make: Callable[[], Fold], added:
     if idle_s * 1_000_000 <= delay_us:
         raise ValueError("a key may not be idle before its rows are due")
     more = StructType.fromDDL(added)
-    processor = _Ordered(make, rows.columns, more.fieldNames(), ts, arrival, delay_us, idle_s * 1000)
+    processor = _Ordered(make, rows.columns, more.fieldNames(), ts, arrival, delay_us, idle_s * 1000, {f.name for f in rows.schema.fields if isinstance(f.dataType, IntegralType)})
     schema = StructType([*rows.schema.fields, *more.fields, StructField("late", BooleanType())])
     timed = rows.withColumn("o__time", F.timestamp_micros(ts)).withWatermark("o__time", f"{idle_s} seconds")
     return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taplight.plans import catalog
-from taplight.sources import views
+from taplight.sources import shared, views
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -46,3 +46,8 @@ def test_corpus_without_benign_names(spark, tmp_path):
     """Pages all of whose names a family claims."""
     spark.read.parquet(f"{SMALL}/pages.parquet").where("page_id % 3 = 0").write.parquet(f"{tmp_path}/pages.parquet")
     assert _equal(spark, str(tmp_path), "corpus_sizes", ["pages"])
+
+
+def test_a_part_of_several_files_is_one_micro_batch(spark, many_users):
+    with shared.settings(spark, {"spark.sql.files.maxRecordsPerFile": "60"}):
+        assert _equal(spark, many_users, "stream_late")
